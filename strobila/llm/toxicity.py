@@ -1,6 +1,6 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text is the set of its lower-case words, each hashed to one of ``2**bits`` terms. The score is the logistic of
+A text is the set of its lower-case words and their beginnings, each hashed to one of ``2**bits`` terms. The score is the logistic of
 
     bias + sum_i w_i + sum_{i<j} <v_i, v_j>
 
@@ -27,10 +27,12 @@ from strobila.llm.store import table
 
 _WORD = re.compile(r"\w+")
 _CACHE = 400_000
+#: Letters of a word's beginning, which is a term too.
+_STEM = 5
 
 
 class FactorizationMachine:
-    """Weights and factors by AdaGrad on the logistic loss, with proximal L1 on weights and L2 on factors."""
+    """Weights and factors by AdaGrad on the logistic loss with an L2 penalty, over the terms that tell the labels apart."""
 
     def __init__(self, bits: int = 20, rank: int = 8, seed: int = 8):
         self.bits, self.rank, self.seed = bits, rank, seed
@@ -39,73 +41,69 @@ class FactorizationMachine:
     def __getstate__(self):
         return self.__dict__ | {"cache": {}}
 
-    def _term(self, word: str) -> int:
-        return zlib.crc32(word.encode("utf-8", "surrogatepass")) >> (32 - self.bits)
+    def _terms_of(self, word: str) -> tuple[int, ...]:
+        """Of a word, and of its beginning where it is longer."""
+        names = (word, word[:_STEM] + "*") if len(word) > _STEM else (word,)
+        return tuple(zlib.crc32(n.encode("utf-8", "surrogatepass")) >> (32 - self.bits) for n in names)
 
     def terms(self, text: str | None) -> set[int]:
-        return {self._term(w) for w in set(_WORD.findall((text or "").lower()))}
+        return {t for w in set(_WORD.findall((text or "").lower())) for t in self._terms_of(w)}
 
-    def fit(self, texts: list[str], y: list[int], rounds: int = 12, rate: float = 0.15, l1: float = 2e-5, l2: float = 1e-3, least: int = 3) -> "FactorizationMachine":
+    def fit(self, texts: list[str], y: list[int], rounds: int = 25, rate: float = 0.1, l2: float = 1e-3, least: int = 3, telling: float = 3.0) -> "FactorizationMachine":
+        """``telling``: standard errors by which a term's share of label 1 must differ from that of all texts."""
         rng = np.random.default_rng(self.seed)
-        rows = [self.terms(t) for t in texts]
-        count: dict[int, int] = {}
-        for r in rows:
-            for t in r:
-                count[t] = count.get(t, 0) + 1
-        self.index = {t: i for i, t in enumerate(sorted(t for t, n in count.items() if n >= least))}
-        n = len(self.index)
-        self.w, self.bias = np.zeros(n), 0.0
-        self.v = rng.normal(0, 0.01, (n, self.rank))
-        gw, gv, gb = np.full(n, 1e-2), np.full(n, 1e-1), 1e-2
-        x = [np.fromiter((self.index[t] for t in r if t in self.index), np.int64) for r in rows]
         y = np.asarray(y, float)
-        if len(y):
-            self.bias = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
-        for step in range(rounds):
+        rows = [np.fromiter(self.terms(t), np.int64) for t in texts]
+        size = 1 << self.bits
+        seen, ones = np.zeros(size), np.zeros(size)
+        for r, label in zip(rows, y):
+            seen[r] += 1
+            ones[r] += label
+        share = (y.sum() + 0.5) / (len(y) + 1)
+        error = np.sqrt(np.maximum(seen, 1) * share * (1 - share))
+        live = np.flatnonzero((seen >= least) & (np.abs(ones - seen * share) >= telling * error))
+        self.index = {int(t): k for k, t in enumerate(live)}
+        where = np.full(size, -1)
+        where[live] = np.arange(len(live))
+        x = [i[i >= 0] for i in (where[r] for r in rows)]
+        n = len(live)
+        self.w, self.bias = np.zeros(n), float(np.log(share / (1 - share)))
+        self.v = rng.normal(0, 0.01, (n, self.rank))
+        gw, gv, gb = np.full(n, 1e-1), np.full(n, 1e-1), 1e-1
+        for _ in range(rounds):
             for k in rng.permutation(len(x)):
                 i = x[k]
-                if not len(i):
-                    continue
                 vi = self.v[i]
                 total = vi.sum(0)
                 z = self.bias + self.w[i].sum() + 0.5 * ((total**2).sum() - (vi**2).sum())
                 g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[k]
-                if abs(g) < 1e-4:
-                    continue
                 gb += g * g
                 self.bias -= rate * g / np.sqrt(gb)
-                gw[i] += g * g
-                pace = rate / np.sqrt(gw[i])
-                new = self.w[i] - pace * g
-                self.w[i] = np.sign(new) * np.maximum(np.abs(new) - pace * l1 * len(x) / 100, 0)
-                grad = g * (total - vi) / max(1.0, np.sqrt(len(i))) + l2 * vi
-                gv[i] += (grad**2).sum(1)
-                self.v[i] -= 0.3 * rate * grad / np.sqrt(gv[i])[:, None]
-        return self._settled()
-
-    def _settled(self) -> "FactorizationMachine":
-        """Terms that training left without a weight keep no factors either, and go."""
-        live = np.flatnonzero(np.abs(self.w) > 1e-6)
-        where = {int(i): k for k, i in enumerate(live)}
-        self.index = {t: where[i] for t, i in self.index.items() if i in where}
-        self.w, self.v = np.r_[self.w[live], 0.0], np.r_[self.v[live], np.zeros((1, self.rank))]
+                if not len(i):
+                    continue
+                step = g + l2 * self.w[i]
+                gw[i] += step * step
+                self.w[i] -= rate * step / np.sqrt(gw[i])
+                step = g * (total - vi) + l2 * vi
+                gv[i] += (step**2).sum(1)
+                self.v[i] -= rate * step / np.sqrt(gv[i])[:, None]
         return self
 
     def raw(self, texts: list[str | None]) -> np.ndarray:
-        none, cache = len(self.w) - 1, self.cache
+        cache, index = self.cache, self.index
         if len(cache) > _CACHE:
             cache.clear()
         out = np.full(len(texts), self.bias)
         for k, t in enumerate(texts):
-            found = set()
+            found: set[int] = set()
             for w in set(_WORD.findall((t or "").lower())):
-                i = cache.get(w)
-                if i is None:
-                    i = cache[w] = self.index.get(self._term(w), none)
-                found.add(i)
-            found.discard(none)
+                live = cache.get(w)
+                if live is None:
+                    live = cache[w] = tuple(index[t] for t in self._terms_of(w) if t in index)
+                if live:
+                    found.update(live)
             if found:
-                i = list(found)
+                i = sorted(found)
                 v = self.v[i]
                 out[k] += self.w[i].sum() + 0.5 * ((v.sum(0) ** 2).sum() - (v**2).sum())
         return out
