@@ -3,28 +3,66 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from strobila.llm import langid, sentencepiece_fst
+from strobila.llm.decontaminate import drop_leaks
 from strobila.llm.simhash import fingerprints, near_groups
 from strobila.llm.store import cut, table
+from strobila.llm.suffix_dedup import without_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document whose language is less certain than this goes, and so does one without a letter.
+LEAST_CERTAIN = 0.5
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognised language go; the others keep their columns."""
+    model = langid.train(docs)
+    found = langid.detect(docs.select(*COLUMNS), model)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_CERTAIN)).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest doc_id."""
     groups = near_groups(cut(fingerprints(docs), "prints"))
-    keep = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    keep = cut(groups.filter("doc_id = component_id").select("doc_id").distinct(), "kept")
     return docs.join(keep, "doc_id", "left_semi").select(*COLUMNS)
 
 
-STAGES = [("simhash near-dedup", drop_near_copies)]
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 200 bytes or more that occur elsewhere too are cut out; a document of which nothing stays goes."""
+    out = without_repeats(docs.select(*COLUMNS))
+    emptied = (F.col("n_removed") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
+    return out.filter(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return drop_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
+def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its piece ids; ``round_trip`` tells that decoding gives the text back."""
+    out = sentencepiece_fst.encode(docs.select(*COLUMNS))
+    return out.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
+
+
+STAGES = [
+    ("language ID", keep_known_languages),
+    ("SimHash near-dedup", drop_near_copies),
+    ("suffix-array dedup", cut_repeats),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("SentencePiece encoding", to_pieces),
+]
 
-#: No SQL states the fingerprints' XXH64 or the components; the stages are tested against brute force.
+#: No SQL states XXH64 fingerprints, trained models or piece ids; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``; each result is written before the next stage reads it."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), "stage")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strobila.llm.decontaminate import op9_decontamination
+from strobila.llm.embedding_dedup import op6_embedding_neardup
 from strobila.llm.langid import op4_language_id
 from strobila.llm.quality import op2_quality_classifier
 from strobila.llm.sentencepiece_fst import op3_sentencepiece
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_language_id": op4_language_id,
     "op5_simhash_neardup": op5_simhash_neardup,
+    "op6_embedding_neardup": op6_embedding_neardup,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
