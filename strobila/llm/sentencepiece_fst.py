@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from strobila.llm.store import table
 
@@ -287,7 +288,7 @@ def encode(docs: DataFrame, model_path: str | None = None, text_col: str = "text
                 flat = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], flat, pa.array(same, pa.bool_())], [*keep, "ids", "round_trip"])
 
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("ids", "array<int>").add("round_trip", "boolean")
+    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("ids", ArrayType(IntegerType())).add("round_trip", "boolean")
     return rows.mapInArrow(work, schema)
 
 
