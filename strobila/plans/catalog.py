@@ -4,7 +4,502 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from strobila.functions import scalars as fn
+from strobila.operators import merge, runs, seek, segments
+from strobila.operators.adapter import SAMPLES_SQL, TIMESCALE, event_samples, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: A day in ticks, for the fixed segments of the adapter's long tracks.
+DAY = 86_400 * TIMESCALE
+KEYS = ["file", "track_id"]
+OVER = "OVER (PARTITION BY file, track_id ORDER BY sample_index)"
+
+
+def query(name: str, sql: str | None = None, samples: bool = True) -> Callable[[Query], Query]:
+    """Registers a query with its SQL, which begins with the CTE ``s`` of the adapter's samples if ``samples``."""
+
+    def put(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = (SAMPLES_SQL if samples else "") + sql
+        return f
+
+    return put
+
+
+@query("media_scan", """
+SELECT *, CASE WHEN millis = 0 THEN 0 ELSE CAST(floor(total_size * 8000 / millis) AS BIGINT) END AS bitrate FROM (
+  SELECT file, track_id, count(*) AS sample_count, CAST(sum(size) AS BIGINT) AS total_size, CAST(sum(duration) AS BIGINT) AS total_duration,
+         CAST(floor(0.5::DOUBLE + CAST(sum(duration) AS DOUBLE) * (1000.0::DOUBLE / 1000000.0::DOUBLE)) AS BIGINT) AS millis
+  FROM s GROUP BY file, track_id)""")
+def media_scan(spark, d):
+    return segments.media_scan(event_samples(spark, d), TIMESCALE)
+
+
+@query("frame_rate", """
+SELECT file, track_id, count(*) AS sample_count, CAST(sum(duration) AS BIGINT) AS total_duration,
+       CASE WHEN sum(duration) = 0 THEN 0.0::DOUBLE ELSE count(*)::DOUBLE / (CAST(sum(duration) AS DOUBLE) / 1000000.0::DOUBLE) END AS frame_rate
+FROM s GROUP BY file, track_id""")
+def frame_rate(spark, d):
+    return segments.rates(event_samples(spark, d), TIMESCALE)
+
+
+@query("time_convert", """
+SELECT event_id, CAST(floor(0.5::DOUBLE + CAST(dts AS DOUBLE) * (90000.0::DOUBLE / 1000000.0::DOUBLE)) AS BIGINT) AS ticks_90k,
+       CAST(floor(0.5::DOUBLE + CAST(duration AS DOUBLE) * (30000.0::DOUBLE / 1000000.0::DOUBLE)) AS BIGINT) AS ticks_30k,
+       CAST(floor((CAST(duration AS HUGEINT) * 44100 * 2 + 1000000) // 2000000) AS BIGINT) AS exact_44k FROM s""")
+def time_convert(spark, d):
+    s = event_samples(spark, d)
+    one, to = F.lit(TIMESCALE), F.lit
+    return s.select("event_id", fn.convert_time(F.col("dts"), one, to(90000)).alias("ticks_90k"), fn.convert_time(F.col("duration"), one, to(30000)).alias("ticks_30k"), fn.convert_time_exact(F.col("duration"), one, to(44100)).alias("exact_44k"))
+
+
+RUNS_SQL = f""", t AS (SELECT *, CASE WHEN lag(description_index) {OVER} = description_index OR sample_index = 0 THEN 0 ELSE 1 END AS turn FROM s),
+r AS (SELECT *, sum(turn) {OVER} AS entry_index FROM t)"""
+
+
+@query("stts_rle_encode", RUNS_SQL + """
+SELECT file, track_id, CAST(entry_index AS BIGINT) AS entry_index, count(*) AS sample_count, min(description_index) AS value FROM r GROUP BY 1, 2, 3""")
+def rle_encode(spark, d):
+    return runs.encode_runs(event_samples(spark, d), "description_index")
+
+
+@query("rle_roundtrip", "SELECT file, track_id, sample_index, description_index AS value FROM s")
+def rle_roundtrip(spark, d):
+    return runs.decode_runs(runs.encode_runs(event_samples(spark, d), "description_index"))
+
+
+@query("rle_time_decode", f"""
+SELECT file, track_id, sample_index, duration, CAST(coalesce(sum(duration) OVER (PARTITION BY file, track_id ORDER BY sample_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS dts FROM s""")
+def rle_time_decode(spark, d):
+    return runs.decode_times(runs.encode_runs(event_samples(spark, d), "duration"))
+
+
+@query("dts_prefix_sum", """
+SELECT file, track_id, sample_index, CAST(coalesce(sum(duration) OVER (PARTITION BY file, track_id ORDER BY sample_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS media_time FROM s""")
+def dts_prefix_sum(spark, d):
+    return runs.sum_before(event_samples(spark, d), "duration", "media_time").select(*KEYS, "sample_index", "media_time")
+
+
+CHUNK_SQL = RUNS_SQL + f""", c AS (SELECT *, row_number() OVER (PARTITION BY file, track_id, entry_index ORDER BY sample_index) - 1 AS in_run FROM r),
+k AS (SELECT *, CAST(sum(CASE WHEN in_run % 4 = 0 THEN 1 ELSE 0 END) {OVER} AS BIGINT) AS chunk_index FROM c),
+o AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY file, track_id ORDER BY sample_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS sample_offset FROM k),
+l AS (SELECT *, min(sample_offset) OVER (PARTITION BY file, track_id, chunk_index) AS chunk_offset FROM o)"""
+
+
+def _chunks(spark, d):
+    return runs.assign_chunks(event_samples(spark, d), 4)
+
+
+@query("chunk_assign", CHUNK_SQL + "SELECT file, track_id, sample_index, chunk_index FROM l")
+def chunk_assign(spark, d):
+    return _chunks(spark, d).select(*KEYS, "sample_index", "chunk_index")
+
+
+@query("chunk_offset_layout", CHUNK_SQL + "SELECT file, track_id, sample_index, chunk_index, chunk_offset, sample_offset FROM l")
+def chunk_offset_layout(spark, d):
+    return runs.chunk_layout(_chunks(spark, d)).select(*KEYS, "sample_index", "chunk_index", "chunk_offset", F.col("offset").alias("sample_offset"))
+
+
+@query("stsc_encode", CHUNK_SQL + """
+SELECT file, track_id, chunk_index - 1 AS entry_index, chunk_index AS first_chunk, count(*) AS samples_per_chunk, min(description_index) AS description_index FROM l GROUP BY file, track_id, chunk_index""")
+def stsc_encode(spark, d):
+    return runs.encode_chunk_map(_chunks(spark, d))
+
+
+@query("stsc_range_join", CHUNK_SQL + """
+SELECT file, track_id, chunk_index, min(chunk_offset) AS chunk_offset, count(*) AS samples_per_chunk, min(description_index) AS description_index, min(sample_index) AS first_sample FROM l GROUP BY file, track_id, chunk_index""")
+def stsc_range_join(spark, d):
+    laid = runs.chunk_layout(_chunks(spark, d))
+    chunks = laid.groupBy(*KEYS, "chunk_index").agg(F.min("chunk_offset").alias("offset"))
+    return runs.expand_chunk_map(runs.encode_chunk_map(laid, merge=True), chunks).withColumnRenamed("offset", "chunk_offset")
+
+
+@query("stss_table", """
+SELECT file, track_id, sample_index + 1 AS sample_number FROM (SELECT *, bool_and(is_sync) OVER (PARTITION BY file, track_id) AS all_of, bool_or(is_sync) OVER (PARTITION BY file, track_id) AS any_of FROM s) WHERE is_sync AND any_of AND NOT all_of""")
+def stss_table(spark, d):
+    return runs.sync_table(event_samples(spark, d))
+
+
+@query("stco_choice", CHUNK_SQL + """
+SELECT file, track_id, CASE WHEN max_by(chunk_offset, chunk_index) <= 4294967295 THEN 'stco' ELSE 'co64' END AS kind, count(DISTINCT chunk_index) AS chunk_count FROM l GROUP BY file, track_id""")
+def stco_choice(spark, d):
+    return runs.offset_table(runs.chunk_layout(_chunks(spark, d)))
+
+
+@query("ctts_table", f""", n AS (SELECT *, max(CASE WHEN cts_delta <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY file, track_id) AS any_of FROM s),
+t AS (SELECT *, CASE WHEN lag(cts_delta) {OVER} = cts_delta OR sample_index = 0 THEN 0 ELSE 1 END AS turn FROM n WHERE any_of = 1),
+r AS (SELECT *, sum(turn) {OVER} AS entry_index FROM t)
+SELECT file, track_id, CAST(entry_index AS BIGINT) AS entry_index, count(*) AS sample_count, min(cts_delta) AS value FROM r GROUP BY 1, 2, 3""")
+def ctts_table(spark, d):
+    return runs.composition_table(event_samples(spark, d))
+
+
+@query("seek_asof", """, p AS (SELECT o_orderkey AS probe_id, 'f' || CAST(u % 16 AS VARCHAR) AS file, u AS track_id, probe_time FROM (
+  SELECT o_orderkey, o_custkey % (SELECT max(user_id) + 1 FROM events) AS u, (SELECT min(epoch_us(ts)) FROM events) + (o_orderkey * 7919 * 1000003) % (SELECT max(epoch_us(ts)) - min(epoch_us(ts)) + 1 FROM events) AS probe_time FROM orders))
+SELECT p.file, p.track_id, p.probe_id, p.probe_time, s.sample_index AS found_sample_index, s.dts AS found_dts
+FROM p ASOF LEFT JOIN s ON p.track_id = s.track_id AND p.probe_time >= s.dts""")
+def seek_asof(spark, d):
+    span = table(spark, d, "events").agg((F.max("user_id") + 1).alias("_u"), F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("_lo"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("_hi"))
+    orders = table(spark, d, "orders").crossJoin(F.broadcast(span))  # one row
+    probes = orders.select(F.col("o_orderkey").alias("probe_id"), (F.col("o_custkey") % F.col("_u")).alias("track_id"), (F.col("_lo") + (F.col("o_orderkey") * 7919 * 1000003) % (F.col("_hi") - F.col("_lo") + 1)).alias("dts"))
+    probes = probes.withColumn("file", F.concat(F.lit("f"), F.col("track_id") % 16))
+    return seek.seek_asof(probes, event_samples(spark, d), KEYS)
+
+
+def _near(inclusive):
+    end = "CURRENT ROW" if inclusive else "1 PRECEDING"
+    return f"""
+SELECT file, track_id, sample_index,
+  coalesce(max(CASE WHEN is_sync THEN sample_index END) OVER (PARTITION BY file, track_id ORDER BY sample_index ROWS BETWEEN UNBOUNDED PRECEDING AND {end}), 0) AS sync_before,
+  coalesce(min(CASE WHEN is_sync THEN sample_index END) OVER (PARTITION BY file, track_id ORDER BY sample_index ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), count(*) OVER (PARTITION BY file, track_id)) AS sync_after
+FROM s"""
+
+
+@query("nearest_sync_strict", _near(False))
+def nearest_sync_strict(spark, d):
+    return seek.nearest_sync(event_samples(spark, d)).select(*KEYS, "sample_index", "sync_before", "sync_after")
+
+
+@query("nearest_sync_inclusive", _near(True))
+def nearest_sync_inclusive(spark, d):
+    return seek.nearest_sync(event_samples(spark, d), inclusive=True).select(*KEYS, "sample_index", "sync_before", "sync_after")
+
+
+@query("sync_interval", """, n AS (SELECT *, count(*) OVER (PARTITION BY track_id) AS n FROM s),
+c AS (SELECT file, track_id, n, sample_index AS k FROM n WHERE is_sync AND sample_index > 0),
+g AS (SELECT c.track_id, c.k, bool_and(x.is_sync) AS good FROM c JOIN n x ON x.track_id = c.track_id AND x.sample_index % c.k = 0 GROUP BY c.track_id, c.k)
+SELECT t.file, t.track_id, coalesce(min(g.k), 0) AS interval FROM (SELECT DISTINCT file, track_id FROM s) t LEFT JOIN g ON g.track_id = t.track_id AND g.good GROUP BY t.file, t.track_id""")
+def sync_interval(spark, d):
+    return seek.sync_interval(event_samples(spark, d))
+
+
+@query("closest_sync", f""", b AS (SELECT file, track_id, min(dts) AS lo, max(dts) AS hi FROM s GROUP BY file, track_id),
+t AS (SELECT file, track_id, unnest(generate_series(0, (hi - lo) // {7 * DAY})) AS segment_index, lo FROM b),
+c AS (SELECT t.file, t.track_id, t.segment_index, lo + t.segment_index * {7 * DAY} AS target, s.sample_index, row_number() OVER (PARTITION BY t.track_id, t.segment_index ORDER BY abs(s.dts - lo - t.segment_index * {7 * DAY}), s.sample_index) AS k
+  FROM t JOIN s ON s.track_id = t.track_id AND s.is_sync)
+SELECT file, track_id, segment_index, target, sample_index FROM c WHERE k = 1""")
+def closest_sync(spark, d):
+    return seek.closest_sync(event_samples(spark, d), 7 * DAY)
+
+
+@query("interleave_merge", "SELECT file, track_id, sample_index, row_number() OVER (PARTITION BY file ORDER BY dts, track_id, sample_index) - 1 AS position FROM s")
+def interleave_merge(spark, d):
+    return merge.interleave(event_samples(spark, d)).select(*KEYS, "sample_index", "position")
+
+
+@query("interleave_last_wins", "SELECT file, track_id, sample_index, row_number() OVER (PARTITION BY file ORDER BY dts, track_id DESC, sample_index) - 1 AS position FROM s")
+def interleave_last_wins(spark, d):
+    return merge.interleave(event_samples(spark, d), last_wins=True).select(*KEYS, "sample_index", "position")
+
+
+@query("greedy_merge", """, m AS (SELECT *, max(size) OVER (PARTITION BY file, track_id ORDER BY sample_index) AS reach FROM s)
+SELECT file, track_id, sample_index, row_number() OVER (PARTITION BY file ORDER BY reach, track_id, sample_index) - 1 AS position FROM m""")
+def greedy_merge(spark, d):
+    return merge.greedy_interleave(event_samples(spark, d), "size").select(*KEYS, "sample_index", "position")
+
+
+MERGE_SQL = """, p AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY dts, track_id, sample_index) - 1 AS position FROM s)"""
+
+
+@query("track_switch_runs", MERGE_SQL + """, w AS (SELECT *, CASE WHEN track_id <> lag(track_id) OVER (PARTITION BY file ORDER BY position) THEN 1 ELSE 0 END AS turn FROM p)
+SELECT file, track_id, sample_index, position, CAST(sum(turn) OVER (PARTITION BY file ORDER BY position) AS BIGINT) AS run, CAST(sum(turn) OVER (PARTITION BY file ORDER BY position) % 2 AS INTEGER) AS switch FROM w""")
+def track_switch_runs(spark, d):
+    return merge.switch_runs(merge.interleave(event_samples(spark, d))).select(*KEYS, "sample_index", "position", "run", "switch")
+
+
+@query("buffer_peak", MERGE_SQL + """, h AS (SELECT *, size - coalesce(lag(size) OVER (PARTITION BY file, track_id ORDER BY position), 0) AS held FROM p),
+f AS (SELECT file, sum(held) OVER (PARTITION BY file ORDER BY position) AS fullness FROM h) SELECT file, CAST(max(fullness) AS BIGINT) AS peak FROM f GROUP BY file""")
+def buffer_peak(spark, d):
+    return merge.buffer_peak(merge.interleave(event_samples(spark, d)))
+
+
+@query("gop_reorder", f""", g AS (SELECT *, CAST(sum(CASE WHEN is_sync THEN 1 ELSE 0 END) {OVER} AS BIGINT) AS gop FROM s)
+SELECT file, track_id, sample_index, gop, row_number() OVER (PARTITION BY file, track_id, gop ORDER BY cts_delta, sample_index) AS display_rank,
+ row_number() OVER (PARTITION BY file, track_id, gop ORDER BY sample_index) - row_number() OVER (PARTITION BY file, track_id, gop ORDER BY cts_delta, sample_index) AS reorder FROM g""")
+def gop_reorder(spark, d):
+    return segments.display_order(event_samples(spark, d)).select(*KEYS, "sample_index", "gop", "display_rank", "reorder")
+
+
+@query("gop_max_reorder", f""", g AS (SELECT *, CAST(sum(CASE WHEN is_sync THEN 1 ELSE 0 END) {OVER} AS BIGINT) AS gop FROM s),
+x AS (SELECT file, track_id, row_number() OVER (PARTITION BY file, track_id, gop ORDER BY sample_index) - row_number() OVER (PARTITION BY file, track_id, gop ORDER BY cts_delta, sample_index) AS reorder FROM g)
+SELECT file, track_id, max(reorder) AS max_reorder FROM x GROUP BY file, track_id""")
+def gop_max_reorder(spark, d):
+    return segments.display_order(event_samples(spark, d)).groupBy(*KEYS).agg(F.max("reorder").alias("max_reorder"))
+
+
+SEG_SQL = f""", g AS (SELECT *, (dts - min(dts) OVER (PARTITION BY file, track_id)) // {DAY} AS segment_index FROM s)"""
+ROLL_SQL = SEG_SQL + """, u AS (SELECT file, track_id, segment_index, count(*) AS sample_count, CAST(sum(size) AS BIGINT) AS size, CAST(sum(duration) AS BIGINT) AS duration,
+  CASE WHEN sum(duration) = 0 THEN 0 ELSE CAST(floor(CAST(sum(size) AS HUGEINT) * 8000000 // sum(duration)) AS BIGINT) END AS bitrate FROM g GROUP BY file, track_id, segment_index)"""
+
+
+def _segments(spark, d):
+    return segments.fixed_segments(event_samples(spark, d), DAY)
+
+
+def _rolled(spark, d):
+    return segments.roll_up_segments(_segments(spark, d), TIMESCALE)
+
+
+@query("segment_fixed", SEG_SQL + "SELECT file, track_id, sample_index, segment_index FROM g")
+def segment_fixed(spark, d):
+    return _segments(spark, d).select(*KEYS, "sample_index", "segment_index")
+
+
+@query("segment_rollup", ROLL_SQL + "SELECT * FROM u")
+def segment_rollup(spark, d):
+    return _rolled(spark, d)
+
+
+@query("track_rollup_trim", ROLL_SQL + """, n AS (SELECT *, count(*) OVER (PARTITION BY file, track_id) AS n, row_number() OVER (PARTITION BY file, track_id ORDER BY segment_index) AS k FROM u)
+SELECT file, track_id, count(*) AS segment_count, CAST(sum(CASE WHEN n <= 2 OR k <= n - 2 THEN duration END) AS DOUBLE) / count(CASE WHEN n <= 2 OR k <= n - 2 THEN 1 END) AS mean_duration,
+ max(CASE WHEN n <= 1 OR k <= n - 1 THEN bitrate END) AS max_bitrate FROM n GROUP BY file, track_id""")
+def track_rollup_trim(spark, d):
+    return segments.roll_up_tracks(_rolled(spark, d))
+
+
+@query("iframe_index", SEG_SQL + """, f AS (SELECT *, row_number() OVER (PARTITION BY file, track_id, segment_index ORDER BY sample_index) AS k FROM g)
+SELECT file, track_id, segment_index, sample_index, dts FROM f WHERE k = 1 AND is_sync""")
+def iframe_index(spark, d):
+    return segments.first_sync_of_fragment(_segments(spark, d)).select(*KEYS, "segment_index", "sample_index", "dts")
+
+
+@query("iframe_index_every", SEG_SQL + """, f AS (SELECT *, row_number() OVER (PARTITION BY file, track_id, segment_index ORDER BY sample_index) AS k FROM g WHERE is_sync)
+SELECT file, track_id, segment_index, sample_index, dts FROM f WHERE k = 1""")
+def iframe_index_every(spark, d):
+    return segments.first_sync_of_fragment(_segments(spark, d), every=True).select(*KEYS, "segment_index", "sample_index", "dts")
+
+
+@query("iframe_durations", """, e AS (SELECT *, max(dts + duration) OVER (PARTITION BY file, track_id) AS fin FROM s)
+SELECT file, track_id, sample_index, dts, coalesce(lead(dts) OVER (PARTITION BY file, track_id ORDER BY sample_index), fin) - dts AS sync_duration FROM e WHERE is_sync""")
+def iframe_durations(spark, d):
+    return segments.sync_durations(event_samples(spark, d))
+
+
+@query("timeline_rle", ROLL_SQL + """, b AS (SELECT file, track_id, segment_index, sample_count AS d FROM u),
+t AS (SELECT *, CASE WHEN lag(d) OVER (PARTITION BY file, track_id ORDER BY segment_index) IS NULL OR lag(d) OVER (PARTITION BY file, track_id ORDER BY segment_index) = d THEN 0 ELSE 1 END AS turn FROM b),
+r AS (SELECT *, sum(turn) OVER (PARTITION BY file, track_id ORDER BY segment_index) AS entry_index FROM t)
+SELECT file, track_id, CAST(entry_index AS BIGINT) AS entry_index, min(d) AS d, CASE WHEN count(*) > 1 THEN count(*) - 1 END AS r FROM r GROUP BY file, track_id, entry_index""")
+def timeline_rle(spark, d):
+    return runs.timeline(_rolled(spark, d), KEYS, "segment_index", "sample_count")
+
+
+@query("target_durations", ROLL_SQL + """, l AS (SELECT file, max(CAST(duration AS DOUBLE) / 1000000.0::DOUBLE) AS longest FROM u GROUP BY file)
+SELECT file, CAST(floor(longest + 0.5::DOUBLE) AS BIGINT) AS rounded, CAST(ceil(longest) AS BIGINT) AS ceiling FROM l""")
+def target_durations(spark, d):
+    longest = _rolled(spark, d).groupBy("file").agg(F.max(F.col("duration").cast("double") / F.lit(float(TIMESCALE))).alias("longest"))
+    return longest.select("file", fn.target_duration_rounded(F.col("longest")).alias("rounded"), fn.target_duration_ceiling(F.col("longest")).alias("ceiling"))
+
+
+@query("alike_flags", SEG_SQL + """, f AS (SELECT *, sample_index = min(sample_index) OVER (PARTITION BY file, track_id, segment_index) AS is_first FROM g)
+SELECT file, track_id, segment_index, min(duration) = max(duration) AS same_duration, min(size) = max(size) AS same_size, bool_and(is_sync) AS all_sync, bool_and(is_sync = is_first) AS only_first_sync FROM f GROUP BY file, track_id, segment_index""")
+def alike_flags(spark, d):
+    return segments.alike_flags(_segments(spark, d), [*KEYS, "segment_index"])
+
+
+@query("max_per_set", """SELECT p_brand AS set_brand, p_type AS set_type, max(p_size) AS max_size, max(p_retailprice) AS max_price, count(*) AS members FROM part GROUP BY p_brand, p_type""", samples=False)
+def max_per_set(spark, d):
+    return table(spark, d, "part").groupBy(F.col("p_brand").alias("set_brand"), F.col("p_type").alias("set_type")).agg(F.max("p_size").alias("max_size"), F.max("p_retailprice").alias("max_price"), F.count("*").alias("members"))
+
+
+@query("adaptation_sets", """SELECT p_type AS set_type, p_brand AS set_brand, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS members FROM part GROUP BY p_type, p_brand""", samples=False)
+def adaptation_sets(spark, d):
+    members = F.concat_ws(",", F.transform(F.array_sort(F.collect_list("p_partkey")), lambda k: k.cast("string")))
+    return table(spark, d, "part").groupBy(F.col("p_type").alias("set_type"), F.col("p_brand").alias("set_brand")).agg(members.alias("members"))
+
+
+@query("set_prefix_simplify", """SELECT o_custkey, o_orderstatus, o_orderpriority, CASE WHEN count(*) OVER (PARTITION BY o_custkey, o_orderstatus) = 1 THEN CAST(o_custkey AS VARCHAR) || '/' || o_orderstatus
+ ELSE CAST(o_custkey AS VARCHAR) || '/' || o_orderstatus || '/' || o_orderpriority END AS name FROM (SELECT DISTINCT o_custkey, o_orderstatus, o_orderpriority FROM orders)""", samples=False)
+def set_prefix_simplify(spark, d):
+    sets = table(spark, d, "orders").select("o_custkey", "o_orderstatus", "o_orderpriority").distinct()
+    return segments.simplify_sets(sets, ["o_custkey", "o_orderstatus", "o_orderpriority"])
+
+
+@query("unique_names", """SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN k = 1 THEN o_orderstatus ELSE o_orderstatus || '-' || CAST(k AS VARCHAR) END AS unique_name FROM (
+ SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS k FROM orders)""", samples=False)
+def unique_names(spark, d):
+    return segments.unique_names(table(spark, d, "orders"), ["o_custkey"], "o_orderstatus", ["o_orderkey"]).select("o_orderkey", "o_custkey", "o_orderstatus", "unique_name")
+
+
+@query("group_rates", ROLL_SQL + """, a AS (SELECT file, track_id, avg(bitrate) AS mean_rate, max(bitrate) AS peak_rate FROM u GROUP BY file, track_id)
+SELECT file, CAST(max(floor(mean_rate)) AS BIGINT) AS mean_rate, max(peak_rate) AS peak_rate, (SELECT string_agg(DISTINCT kind, ',' ORDER BY kind) FROM s WHERE s.file = a.file) AS codecs FROM a GROUP BY file""")
+def group_rates(spark, d):
+    rates = _rolled(spark, d).groupBy(*KEYS).agg(F.avg("bitrate").alias("mean_rate"), F.max("bitrate").alias("peak_rate"))
+    codecs = event_samples(spark, d).groupBy("file").agg(F.concat_ws(",", F.array_sort(F.collect_set("kind"))).alias("codecs"))
+    return rates.groupBy("file").agg(F.max(F.floor("mean_rate")).cast("long").alias("mean_rate"), F.max("peak_rate").alias("peak_rate")).join(codecs, "file")
+
+
+@query("defaults_cascade", """SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, coalesce(CASE WHEN l_quantity > 25 THEN CAST(l_quantity AS BIGINT) END, CASE WHEN o_orderstatus = 'O' THEN CAST(floor(o_totalprice) AS BIGINT) END, CASE WHEN c_acctbal > 0 THEN CAST(floor(c_acctbal) AS BIGINT) END, 0) AS size
+FROM lineitem l LEFT JOIN orders o ON l_orderkey = o_orderkey LEFT JOIN customer c ON o_custkey = c_custkey""", samples=False)
+def defaults_cascade(spark, d):
+    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    size = merge.cascade(F.when(F.col("l_quantity") > 25, F.col("l_quantity").cast("long")), F.when(F.col("o_orderstatus") == "O", F.floor("o_totalprice").cast("long")), F.when(F.col("c_acctbal") > 0, F.floor("c_acctbal").cast("long")), 0)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", size.cast("long").alias("size"))
+
+
+@query("dts_continuation", f""", a AS (SELECT *, CASE WHEN event_id % 10 = 0 THEN dts END AS base FROM s),
+b AS (SELECT *, count(base) {OVER} AS era FROM a)
+SELECT file, track_id, sample_index, CAST(coalesce(max(base) OVER (PARTITION BY file, track_id, era), 0) + coalesce(sum(duration) OVER (PARTITION BY file, track_id, era ORDER BY sample_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS decode_time FROM b""")
+def dts_continuation(spark, d):
+    from strobila.operators.fragments import continue_times
+
+    rows = event_samples(spark, d).withColumn("base_dts", F.when(F.col("event_id") % 10 == 0, F.col("dts")))
+    return continue_times(rows).select(*KEYS, "sample_index", "decode_time")
+
+
+@query("index_anti_join", "SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 40)", samples=False)
+def index_anti_join(spark, d):
+    target = table(spark, d, "lineitem").filter("l_quantity > 40").select(F.col("l_orderkey").alias("o_orderkey"))
+    return merge.dangling(table(spark, d, "orders").select("o_orderkey", "o_custkey"), target, ["o_orderkey"])
+
+
+@query("sync_semi_join", "SELECT e.event_id, e.user_id FROM events e WHERE EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'error' AND x.value > 50)", samples=False)
+def sync_semi_join(spark, d):
+    ev = table(spark, d, "events")
+    return ev.select("event_id", "user_id").join(ev.filter("event_type = 'error' and value > 50").select("user_id").distinct(), "user_id", "left_semi").select("event_id", "user_id")
+
+
+DIFF_SQL = """, a AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY track_id, sample_index) - 1 AS place FROM s WHERE event_id % 2 = 0),
+b AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY track_id, sample_index) - 1 AS place FROM s WHERE event_id % 3 = 0)
+SELECT coalesce(a.file, b.file) AS file, coalesce(a.place, b.place) AS place, CASE WHEN b.place IS NULL THEN 'left_only' WHEN a.place IS NULL THEN 'right_only' ELSE 'differs' END AS status,
+ a.kind AS l_kind, b.kind AS r_kind, a.description_index AS l_description_index, b.description_index AS r_description_index
+FROM a {join} JOIN b ON a.file = b.file AND a.place = b.place WHERE a.place IS NULL OR b.place IS NULL OR a.kind <> b.kind OR a.description_index <> b.description_index"""
+
+
+def _diff(spark, d, full):
+    s = event_samples(spark, d)
+    return merge.positional_diff(s.filter("event_id % 2 = 0"), s.filter("event_id % 3 = 0"), ["file"], ["track_id", "sample_index"], ["kind", "description_index"], full)
+
+
+@query("positional_diff", DIFF_SQL.format(join="INNER"))
+def positional_diff(spark, d):
+    return _diff(spark, d, False)
+
+
+@query("compare_tracks", DIFF_SQL.format(join="FULL"))
+def compare_tracks(spark, d):
+    return _diff(spark, d, True)
+
+
+@query("edit_renumber", """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS ordinal FROM lineitem WHERE l_returnflag <> 'R'""", samples=False)
+def edit_renumber(spark, d):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = table(spark, d, "lineitem").filter("l_returnflag <> 'R'")
+    return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", (F.row_number().over(w) - 1).cast("long").alias("ordinal"))
+
+
+PATH_SQL = """WITH c AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS ci FROM customer),
+o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS oi FROM orders)
+SELECT n_name || '/customer[' || CAST(ci AS VARCHAR) || ']/order[' || CAST(oi AS VARCHAR) || ']' AS path, o_orderkey FROM nation JOIN c ON n_nationkey = c_nationkey JOIN o ON c_custkey = o_custkey WHERE oi = 1"""
+
+
+@query("path_query", PATH_SQL, samples=False)
+def path_query(spark, d):
+    c = table(spark, d, "customer").withColumn("ci", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1)
+    o = table(spark, d, "orders").withColumn("oi", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")) - 1)
+    rows = table(spark, d, "nation").join(c, F.col("n_nationkey") == F.col("c_nationkey")).join(o, F.col("c_custkey") == F.col("o_custkey"))
+    return rows.filter("oi = 1").select(F.format_string("%s/customer[%d]/order[%d]", "n_name", "ci", "oi").alias("path"), "o_orderkey")
+
+
+@query("meta_json_fields", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events", samples=False)
+def meta_json_fields(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("compact_width", "SELECT file, track_id, CASE WHEN max(size) < 256 THEN 8 WHEN max(size) < 65536 THEN 16 ELSE 32 END AS field_width, CAST(count(*) * 4 - ceil(count(*) * CASE WHEN max(size) < 256 THEN 8 WHEN max(size) < 65536 THEN 16 ELSE 32 END / 8.0) AS BIGINT) AS saved FROM s GROUP BY file, track_id")
+def compact_width(spark, d):
+    g = event_samples(spark, d).groupBy(*KEYS).agg(fn.field_width(F.max("size")).alias("field_width"), F.count("*").alias("n"))
+    return g.select(*KEYS, "field_width", (F.col("n") * 4 - F.ceil(F.col("n") * F.col("field_width") / 8)).cast("long").alias("saved"))
+
+
+@query("distinct_first", f"SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type", samples=False)
+def distinct_first(spark, d):
+    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+
+
+@query("hash_digest", "SELECT doc_id, sha256(text) AS digest, strlen(text) AS n_bytes FROM documents", samples=False)
+def hash_digest(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))
+
+
+@query("key_lookup", "SELECT l_orderkey, l_linenumber, l_partkey, n_name AS key_name, s_acctbal AS key_value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_quantity = 1", samples=False)
+def key_lookup(spark, d):
+    keys = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = table(spark, d, "lineitem").filter("l_quantity = 1").join(keys, F.col("l_suppkey") == F.col("s_suppkey"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.col("n_name").alias("key_name"), F.col("s_acctbal").alias("key_value"))
+
+
+@query("union_tracks", "SELECT c_custkey AS id, c_name AS name, 'customer' AS kind FROM customer UNION ALL SELECT s_suppkey, s_name, 'supplier' FROM supplier", samples=False)
+def union_tracks(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("customer").alias("kind"))
+    return c.unionByName(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("supplier").alias("kind")))
+
+
+@query("variant_groups", """SELECT p_partkey AS track, r_name AS "group" FROM part, region WHERE p_size % 6 = 0 OR (p_size % 6 = r_regionkey + 1)""", samples=False)
+def variant_groups(spark, d):
+    regions = table(spark, d, "region").select(F.col("r_name").alias("group"), "r_regionkey")
+    names = regions.select(F.array_sort(F.collect_list(F.struct((F.col("r_regionkey") + 1).alias("k"), "group"))).alias("names"))
+    tracks = table(spark, d, "part").crossJoin(F.broadcast(names))  # one row
+    pattern = F.when(F.col("p_size") % 6 == 0, F.array(F.lit("*"))).otherwise(F.transform(F.filter("names", lambda x: x["k"] == F.col("p_size") % 6), lambda x: x["group"]))
+    return merge.matches(regions.select("group"), tracks.select(F.col("p_partkey").alias("track"), pattern.alias("match")))
+
+
+@query("index_override", ROLL_SQL + """, m AS (SELECT file, track_id, segment_index, segment_index * 100 + 7 AS moof_offset, duration FROM u),
+e AS (SELECT file, track_id, segment_index AS entry_index, segment_index * 1000 AS time, moof_offset FROM m WHERE segment_index % 5 <> 3),
+st AS (SELECT file, track_id, moof_offset, lead(moof_offset) OVER (PARTITION BY file, track_id ORDER BY entry_index) AS nxt, lead(time) OVER (PARTITION BY file, track_id ORDER BY entry_index) - time AS gap FROM e),
+ow AS (SELECT *, lead(moof_offset) OVER (PARTITION BY file, track_id ORDER BY segment_index) AS aft FROM m)
+SELECT ow.file, ow.track_id, ow.segment_index, ow.moof_offset, CASE WHEN st.nxt = ow.aft THEN st.gap ELSE ow.duration END AS duration FROM ow LEFT JOIN st ON st.track_id = ow.track_id AND st.moof_offset = ow.moof_offset AND st.nxt IS NOT NULL""")
+def index_override(spark, d):
+    m = _rolled(spark, d).select(*KEYS, "segment_index", (F.col("segment_index") * 100 + 7).alias("moof_offset"), "duration")
+    e = m.filter("segment_index % 5 <> 3").select(*KEYS, F.col("segment_index").alias("entry_index"), (F.col("segment_index") * 1000).alias("time"), "moof_offset")
+    return segments.override_durations(m, e).select(*KEYS, "segment_index", "moof_offset", "duration")
+
+
+@query("language_codes", """SELECT p_partkey, CASE WHEN v = 32767 THEN 'und' WHEN (v >> 10) & 31 = 0 OR (v >> 5) & 31 = 0 OR v & 31 = 0 THEN '```' ELSE chr(CAST(((v >> 10) & 31) + 96 AS INTEGER)) || chr(CAST(((v >> 5) & 31) + 96 AS INTEGER)) || chr(CAST((v & 31) + 96 AS INTEGER)) END AS code
+FROM (SELECT p_partkey, (p_partkey * 131) % 27000 AS v FROM part)""", samples=False)
+def language_codes(spark, d):
+    packed = ((F.col("p_partkey") * 131) % 27000).cast("int")
+    return table(spark, d, "part").select("p_partkey", fn.language_code(packed).alias("code"))
+
+
+@query("fourcc_codes", "SELECT p_partkey, upper(substr(md5(CAST(p_partkey AS VARCHAR)), 1, 4)) AS fourcc, ((ascii(substr(c, 1, 1)) * 256 + ascii(substr(c, 2, 1))) * 256 + ascii(substr(c, 3, 1))) * 256::BIGINT + ascii(substr(c, 4, 1)) AS code FROM (SELECT p_partkey, upper(substr(md5(CAST(p_partkey AS VARCHAR)), 1, 4)) AS c FROM part)", samples=False)
+def fourcc_codes(spark, d):
+    code = fn.fourcc_code(F.upper(F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 4)))
+    return table(spark, d, "part").select("p_partkey", code.alias("code")).select("p_partkey", fn.fourcc_text(F.col("code")).alias("fourcc"), "code")
+
+
+@query("track_filter", "SELECT c_custkey, c_nationkey, c_name FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS k FROM customer) WHERE k = 2 AND c_mktsegment = 'BUILDING'", samples=False)
+def track_filter(spark, d):
+    k = F.row_number().over(Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("c_custkey"))
+    return table(spark, d, "customer").withColumn("k", k).filter("k = 2 and c_mktsegment = 'BUILDING'").select("c_custkey", "c_nationkey", "c_name")
+
+
+@query("threshold_segments")
+def threshold_segments(spark, d):
+    rows = event_samples(spark, d).select(*KEYS, "sample_index", "dts", "is_sync")
+    return segments.threshold_segments(rows, DAY)
+
+
+@query("bandwidth")
+def bandwidth(spark, d):
+    rows = _rolled(spark, d).select(*KEYS, "segment_index", (F.col("size") * 8).cast("double").alias("bits"), (F.col("duration") / TIMESCALE).alias("seconds"))
+    return segments.bandwidth(rows, 3600.0)
+
+
+@query("similar_rates")
+def similar_rates(spark, d):
+    rates = segments.media_scan(event_samples(spark, d), TIMESCALE).select("file", F.col("track_id").alias("ordinal"), F.col("bitrate").cast("double").alias("bandwidth"))
+    return segments.drop_similar_rates(rates, ["file"])
+
+
+@query("fragment_plan")
+def fragment_plan(spark, d):
+    s = event_samples(spark, d)
+    anchor = s.groupBy("file").agg(F.min("track_id").alias("track_id"))
+    return segments.plan_fragments(s, 7 * 86_400, TIMESCALE, anchor)
