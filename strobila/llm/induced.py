@@ -111,6 +111,33 @@ def types(text: np.ndarray) -> np.ndarray:
     return up
 
 
+class _Words:
+    """Four symbols of a text at every position as one word, for comparing suffixes."""
+
+    def __init__(self, text: np.ndarray):
+        n = len(text)
+        padded = np.zeros(n + 8, np.uint64)
+        padded[:n] = text
+        padded[:n] += np.uint64(1)  # 0 is beyond the end
+        self.n, k = n, n + 4
+        self.words = padded[:k] << np.uint64(48) | padded[1 : k + 1] << np.uint64(32) | padded[2 : k + 2] << np.uint64(16) | padded[3 : k + 3]
+
+    def shared(self, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+        out = np.zeros(len(a), np.int32)
+        live = np.arange(len(a))
+        for at in range(0, depth, 4):
+            x = self.words[np.minimum(a[live] + at, self.n)] ^ self.words[np.minimum(b[live] + at, self.n)]
+            other = x != 0
+            if other.any():
+                y = x[other]
+                out[live[other]] = at + (y < 1 << 48).astype(np.int32) + (y < 1 << 32) + (y < 1 << 16)
+                live = live[~other]
+                if not len(live):
+                    break
+        out[live] = depth
+        return np.minimum(out, depth)
+
+
 def _shared(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
     """Lengths of the prefixes that the suffixes at ``a`` and ``b`` share, up to ``depth``."""
     out = np.zeros(len(a), np.int32)
@@ -179,11 +206,15 @@ class SuffixSorter:
         if not n:
             return
         symbols, text = self._dense(text)
+        self._words = _Words(text) if symbols < 1 << 16 else None
         up = types(text)
         star = np.flatnonzero(up[1:] & ~up[:-1]) + 1
         stars, star_shared = self._sort_stars(text, up, star)
         yield from self._induce(text, up, symbols, stars, star_shared)
 
+    def _compare(self, text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self._words.shared(a, b, self.depth) if self._words is not None else _shared(text, a, b, self.depth)
+
     @staticmethod
     def _dense(text: np.ndarray) -> tuple[int, np.ndarray]:
         if text.dtype == np.uint16:
@@ -215,7 +246,7 @@ class SuffixSorter:
         if len(stars) > 1:
             for at in range(1, len(stars), _WAVE):
                 to = min(len(stars), at + _WAVE)
-                shared[at:to] = _shared(text, stars[at - 1 : to - 1], stars[at:to], self.depth)
+                shared[at:to] = self._compare(text, stars[at - 1 : to - 1], stars[at:to])
         return stars, shared
 
     @staticmethod
@@ -316,7 +347,7 @@ class SuffixSorter:
             a, b = star_at[c], star_at[c + 1]
             if a < b:
                 shared = star_shared[a:b].copy()
-                shared[0] = _shared(text, np.array([end_of_lower]), stars[a : a + 1], depth)[0] if end_of_lower is not None else 0
+                shared[0] = self._compare(text, np.array([end_of_lower]), stars[a : a + 1])[0] if end_of_lower is not None else 0
                 scan(stars[a:b], shared, down, lower)
         lower.close()
 
@@ -336,7 +367,7 @@ class SuffixSorter:
                 position, own = wave[0][::-1], wave[1][::-1]
                 shared = np.r_[np.int32(0), own[:-1]].astype(np.int32)
                 if end_of_upper is not None:
-                    shared[0] = _shared(text, np.array([end_of_upper]), position[:1], depth)[0]
+                    shared[0] = self._compare(text, np.array([end_of_upper]), position[:1])[0]
                 yield position, shared
                 scan(position, shared, rising, upper)
         upper.close()

@@ -3,11 +3,13 @@
 Every window of ``length`` bytes is dealt by its minimizer, the smallest hashed k-gram in it, which equal windows share.
 A run of windows with one minimizer is a piece of text, and all windows of a value of the minimizer come to one shard.
 
-1. Minimizers are counted. Those that occur twice or more go into a bit filter of bounded size; if there are more of them
-   than it holds well, the work is done in several passes over ranges of the minimizer.
-2. Pieces whose minimizer passes the filter go to its shard, equal pieces of a task once. Every shard sorts the suffixes
-   of its pieces by external induced sorting (``induced``), a few megabytes at a time, and keeps the windows that share
-   ``length`` bytes with a neighbour, or whose whole piece occurs more than once.
+1. Minimizers are counted, with the least and the greatest hash of their pieces. Those that occur twice or more go into
+   bit filters of bounded size; if there are more of them than a filter holds well, the work is done in several passes
+   over ranges of the minimizer.
+2. Pieces whose minimizer has different pieces go to its shard, equal pieces of a task once. Every shard sorts the
+   suffixes of its pieces by external induced sorting (``induced``), a few megabytes at a time, and keeps the windows
+   that share ``length`` bytes with a neighbour, or whose whole piece occurs more than once. Where all pieces of a
+   minimizer are one, its suffixes have only their own copies beside them, so there is nothing to sort.
 3. The places of all pieces are joined with what the shards kept, gathered for each text, and cut out.
 
 Strings are judged on the input, matches never cross texts, and a null text is empty.
@@ -118,8 +120,13 @@ def _slices(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndar
 def _count(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for data, ends, _, _ in _slices(b.column(0), length):
-            m, n = np.unique(runs(data, ends, length)[2], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(n)], ["m", "n"])
+            _, _, m, content = runs(data, ends, length)
+            m, content = m.view(np.int64), content.view(np.int64)
+            order = np.lexsort((content, m))
+            m, content = m[order], content[order]
+            first = np.flatnonzero(np.r_[True, m[1:] != m[:-1]]) if len(m) else np.zeros(0, np.int64)
+            last = np.r_[first[1:], len(m)] - 1 if len(m) else first
+            yield pa.RecordBatch.from_arrays([pa.array(m[first]), pa.array(last - first + 1), pa.array(content[first]), pa.array(content[last])], ["m", "n", "lo", "hi"])
 
 
 class Filter:
@@ -160,14 +167,14 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int, keep: Filter) -> Ite
 def _places(batches: Iterator[pa.RecordBatch], length: int, keep: Filter) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for data, ends, rows, skipped in _slices(b.column(0), length):
-            start, _, m, content = runs(data, ends, length)
+            start, windows, m, content = runs(data, ends, length)
             ok = np.flatnonzero(keep(m))
             if not len(ok):
                 continue
             own = np.searchsorted(ends, start[ok], "right")
             at = start[ok] - np.r_[0, ends[:-1]][own] + skipped[own]
             take = pa.array(rows[own])
-            yield pa.RecordBatch.from_arrays([b.column(1).take(take), b.column(2).take(take), pa.array(m[ok].view(np.int64)), pa.array(content[ok].view(np.int64)), pa.array(at)], ["doc_id", "mark", "m", "content", "at"])
+            yield pa.RecordBatch.from_arrays([b.column(1).take(take), b.column(2).take(take), pa.array(m[ok].view(np.int64)), pa.array(content[ok].view(np.int64)), pa.array(at), pa.array(windows[ok])], ["doc_id", "mark", "m", "content", "at", "windows"])
 
 
 def _sorted_shard(batches: Iterator[pa.RecordBatch], length: int, sort_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -199,38 +206,35 @@ def _sorted_shard(batches: Iterator[pa.RecordBatch], length: int, sort_bytes: in
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["m", "content", "first", "last"])
 
     for b in batches:
-        for m, content, windows, more, piece in zip(*(b.column(k).to_pylist() for k in range(5))):
-            if keys and keys[-1][0] == m and keys[-1][1] == content:
-                keys[-1][3] += 1
-                if piece is not None and not texts[-1]:
-                    size += len(piece)
-                    texts[-1] = piece
-                continue
-            if keys and keys[-1][0] != m and size >= sort_bytes:
+        if not b.num_rows:
+            continue
+        m, content, windows = (b.column(k).to_numpy() for k in range(3))
+        turn = np.r_[not keys or keys[-1][0] != m[0] or keys[-1][1] != content[0], (m[1:] != m[:-1]) | (content[1:] != content[:-1])]
+        heads = np.flatnonzero(turn)
+        if not turn[0]:
+            keys[-1][3] += int(heads[0]) if len(heads) else len(m)
+        column = b.column(4)
+        for s, e in zip(heads.tolist(), [*heads[1:].tolist(), len(m)]):
+            if keys and keys[-1][0] != m[s] and size >= sort_bytes:
                 yield work()
                 keys, texts, size = [], [], 0
-            keys.append([m, content, windows, 1])
-            texts.append(piece or b"")
+            keys.append([int(m[s]), int(content[s]), int(windows[s]), e - s])
+            texts.append(column[s].as_py())  # rows of one piece begin with its text
             size += len(texts[-1])
     if keys:
         yield work()
 
 
-def _filters(counts: DataFrame) -> Iterator[Filter]:
-    """Bit filters of at most 2**28 bits each over the minimizers that occur twice or more."""
-    total = counts.count()
-    bits = int(min(_MOST_BITS, max(16, np.ceil(np.log2(8 * total + 1)))))
-    passes = max(1, -(-total // ((1 << bits) // 8)))
-    for which in range(passes):
-        at = F.shiftrightunsigned("m", 64 - bits)
-        # pmod on the unsigned value: (high * 2**32 + low) mod passes
-        high, low = F.shiftrightunsigned("m", 32), F.col("m").bitwiseAND(F.lit(0xFFFFFFFF))
-        own = (high % passes * ((1 << 32) % passes) + low % passes) % passes == which
-        words = counts.filter(own).select(at.alias("q")).select(F.shiftrightunsigned("q", 6).alias("w"), F.expr("shiftleft(1L, cast(q & 63 as int))").alias("bit"))
-        found = words.groupBy("w").agg(F.expr("bit_or(bit)").alias("bits")).toArrow()
-        table_ = np.zeros((1 << bits) // 64 + 1, np.uint64)
-        table_[found.column("w").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-        yield Filter(bits, table_, passes, which)
+def _filter(counts: DataFrame, bits: int, passes: int, which: int) -> Filter:
+    """A bit filter of the minimizers m with m mod passes = which."""
+    # On the unsigned value: (high * 2**32 + low) mod passes.
+    high, low = F.shiftrightunsigned("m", 32), F.col("m").bitwiseAND(F.lit(0xFFFFFFFF))
+    own = (high % passes * ((1 << 32) % passes) + low % passes) % passes == which
+    words = counts.filter(own).select(F.shiftrightunsigned("m", 64 - bits).alias("q")).select(F.shiftrightunsigned("q", 6).alias("w"), F.expr("shiftleft(1L, cast(q & 63 as int))").alias("bit"))
+    found = words.groupBy("w").agg(F.expr("bit_or(bit)").alias("bits")).toArrow()
+    table_ = np.zeros((1 << bits) // 64 + 1, np.uint64)
+    table_[found.column("w").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return Filter(bits, table_, passes, which)
 
 
 def repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", sort_bytes: int = _SORT_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -245,15 +249,25 @@ def repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     rows = docs.withColumns({"_key": key, "_mark": F.xxhash64(F.col(text_col))})
     texts = rows.select(F.col(text_col).cast("binary").alias("text"), "_key", "_mark")
-    counts = cut(texts.select("text").mapInArrow(lambda it: _count(it, length), "m long, n long").groupBy("m").agg(F.sum("n").alias("n")).filter("n > 1").select("m"), "minimizers")
+    own = texts.select("text").mapInArrow(lambda it: _count(it, length), "m long, n long, lo long, hi long")
+    own = own.groupBy("m").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    counts = cut(own.filter("n > 1"), "minimizers")
+    total = counts.count()
+    bits = int(min(_MOST_BITS, max(16, np.ceil(np.log2(8 * total + 1)))))
+    passes = max(1, -(-total // ((1 << bits) // 8)))
+    whole = counts.filter("lo = hi").select("m", F.col("lo").alias("content"), F.lit(None).cast("array<long>").alias("first"), F.lit(None).cast("array<long>").alias("last"))
     found = None
-    for keep in _filters(counts):
-        shared = spark.sparkContext.broadcast(keep)  # at most 32 MiB
-        pieces = texts.select("text").mapInArrow(lambda it, s=shared: _pieces(it, length, s.value), "m long, content long, windows long, more long, piece binary")
+    for which in range(passes):
+        every = spark.sparkContext.broadcast(_filter(counts, bits, passes, which))  # at most 32 MiB
+        mixed = spark.sparkContext.broadcast(_filter(counts.filter("lo < hi"), bits, passes, which))
+        pieces = texts.select("text").mapInArrow(lambda it, s=mixed: _pieces(it, length, s.value), "m long, content long, windows long, more long, piece binary")
         dealt = pieces.repartition("m").sortWithinPartitions("m", "content", "more")
         kept = cut(dealt.mapInArrow(lambda it: _sorted_shard(it, length, sort_bytes), "m long, content long, first array<long>, last array<long>"), "repeated")
-        places = texts.mapInArrow(lambda it, s=shared: _places(it, length, s.value), "doc_id long, mark long, m long, content long, at long")
-        own = places.join(kept, ["m", "content"]).select("doc_id", "mark", F.transform("first", lambda x: x + F.col("at")).alias("first"), F.transform("last", lambda x: x + F.col("at")).alias("last"))
+        places = texts.mapInArrow(lambda it, s=every: _places(it, length, s.value), "doc_id long, mark long, m long, content long, at long, windows long")
+        first, last = F.coalesce("first", F.array(F.lit(0).cast("long"))), F.coalesce("last", F.array("windows"))
+        # The filters let some other minimizers pass: their pieces repeat the same windows twice, or none at all.
+        own = places.join(kept.unionByName(whole), ["m", "content"])
+        own = own.select("doc_id", "mark", F.transform(first, lambda x: x + F.col("at")).alias("first"), F.transform(last, lambda x: x + F.col("at")).alias("last"))
         found = own if found is None else found.unionByName(own)
     if found is None:
         found = spark.createDataFrame([], "doc_id long, mark long, first array<long>, last array<long>")
