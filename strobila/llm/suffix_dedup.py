@@ -32,7 +32,7 @@ _GRAM = 32
 _POS = 20
 _SLICE = (1 << _POS) - 1
 #: Bytes of pieces whose suffixes are sorted together, at the end of a minimizer's group.
-_SORT_BYTES = 2 << 20
+_SORT_BYTES = 1 << 20
 _SEEN = 1_000_000
 _MOST_BITS = 28
 
@@ -47,7 +47,7 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
 
 def runs(data: np.ndarray, owner_ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Of texts laid end to end, ending at ``owner_ends``: first window, windows, minimizer and content hash of each run."""
-    empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), *(np.zeros(0, np.uint64) for _ in range(4)))
     n = len(data) - length + 1
     if n <= 0:
         return empty
@@ -84,7 +84,15 @@ def runs(data: np.ndarray, owner_ends: np.ndarray, length: int) -> tuple[np.ndar
     a = s1[end] - s1[start]
     b = s2[end] - s2[start] - a * start.astype(np.uint64)
     content = _mix(a ^ _mix(b, 13), 17) + windows.astype(np.uint64)
-    return start, windows, order[place[start]], content
+    # The half of a window's other bytes before the minimizer, and after it: every window holds one of the two.
+    half, gram_at = (length - _GRAM) // 2, place[start]
+    sides = []
+    for low_at, fits in ((gram_at - half, gram_at - half >= start), (gram_at, gram_at + half <= end - 1)):
+        x = np.where(fits, low_at, 0)
+        a = s1[x + half + 1] - s1[x]
+        b = s2[x + half + 1] - s2[x] - a * x.astype(np.uint64)
+        sides.append(np.where(fits, _mix(a ^ _mix(b, 19), 23) | np.uint64(1), np.uint64(0)))
+    return start, windows, order[gram_at], content, *sides
 
 
 def _slices(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -120,7 +128,7 @@ def _slices(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndar
 def _count(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for data, ends, _, _ in _slices(b.column(0), length):
-            _, _, m, content = runs(data, ends, length)
+            _, _, m, content, _, _ = runs(data, ends, length)
             m, content = m.view(np.int64), content.view(np.int64)
             order = np.lexsort((content, m))
             m, content = m[order], content[order]
@@ -142,12 +150,12 @@ class Filter:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], length: int, keep: Filter) -> Iterator[pa.RecordBatch]:
-    """(m, content, windows, more, piece): an equal piece of this task once, and once more, without text, as a mark."""
+    """(m, content, windows, more, left, right, piece): an equal piece of this task once, and once more, without text, as a mark."""
     seen: dict[tuple[int, int], int] = {}
-    names = ["m", "content", "windows", "more", "piece"]
+    names = ["m", "content", "windows", "more", "left", "right", "piece"]
     for b in batches:
         for data, ends, _, _ in _slices(b.column(0), length):
-            start, windows, m, content = runs(data, ends, length)
+            start, windows, m, content, left, right = runs(data, ends, length)
             ok = np.flatnonzero(keep(m))
             out = []
             for k in ok:
@@ -161,13 +169,13 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int, keep: Filter) -> Ite
                 seen.clear()
             if out:
                 k = np.array([x[0] for x in out])
-                yield pa.RecordBatch.from_arrays([pa.array(m[k].view(np.int64)), pa.array(content[k].view(np.int64)), pa.array(windows[k]), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(m[k].view(np.int64)), pa.array(content[k].view(np.int64)), pa.array(windows[k]), pa.array([x[1] for x in out], pa.int64()), pa.array(left[k].view(np.int64)), pa.array(right[k].view(np.int64)), pa.array([x[2] for x in out], pa.binary())], names)
 
 
 def _places(batches: Iterator[pa.RecordBatch], length: int, keep: Filter) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for data, ends, rows, skipped in _slices(b.column(0), length):
-            start, windows, m, content = runs(data, ends, length)
+            start, windows, m, content, _, _ = runs(data, ends, length)
             ok = np.flatnonzero(keep(m))
             if not len(ok):
                 continue
@@ -179,28 +187,40 @@ def _places(batches: Iterator[pa.RecordBatch], length: int, keep: Filter) -> Ite
 
 def _sorted_shard(batches: Iterator[pa.RecordBatch], length: int, sort_bytes: int) -> Iterator[pa.RecordBatch]:
     """Pieces in order of (m, content) to the repeated windows of each, as runs of starts in the piece."""
-    keys: list[list[int]] = []  # m, content, windows, occurrences
+    keys: list[list[int]] = []  # m, content, windows, hashes of the two sides, occurrences
     texts: list[bytes] = []
     size = 0
 
+    def met(m: np.ndarray, side: np.ndarray) -> np.ndarray:
+        """Where another piece of the minimizer has the same side."""
+        order = np.lexsort((side, m))
+        same = (m[order][1:] == m[order][:-1]) & (side[order][1:] == side[order][:-1]) & (side[order][1:] != 0)
+        out = np.zeros(len(m), bool)
+        out[order] = np.r_[False, same] | np.r_[same, False]
+        return out
+
     def work() -> pa.RecordBatch:
-        whole = np.zeros(size + len(texts), np.uint16)
-        at, begins = 0, []
-        for t in texts:
+        table_ = np.array(keys, np.int64)
+        # A window that another piece holds too brings one of its sides along, so a piece that shares neither has none.
+        live = np.flatnonzero(met(table_[:, 0], table_[:, 3]) | met(table_[:, 0], table_[:, 4]))
+        whole = np.zeros(sum(len(texts[k]) + 1 for k in live), np.uint16)
+        at, begins = 0, {}
+        for k in live.tolist():
+            t = texts[k]
             whole[at : at + len(t)] = np.frombuffer(t, np.uint8)
             whole[at : at + len(t)] += 1  # 0 ends a piece
-            begins.append(at)
+            begins[k] = at
             at += len(t) + 1
         again = repeated(whole, length)
         out = []
-        for (m, content, windows, times), s in zip(keys, begins):
+        for k, (m, content, windows, _, _, times) in enumerate(keys):
             if times > 1:
                 out.append((m, content, [0], [windows]))
-                continue
-            hit = again[s : s + windows]
-            if hit.any():
-                edge = np.flatnonzero(np.diff(np.r_[False, hit, False]))
-                out.append((m, content, edge[::2].tolist(), edge[1::2].tolist()))
+            elif k in begins:
+                hit = again[begins[k] : begins[k] + windows]
+                if hit.any():
+                    edge = np.flatnonzero(np.diff(np.r_[False, hit, False]))
+                    out.append((m, content, edge[::2].tolist(), edge[1::2].tolist()))
         cols = list(zip(*out)) if out else [[]] * 4
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["m", "content", "first", "last"])
@@ -208,17 +228,17 @@ def _sorted_shard(batches: Iterator[pa.RecordBatch], length: int, sort_bytes: in
     for b in batches:
         if not b.num_rows:
             continue
-        m, content, windows = (b.column(k).to_numpy() for k in range(3))
+        m, content, windows, _, left, right = (b.column(k).to_numpy() for k in range(6))
         turn = np.r_[not keys or keys[-1][0] != m[0] or keys[-1][1] != content[0], (m[1:] != m[:-1]) | (content[1:] != content[:-1])]
         heads = np.flatnonzero(turn)
         if not turn[0]:
-            keys[-1][3] += int(heads[0]) if len(heads) else len(m)
-        column = b.column(4)
+            keys[-1][5] += int(heads[0]) if len(heads) else len(m)
+        column = b.column(6)
         for s, e in zip(heads.tolist(), [*heads[1:].tolist(), len(m)]):
             if keys and keys[-1][0] != m[s] and size >= sort_bytes:
                 yield work()
                 keys, texts, size = [], [], 0
-            keys.append([int(m[s]), int(content[s]), int(windows[s]), e - s])
+            keys.append([int(m[s]), int(content[s]), int(windows[s]), int(left[s]), int(right[s]), e - s])
             texts.append(column[s].as_py())  # rows of one piece begin with its text
             size += len(texts[-1])
     if keys:
@@ -260,7 +280,7 @@ def repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col
     for which in range(passes):
         every = spark.sparkContext.broadcast(_filter(counts, bits, passes, which))  # at most 32 MiB
         mixed = spark.sparkContext.broadcast(_filter(counts.filter("lo < hi"), bits, passes, which))
-        pieces = texts.select("text").mapInArrow(lambda it, s=mixed: _pieces(it, length, s.value), "m long, content long, windows long, more long, piece binary")
+        pieces = texts.select("text").mapInArrow(lambda it, s=mixed: _pieces(it, length, s.value), "m long, content long, windows long, more long, left long, right long, piece binary")
         dealt = pieces.repartition("m").sortWithinPartitions("m", "content", "more")
         kept = cut(dealt.mapInArrow(lambda it: _sorted_shard(it, length, sort_bytes), "m long, content long, first array<long>, last array<long>"), "repeated")
         places = texts.mapInArrow(lambda it, s=every: _places(it, length, s.value), "doc_id long, mark long, m long, content long, at long, windows long")
