@@ -30,7 +30,9 @@ from strobila.llm.store import new_path, table, written
 PROB_BITS = 20
 LOW = 1 << 31
 LANES = 1024
-_CACHE = 600_000
+#: Pieces and words of a worker's caches, which start anew beyond; and pieces that the tokenizer gets at once.
+_CACHE = 250_000
+_ENCODE = 20_000
 _CHECKPOINT = 128
 
 # Tokenising
@@ -61,11 +63,10 @@ class WordTokens:
 
     def _reset(self) -> None:
         self.pieces: dict[bytes, int] = {}
-        self.words: dict[str, list[int]] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.start: list[int] = []
-        self.size: list[int] = []
+        self.words: dict[str, bytes] = {}  # ids, four bytes each
+        self.flat = np.zeros(0, np.uint32)
+        self.start = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
 
     def _encode_words(self, words: list[str]) -> None:
         """Fills ``self.words``; many words go through the tokenizer as one text where their ends can be told."""
@@ -75,10 +76,13 @@ class WordTokens:
             ids = np.array(found.ids, np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(group) and len(ids) == cuts[-1]:
-                self.words.update(zip(group, [p.tolist() for p in np.split(ids, cuts[:-1])]))
+                raw, at = ids.tobytes(), 0
+                for w, to in zip(group, (4 * cuts).tolist()):
+                    self.words[w] = raw[at:to]
+                    at = to
             else:
                 for w, one in zip(group, self.tokenizer.encode_batch_fast(group, add_special_tokens=False)):
-                    self.words[w] = one.ids
+                    self.words[w] = np.array(one.ids, np.uint32).tobytes()
 
     def _learn(self, new: list[bytes]) -> None:
         parts, need, alone = [], set(), []
@@ -93,20 +97,21 @@ class WordTokens:
                     need.add(tail)
             else:
                 alone.append((piece, text))
-        self._encode_words([w for w in need if w not in self.words])
+        if len(self.words) > _CACHE:
+            self.words.clear()
+        missing = [w for w in need if w not in self.words]
+        for at in range(0, len(missing), _ENCODE):
+            self._encode_words(missing[at : at + _ENCODE])
         found = [(p, self.words[w] + self.words[t] if t else self.words[w]) for p, w, t in parts]
-        if alone:
-            found += [(p, e.ids) for (p, _), e in zip(alone, self.tokenizer.encode_batch_fast([t for _, t in alone], add_special_tokens=False))]
-        sizes = [len(i) for _, i in found]
-        total = sum(sizes)
-        if self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(total, len(self.flat)), np.uint32)])
-        self.flat[self.used : self.used + total] = np.fromiter((x for _, i in found for x in i), np.uint32, total)
-        for (piece, _), n in zip(found, sizes):
-            self.pieces[piece] = len(self.start)
-            self.start.append(self.used)
-            self.size.append(n)
-            self.used += n
+        for at in range(0, len(alone), _ENCODE):
+            group = alone[at : at + _ENCODE]
+            found += [(p, np.array(e.ids, np.uint32).tobytes()) for (p, _), e in zip(group, self.tokenizer.encode_batch_fast([t for _, t in group], add_special_tokens=False))]
+        sizes = np.array([len(i) // 4 for _, i in found], np.int64)
+        ends = len(self.flat) + np.cumsum(sizes)
+        first = len(self.pieces)
+        self.pieces.update(zip((p for p, _ in found), range(first, first + len(found))))
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join([i for _, i in found]), np.uint32)])
+        self.start, self.size = np.concatenate([self.start, ends - sizes]), np.concatenate([self.size, sizes])
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, without an end id."""
@@ -119,7 +124,7 @@ class WordTokens:
         get = self.pieces.__getitem__
         counts = [len(s) for s in split]
         at = np.fromiter((k for s in split for k in map(get, s)), np.int64, sum(counts))
-        start, size = np.array(self.start, np.int64)[at], np.array(self.size, np.int64)[at]
+        start, size = self.start[at], self.size[at]
         ends = np.cumsum(size)
         flat = self.flat[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
         cuts = np.r_[0, ends][np.r_[0, np.cumsum(counts)]]
@@ -235,8 +240,8 @@ def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", t
         pack = zstandard.ZstdCompressor(level=1, write_content_size=True).compress
         names = ["kind", "doc_id", "n_tokens", "ids"]
         for b in batches:
-            for at in range(0, b.num_rows, 400):
-                part = b.slice(at, 400)
+            for at in range(0, b.num_rows, 200):
+                part = b.slice(at, 200)
                 found = tokens.ids([t.as_py() or b"" for t in part.column(1).cast(pa.binary())])
                 full = [np.append(i, np.uint32(end_id)) for i in found]
                 counts += np.bincount(np.concatenate(full), minlength=len(counts))
