@@ -17,6 +17,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,9 @@ from strobila.llm.store import new_path, table, written
 PROB_BITS = 20
 LOW = 1 << 31
 LANES = 1024
-#: Pieces and words of a worker's caches, which start anew beyond; and pieces that the tokenizer gets at once.
-_CACHE = 250_000
-_ENCODE = 20_000
+#: Words of a worker's cache, which starts anew beyond; and texts that the tokenizer gets at once.
+_CACHE = 400_000
+_ENCODE = 2_000
 _CHECKPOINT = 128
 
 # Tokenising
@@ -41,12 +42,14 @@ _CHECKPOINT = 128
 class WordTokens:
     """Ids of whole texts by a tokenizer file, its words looked up in a cache.
 
-    The tokenizer drops white space and never joins across it, so a text is cut at ASCII white space and every piece
-    is tokenised by itself. A piece of Latin letters and a tail of ASCII signs is cut once more, where the tokenizer
-    cuts, and its letters are looked up in lower case.
+    This holds for tokenizers that fold white space, lower the case, cut a text by ``PATTERN`` and tokenise every part by
+    itself. A text of Latin-1 characters is cut here, and each distinct part goes through the tokenizer once. Any other
+    text, and one with the string of a special token, goes through it whole.
     """
 
-    _PIECE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
+    #: The tokenizer's pattern, for lower-case Latin-1 text.
+    PATTERN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t\n\x0b\x0c\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+    _OTHER = re.compile("[^\x00-\x1b\x20-\xff]")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -54,81 +57,63 @@ class WordTokens:
         with open(path, encoding="utf-8") as f:
             spec = f.read()
         self.tokenizer = Tokenizer.from_str(spec)
-        model = json.loads(spec)["model"]
-        suffix = model.get("end_of_word_suffix") or ""
+        about = json.loads(spec)
+        suffix = about["model"].get("end_of_word_suffix") or ""
+        self.special = [t["content"] for t in about.get("added_tokens") or []]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = bool(suffix) and token.endswith(suffix)
         self._reset()
 
     def _reset(self) -> None:
-        self.pieces: dict[bytes, int] = {}
-        self.words: dict[str, bytes] = {}  # ids, four bytes each
+        self.words: dict[str, int] = {}
         self.flat = np.zeros(0, np.uint32)
         self.start = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
 
-    def _encode_words(self, words: list[str]) -> None:
-        """Fills ``self.words``; many words go through the tokenizer as one text where their ends can be told."""
-        step = 64
-        groups = [words[i : i + step] for i in range(0, len(words), step)]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(found.ids, np.uint32)
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        out = []
+        for at in range(0, len(texts), _ENCODE):
+            out += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts[at : at + _ENCODE], add_special_tokens=False)]
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        """Many words go through the tokenizer as one text where their ends can be told."""
+        groups = [new[i : i + 64] for i in range(0, len(new), 64)]
+        flats, sizes = [], []
+        for group, ids in zip(groups, self._encode([" ".join(g) for g in groups])):
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(group) and len(ids) == cuts[-1]:
-                raw, at = ids.tobytes(), 0
-                for w, to in zip(group, (4 * cuts).tolist()):
-                    self.words[w] = raw[at:to]
-                    at = to
-            else:
-                for w, one in zip(group, self.tokenizer.encode_batch_fast(group, add_special_tokens=False)):
-                    self.words[w] = np.array(one.ids, np.uint32).tobytes()
-
-    def _learn(self, new: list[bytes]) -> None:
-        parts, need, alone = [], set(), []
-        for piece in new:
-            text = piece.decode("utf-8", "replace")
-            m = self._PIECE.fullmatch(text)
-            if m:
-                word, tail = m[1].lower(), m[2]
-                parts.append((piece, word, tail))
-                need.add(word)
-                if tail:
-                    need.add(tail)
-            else:
-                alone.append((piece, text))
-        if len(self.words) > _CACHE:
-            self.words.clear()
-        missing = [w for w in need if w not in self.words]
-        for at in range(0, len(missing), _ENCODE):
-            self._encode_words(missing[at : at + _ENCODE])
-        found = [(p, self.words[w] + self.words[t] if t else self.words[w]) for p, w, t in parts]
-        for at in range(0, len(alone), _ENCODE):
-            group = alone[at : at + _ENCODE]
-            found += [(p, np.array(e.ids, np.uint32).tobytes()) for (p, _), e in zip(group, self.tokenizer.encode_batch_fast([t for _, t in group], add_special_tokens=False))]
-        sizes = np.array([len(i) // 4 for _, i in found], np.int64)
-        ends = len(self.flat) + np.cumsum(sizes)
-        first = len(self.pieces)
-        self.pieces.update(zip((p for p, _ in found), range(first, first + len(found))))
-        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join([i for _, i in found]), np.uint32)])
-        self.start, self.size = np.concatenate([self.start, ends - sizes]), np.concatenate([self.size, sizes])
+            if len(cuts) != len(group) or cuts[-1] != len(ids):
+                alone = self._encode(group)
+                ids, cuts = np.concatenate(alone), np.cumsum([len(i) for i in alone])
+            flats.append(ids)
+            sizes.append(np.diff(cuts, prepend=0))
+        size = np.concatenate(sizes)
+        end = len(self.flat) + np.cumsum(size)
+        self.words.update(zip(new, range(len(self.words), len(self.words) + len(new))))
+        self.flat = np.concatenate([self.flat, *flats])
+        self.start, self.size = np.concatenate([self.start, end - size]), np.concatenate([self.size, size])
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, without an end id."""
-        if len(self.pieces) > _CACHE:
+        if len(self.words) > _CACHE:
             self._reset()
-        split = [t.split() for t in texts]
-        new = set().union(*split).difference(self.pieces) if split else set()
+        plain = [t.decode("utf-8", "replace") for t in texts]
+        whole = [k for k, t in enumerate(plain) if self._OTHER.search(t) or any(x in t for x in self.special)]
+        apart = dict(zip(whole, self._encode([plain[k] for k in whole])))
+        cut = self.PATTERN.findall
+        parts = [[] if k in apart else cut(t.lower()) for k, t in enumerate(plain)]
+        new = set().union(*parts).difference(self.words)
         if new:
             self._learn(list(new))
-        get = self.pieces.__getitem__
-        counts = [len(s) for s in split]
-        at = np.fromiter((k for s in split for k in map(get, s)), np.int64, sum(counts))
+        get = self.words.__getitem__
+        counts = [len(p) for p in parts]
+        at = np.fromiter(map(get, chain.from_iterable(parts)), np.int64, sum(counts))
         start, size = self.start[at], self.size[at]
         ends = np.cumsum(size)
         flat = self.flat[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
         cuts = np.r_[0, ends][np.r_[0, np.cumsum(counts)]]
-        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+        return [apart[k] if k in apart else flat[a:b] for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
 
 
 _tokenizers: dict[str, WordTokens] = {}
