@@ -198,9 +198,9 @@ class SuffixSorter:
         self.depth, self.memory, self.base = depth, memory, base
 
     def ordered(self, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Chunks of (positions, shared prefixes with the suffix before) in descending order.
+        """Chunks of (positions, shared prefixes) in descending order of the suffixes.
 
-        Position i's shared prefix is with the next one of the sequence, which is the one before it in ascending order.
+        A position's shared prefix is with the one before it in the sequence, that is with the next greater suffix.
         """
         n = len(text)
         if not n:
