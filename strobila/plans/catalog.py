@@ -503,3 +503,78 @@ def fragment_plan(spark, d):
     s = event_samples(spark, d)
     anchor = s.groupBy("file").agg(F.min("track_id").alias("track_id"))
     return segments.plan_fragments(s, 7 * 86_400, TIMESCALE, anchor)
+
+
+MILLIS_SQL = SAMPLES_SQL + """, m AS (SELECT file, track_id, sample_index, dts // 1000 AS dts, coalesce(lead(dts // 1000) OVER (PARTITION BY track_id ORDER BY sample_index) - dts // 1000, 0) AS duration, size % 50 AS size, cts_delta, is_sync, dts // 1000 // 86400000 AS day FROM s)
+"""
+
+
+def _millis(spark, d):
+    """Samples at a thousand ticks a second, small enough to be written with data."""
+    w = Window.partitionBy(*KEYS).orderBy("sample_index")
+    s = event_samples(spark, d).withColumn("dts", F.floor(F.col("dts") / 1000).cast("long"))
+    s = s.withColumns({"duration": F.coalesce(F.lead("dts").over(w) - F.col("dts"), F.lit(0)).cast("long"), "size": F.col("size") % 50})
+    return s.withColumns({"segment_index": F.floor(F.col("dts") / 86_400_000).cast("long"), "data": F.unhex(F.repeat(F.lit("A5"), F.col("size").cast("int")))})
+
+
+@query("fragment_roundtrip", MILLIS_SQL + "SELECT file, track_id, sample_index, dts, duration, size, cts_delta, is_sync FROM m", samples=False)
+def fragment_roundtrip(spark, d):
+    """Fragments written, joined to files of one track, and read again."""
+    from strobila.sources import boxes, media, writers
+
+    out = writers.write_fragments(_millis(spark, d), 1000)
+    files = writers.assemble(out, KEYS, "segment_index").select(F.concat_ws("/", "file", F.col("track_id").cast("string")).alias("path"), "content")
+    found = media.moving_samples(boxes.atoms(files, payloads=False))
+    return found.select(F.split("file", "/")[0].alias("file"), "track_id", "sample_index", "dts", "duration", "size", "cts_delta", "is_sync")
+
+
+@query("segment_sizes", MILLIS_SQL + "SELECT file, track_id, day AS segment_index, count(*) AS sample_count, CAST(sum(size) AS BIGINT) AS media_bytes, CAST(sum(duration) AS BIGINT) AS duration FROM m GROUP BY file, track_id, day", samples=False)
+def segment_sizes(spark, d):
+    """Fragments written, and their sizes and durations read from their boxes."""
+    from strobila.sources import boxes, writers
+
+    out = writers.write_fragments(_millis(spark, d), 1000)
+    files = out.select(F.concat_ws("/", "file", F.col("track_id").cast("string"), F.col("segment_index").cast("string")).alias("path"), "content")
+    a = boxes.atoms(files, payloads=False)
+    count = F.max(F.when(F.col("type") == "trun", F.col("fields")["sample_count"].cast("long")))
+    g = a.groupBy("file").agg(count.alias("sample_count"), F.max(F.when(F.col("type") == "mdat", F.col("size") - F.col("header_size"))).alias("media_bytes"))
+    key = F.split("file", "/")
+    g = g.select(key[0].alias("file"), key[1].cast("long").alias("track_id"), key[2].cast("long").alias("segment_index"), "sample_count", "media_bytes")
+    return g.join(out.select(*KEYS, "segment_index", "duration"), [*KEYS, "segment_index"])
+
+
+@query("cenc_roundtrip", "SELECT doc_id, sha256(text) AS digest FROM documents", samples=False)
+def cenc_roundtrip(spark, d):
+    """Texts as samples through the counter mode scheme and back."""
+    from strobila.operators import protection
+
+    key = bytes(range(16))
+    rows = table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("data"), F.unhex(F.lpad(F.hex("doc_id"), 16, "0")).alias("iv"), F.lit(None).cast("array<struct<clear:int,encrypted:long>>").alias("parts"))
+    out = protection.cipher_samples(protection.cipher_samples(rows, "cenc", key), "cenc", key, decrypt=True)
+    return out.select("doc_id", F.sha2("data", 256).alias("digest"))
+
+
+@query("playlist_lines", ROLL_SQL + """, g2 AS (SELECT file, track_id, segment_index, duration // 1000000 AS seconds FROM u),
+l AS (SELECT file, track_id, max(seconds) AS longest FROM g2 GROUP BY file, track_id)
+SELECT file, track_id, -5 AS position, '#EXTM3U' AS line FROM l UNION ALL SELECT file, track_id, -4, '#EXT-X-VERSION:3' FROM l UNION ALL SELECT file, track_id, -3, '#EXT-X-PLAYLIST-TYPE:VOD' FROM l
+UNION ALL SELECT file, track_id, -2, '#EXT-X-TARGETDURATION:' || CAST(longest AS VARCHAR) FROM l UNION ALL SELECT file, track_id, -1, '#EXT-X-MEDIA-SEQUENCE:0' FROM l
+UNION ALL SELECT file, track_id, segment_index * 2, '#EXTINF:' || CAST(seconds AS VARCHAR) || '.000000,' FROM g2 UNION ALL SELECT file, track_id, segment_index * 2 + 1, 'seg-' || CAST(segment_index AS VARCHAR) || '.ts' FROM g2
+UNION ALL SELECT file, track_id, 4611686018427387904, '#EXT-X-ENDLIST' FROM l""")
+def playlist_lines(spark, d):
+    from strobila.operators.manifests import media_playlist
+
+    rows = _rolled(spark, d).select(*KEYS, "segment_index", F.floor(F.col("duration") / TIMESCALE).cast("double").alias("seconds"))
+    return media_playlist(rows, KEYS, F.format_string("seg-%d.ts", "segment_index"))
+
+
+@query("scalar_formats", "SELECT doc_id, substr(hex(encode(text)), 1, 24) AS head, base64(encode(md5(text))) AS coded FROM documents", samples=False)
+def scalar_formats(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.hex(F.substring(F.col("text").cast("binary"), 1, 12)).alias("head"), F.base64(F.md5("text").cast("binary")).alias("coded"))
+
+
+@query("windowed_rates", "SELECT file, track_id, epoch_us(date_trunc('day', make_timestamp(dts))) AS start, count(*) AS samples, CAST(sum(size) AS BIGINT) AS size FROM s GROUP BY 1, 2, 3")
+def windowed_rates(spark, d):
+    from strobila.streaming.live import windowed_rates as rates
+
+    rows = event_samples(spark, d).withColumn("ts", F.timestamp_micros("dts"))
+    return rates(rows).select(*KEYS, F.unix_micros("start").alias("start"), "samples", "size")
