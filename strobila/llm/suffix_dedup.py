@@ -45,9 +45,10 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     return x
 
 
-def runs(data: np.ndarray, owner_ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Of texts laid end to end, ending at ``owner_ends``: first window, windows, minimizer and content hash of each run."""
-    empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), *(np.zeros(0, np.uint64) for _ in range(4)))
+def runs(data: np.ndarray, owner_ends: np.ndarray, length: int, sides: bool = False) -> tuple[np.ndarray, ...]:
+    """Of texts laid end to end, ending at ``owner_ends``: first window, windows, minimizer and content hash of each run,
+    and with ``sides`` hashes of the halves of a window before and after the minimizer, 0 where the run has none."""
+    empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), *(np.zeros(0, np.uint64) for _ in range(4 if sides else 2)))
     n = len(data) - length + 1
     if n <= 0:
         return empty
@@ -84,15 +85,17 @@ def runs(data: np.ndarray, owner_ends: np.ndarray, length: int) -> tuple[np.ndar
     a = s1[end] - s1[start]
     b = s2[end] - s2[start] - a * start.astype(np.uint64)
     content = _mix(a ^ _mix(b, 13), 17) + windows.astype(np.uint64)
+    gram_at = place[start]
+    if not sides:
+        return start, windows, order[gram_at], content
     # The half of a window's other bytes before the minimizer, and after it: every window holds one of the two.
-    half, gram_at = (length - _GRAM) // 2, place[start]
-    sides = []
+    half, halves = (length - _GRAM) // 2, []
     for low_at, fits in ((gram_at - half, gram_at - half >= start), (gram_at, gram_at + half <= end - 1)):
         x = np.where(fits, low_at, 0)
         a = s1[x + half + 1] - s1[x]
         b = s2[x + half + 1] - s2[x] - a * x.astype(np.uint64)
-        sides.append(np.where(fits, _mix(a ^ _mix(b, 19), 23) | np.uint64(1), np.uint64(0)))
-    return start, windows, order[gram_at], content, *sides
+        halves.append(np.where(fits, _mix(a ^ _mix(b, 19), 23) | np.uint64(1), np.uint64(0)))
+    return start, windows, order[gram_at], content, *halves
 
 
 def _slices(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -128,7 +131,7 @@ def _slices(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndar
 def _count(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for data, ends, _, _ in _slices(b.column(0), length):
-            _, _, m, content, _, _ = runs(data, ends, length)
+            _, _, m, content = runs(data, ends, length)
             m, content = m.view(np.int64), content.view(np.int64)
             order = np.lexsort((content, m))
             m, content = m[order], content[order]
@@ -155,7 +158,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int, keep: Filter) -> Ite
     names = ["m", "content", "windows", "more", "left", "right", "piece"]
     for b in batches:
         for data, ends, _, _ in _slices(b.column(0), length):
-            start, windows, m, content, left, right = runs(data, ends, length)
+            start, windows, m, content, left, right = runs(data, ends, length, sides=True)
             ok = np.flatnonzero(keep(m))
             out = []
             for k in ok:
@@ -175,7 +178,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int, keep: Filter) -> Ite
 def _places(batches: Iterator[pa.RecordBatch], length: int, keep: Filter) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for data, ends, rows, skipped in _slices(b.column(0), length):
-            start, windows, m, content, _, _ = runs(data, ends, length)
+            start, windows, m, content = runs(data, ends, length)
             ok = np.flatnonzero(keep(m))
             if not len(ok):
                 continue
