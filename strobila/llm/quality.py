@@ -14,10 +14,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strobila.llm.langid import fold, sample_labelled
-from strobila.llm.store import table
+from strobila.llm.langid import fold
+from strobila.llm.store import cut, table
 
-_BLOCK = 2048
+_BLOCK = 1024
 _SIZE = 112 << 10
 
 
@@ -39,7 +39,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int
 class CompressionModel:
     """Dictionaries of good and bad text, and the calibration of the size difference."""
 
-    def __init__(self, good: list[bytes], bad: list[bytes], level: int = 1):
+    def __init__(self, good: list[bytes], bad: list[bytes], level: int = 5):
         self.level = level
         cut_good, cut_bad = (len(good) + 1) // 2, (len(bad) + 1) // 2
         self.dicts = [self._dictionary(good[:cut_good]), self._dictionary(bad[:cut_bad])]
@@ -100,15 +100,33 @@ class CompressionModel:
         return 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ self.weights, -30, 30)))
 
 
-def train(labelled: DataFrame, most_docs: int = 8000, most_bytes: int = 1 << 15, seed: int = 2) -> CompressionModel:
-    """From (doc_id, text, quality): a bounded sample of ``most_docs`` texts of ``most_bytes`` at most, both labels alike.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most_docs: int, most_bytes: int, seed: int) -> tuple[list, dict[int, int]]:
+    """About ``most_docs`` rows (doc_id, text, label), an equal share for each label, and how often each label occurs.
 
-    The sample's labels are balanced, so the calibration is shifted back to the labels' own proportion.
+    Which rows is decided on ids and lengths alone; only the texts of those chosen are fetched, by a broadcast of at most
+    ``most_docs`` ids, so no text is shuffled. Texts above ``most_bytes`` bytes are not chosen.
     """
-    found = sample_labelled(labelled, "quality", most_docs, most_bytes, seed)
+    ids = docs.filter("doc_id is not null and text is not null").select("doc_id", F.octet_length("text").alias("_bytes"))
+    narrow = cut(ids.join(labels.select("doc_id", label).dropna(), "doc_id"), "labels")
+    counts = {int(r[0]): r[1] for r in narrow.groupBy(label).count().collect()}
+    if not counts:
+        return [], counts
+    lots, share = 1_000_000, most_docs / len(counts)
+    fit = narrow.filter(F.col("_bytes") <= most_bytes)
+    rate = F.coalesce(*[F.when(F.col(label) == k, F.lit(int(min(1.0, share / n) * lots))) for k, n in counts.items()])
+    lot = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(lots))
+    picked = fit.select("doc_id", label, lot.alias("_lot")).filter(F.col("_lot") < rate).orderBy("_lot", "doc_id").limit(most_docs).collect()
+    chosen = docs.sparkSession.createDataFrame([(r["doc_id"], r[label], r["_lot"]) for r in picked], f"doc_id long, {label} int, _lot long")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text is not null").collect()
+    return sorted(found, key=lambda r: (r["_lot"], r["doc_id"])), counts
+
+
+def train(docs: DataFrame, labels: DataFrame, most_docs: int = 8000, most_bytes: int = 1 << 15, seed: int = 2) -> CompressionModel:
+    """From docs (doc_id, text) and labels (doc_id, quality): a bounded sample of ``most_docs`` texts of ``most_bytes`` at
+    most, both labels alike, so the calibration is shifted back to the labels' own proportion."""
+    found, counts = labelled_sample(docs, labels, "quality", most_docs, most_bytes, seed)
     parts = {k: [r["text"].encode() for r in found if r["quality"] == k] for k in (1, 0)}
     model = CompressionModel(parts[1], parts[0])
-    counts = {r[0]: r[1] for r in labelled.groupBy("quality").count().collect()}
     if all(counts.get(k) and parts[k] for k in (0, 1)):
         model.weights[-1] += np.log(counts[1] / counts[0]) - np.log(len(parts[1]) / len(parts[0]))
     return model
@@ -131,13 +149,9 @@ def score(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
     return rows.mapInArrow(work, schema)
 
 
-def labelled_rows(spark, sf_dir: str, label: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").select("doc_id", label).dropna()
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
-
-
 def op2_quality_classifier(spark, sf_dir: str) -> DataFrame:
     held_out = fold("doc_id", 3) == 1
-    model = train(labelled_rows(spark, sf_dir, "quality").filter(~held_out))
-    docs = table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), F.col("text").alias("_body"))
-    return score(docs, model, "_body").select("doc_id", "held_out", "score", "predicted")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs.filter(~held_out), table(spark, sf_dir, "labels"))
+    rows = docs.select("doc_id", held_out.alias("held_out"), F.col("text").alias("_body"))
+    return score(rows, model, "_body").select("doc_id", "held_out", "score", "predicted")

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strobila.llm.langid import fold, held, sample_labelled, slices
-from strobila.llm.quality import labelled_rows
+from strobila.llm.langid import fold, held, slices
+from strobila.llm.quality import fit_logistic, labelled_sample
 from strobila.llm.store import table
 
 _WORD = re.compile(r"\w+")
@@ -109,8 +109,6 @@ class FactorizationMachine:
         return out
 
     def calibrate(self, texts: list[str], y: list[int]) -> "FactorizationMachine":
-        from strobila.llm.quality import fit_logistic
-
         self.scale = fit_logistic(np.clip(self.raw(texts), -20, 20)[:, None], np.asarray(y, float), ridge=1e-4)
         return self
 
@@ -119,12 +117,12 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(labelled: DataFrame, most_docs: int = 12000, most_bytes: int = 1 << 15, seed: int = 8) -> FactorizationMachine:
-    """From (doc_id, text, toxic): a bounded sample of ``most_docs`` texts of ``most_bytes`` at most, both labels alike.
+def train(docs: DataFrame, labels: DataFrame, most_docs: int = 12000, most_bytes: int = 1 << 15, seed: int = 8) -> FactorizationMachine:
+    """From docs (doc_id, text) and labels (doc_id, toxic): a bounded sample of ``most_docs`` texts of ``most_bytes`` at most, both labels alike.
 
     Four fifths fit the machine, the rest calibrates it; its constant then returns to the labels' own proportion.
     """
-    found = sample_labelled(labelled, "toxic", most_docs, most_bytes, seed)
+    found, counts = labelled_sample(docs, labels, "toxic", most_docs, most_bytes, seed)
     texts, y = [r["text"] for r in found], [int(r["toxic"]) for r in found]
     own = np.array([zlib.crc32(str(r["doc_id"]).encode()) // 5 % 5 == 0 for r in found], bool)
     pick = lambda a, m: [x for x, k in zip(a, m) if k]
@@ -133,7 +131,6 @@ def train(labelled: DataFrame, most_docs: int = 12000, most_bytes: int = 1 << 15
         model.calibrate(pick(texts, own), pick(y, own))
     else:
         model.scale = np.array([1.0, 0.0])
-    counts = {int(r[0]): r[1] for r in labelled.groupBy("toxic").count().collect()}
     if counts.get(0) and counts.get(1) and 0 < sum(y) < len(y):
         model.scale[1] += np.log(counts[1] / counts[0]) - np.log(sum(y) / (len(y) - sum(y)))
     return model
@@ -160,6 +157,7 @@ def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text")
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     held_out = fold("doc_id", 5) == 0
-    model = train(labelled_rows(spark, sf_dir, "toxic").filter(~held_out))
-    docs = table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), F.col("text").alias("_body"))
-    return score(docs, model, "_body").select("doc_id", "held_out", "score", "predicted")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs.filter(~held_out), table(spark, sf_dir, "labels"))
+    rows = docs.select("doc_id", held_out.alias("held_out"), F.col("text").alias("_body"))
+    return score(rows, model, "_body").select("doc_id", "held_out", "score", "predicted")
