@@ -235,3 +235,55 @@ def units(files: DataFrame, hevc: bool = False) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["path", "unit_index", "unit_type", "size", "unit"])
 
     return files.select("path", "content").mapInPandas(work, "path string, unit_index long, unit_type int, size long, unit binary")
+
+
+def _profile_tier_level(bits: Bits, layers: int) -> dict:
+    out = {"profile_space": bits.read(2), "tier": bits.read(1), "profile": bits.read(5), "compatibility": bits.read(32)}
+    bits.read(48)
+    out["level"] = bits.read(8)
+    present = [(bits.read(1), bits.read(1)) for _ in range(layers)]
+    if layers:
+        bits.read(2 * (8 - layers))
+    for profile, level in present:
+        if profile:
+            bits.read(88)
+        if level:
+            bits.read(8)
+    return out
+
+
+def hevc_sequence(unit: bytes) -> dict:
+    """The first fields of an HEVC sequence parameter set: profile, level, picture size, depths, order bits."""
+    bits = Bits(unescape(unit)[2:])
+    bits.read(4)
+    layers = bits.read(3)
+    bits.read(1)
+    out = _profile_tier_level(bits, layers)
+    out["id"] = bits.unsigned()
+    out["chroma_format"] = bits.unsigned()
+    if out["chroma_format"] == 3:
+        bits.read(1)
+    wide, high = bits.unsigned(), bits.unsigned()
+    crop = [bits.unsigned() for _ in range(4)] if bits.read(1) else [0] * 4
+    step_x, step_y = (2 if out["chroma_format"] in (1, 2) else 1), (2 if out["chroma_format"] == 1 else 1)
+    out["width"], out["height"] = wide - step_x * (crop[0] + crop[1]), high - step_y * (crop[2] + crop[3])
+    out["luma_depth"], out["chroma_depth"] = bits.unsigned() + 8, bits.unsigned() + 8
+    out["order_bits"] = bits.unsigned() + 4
+    return out
+
+
+def slice_type(unit: bytes) -> str | None:
+    """``I``, ``P`` or ``B`` of an AVC slice; None for other units."""
+    if not unit or unit[0] & 31 not in (1, 2, 5):
+        return None
+    bits = Bits(unescape(unit[:64])[1:])
+    bits.unsigned()
+    return "PBIPI"[bits.unsigned() % 5]
+
+
+def frame_rate_ratio(rate: float) -> tuple[int, int]:
+    """A frame rate as a ratio of whole numbers, the closest with a denominator of 100,000 at most."""
+    from fractions import Fraction
+
+    f = Fraction(str(rate)).limit_denominator(100_000)
+    return f.numerator, f.denominator

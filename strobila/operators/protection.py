@@ -136,3 +136,62 @@ def chain_samples(df: DataFrame, key: bytes, iv: bytes, decrypt: bool = False, k
         return pdf.assign(data=out)
 
     return df.groupBy(*keys).applyInPandas(walk, df.schema)
+
+
+# Older schemes
+
+
+def isma_sample(data: bytes, key: bytes, salt: bytes, iv_length: int, key_indicator_length: int = 0, selective: bool = False) -> bytes:
+    """A protected sample's clear bytes: an optional flag byte, the offset in the key stream, a key indicator, the data."""
+    at = 0
+    if selective:
+        at = 1
+        if not data[0] & 0x80:
+            return data[1:]
+    offset = int.from_bytes(data[at : at + iv_length], "big")
+    return ctr(key, salt, data[at + iv_length + key_indicator_length :], offset)
+
+
+def protect_isma_sample(data: bytes, key: bytes, salt: bytes, offset: int, iv_length: int, selective: bool = False) -> bytes:
+    return (b"\x80" if selective else b"") + offset.to_bytes(iv_length, "big") + ctr(key, salt, data, offset)
+
+
+def isma_offsets(df: DataFrame, keys: list[str] = ("file", "track_id")) -> DataFrame:
+    """``stream_offset``: bytes of all earlier samples of the track, which is where a sample's key stream begins."""
+    w = Window.partitionBy(*keys).orderBy("sample_index").rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("stream_offset", F.coalesce(F.sum("size").over(w), F.lit(0)).cast("long"))
+
+
+#: Encryption methods of a protected content object.
+CLEAR, CONTENT_CBC, CONTENT_CTR = 0, 1, 2
+
+
+def content_object(data: bytes, method: int, key: bytes, iv: bytes = b"", decrypt: bool = True) -> bytes:
+    """The payload of a content object: the vector first, then the data, padded in CBC."""
+    if method == CLEAR:
+        return data
+    if decrypt:
+        iv, body = data[:16], data[16:]
+        return cbc(key, iv, body, decrypt=True, pad=True) if method == CONTENT_CBC else ctr(key, iv, body)
+    return iv + (cbc(key, iv, data, pad=True) if method == CONTENT_CBC else ctr(key, iv, data))
+
+
+def content_objects(df: DataFrame, key: bytes, decrypt: bool = True) -> DataFrame:
+    """``data`` of whole objects (method, data, iv) through their method."""
+
+    @F.pandas_udf("binary")
+    def run(method: pd.Series, data: pd.Series, iv: pd.Series) -> pd.Series:
+        return pd.Series([content_object(bytes(d), int(m), key, bytes(i) if i is not None else b"", decrypt) for m, d, i in zip(method, data, iv)])
+
+    return df.withColumn("data", run("method", "data", "iv"))
+
+
+def segment_aes(df: DataFrame, key: bytes, iv: bytes | None = None) -> DataFrame:
+    """``content`` of playlist segments (segment_index, content) as one padded CBC stream each; without ``iv`` the
+    segment's number is the vector."""
+
+    @F.pandas_udf("binary")
+    def run(content: pd.Series, index: pd.Series) -> pd.Series:
+        return pd.Series([cbc(key, iv if iv is not None else int(k).to_bytes(16, "big"), bytes(c), pad=True) for c, k in zip(content, index)])
+
+    return df.withColumn("content", run("content", "segment_index"))
