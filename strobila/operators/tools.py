@@ -106,3 +106,38 @@ def first_of_each(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first row of every key in order, such as the distinct key ids of a presentation."""
     w = Window.partitionBy(*keys).orderBy(order)
     return df.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
+
+
+def process(samples: DataFrame, handler, schema: str, keys: list[str] = TRACK) -> DataFrame:
+    """A user's ``handler(pandas rows in order) -> pandas rows`` over every track: the hook for transforms of one's own."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return handler(pdf.sort_values("sample_index", ignore_index=True))
+
+    return samples.groupBy(*keys).applyInPandas(run, schema)
+
+
+#: Speakers by bit of an E-AC-3 channel map, from the highest bit down, and how many channels each stands for.
+SPEAKERS = [("L", 1), ("C", 1), ("R", 1), ("Ls", 1), ("Rs", 1), ("Lc/Rc", 2), ("Lrs/Rrs", 2), ("Cs", 1), ("Ts", 1), ("Lsd/Rsd", 2), ("Lw/Rw", 2), ("Vhl/Vhr", 2), ("Vhc", 1), ("Lts/Rts", 2), ("LFE2", 1), ("LFE", 1)]
+
+
+def speaker_count(channel_map: int) -> int:
+    return sum(n for k, (_, n) in enumerate(SPEAKERS) if channel_map >> (15 - k) & 1)
+
+
+def speaker_names(channel_map: int) -> str:
+    return " ".join(s for k, (s, _) in enumerate(SPEAKERS) if channel_map >> (15 - k) & 1)
+
+
+def regroup_by_channels(tracks: DataFrame) -> DataFrame:
+    """(presentation, set_name): audio sets apart by channel count and by whether they carry objects. Tracks:
+    presentation, set_name, channels, objects."""
+    name = F.concat_ws("/", "set_name", F.when(F.col("objects"), F.lit("objects")).otherwise(F.concat(F.col("channels").cast("string"), F.lit("ch"))))
+    return tracks.withColumn("set_name", name)
+
+
+def json_manifest(tracks: DataFrame) -> DataFrame:
+    """(presentation, text): tracks of a presentation as a JSON document, by name."""
+    row = F.struct("name", "kind", "codecs", "bandwidth", "segment_count", "url")
+    whole = F.struct(F.col("presentation").alias("presentation"), F.array_sort(F.collect_list(row)).alias("tracks"))
+    return tracks.groupBy("presentation").agg(F.to_json(whole).alias("text"))
