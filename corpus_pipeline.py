@@ -17,21 +17,24 @@ LEAST_CERTAIN = 0.5
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language go; the others keep their columns."""
+    """Documents without a recognised language go, null and letterless texts among them; the others stay as they are. The
+    model learns from a bounded sample of the documents that name their language; without any, all documents go."""
     model = langid.train(docs)
     found = langid.detect(docs.select(*COLUMNS), model)
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_CERTAIN)).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest doc_id."""
+    """One document of each near-duplicate group stays: the one with the smallest doc_id. Rows without doc_id go; of rows
+    that share the smallest doc_id all stay."""
     groups = near_groups(cut(fingerprints(docs), "prints"))
     keep = cut(groups.filter("doc_id = component_id").select("doc_id").distinct(), "kept")
     return docs.join(keep, "doc_id", "left_semi").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 200 bytes or more that occur elsewhere too are cut out; a document of which nothing stays goes."""
+    """Passages of 200 bytes or more that occur elsewhere too are cut out, by whole characters; a document of which
+    nothing stays goes. ``n_chars`` is counted anew."""
     out = without_repeats(docs.select(*COLUMNS))
     emptied = (F.col("n_removed") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
     return out.filter(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)

@@ -65,8 +65,7 @@ def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
             return "array(" + ",".join(map(lit, x)) + ")" if x else "array()"
         return f"{x}L" if isinstance(x, int) else repr(x)
 
-    names = [c.split()[0] for c in schema.split(",")]
-    kinds = [c.split(None, 1)[1] for c in schema.split(", ")] if ", " in schema else [c.split(None, 1)[1] for c in schema.split(",")]
+    names, kinds = zip(*(c.split(" ", 1) for c in schema.split(", ")))
     if not rows:
         return spark.createDataFrame([], schema)
     body = ",".join("(" + ",".join(map(lit, r)) + ")" for r in rows)

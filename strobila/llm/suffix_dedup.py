@@ -4,8 +4,8 @@ Every window of ``length`` bytes is dealt by its minimizer, the smallest hashed
 A run of windows with one minimizer is a piece of text, and all windows of a value of the minimizer come to one shard.
 
 1. Minimizers are counted, with the least and the greatest hash of their pieces. Those that occur twice or more go into
-   bit filters of bounded size; if there are more of them than a filter holds well, the work is done in several passes
-   over ranges of the minimizer.
+   bit filters of bounded size. If there are more of them than a few filters hold well, the pieces' places are joined
+   with the counts instead, and one text of each different piece is fetched by a join on its document.
 2. Pieces whose minimizer has different pieces go to its shard, equal pieces of a task once. Every shard sorts the
    suffixes of its pieces by external induced sorting (``induced``), a few megabytes at a time, and keeps the windows
    that share ``length`` bytes with a neighbour, or whose whole piece occurs more than once. Where all pieces of a
@@ -35,6 +35,8 @@ _SLICE = (1 << _POS) - 1
 _SORT_BYTES = 1 << 20
 _SEEN = 1_000_000
 _MOST_BITS = 28
+#: Passes with a filter each, before joins take their place.
+_MOST_PASSES = 4
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -175,17 +177,18 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int, keep: Filter) -> Ite
                 yield pa.RecordBatch.from_arrays([pa.array(m[k].view(np.int64)), pa.array(content[k].view(np.int64)), pa.array(windows[k]), pa.array([x[1] for x in out], pa.int64()), pa.array(left[k].view(np.int64)), pa.array(right[k].view(np.int64)), pa.array([x[2] for x in out], pa.binary())], names)
 
 
-def _places(batches: Iterator[pa.RecordBatch], length: int, keep: Filter) -> Iterator[pa.RecordBatch]:
+def _places(batches: Iterator[pa.RecordBatch], length: int, keep: Filter, sides: bool = False) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "mark", "m", "content", "at", "windows"] + ["left", "right"] * sides
     for b in batches:
         for data, ends, rows, skipped in _slices(b.column(0), length):
-            start, windows, m, content = runs(data, ends, length)
+            start, windows, m, content, *halves = runs(data, ends, length, sides)
             ok = np.flatnonzero(keep(m))
             if not len(ok):
                 continue
             own = np.searchsorted(ends, start[ok], "right")
             at = start[ok] - np.r_[0, ends[:-1]][own] + skipped[own]
             take = pa.array(rows[own])
-            yield pa.RecordBatch.from_arrays([b.column(1).take(take), b.column(2).take(take), pa.array(m[ok].view(np.int64)), pa.array(content[ok].view(np.int64)), pa.array(at), pa.array(windows[ok])], ["doc_id", "mark", "m", "content", "at", "windows"])
+            yield pa.RecordBatch.from_arrays([b.column(1).take(take), b.column(2).take(take), pa.array(m[ok].view(np.int64)), pa.array(content[ok].view(np.int64)), pa.array(at), pa.array(windows[ok]), *[pa.array(h[ok].view(np.int64)) for h in halves]], names)
 
 
 def _sorted_shard(batches: Iterator[pa.RecordBatch], length: int, sort_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -260,15 +263,15 @@ def _filter(counts: DataFrame, bits: int, passes: int, which: int) -> Filter:
     return Filter(bits, table_, passes, which)
 
 
-def repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", sort_bytes: int = _SORT_BYTES) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", sort_bytes: int = _SORT_BYTES, by_filter: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): rows are ``docs`` with ``_mark``, a hash of the text; spans are (doc_id, mark, first, last).
 
     ``first`` and ``last`` are arrays: every window that starts in first[i] <= at < last[i] of the text also starts
-    elsewhere. Rows of one doc_id and one text share their spans. A null doc_id counts as the least long.
+    elsewhere. Rows of one doc_id and one text share their spans. A null doc_id counts as the least long. ``by_filter``:
+    the way of step 1, by the number of minimizers unless given; the spans are the same.
     """
     if length < _GRAM:
         raise ValueError(f"repeats of fewer than {_GRAM} bytes are not sought")
-    spark = docs.sparkSession
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     rows = docs.withColumns({"_key": key, "_mark": F.xxhash64(F.col(text_col))})
     texts = rows.select(F.col(text_col).cast("binary").alias("text"), "_key", "_mark")
@@ -279,23 +282,74 @@ def repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col
     bits = int(min(_MOST_BITS, max(16, np.ceil(np.log2(8 * total + 1)))))
     passes = max(1, -(-total // ((1 << bits) // 8)))
     whole = counts.filter("lo = hi").select("m", F.col("lo").alias("content"), F.lit(None).cast("array<long>").alias("first"), F.lit(None).cast("array<long>").alias("last"))
-    found = None
+    if by_filter if by_filter is not None else passes <= _MOST_PASSES:
+        found = _by_filters(texts, counts, whole, length, sort_bytes, bits, passes)
+    else:
+        found = _by_joins(texts, counts, whole, length, sort_bytes)
+    spans = found.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list(F.arrays_zip("first", "last"))).alias("spans"))
+    return rows, cut(spans.select("doc_id", "mark", "spans"), "spans")
+
+
+_PLACE = "doc_id long, mark long, m long, content long, at long, windows long"
+_PIECE = "m long, content long, windows long, more long, left long, right long, piece binary"
+_KEPT = "m long, content long, first array<long>, last array<long>"
+
+
+def _spread(places: DataFrame, kept: DataFrame) -> DataFrame:
+    """What the shards kept of a piece, at all its places."""
+    first, last = F.coalesce("first", F.array(F.lit(0).cast("long"))), F.coalesce("last", F.array("windows"))
+    return places.join(kept, ["m", "content"]).select("doc_id", "mark", F.transform(first, lambda x: x + F.col("at")).alias("first"), F.transform(last, lambda x: x + F.col("at")).alias("last"))
+
+
+def _in_shards(pieces: DataFrame, length: int, sort_bytes: int) -> DataFrame:
+    dealt = pieces.repartition("m").sortWithinPartitions("m", "content", "more")
+    return cut(dealt.mapInArrow(lambda it: _sorted_shard(it, length, sort_bytes), _KEPT), "repeated")
+
+
+def _by_filters(texts: DataFrame, counts: DataFrame, whole: DataFrame, length: int, sort_bytes: int, bits: int, passes: int) -> DataFrame:
+    context, found = texts.sparkSession.sparkContext, None
     for which in range(passes):
-        every = spark.sparkContext.broadcast(_filter(counts, bits, passes, which))  # at most 32 MiB
-        mixed = spark.sparkContext.broadcast(_filter(counts.filter("lo < hi"), bits, passes, which))
-        pieces = texts.select("text").mapInArrow(lambda it, s=mixed: _pieces(it, length, s.value), "m long, content long, windows long, more long, left long, right long, piece binary")
-        dealt = pieces.repartition("m").sortWithinPartitions("m", "content", "more")
-        kept = cut(dealt.mapInArrow(lambda it: _sorted_shard(it, length, sort_bytes), "m long, content long, first array<long>, last array<long>"), "repeated")
-        places = texts.mapInArrow(lambda it, s=every: _places(it, length, s.value), "doc_id long, mark long, m long, content long, at long, windows long")
-        first, last = F.coalesce("first", F.array(F.lit(0).cast("long"))), F.coalesce("last", F.array("windows"))
+        every = context.broadcast(_filter(counts, bits, passes, which))  # at most 32 MiB
+        mixed = context.broadcast(_filter(counts.filter("lo < hi"), bits, passes, which))
+        kept = _in_shards(texts.select("text").mapInArrow(lambda it, s=mixed: _pieces(it, length, s.value), _PIECE), length, sort_bytes)
+        places = texts.mapInArrow(lambda it, s=every: _places(it, length, s.value), _PLACE)
         # The filters let some other minimizers pass: their pieces repeat the same windows twice, or none at all.
-        own = places.join(kept.unionByName(whole), ["m", "content"])
-        own = own.select("doc_id", "mark", F.transform(first, lambda x: x + F.col("at")).alias("first"), F.transform(last, lambda x: x + F.col("at")).alias("last"))
+        own = _spread(places, kept.unionByName(whole))
         found = own if found is None else found.unionByName(own)
-    if found is None:
-        found = spark.createDataFrame([], "doc_id long, mark long, first array<long>, last array<long>")
-    spans = found.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list(F.arrays_zip("first", "last"))).alias("spans"))
-    return rows, cut(spans.select("doc_id", "mark", "spans"), "spans")
+    return found
+
+
+def _by_joins(texts: DataFrame, counts: DataFrame, whole: DataFrame, length: int, sort_bytes: int) -> DataFrame:
+    """Everything by shuffled joins on narrow rows, so that nothing grows with the input but the shuffles. A piece that
+    shares no side with another of its minimizer is left out before it is dealt, so a short line in very many contexts
+    makes no large shard."""
+    pass_all = Filter(6, np.full(2, (1 << 64) - 1, np.uint64), 1, 0)
+    sided = texts.mapInArrow(lambda it: _places(it, length, pass_all, sides=True), _PLACE + ", left long, right long")
+    places = cut(sided.join(counts.withColumn("mixed", F.col("lo") < F.col("hi")).select("m", "mixed"), "m"), "places")
+    one = F.min(F.struct("doc_id", "mark", "at", "windows", "left", "right")).alias("one")
+    different = cut(places.filter("mixed").groupBy("m", "content").agg(F.count("*").alias("times"), one), "pieces")
+    sides = different.select("m", "content", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("one.left").alias("side")), F.struct(F.lit(1).alias("kind"), F.col("one.right").alias("side")))).alias("x")).select("m", "content", "x.kind", "x.side").filter("side <> 0")
+    met = sides.groupBy("m", "kind", "side").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).filter("lo < hi").select("m", "kind", "side")
+    live = sides.join(met, ["m", "kind", "side"], "left_semi").select("m", "content").distinct()
+    repeated_whole = different.filter("times > 1").select("m", "content", F.lit(None).cast("array<long>").alias("first"), F.lit(None).cast("array<long>").alias("last"))
+    wanted = different.join(live, ["m", "content"]).groupBy(F.col("one.doc_id").alias("_key"), F.col("one.mark").alias("_mark")).agg(F.collect_list(F.struct("m", "content", "times", "one.at", "one.windows", "one.left", "one.right")).alias("pieces"))
+    fetched = texts.dropDuplicates(["_key", "_mark"]).join(wanted, ["_key", "_mark"]).select("text", "pieces")
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in _PIECE.split(", ")]
+        for b in batches:
+            for text, pieces in zip(b.column(0), b.column(1)):
+                text, rows = text.as_py(), []
+                for x in pieces.as_py():
+                    own = (x["m"], x["content"], x["windows"], 0, x["left"], x["right"], text[x["at"] : x["at"] + x["windows"] + length - 1])
+                    rows.append(own)
+                    if x["times"] > 1:
+                        rows.append((*own[:3], 1, *own[4:6], None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "piece" else pa.int64()) for c, n in zip(zip(*rows), names)], names)
+
+    kept = _in_shards(fetched.mapInArrow(cut_out, _PIECE), length, sort_bytes)
+    # Several ways may keep one piece; a place then counts twice in the same runs.
+    return _spread(places.select("doc_id", "mark", "m", "content", "at", "windows"), kept.unionByName(whole).unionByName(repeated_whole))
 
 
 def removed_runs(spans: list[dict] | None, length: int) -> np.ndarray:
