@@ -505,7 +505,7 @@ def fragment_plan(spark, d):
     return segments.plan_fragments(s, 7 * 86_400, TIMESCALE, anchor)
 
 
-MILLIS_SQL = SAMPLES_SQL + """, m AS (SELECT file, track_id, sample_index, dts // 1000 AS dts, coalesce(lead(dts // 1000) OVER (PARTITION BY track_id ORDER BY sample_index) - dts // 1000, 0) AS duration, size % 50 AS size, cts_delta, is_sync, dts // 1000 // 86400000 AS day FROM s)
+MILLIS_SQL = SAMPLES_SQL + """, m AS (SELECT file, track_id, sample_index, dts // 1000 AS dts, coalesce(lead(dts // 1000) OVER (PARTITION BY track_id ORDER BY sample_index) - dts // 1000, 0) AS duration, size % 50 AS size, cts_delta, is_sync, dts // 1000 // 604800000 AS week FROM s)
 """
 
 
@@ -514,7 +514,7 @@ def _millis(spark, d):
     w = Window.partitionBy(*KEYS).orderBy("sample_index")
     s = event_samples(spark, d).withColumn("dts", F.floor(F.col("dts") / 1000).cast("long"))
     s = s.withColumns({"duration": F.coalesce(F.lead("dts").over(w) - F.col("dts"), F.lit(0)).cast("long"), "size": F.col("size") % 50})
-    return s.withColumns({"segment_index": F.floor(F.col("dts") / 86_400_000).cast("long"), "data": F.unhex(F.repeat(F.lit("A5"), F.col("size").cast("int")))})
+    return s.withColumns({"segment_index": F.floor(F.col("dts") / 604_800_000).cast("long"), "data": F.unhex(F.repeat(F.lit("A5"), F.col("size").cast("int")))})
 
 
 @query("fragment_roundtrip", MILLIS_SQL + "SELECT file, track_id, sample_index, dts, duration, size, cts_delta, is_sync FROM m", samples=False)
@@ -528,7 +528,7 @@ def fragment_roundtrip(spark, d):
     return found.select(F.split("file", "/")[0].alias("file"), "track_id", "sample_index", "dts", "duration", "size", "cts_delta", "is_sync")
 
 
-@query("segment_sizes", MILLIS_SQL + "SELECT file, track_id, day AS segment_index, count(*) AS sample_count, CAST(sum(size) AS BIGINT) AS media_bytes, CAST(sum(duration) AS BIGINT) AS duration FROM m GROUP BY file, track_id, day", samples=False)
+@query("segment_sizes", MILLIS_SQL + "SELECT file, track_id, week AS segment_index, count(*) AS sample_count, CAST(sum(size) AS BIGINT) AS media_bytes, CAST(sum(duration) AS BIGINT) AS duration FROM m GROUP BY file, track_id, week", samples=False)
 def segment_sizes(spark, d):
     """Fragments written, and their sizes and durations read from their boxes."""
     from strobila.sources import boxes, writers
