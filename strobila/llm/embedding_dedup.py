@@ -25,7 +25,7 @@ from strobila.llm.components import connected_components
 from strobila.llm.simhash import _settle
 from strobila.llm.store import cut, table
 
-_TILE = 2048
+_TILE = 512
 _PAIRS = 1 << 16
 
 
