@@ -31,9 +31,8 @@ def fragment_samples(entries: DataFrame, traf: DataFrame, trex: DataFrame) -> Da
     has none), data_offset, first_flags. ``traf``: a row for each fragment of a track with its defaults, base offset and
     base time. ``trex``: a track's defaults. A value is the entry's own, else the fragment's, else the track's, else 0.
     """
-    t = traf.join(F.broadcast(trex), ["file", "track_id"], "left") if "default_duration_x" in trex.columns else traf.join(
-        trex.select("file", "track_id", *[F.col(c).alias(f"{c}_x") for c in ("default_description_index", "default_duration", "default_size", "default_flags")]), ["file", "track_id"], "left"
-    )
+    renamed = trex.select("file", "track_id", *[F.col(c).alias(f"{c}_x") for c in ("default_description_index", "default_duration", "default_size", "default_flags")])
+    t = traf.join(renamed, ["file", "track_id"], "left")
     rows = entries.join(t, ["file", "moof_offset", "traf_index"])
     zero = F.lit(0).cast("long")
     flags = F.coalesce(F.when(F.col("entry_index") == 0, F.col("first_flags")), F.col("flags"), F.col("default_flags"), F.col("default_flags_x"), zero)

@@ -62,7 +62,6 @@ def closest_sync(df: DataFrame, step: int, keys: list[str] = TRACK) -> DataFrame
     s = sync.select(*keys, F.col("dts").alias("_t"), F.lit(0).alias("_probe"), F.lit(None).cast("long").alias("segment_index"), "sample_index")
     both = t.unionByName(s)
     w = Window.partitionBy(*keys).orderBy("_t", "_probe", "sample_index")
-    mark = F.when(F.col("_probe") == 0, F.struct(F.col("_t").alias("dts"), "sample_index"))
     # Of several sync samples of one time before the target the earliest counts.
     first_of_time = F.min("sample_index").over(Window.partitionBy(*keys, "_t"))
     both = both.withColumn("_same", first_of_time)
