@@ -17,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strobila.llm.held import held
 from strobila.llm.store import table
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words of a worker's cache; it starts anew beyond.
-_CACHE = 300_000
-_SLICE = 8 << 20
+_CACHE = 150_000
+_SLICE = 1 << 20
 
 
 def fold(col: str, n: int):
@@ -145,18 +146,7 @@ def slices(texts: list, most: int = _SLICE) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
-_models: dict[str, object] = {}
-
-
-def held(key: str, broadcast):
-    """A broadcast model as this worker holds it, with its cache, from task to task; ``key`` is the model's own."""
-    if key not in _models:
-        _models.clear()
-        _models[key] = broadcast.value
-    return _models[key]
-
-
-def train(docs: DataFrame, most_docs: int = 4000, most_bytes: int = 1 << 15, seed: int = 4) -> BackoffModel:
+def train(docs: DataFrame, most_docs: int = 3000, most_bytes: int = 1 << 15, seed: int = 4) -> BackoffModel:
     """A model from a bounded sample of the rows with a text and a lang: ``most_docs`` texts of ``most_bytes`` at most."""
     return BackoffModel([(r["text"], r["lang"]) for r in sample_labelled(docs, "lang", most_docs, most_bytes, seed)])
 
@@ -169,7 +159,7 @@ def detect(docs: DataFrame, model: BackoffModel, text_col: str = "text") -> Data
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_text"))
 
     def work(batches):
-        model = held(key, shared)
+        model = held(key, lambda: shared.value)
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
             for s, e in slices(texts):

@@ -19,18 +19,20 @@ import zlib
 from collections.abc import Iterator
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from strobila.llm.held import held
 from strobila.llm.store import table
 
 SPACE = "▁"
 _INF = float("inf")
-_CACHE = 500_000
-#: Longer stretches without a space are segmented anew each time.
+#: Entries of a worker's caches, which start anew beyond; longer stretches are segmented anew each time.
+_CACHE = 200_000
 _KEEP = 48
 
 #: Fixed values of the model file's format: piece types and model types.
@@ -93,6 +95,13 @@ class PieceTransducer:
             for c in p:
                 node = node.setdefault(c, {})
             node[""] = p
+        # The same lexicon as a matcher that reads an input once and gives every piece where it ends.
+        self.matcher = ahocorasick.Automaton()
+        for p in self.ids:
+            self.matcher.add_word(p, p)
+        if self.ids:
+            self.matcher.make_automaton()
+        self.inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.spans_space = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.out = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else b" \xe2\x81\x87 " if t == UNKNOWN else p.encode() for p, _, t in self.pieces]
         self._spines: dict[str, tuple | None] = {}
@@ -140,7 +149,7 @@ class PieceTransducer:
         known = self._pairs.get((a, b))
         if known is not None:
             return known
-        if len(self._pairs) > 4 * _CACHE:
+        if len(self._pairs) > 2 * _CACHE:
             self._pairs.clear()
         sa, sb = self._spine(a), self._spine(b)
         good = sa is not None and sb is not None
@@ -178,6 +187,8 @@ class PieceTransducer:
     def path(self, text: str) -> list[str]:
         """Pieces along the shortest path through normalised ``text``; a character without a piece stands alone."""
         n, bigram = len(text), self.kind == BPE
+        if n and self.ids.keys() >= set(text):  # no fallback arc is needed
+            return self._matched(text, n, bigram)
         best: list[tuple[float, str, int] | None] = [None] * (n + 1)
         best[0] = (0.0, "", -1)
         trie, cost, pair = self.trie, self.cost, self.side_by_side
@@ -195,6 +206,8 @@ class PieceTransducer:
                     continue
                 single = single or to == at + 1
                 if bigram:
+                    if best[to] is not None:  # all finite paths weigh the same
+                        continue
                     if at and not pair(last, piece) or not at and self._spine(piece) is None:
                         continue
                     total = so_far
@@ -212,6 +225,39 @@ class PieceTransducer:
             out.append(piece)
         return out[::-1]
 
+    def _matched(self, text: str, n: int, bigram: bool) -> list[str]:
+        """``path`` where every character is a piece: arcs come in order of their ends."""
+        best: list[str | None] = [None] * (n + 1)
+        best[0] = ""
+        if bigram:
+            known, pair = self._pairs.get, self.side_by_side
+            for end, piece in self.matcher.iter(text):
+                if best[end + 1] is not None:  # all finite paths weigh the same
+                    continue
+                at = end + 1 - len(piece)
+                last = best[at]
+                if last is None:
+                    continue
+                if at:
+                    good = known((last, piece))
+                    if good is None:
+                        good = pair(last, piece)
+                else:
+                    good = self._spine(piece) is not None
+                if good:
+                    best[end + 1] = piece
+        else:
+            weight, cost = [0.0] + [_INF] * n, self.cost
+            for end, piece in self.matcher.iter(text):
+                total = weight[end + 1 - len(piece)] + cost[piece]
+                if total < weight[end + 1]:
+                    weight[end + 1], best[end + 1] = total, piece
+        out, at = [], n
+        while at > 0:
+            out.append(best[at])
+            at -= len(best[at])
+        return out[::-1]
+
     def normalise(self, text: str) -> str:
         if self.squeeze:
             text = re.sub(" +", " ", text).strip(" ")
@@ -233,12 +279,27 @@ class PieceTransducer:
         for part in parts:
             ids = cache.get(part)
             if ids is None:
-                ids = tuple(chain.from_iterable(map(self._emit, self.path(part))))
+                ids = self._segment(part)
                 if len(part) <= _KEEP:
                     cache[part] = ids
             out.append(ids)
         return list(chain.from_iterable(out))
 
+    def _segment(self, part: str) -> tuple[int, ...]:
+        """Ids of a stretch, cut where no piece holds the two characters side by side: no path crosses there."""
+        inside, cache = self.inside, self._cache
+        cuts = [k for k in range(1, len(part)) if part[k - 1 : k + 1] not in inside]
+        out: list[int] = []
+        for a, b in zip([0, *cuts], [*cuts, len(part)]):
+            piece = part[a:b]
+            ids = cache.get(piece)
+            if ids is None:
+                ids = tuple(chain.from_iterable(map(self._emit, self.path(piece))))
+                if len(piece) <= _KEEP:
+                    cache[piece] = ids
+            out += ids
+        return tuple(out)
+
     def decode(self, ids: list[int]) -> str:
         """The normalised text: bytes of the pieces, spaces restored, without the space put before the first word."""
         out = self.out
@@ -246,17 +307,6 @@ class PieceTransducer:
         return text[1:] if self.dummy and text[:1] == " " else text
 
 
-_compiled: dict[bytes, PieceTransducer] = {}
-
-
-def compiled(model: bytes) -> PieceTransducer:
-    """The model file's content as this worker compiled it, with its cache, from task to task."""
-    if model not in _compiled:
-        _compiled.clear()
-        _compiled[model] = PieceTransducer(model)
-    return _compiled[model]
-
-
 def default_model() -> str:
     import public_tokenizers
 
@@ -274,7 +324,7 @@ def encode(docs: DataFrame, model_path: str | None = None, text_col: str = "text
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = compiled(shared.value)
+        model = held(("pieces", shared.value), lambda: PieceTransducer(shared.value))
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
@@ -300,7 +350,7 @@ def decode(df: DataFrame, model_path: str | None = None, ids_col: str = "ids") -
     rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(ids_col).alias("_ids"))
 
     def work(batches):
-        model = compiled(shared.value)
+        model = held(("pieces", shared.value), lambda: PieceTransducer(shared.value))
         for b in batches:
             texts = [model.decode(x or []) for x in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*keep, "decoded"])
@@ -315,7 +365,7 @@ def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:
         shared = spark.sparkContext.broadcast(f.read())
 
     def work(batches):
-        model = compiled(shared.value)
+        model = held(("pieces", shared.value), lambda: PieceTransducer(shared.value))
         for b in batches:
             sizes, crcs, same = [], [], []
             for t in b.column(1):

@@ -25,6 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strobila.llm.held import held
 from strobila.llm.store import new_path, table, written
 
 #: Total of the scaled frequencies, lower bound of a coder's state, and bits that leave a state at once.
@@ -116,16 +117,6 @@ class WordTokens:
         return [apart[k] if k in apart else flat[a:b] for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
 
 
-_tokenizers: dict[str, WordTokens] = {}
-
-
-def _tokens_of(path: str) -> WordTokens:
-    if path not in _tokenizers:
-        _tokenizers.clear()
-        _tokenizers[path] = WordTokens(path)
-    return _tokenizers[path]
-
-
 # Coding
 
 
@@ -220,7 +211,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _tokens_of(path)
+        tokens = held(("tokens", path), lambda: WordTokens(path))
         counts = np.zeros(max(len(tokens.ends), end_id + 1), np.int64)
         pack = zstandard.ZstdCompressor(level=1, write_content_size=True).compress
         names = ["kind", "doc_id", "n_tokens", "ids"]

@@ -21,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strobila.llm.langid import fold, held, slices
+from strobila.llm.held import held
+from strobila.llm.langid import fold, slices
 from strobila.llm.quality import fit_logistic, labelled_sample
 from strobila.llm.store import table
 
 _WORD = re.compile(r"\w+")
-_CACHE = 400_000
+_CACHE = 200_000
 #: Letters of a word's beginning, which is a term too.
 _STEM = 5
 
@@ -144,7 +145,7 @@ def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text")
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held(key, shared)
+        model = held(key, lambda: shared.value)
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
             for s, e in slices(texts):
