@@ -137,27 +137,33 @@ class _Cell:
         if not self.ready:
             self.y = self.s.rotated(self.x)
             self.norm = np.sqrt((self.x**2).sum(1))
+            part = self._part(self.y)
+            # One product of these rows with those of probes is the squared distance.
+            self.wide = np.c_[-2 * part, (part**2).sum(1), np.ones(len(part), np.float32)].astype(np.float32)
             self.ready = True
 
+    def _part(self, y: np.ndarray) -> np.ndarray:
+        return y[:, self.s.cuts[self.block] : self.s.cuts[self.block + 1]].astype(np.float32)
+
     def links(self, rep, n, x) -> Iterator[pa.RecordBatch]:
         """Rows (u, v, n): a link of the forest with null n, or with null v the links of u that were found here."""
         if not len(self.rep):
             return
         self._prepare()
         s, block = self.s, self.block
-        a, b = s.cuts[block], s.cuts[block + 1]
+        b = s.cuts[block + 1]
         budget = s.budget * (1 + 1e-9) + 1e-12
         y, norm = s.rotated(x), np.sqrt((x**2).sum(1))
-        mine = self.y[:, a:b].astype(np.float32)
-        mine_sq = (mine**2).sum(1)
         for at in range(0, len(rep), _TILE):
-            own = y[at : at + _TILE, a:b].astype(np.float32)
-            near = mine_sq[:, None] + (own**2).sum(1)[None] - 2 * (mine @ own.T) <= np.float32(budget[block] + 1e-5)
-            near &= self.rep[:, None] > rep[None, at : at + _TILE]
-            i, j = np.nonzero(near)
+            own = self._part(y[at : at + _TILE])
+            own = np.c_[own, np.ones(len(own), np.float32), (own**2).sum(1)].astype(np.float32)
+            above = int(np.searchsorted(self.rep, rep[at], "right"))  # both sides are in order of their ids
+            i, j = np.nonzero(self.wide[above:] @ own.T <= np.float32(budget[block] + 1e-5))
+            i, j = i + above, j + at
+            later = self.rep[i] > rep[j]
+            i, j = i[later], j[later]
             if not len(i):
                 continue
-            j = j + at
             good = np.zeros(len(i), bool)
             for c in range(0, len(i), _PAIRS):
                 p, q = i[c : c + _PAIRS], j[c : c + _PAIRS]
