@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strobila.llm import langid, sentencepiece_fst
 from strobila.llm.decontaminate import drop_leaks
-from strobila.llm.simhash import fingerprints, near_groups
+from strobila.llm.similar import similar_groups
 from strobila.llm.store import cut, table
 from strobila.llm.suffix_dedup import without_repeats
 
@@ -25,10 +25,9 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest doc_id. Rows without doc_id go; of rows
-    that share the smallest doc_id all stay."""
-    groups = near_groups(cut(fingerprints(docs), "prints"))
-    keep = cut(groups.filter("doc_id = component_id").select("doc_id").distinct(), "kept")
+    """One document of each group of near copies (five-word shingles, similarity 0.8) stays: the one with the smallest
+    doc_id. Rows without doc_id go; of rows that share the smallest doc_id all stay."""
+    keep = cut(similar_groups(docs).filter("doc_id = component_id").select("doc_id"), "kept")
     return docs.join(keep, "doc_id", "left_semi").select(*COLUMNS)
 
 

@@ -25,17 +25,26 @@ _DIRECT = 1024
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: bytes | None, width: int = 3) -> int:
-    """SimHash of a text's word shingles, as an unsigned 64-bit number; 0 without words."""
+def shingles(text: bytes | None, width: int) -> np.ndarray:
+    """XXH64 of a text's word shingles in their order; a shorter text is one shingle, one without words none."""
     words = (text or b"").lower().split()  # on bytes: A-Z only, and the ASCII white space x20, x09-x0D
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     h = xxhash.xxh64_intdigest
     if len(words) < width:
         parts = [b" ".join(words)]
     else:
         parts = map(b" ".join, zip(*(words[i:] for i in range(width))))
-    hashes = np.array([h(p, 42) for p in parts], np.uint64)
+    return np.array([h(p, 42) for p in parts], np.uint64)
+
+
+def fingerprint(text: bytes | None, width: int = 3) -> int:
+    """SimHash of a text's word shingles, as an unsigned 64-bit number; 0 without words."""
+    return fold(shingles(text, width))
+
+
+def fold(hashes: np.ndarray) -> int:
+    """SimHash of hashes: every bit that more than half of them have."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _CHUNK):
         part = hashes[at : at + _CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -156,18 +165,22 @@ def _links(batches: Iterator[pa.RecordBatch], distance: int, masks: list[int]) -
         yield work(tuple(map(np.concatenate, zip(*held))))
 
 
+def close_links(distinct: DataFrame, distance: int = 3) -> DataFrame:
+    """(fp, rep) with distinct fps to links (u, v) of the reps that span the groups of close fingerprints."""
+    masks = block_masks(distance)
+    keys = F.array(*[F.struct(F.lit(k).alias("kind"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for k, m in enumerate(masks)])
+    dealt = distinct.filter("rep is not null").select("fp", "rep", F.explode(keys).alias("k")).select("k.kind", "k.key", "fp", "rep")
+    dealt = dealt.repartition("kind", "key").sortWithinPartitions("kind", "key")
+    return dealt.mapInArrow(lambda it: _links(it, distance, masks), "u long, v long")
+
+
 def near_groups(prints: DataFrame, distance: int = 3) -> DataFrame:
     """(doc_id, fp) to (doc_id, fp, component_id): the smallest doc_id reachable over links of close fingerprints.
 
     A row without doc_id takes the component of its fingerprint, null if no row with a doc_id has that fingerprint.
     """
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprints")
-    masks = block_masks(distance)
-    keys = F.array(*[F.struct(F.lit(k).alias("kind"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for k, m in enumerate(masks)])
-    dealt = distinct.filter("rep is not null").select("fp", "rep", F.explode(keys).alias("k")).select("k.kind", "k.key", "fp", "rep")
-    dealt = dealt.repartition("kind", "key").sortWithinPartitions("kind", "key")
-    edges = dealt.mapInArrow(lambda it: _links(it, distance, masks), "u long, v long")
-    comps = connected_components(edges)
+    comps = connected_components(close_links(distinct, distance))
     of_fp = cut(distinct.join(comps, distinct.rep == comps.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "fp-components")
     return prints.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
