@@ -3,9 +3,11 @@
 A seed reads the tokens of a window at the positions of a fixed mask and ignores the others, so it still matches where an
 ignored token was replaced. The seeds of the benchmark are joined with those of every text by their hash. Around every
 hit the text and the item are laid side by side, and the longest stretch in which at least ``similarity`` of the tokens
-agree is measured. A stretch of ``least`` tokens, or a whole shorter item of five tokens at least, is a leak.
+agree is measured. A stretch of ``least`` tokens, or a whole shorter item of five tokens at least, is a leak; its first and
+last tokens may be replaced ones.
 
-Any two replaced tokens in a window of 13 leave a hit of the first mask.
+Any two replaced tokens in a window of 13 leave a hit of the first mask. Items of 5 to 11 tokens have masks of their own, so
+that every fifth token of an item of any length can be replaced, wherever they are.
 """
 
 from __future__ import annotations
@@ -24,6 +26,14 @@ from strobila.llm.store import cut, table
 
 #: Positions that each mask reads.
 MASKS = ((0, 1, 3, 6, 7), (0, 1, 2, 4, 8), (0, 1, 2, 3, 4))
+#: The masks of items of so many tokens, where one or two replaced tokens could leave no hit of those above.
+SHORT_MASKS = {
+    5: ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4)),
+    6: ((0, 1, 2, 3), (0, 1, 3, 4)),
+    7: ((0, 1, 3, 4),),
+    **dict.fromkeys((8, 9, 10, 11), (*MASKS, (0, 1, 2, 4, 5))),
+}
+_ALL = tuple(dict.fromkeys((*MASKS, *(m for own in SHORT_MASKS.values() for m in own))))
 _WORD = re.compile(r"\w+")
 _BITS = 22
 
@@ -48,10 +58,12 @@ class SeedTable:
         rng = np.random.default_rng(9)
         self.noise = rng.integers(1, 2**63, len(words) + 1, np.uint64)
         self.steps = rng.integers(1, 2**62, 5, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.masks: set[tuple[int, ...]] = set()
         hashes, owner, place = [], [], []
         for k, item in enumerate(self.items):
-            for m, mask in enumerate(MASKS):
-                at, h = self._seeds(item, mask, m)
+            for mask in SHORT_MASKS.get(len(item), MASKS):
+                at, h = self._seeds(item, mask, _ALL.index(mask))
+                self.masks.add(mask)
                 hashes.append(h)
                 owner.append(np.full(len(at), k))
                 place.append(at)
@@ -81,8 +93,8 @@ class SeedTable:
     def overlaps(self, text: np.ndarray, doc_of: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document, item, first token, tokens, agreeing tokens) of the leaks in documents laid end to end."""
         lines: set[tuple[int, int, int]] = set()
-        for m, mask in enumerate(MASKS):
-            at, h = self._seeds(text, mask, m)
+        for mask in sorted(self.masks):
+            at, h = self._seeds(text, mask, _ALL.index(mask))
             near = self.filter[(h >> np.uint64(64 - _BITS)).astype(np.int64)]
             at, h = at[near], h[near]
             low, high = np.searchsorted(self.hash, h), np.searchsorted(self.hash, h, "right")
@@ -95,11 +107,17 @@ class SeedTable:
         for doc, k, shift in lines:
             item = self.items[k]
             lo, hi = max(0, int(starts[doc]) - shift), min(len(item), int(ends[doc]) - shift)
-            if hi - lo < min(self.least, len(item)):
+            need = min(self.least, len(item))
+            if hi - lo < need:
                 continue
-            run = self.longest(item[lo:hi] == text[shift + lo : shift + hi])
-            if run is None or run[1] < min(self.least, len(item)):
+            same = item[lo:hi] == text[shift + lo : shift + hi]
+            if same.sum() < self.similarity * need - 1e-9:
                 continue
+            run = self.longest(same)
+            if run is None or run[1] < need:
+                run = self.longest_loose(same)
+                if run[1] < need:
+                    continue
             found = (run[1], run[2], int(shift + lo + run[0] - starts[doc]))
             if found[:2] > best.get((doc, k), (0, 0, 0))[:2]:
                 best[doc, k] = found
@@ -125,8 +143,17 @@ class SeedTable:
                 best = (int(hits[i]), int(hits[j] - hits[i] + 1), j - i + 1)
         return best if best[1] else None
 
+    def longest_loose(self, same: np.ndarray) -> tuple[int, int, int]:
+        """Start, length and agreeing tokens of the longest stretch that agrees enough, whatever its ends do."""
+        count = np.r_[0, np.cumsum(same)]
+        gain = count - self.similarity * np.arange(len(count))
+        first = np.searchsorted(-np.minimum.accumulate(gain), -(gain + 1e-9))
+        size = np.arange(len(count)) - first
+        j = int(size.argmax())
+        return int(first[j]), int(size[j]), int(count[j] - count[first[j]])
 
-_WIDEST = max(m[-1] for m in MASKS)
+
+_WIDEST = max(m[-1] for m in _ALL)
 
 
 def _scan(batches: Iterator[pa.RecordBatch], seeds: SeedTable) -> Iterator[pa.RecordBatch]:
