@@ -58,7 +58,8 @@ STAGES = [
     ("SentencePiece encoding", to_pieces),
 ]
 
-#: No SQL states XXH64 fingerprints, trained models or piece ids; the stages are tested against brute force instead.
+#: No SQL states XXH64 fingerprints, trained models or piece ids; near-dedup
+#: is tested against brute force, other operators by themselves; run() as a whole is not.
 ORACLE_SQL = None
 
 

@@ -25,5 +25,5 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_token_file": op10_token_file,
 }
-#: No SQL states these: hashes, models, tokenizers and byte-level repeats are tested against brute force instead.
+#: No SQL states these: hashes, models, tokenizers and byte-level repeats. The functions below them have tests, the queries not.
 ORACLE_SQL: dict[str, str] = {}
