@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strobila.llm.langid import slices
-from strobila.llm.store import cut, table
+from strobila.llm.store import table
 
 #: Positions that each mask reads.
 MASKS = ((0, 1, 3, 6, 7), (0, 1, 2, 4, 8), (0, 1, 2, 3, 4))
@@ -118,10 +118,10 @@ class SeedTable:
                 run = self.longest_loose(same)
                 if run[1] < need:
                     continue
-            found = (run[1], run[2], int(shift + lo + run[0] - starts[doc]))
-            if found[:2] > best.get((doc, k), (0, 0, 0))[:2]:
-                best[doc, k] = found
-        return [(doc, self.ids[k], at, size, same) for (doc, k), (size, same, at) in sorted(best.items())]
+            # Of equally good places the first.
+            found = (run[1], run[2], -int(shift + lo + run[0] - starts[doc]))
+            best[doc, k] = max(found, best.get((doc, k), found))
+        return [(doc, self.ids[k], -at, size, same) for (doc, k), (size, same, at) in sorted(best.items())]
 
     def longest(self, same: np.ndarray) -> tuple[int, int, int] | None:
         """Start, length and agreeing tokens of the longest stretch that begins and ends in agreement and agrees enough."""
@@ -156,57 +156,74 @@ class SeedTable:
 _WIDEST = max(m[-1] for m in _ALL)
 
 
-def _scan(batches: Iterator[pa.RecordBatch], seeds: SeedTable) -> Iterator[pa.RecordBatch]:
+def _found(texts: list[str | None], seeds: SeedTable) -> Iterator[tuple[int, int, int, int, int]]:
+    """(place in ``texts``, item, first token, tokens, agreeing tokens) of all leaks."""
     get = seeds.words.get
+    for s, e in slices(texts):
+        parts, starts, ends, at = [], [], [], 0
+        for t in texts[s:e]:
+            found = [get(w, 0) for w in tokens(t)]
+            starts.append(at)
+            ends.append(at + len(found))
+            parts += found
+            parts += [0] * (_WIDEST + 1)  # no window crosses
+            at = len(parts)
+        flat = np.array(parts, np.int64)
+        doc_of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, at]))
+        for d, *rest in seeds.overlaps(flat, doc_of, np.array(starts), np.array(ends)):
+            yield s + d, *rest
+
+
+def _scan(batches: Iterator[pa.RecordBatch], seeds: SeedTable) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, texts = b.column(0), b.column(1).to_pylist()
-        out: list[tuple] = []
-        for s, e in slices(texts):
-            parts, starts, ends, at = [], [], [], 0
-            for t in texts[s:e]:
-                found = [get(w, 0) for w in tokens(t)]
-                starts.append(at)
-                ends.append(at + len(found))
-                parts += found
-                parts += [0] * (_WIDEST + 1)  # no window crosses
-                at = len(parts)
-            flat = np.array(parts, np.int64)
-            starts, ends = np.array(starts), np.array(ends)
-            doc_of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, at]))
-            out += [(ids[s + d].as_py(), *rest) for d, *rest in seeds.overlaps(flat, doc_of, starts, ends)]
+        out = [(b.column(0)[k].as_py(), *rest) for k, *rest in _found(b.column(1).to_pylist(), seeds)]
         cols = list(zip(*out)) if out else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "start_token", "n_tokens", "n_same"])
 
 
-def blocks_of(benchmark: DataFrame, most_rows: int = 50_000) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of ``most_rows``: one at a time comes to the driver, so a large benchmark takes more scans."""
+def _clean(batches: Iterator[pa.RecordBatch], seeds: SeedTable, at: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keep = np.ones(b.num_rows, bool)
+        keep[[k for k, *_ in _found(b.column(at).to_pylist(), seeds)]] = False
+        yield b.filter(pa.array(keep))
+
+
+def blocks_of(benchmark: DataFrame, most_rows: int = 50_000, most_bytes: int = 1 << 25) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of about ``most_rows`` and ``most_bytes`` of text: one at a time comes to the driver and is
+    broadcast, so a large benchmark takes more scans of the texts and no more memory."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).filter("item_id is not null and text is not null")
-    total = rows.count()
-    n = max(1, -(-total // most_rows))
+    total, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = max(1, -(-total // most_rows), -(-size // most_bytes))
     for k in range(n):
-        part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
+        part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         yield [(r[0], r[1]) for r in part.collect()]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 13, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every (doc_id, item_id) with its longest overlap: start_token, n_tokens, n_same.
+def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 13, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **blocks) -> DataFrame:
+    """Every (doc_id, item_id) with its longest overlap: start_token, n_tokens, n_same; of equally long ones that with the
+    most agreeing tokens, then the first.
 
-    Null texts and items, and items of fewer than five tokens, overlap with nothing.
+    Null and empty texts and items, and items of fewer than five tokens, overlap with nothing; empty tables give no rows.
+    Repeated rows of ``docs`` appear as often as they occur, a row without doc_id with a null one. Other columns of either
+    table are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
-    for items in blocks_of(benchmark):
+    for items in blocks_of(benchmark, **blocks):
         shared = spark.sparkContext.broadcast(SeedTable(items, least, similarity))  # a bounded block of items
         found = rows.mapInArrow(lambda it, shared=shared: _scan(it, shared.value), "doc_id long, item_id long, start_token long, n_tokens long, n_same long")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without those that hold a benchmark item."""
-    bad = cut(leaks(docs, benchmark, **options).select("doc_id").distinct(), "leaks")
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: int = 13, similarity: float = 0.8, text_col: str = "text", **blocks) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark item, whatever their doc_id: rows are judged where they are read."""
+    at = docs.columns.index(text_col)
+    for items in blocks_of(benchmark, **blocks):
+        shared = docs.sparkSession.sparkContext.broadcast(SeedTable(items, least, similarity))  # a bounded block of items
+        docs = docs.mapInArrow(lambda it, shared=shared: _clean(it, shared.value, at), docs.schema)
+    return docs
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:

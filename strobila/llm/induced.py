@@ -21,8 +21,9 @@ import numpy as np
 
 #: Tuples of a wave that are handled at once.
 _WAVE = 1 << 16
-#: Names are sorted in memory below this many.
-_BASE = 1 << 24
+#: Names are sorted in memory up to this many, by recursion beyond; and tuples that a queue holds in memory.
+_BASE = 1 << 20
+_HELD = 1 << 20
 
 
 class SymbolQueue:
@@ -112,15 +113,14 @@ def types(text: np.ndarray) -> np.ndarray:
 
 
 class _Words:
-    """Four symbols of a text at every position as one word, for comparing suffixes."""
+    """Four symbols of a text at every position as one word, for comparing suffixes; the words overlap in memory."""
 
     def __init__(self, text: np.ndarray):
-        n = len(text)
-        padded = np.zeros(n + 8, np.uint64)
-        padded[:n] = text
-        padded[:n] += np.uint64(1)  # 0 is beyond the end
-        self.n, k = n, n + 4
-        self.words = padded[:k] << np.uint64(48) | padded[1 : k + 1] << np.uint64(32) | padded[2 : k + 2] << np.uint64(16) | padded[3 : k + 3]
+        self.n = len(text)
+        padded = np.zeros(self.n + 8, "<u2")
+        padded[: self.n] = text
+        padded[: self.n] += 1  # 0 is beyond the end
+        self.words = np.ndarray((self.n + 5,), "<u8", padded, 0, (2,))
 
     def shared(self, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
         out = np.zeros(len(a), np.int32)
@@ -130,7 +130,10 @@ class _Words:
             other = x != 0
             if other.any():
                 y = x[other]
-                out[live[other]] = at + (y < 1 << 48).astype(np.int32) + (y < 1 << 32) + (y < 1 << 16)
+                same = (y & np.uint64(0xFFFF)) == 0
+                for low in (0xFFFFFFFF, 0xFFFFFFFFFFFF):
+                    same = same.astype(np.int32) + ((y & np.uint64(low)) == 0)
+                out[live[other]] = at + same
                 live = live[~other]
                 if not len(live):
                     break
@@ -194,7 +197,7 @@ def _rank_by_doubling(names: np.ndarray, depth: int) -> np.ndarray:
 class SuffixSorter:
     """Sorts the suffixes of one shard. ``memory``: tuples that each queue holds before it goes to disk."""
 
-    def __init__(self, depth: int, memory: int = 1 << 24, base: int = _BASE):
+    def __init__(self, depth: int, memory: int = _HELD, base: int = _BASE):
         self.depth, self.memory, self.base = depth, memory, base
 
     def ordered(self, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -374,7 +377,7 @@ class SuffixSorter:
         done.close()
 
 
-def repeated(text: np.ndarray, depth: int, memory: int = 1 << 24, base: int = _BASE) -> np.ndarray:
+def repeated(text: np.ndarray, depth: int, memory: int = _HELD, base: int = _BASE) -> np.ndarray:
     """True at every position whose first ``depth`` symbols also start elsewhere in ``text``."""
     out = np.zeros(len(text), bool)
     last = None

@@ -146,7 +146,8 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     heads = dealt.groupBy("key").agg(F.min("u").alias("v"), F.count("*").alias("n")).filter("n > 1").select("key", "v")
     banded = dealt.join(heads, "key").filter("u != v").select("u", "v")
     met = connected_components(close_links(by_fp).unionByName(equal).unionByName(banded))
-    rows = docs.join(met, docs.doc_id == met.node).select("component", "doc_id", "text")
+    # A hint, so that few rows and many have one plan; ids are the side that is built.
+    rows = docs.join(met.hint("shuffle_hash"), docs.doc_id == met.node).select("component", "doc_id", "text")
     links = rows.repartition("component").sortWithinPartitions("component").mapInArrow(_verified, "u long, v long")
     comps = connected_components(links)
     reps = sets.select("rep").distinct()

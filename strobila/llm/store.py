@@ -1,7 +1,7 @@
 """Where the operators read tables and keep intermediate results.
 
-Intermediate tables go to the folder that ``spark.checkpoint.dir`` names, which every executor can reach.
-Only where that setting is absent (local tests) is a temporary folder of this process used instead.
+Intermediate tables go to the folder that ``spark.checkpoint.dir`` names, which every executor can reach. Without that
+setting only a local master has a folder that all tasks share, a temporary one; a cluster without it is refused.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Makes Spark delete a finished query's shuffle files at once.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="strobila-"))
     return root.rstrip("/")
 
@@ -39,6 +43,14 @@ def _hadoop(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no column of ``taken`` has it."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         p, fs = _hadoop(spark, path)
@@ -46,10 +58,18 @@ def remove(spark: SparkSession, *paths: str) -> None:
 
 
 def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """``df`` written as Parquet to the shared folder and read back, with its path: lineage ends there."""
+    """``df`` written as Parquet to the shared folder and read back, with its path: lineage ends there.
+
+    The shuffle files behind it are not read again, so they go as soon as the table is whole.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before) if before else spark.conf.unset(_CLEAN)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -1,18 +1,19 @@
 """Removal of long repeated strings by sorted suffixes, sharded so that equal strings meet.
 
-Every window of ``length`` bytes is dealt by its minimizer, the smallest hashed k-gram in it, which equal windows share.
-A run of windows with one minimizer is a piece of text, and all windows of a value of the minimizer come to one shard.
-
-1. Minimizers are counted, with the least and the greatest hash of their pieces. Those that occur twice or more go into
-   bit filters of bounded size. If there are more of them than a few filters hold well, the pieces' places are joined
-   with the counts instead, and one text of each different piece is fetched by a join on its document.
-2. Pieces whose minimizer has different pieces go to its shard, equal pieces of a task once. Every shard sorts the
-   suffixes of its pieces by external induced sorting (``induced``), a few megabytes at a time, and keeps the windows
-   that share ``length`` bytes with a neighbour, or whose whole piece occurs more than once. Where all pieces of a
-   minimizer are one, its suffixes have only their own copies beside them, so there is nothing to sort.
-3. The places of all pieces are joined with what the shards kept, gathered for each text, and cut out.
-
-Strings are judged on the input, matches never cross texts, and a null text is empty.
+Every window of ``length`` bytes is known by its minimizer, the smallest hashed k-gram in it, which equal windows share.
+A run of windows with one minimizer is a piece of text. Equal windows also share the bytes from their minimizer to half
+a window before it or after it: a side. There is one plan at all sizes, in shuffled joins on narrow rows:
+
+1. The places of all pieces are written, counted by minimizer, and those of repeated minimizers stay. Where all pieces
+   of a minimizer are one, every window of it is repeated, and there is nothing to sort.
+2. Of the others, each different piece is cut out of one text. A piece that shares no side with a different one shares
+   no window either and is left out, so a short line in very many contexts makes no shard.
+3. The rest is dealt by side. Every shard sorts the suffixes of its pieces by external induced sorting (``induced``),
+   about a megabyte at a time or a whole side, and keeps the windows that share ``length`` bytes with a neighbour.
+4. The places are joined with what the shards kept, gathered for each text, and cut out.
+
+Strings are judged on the input, matches never cross texts, and a null text is empty. Rows of one id and one text are
+so many documents, and share their result.
 """
 
 from __future__ import annotations
@@ -22,21 +23,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strobila.llm.induced import repeated
-from strobila.llm.store import cut, table, written
+from strobila.llm.store import cut, fresh, remove, table, written
 
 _GRAM = 32
 _POS = 20
 _SLICE = (1 << _POS) - 1
-#: Bytes of pieces whose suffixes are sorted together, at the end of a minimizer's group.
+#: Bytes of pieces whose suffixes are sorted together, at the end of a side's group.
 _SORT_BYTES = 1 << 20
-_SEEN = 1_000_000
-_MOST_BITS = 28
-#: Passes with a filter each, before joins take their place.
-_MOST_PASSES = 4
+#: Texts of a task that are remembered, so that repeated rows are cut up once.
+_SEEN = 100_000
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -47,13 +47,12 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     return x
 
 
-def runs(data: np.ndarray, owner_ends: np.ndarray, length: int, sides: bool = False) -> tuple[np.ndarray, ...]:
-    """Of texts laid end to end, ending at ``owner_ends``: first window, windows, minimizer and content hash of each run,
-    and with ``sides`` hashes of the halves of a window before and after the minimizer, 0 where the run has none."""
-    empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), *(np.zeros(0, np.uint64) for _ in range(4 if sides else 2)))
+def runs(data: np.ndarray, owner_ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Of texts laid end to end, ending at ``owner_ends``: first window, windows, minimizer, content hash and place of the
+    minimizer of each run."""
     n = len(data) - length + 1
     if n <= 0:
-        return empty
+        return (*(np.zeros(0, np.int64) for _ in range(2)), *(np.zeros(0, np.uint64) for _ in range(2)), np.zeros(0, np.int64))
     gram = data.astype(np.uint64) + np.uint64(1)
     span, power = 1, 0x100000001B3
     while span < _GRAM:
@@ -75,8 +74,6 @@ def runs(data: np.ndarray, owner_ends: np.ndarray, length: int, sides: bool = Fa
     head = good.copy()
     head[1:] &= (place[1:] != place[:-1]) | ~good[:-1]
     start = np.flatnonzero(head)
-    if not len(start):
-        return empty
     stop = good.copy()
     stop[:-1] &= (place[1:] != place[:-1]) | ~good[1:]
     windows = np.flatnonzero(stop) - start + 1
@@ -87,17 +84,7 @@ def runs(data: np.ndarray, owner_ends: np.ndarray, length: int, sides: bool = Fa
     a = s1[end] - s1[start]
     b = s2[end] - s2[start] - a * start.astype(np.uint64)
     content = _mix(a ^ _mix(b, 13), 17) + windows.astype(np.uint64)
-    gram_at = place[start]
-    if not sides:
-        return start, windows, order[gram_at], content
-    # The half of a window's other bytes before the minimizer, and after it: every window holds one of the two.
-    half, halves = (length - _GRAM) // 2, []
-    for low_at, fits in ((gram_at - half, gram_at - half >= start), (gram_at, gram_at + half <= end - 1)):
-        x = np.where(fits, low_at, 0)
-        a = s1[x + half + 1] - s1[x]
-        b = s2[x + half + 1] - s2[x] - a * x.astype(np.uint64)
-        halves.append(np.where(fits, _mix(a ^ _mix(b, 19), 23) | np.uint64(1), np.uint64(0)))
-    return start, windows, order[gram_at], content, *halves
+    return start, windows, order[place[start]], content, place[start] - start
 
 
 def _slices(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -130,226 +117,156 @@ def _slices(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndar
         at = to
 
 
-def _count(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _places(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for data, ends, _, _ in _slices(b.column(0), length):
-            _, _, m, content = runs(data, ends, length)
-            m, content = m.view(np.int64), content.view(np.int64)
-            order = np.lexsort((content, m))
-            m, content = m[order], content[order]
-            first = np.flatnonzero(np.r_[True, m[1:] != m[:-1]]) if len(m) else np.zeros(0, np.int64)
-            last = np.r_[first[1:], len(m)] - 1 if len(m) else first
-            yield pa.RecordBatch.from_arrays([pa.array(m[first]), pa.array(last - first + 1), pa.array(content[first]), pa.array(content[last])], ["m", "n", "lo", "hi"])
+        for data, ends, rows, skipped in _slices(b.column(0), length):
+            start, windows, m, content, gram = runs(data, ends, length)
+            if not len(start):
+                continue
+            own = np.searchsorted(ends, start, "right")
+            at = start - np.r_[0, ends[:-1]][own] + skipped[own]
+            take = pa.array(rows[own])
+            yield pa.RecordBatch.from_arrays([b.column(1).take(take), b.column(2).take(take), pa.array(m.view(np.int64)), pa.array(content.view(np.int64)), pa.array(at), pa.array(windows, pa.int32()), pa.array(gram, pa.int32())], _names(_PLACE))
 
 
-class Filter:
-    """Bits of the repeated minimizers of one range."""
+_PLACE = "id long, mark long, m long, content long, at long, windows int, gram int"
+_PIECE = "m long, content long, times long, windows int, left long, right long, piece binary"
+_KEPT = "m long, content long, first long, last long"
 
-    def __init__(self, bits: int, words: np.ndarray, passes: int, which: int):
-        self.bits, self.words, self.passes, self.which = bits, words, passes, which
 
-    def __call__(self, m: np.ndarray) -> np.ndarray:
-        at = m >> np.uint64(64 - self.bits)
-        hit = (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
-        return (hit == 1) & (m % np.uint64(self.passes) == self.which)
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], length: int, keep: Filter) -> Iterator[pa.RecordBatch]:
-    """(m, content, windows, more, left, right, piece): an equal piece of this task once, and once more, without text, as a mark."""
-    seen: dict[tuple[int, int], int] = {}
-    names = ["m", "content", "windows", "more", "left", "right", "piece"]
-    for b in batches:
-        for data, ends, _, _ in _slices(b.column(0), length):
-            start, windows, m, content, left, right = runs(data, ends, length, sides=True)
-            ok = np.flatnonzero(keep(m))
-            out = []
-            for k in ok:
-                key = (int(m[k]), int(content[k]))
-                times = seen.get(key, 0)
-                if times < 2:
-                    seen[key] = times + 1
-                    s = start[k]
-                    out.append((k, times, None if times else data[s : s + windows[k] + length - 1].tobytes()))
-            if len(seen) > _SEEN:
-                seen.clear()
-            if out:
-                k = np.array([x[0] for x in out])
-                yield pa.RecordBatch.from_arrays([pa.array(m[k].view(np.int64)), pa.array(content[k].view(np.int64)), pa.array(windows[k]), pa.array([x[1] for x in out], pa.int64()), pa.array(left[k].view(np.int64)), pa.array(right[k].view(np.int64)), pa.array([x[2] for x in out], pa.binary())], names)
+def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """(id, mark, text, places) to pieces with hashes of their sides; a side that a piece has not whole is 0."""
+    half, seen = (length - _GRAM) // 2, set()
+    h = xxhash.xxh64_intdigest
 
+    def side(part: bytes, size: int, seed: int) -> int:
+        return (h(part, seed) | 1) - (1 << 63) if len(part) == size else 0
 
-def _places(batches: Iterator[pa.RecordBatch], length: int, keep: Filter, sides: bool = False) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "mark", "m", "content", "at", "windows"] + ["left", "right"] * sides
     for b in batches:
-        for data, ends, rows, skipped in _slices(b.column(0), length):
-            start, windows, m, content, *halves = runs(data, ends, length, sides)
-            ok = np.flatnonzero(keep(m))
-            if not len(ok):
+        rows = []
+        for key, mark, text, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+            if (key, mark) in seen:
                 continue
-            own = np.searchsorted(ends, start[ok], "right")
-            at = start[ok] - np.r_[0, ends[:-1]][own] + skipped[own]
-            take = pa.array(rows[own])
-            yield pa.RecordBatch.from_arrays([b.column(1).take(take), b.column(2).take(take), pa.array(m[ok].view(np.int64)), pa.array(content[ok].view(np.int64)), pa.array(at), pa.array(windows[ok]), *[pa.array(h[ok].view(np.int64)) for h in halves]], names)
+            if len(seen) > _SEEN:
+                seen.clear()
+            seen.add((key, mark))
+            text = memoryview(text.as_buffer())
+            for x in places.as_py():
+                piece = bytes(text[x["at"] : x["at"] + x["windows"] + length - 1])
+                g = x["gram"]
+                left = side(piece[max(0, g - half) : g + _GRAM], half + _GRAM, 1)
+                rows.append((x["m"], x["content"], x["times"], x["windows"], left, side(piece[g : g + _GRAM + half], half + _GRAM, 2), piece))
+        if rows:
+            kinds = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 2 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], _names(_PIECE))
 
 
 def _sorted_shard(batches: Iterator[pa.RecordBatch], length: int, sort_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Pieces in order of (m, content) to the repeated windows of each, as runs of starts in the piece."""
-    keys: list[list[int]] = []  # m, content, windows, hashes of the two sides, occurrences
-    texts: list[bytes] = []
+    """(side, m, content, times, windows, piece) in order of the first three to the repeated windows of each piece, as
+    runs of starts in it. Pieces that occur more than once are sorted for the sake of the others."""
+    held: list[tuple[np.ndarray, ...]] = []  # m, content, times, windows, sizes, bytes
     size = 0
 
-    def met(m: np.ndarray, side: np.ndarray) -> np.ndarray:
-        """Where another piece of the minimizer has the same side."""
-        order = np.lexsort((side, m))
-        same = (m[order][1:] == m[order][:-1]) & (side[order][1:] == side[order][:-1]) & (side[order][1:] != 0)
-        out = np.zeros(len(m), bool)
-        out[order] = np.r_[False, same] | np.r_[same, False]
-        return out
-
     def work() -> pa.RecordBatch:
-        table_ = np.array(keys, np.int64)
-        # A window that another piece holds too brings one of its sides along, so a piece that shares neither has none.
-        live = np.flatnonzero(met(table_[:, 0], table_[:, 3]) | met(table_[:, 0], table_[:, 4]))
-        whole = np.zeros(sum(len(texts[k]) + 1 for k in live), np.uint16)
-        at, begins = 0, {}
-        for k in live.tolist():
-            t = texts[k]
-            whole[at : at + len(t)] = np.frombuffer(t, np.uint8)
-            whole[at : at + len(t)] += 1  # 0 ends a piece
-            begins[k] = at
-            at += len(t) + 1
-        again = repeated(whole, length)
-        out = []
-        for k, (m, content, windows, _, _, times) in enumerate(keys):
-            if times > 1:
-                out.append((m, content, [0], [windows]))
-            elif k in begins:
-                hit = again[begins[k] : begins[k] + windows]
-                if hit.any():
-                    edge = np.flatnonzero(np.diff(np.r_[False, hit, False]))
-                    out.append((m, content, edge[::2].tolist(), edge[1::2].tolist()))
-        cols = list(zip(*out)) if out else [[]] * 4
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["m", "content", "first", "last"])
-
+        m, content, times, windows, sizes, data = (np.concatenate(c) for c in zip(*held))
+        # A piece that came by both its sides must not meet itself.
+        order = np.lexsort((content, m))
+        once = np.ones(len(m), bool)
+        once[order[1:]] = (m[order][1:] != m[order][:-1]) | (content[order][1:] != content[order][:-1])
+        data = data[np.repeat(once, sizes)]
+        m, content, times, windows, sizes = (c[once] for c in (m, content, times, windows, sizes))
+        begins = np.cumsum(sizes + 1) - sizes - 1
+        text, at = np.zeros(len(data) + len(sizes), np.uint16), 0  # 0 ends a piece
+        for to, n in zip(begins.tolist(), sizes.tolist()):
+            text[to : to + n] = data[at : at + n]
+            text[to : to + n] += 1
+            at += n
+        del data
+        hit = np.r_[repeated(text, length), False]
+        inside = np.zeros(len(hit) + 1, np.int8)
+        alone = times == 1
+        np.add.at(inside, begins[alone], 1)
+        np.add.at(inside, (begins + windows)[alone], -1)
+        hit &= np.cumsum(inside[:-1], dtype=np.int8) > 0
+        edge = np.flatnonzero(np.diff(np.r_[False, hit].astype(np.int8)))
+        first, last = edge[::2], edge[1::2]
+        k = np.searchsorted(begins, first, "right") - 1
+        return pa.RecordBatch.from_arrays([pa.array(m[k]), pa.array(content[k]), pa.array(first - begins[k]), pa.array(last - begins[k])], _names(_KEPT))
+
+    last = None
     for b in batches:
         if not b.num_rows:
             continue
-        m, content, windows, _, left, right = (b.column(k).to_numpy() for k in range(6))
-        turn = np.r_[not keys or keys[-1][0] != m[0] or keys[-1][1] != content[0], (m[1:] != m[:-1]) | (content[1:] != content[:-1])]
-        heads = np.flatnonzero(turn)
-        if not turn[0]:
-            keys[-1][5] += int(heads[0]) if len(heads) else len(m)
-        column = b.column(6)
-        for s, e in zip(heads.tolist(), [*heads[1:].tolist(), len(m)]):
-            if keys and keys[-1][0] != m[s] and size >= sort_bytes:
+        side, m, content, times, windows = (b.column(k).to_numpy() for k in range(5))
+        new = np.r_[True, (side[1:] != side[:-1]) | (m[1:] != m[:-1]) | (content[1:] != content[:-1])]
+        if last is not None:
+            new[0] = last != (side[0], m[0], content[0])
+        turn = np.r_[last is None or last[0] != side[0], side[1:] != side[:-1]]
+        column = b.column(5)
+        ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
+        data = np.frombuffer(column.buffers()[2], np.uint8)
+        cuts = np.flatnonzero(turn)
+        for s, e in zip(np.unique(np.r_[0, cuts]), np.r_[cuts[cuts > 0], len(side)]):
+            if turn[s] and size >= sort_bytes:
                 yield work()
-                keys, texts, size = [], [], 0
-            keys.append([int(m[s]), int(content[s]), int(windows[s]), int(left[s]), int(right[s]), e - s])
-            texts.append(column[s].as_py())  # rows of one piece begin with its text
-            size += len(texts[-1])
-    if keys:
+                held, size = [], 0
+            k = np.arange(s, e)[new[s:e]]
+            if len(k):
+                sizes = ends[k + 1] - ends[k]
+                at = np.repeat(ends[k] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+                held.append((m[k], content[k], times[k], windows[k], sizes, data[at]))
+                size += len(at)
+        last = (side[-1], m[-1], content[-1])
+    if held:
         yield work()
 
 
-def _filter(counts: DataFrame, bits: int, passes: int, which: int) -> Filter:
-    """A bit filter of the minimizers m with m mod passes = which."""
-    # On the unsigned value: (high * 2**32 + low) mod passes.
-    high, low = F.shiftrightunsigned("m", 32), F.col("m").bitwiseAND(F.lit(0xFFFFFFFF))
-    own = (high % passes * ((1 << 32) % passes) + low % passes) % passes == which
-    words = counts.filter(own).select(F.shiftrightunsigned("m", 64 - bits).alias("q")).select(F.shiftrightunsigned("q", 6).alias("w"), F.expr("shiftleft(1L, cast(q & 63 as int))").alias("bit"))
-    found = words.groupBy("w").agg(F.expr("bit_or(bit)").alias("bits")).toArrow()
-    table_ = np.zeros((1 << bits) // 64 + 1, np.uint64)
-    table_[found.column("w").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    return Filter(bits, table_, passes, which)
-
-
-def repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", sort_bytes: int = _SORT_BYTES, by_filter: bool | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): rows are ``docs`` with ``_mark``, a hash of the text; spans are (doc_id, mark, first, last).
+def repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", sort_bytes: int = _SORT_BYTES) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(rows, spans, names): rows are ``docs`` with two columns, named ``names``, an id and a hash of the text; spans are
+    (id, mark, spans) by the same id and hash.
 
-    ``first`` and ``last`` are arrays: every window that starts in first[i] <= at < last[i] of the text also starts
-    elsewhere. Rows of one doc_id and one text share their spans. A null doc_id counts as the least long. ``by_filter``:
-    the way of step 1, by the number of minimizers unless given; the spans are the same.
+    ``spans`` is an array of (first, last): every window that starts in first <= at < last of the text also starts
+    elsewhere. A null doc_id counts as the least long.
     """
     if length < _GRAM:
         raise ValueError(f"repeats of fewer than {_GRAM} bytes are not sought")
+    spark = docs.sparkSession
+    names = [fresh("_key", docs.columns), fresh("_mark", docs.columns)]
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    rows = docs.withColumns({"_key": key, "_mark": F.xxhash64(F.col(text_col))})
-    texts = rows.select(F.col(text_col).cast("binary").alias("text"), "_key", "_mark")
-    own = texts.select("text").mapInArrow(lambda it: _count(it, length), "m long, n long, lo long, hi long")
-    own = own.groupBy("m").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    counts = cut(own.filter("n > 1"), "minimizers")
-    total = counts.count()
-    bits = int(min(_MOST_BITS, max(16, np.ceil(np.log2(8 * total + 1)))))
-    passes = max(1, -(-total // ((1 << bits) // 8)))
-    whole = counts.filter("lo = hi").select("m", F.col("lo").alias("content"), F.lit(None).cast("array<long>").alias("first"), F.lit(None).cast("array<long>").alias("last"))
-    if by_filter if by_filter is not None else passes <= _MOST_PASSES:
-        found = _by_filters(texts, counts, whole, length, sort_bytes, bits, passes)
-    else:
-        found = _by_joins(texts, counts, whole, length, sort_bytes)
-    spans = found.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list(F.arrays_zip("first", "last"))).alias("spans"))
-    return rows, cut(spans.select("doc_id", "mark", "spans"), "spans")
-
-
-_PLACE = "doc_id long, mark long, m long, content long, at long, windows long"
-_PIECE = "m long, content long, windows long, more long, left long, right long, piece binary"
-_KEPT = "m long, content long, first array<long>, last array<long>"
-
-
-def _spread(places: DataFrame, kept: DataFrame) -> DataFrame:
-    """What the shards kept of a piece, at all its places."""
-    first, last = F.coalesce("first", F.array(F.lit(0).cast("long"))), F.coalesce("last", F.array("windows"))
-    return places.join(kept, ["m", "content"]).select("doc_id", "mark", F.transform(first, lambda x: x + F.col("at")).alias("first"), F.transform(last, lambda x: x + F.col("at")).alias("last"))
-
-
-def _in_shards(pieces: DataFrame, length: int, sort_bytes: int) -> DataFrame:
-    dealt = pieces.repartition("m").sortWithinPartitions("m", "content", "more")
-    return cut(dealt.mapInArrow(lambda it: _sorted_shard(it, length, sort_bytes), _KEPT), "repeated")
-
-
-def _by_filters(texts: DataFrame, counts: DataFrame, whole: DataFrame, length: int, sort_bytes: int, bits: int, passes: int) -> DataFrame:
-    context, found = texts.sparkSession.sparkContext, None
-    for which in range(passes):
-        every = context.broadcast(_filter(counts, bits, passes, which))  # at most 32 MiB
-        mixed = context.broadcast(_filter(counts.filter("lo < hi"), bits, passes, which))
-        kept = _in_shards(texts.select("text").mapInArrow(lambda it, s=mixed: _pieces(it, length, s.value), _PIECE), length, sort_bytes)
-        places = texts.mapInArrow(lambda it, s=every: _places(it, length, s.value), _PLACE)
-        # The filters let some other minimizers pass: their pieces repeat the same windows twice, or none at all.
-        own = _spread(places, kept.unionByName(whole))
-        found = own if found is None else found.unionByName(own)
-    return found
-
-
-def _by_joins(texts: DataFrame, counts: DataFrame, whole: DataFrame, length: int, sort_bytes: int) -> DataFrame:
-    """Everything by shuffled joins on narrow rows, so that nothing grows with the input but the shuffles. A piece that
-    shares no side with another of its minimizer is left out before it is dealt, so a short line in very many contexts
-    makes no large shard."""
-    pass_all = Filter(6, np.full(2, (1 << 64) - 1, np.uint64), 1, 0)
-    sided = texts.mapInArrow(lambda it: _places(it, length, pass_all, sides=True), _PLACE + ", left long, right long")
-    places = cut(sided.join(counts.withColumn("mixed", F.col("lo") < F.col("hi")).select("m", "mixed"), "m"), "places")
-    one = F.min(F.struct("doc_id", "mark", "at", "windows", "left", "right")).alias("one")
-    different = cut(places.filter("mixed").groupBy("m", "content").agg(F.count("*").alias("times"), one), "pieces")
-    sides = different.select("m", "content", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("one.left").alias("side")), F.struct(F.lit(1).alias("kind"), F.col("one.right").alias("side")))).alias("x")).select("m", "content", "x.kind", "x.side").filter("side <> 0")
-    met = sides.groupBy("m", "kind", "side").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).filter("lo < hi").select("m", "kind", "side")
-    live = sides.join(met, ["m", "kind", "side"], "left_semi").select("m", "content").distinct()
-    repeated_whole = different.filter("times > 1").select("m", "content", F.lit(None).cast("array<long>").alias("first"), F.lit(None).cast("array<long>").alias("last"))
-    wanted = different.join(live, ["m", "content"]).groupBy(F.col("one.doc_id").alias("_key"), F.col("one.mark").alias("_mark")).agg(F.collect_list(F.struct("m", "content", "times", "one.at", "one.windows", "one.left", "one.right")).alias("pieces"))
-    fetched = texts.dropDuplicates(["_key", "_mark"]).join(wanted, ["_key", "_mark"]).select("text", "pieces")
-
-    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in _PIECE.split(", ")]
-        for b in batches:
-            for text, pieces in zip(b.column(0), b.column(1)):
-                text, rows = text.as_py(), []
-                for x in pieces.as_py():
-                    own = (x["m"], x["content"], x["windows"], 0, x["left"], x["right"], text[x["at"] : x["at"] + x["windows"] + length - 1])
-                    rows.append(own)
-                    if x["times"] > 1:
-                        rows.append((*own[:3], 1, *own[4:6], None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "piece" else pa.int64()) for c, n in zip(zip(*rows), names)], names)
-
-    kept = _in_shards(fetched.mapInArrow(cut_out, _PIECE), length, sort_bytes)
-    # Several ways may keep one piece; a place then counts twice in the same runs.
-    return _spread(places.select("doc_id", "mark", "m", "content", "at", "windows"), kept.unionByName(whole).unionByName(repeated_whole))
+    rows = docs.withColumns({names[0]: key, names[1]: F.xxhash64(F.col(text_col))})
+    texts = rows.select(F.col(text_col).cast("binary").alias("text"), F.col(names[0]).alias("id"), F.col(names[1]).alias("mark"))
+
+    # Hash joins build on the narrow side; a hint, so that the plan is the same for few rows and for many.
+    places, places_path = written(texts.mapInArrow(lambda it: _places(it, length), _PLACE), "places")
+    counts = places.groupBy("m").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi"))
+    counts = counts.filter("n > 1").select("m", (F.col("lo") < F.col("hi")).alias("mixed"))
+    again, again_path = written(places.join(counts.hint("shuffle_hash"), "m"), "again")
+    remove(spark, places_path)
+    mixed = again.filter("mixed")
+    one = F.min(F.struct("id", "mark", "at", "windows", "gram")).alias("one")
+    different, different_path = written(mixed.groupBy("m", "content").agg(F.count("*").alias("times"), one).select("m", "content", "times", "one.*"), "different")
+
+    wanted = different.groupBy("id", "mark").agg(F.collect_list(F.struct("m", "content", "times", "at", "windows", "gram")).alias("places"))
+    fetched = texts.join(wanted.hint("shuffle_hash"), ["id", "mark"]).select("id", "mark", "text", "places")
+    pieces, pieces_path = written(fetched.mapInArrow(lambda it: _cut_out(it, length), _PIECE), "pieces")
+    sides = pieces.select("m", "content", F.explode(F.array("left", "right")).alias("side")).filter("side <> 0")
+    met = sides.groupBy("side").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).filter("lo < hi").select("side")
+    live = sides.join(met.hint("shuffle_hash"), "side").distinct()
+    dealt = pieces.drop("left", "right").join(live.hint("shuffle_hash"), ["m", "content"]).select("side", "m", "content", "times", "windows", "piece")
+    dealt = dealt.repartition("side").sortWithinPartitions("side", "m", "content")
+    found, found_path = written(dealt.mapInArrow(lambda it: _sorted_shard(it, length, sort_bytes), _KEPT), "repeated")
+    remove(spark, pieces_path)
+
+    many = different.filter("times > 1").select("m", "content", F.lit(0).cast("long").alias("first"), F.col("windows").cast("long").alias("last"))
+    in_mixed = mixed.join(found.unionByName(many).hint("shuffle_hash"), ["m", "content"]).select("id", "mark", F.struct((F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last")).alias("last")).alias("span"))
+    in_whole = again.filter("not mixed").select("id", "mark", F.struct(F.col("at").alias("first"), (F.col("at") + F.col("windows")).alias("last")).alias("span"))
+    spans = cut(in_mixed.unionByName(in_whole).groupBy("id", "mark").agg(F.collect_set("span").alias("spans")), "spans")
+    remove(spark, again_path, different_path, found_path)
+    return rows, spans, names
 
 
 def removed_runs(spans: list[dict] | None, length: int) -> np.ndarray:
@@ -381,13 +298,23 @@ def whole_characters(text: bytes, cuts: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
+def _beside(rows: DataFrame, spans: DataFrame, names: list[str], columns: list[str], spans_name: str) -> DataFrame:
+    """``columns`` of rows, and the spans of each."""
+    spans = spans.select(F.col("id").alias(names[0]), F.col("mark").alias(names[1]), F.col("spans").alias(spans_name))
+    joined = rows.join(spans.hint("shuffle_hash"), names, "left")
+    return joined.select(*[F.col(f"`{c}`") for c in columns], spans_name)
+
+
 def without_repeats(docs: DataFrame, length: int = 200, text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeated strings cut out of the text, by whole characters, and ``n_removed`` (long, bytes)."""
-    rows, spans = repeats(docs, length, text_col=text_col)
-    spans = spans.select(F.col("doc_id").alias("_key"), F.col("mark").alias("_mark"), F.col("spans").alias("_spans"))
-    joined = rows.join(spans, ["_key", "_mark"], "left").select(*[F.col(f"`{c}`") for c in docs.columns if c != "n_removed"], "_spans")
-    names = [c for c in docs.columns if c != "n_removed"]
-    at = names.index(text_col)
+    """``docs`` with the repeated strings cut out of the text, by whole characters, and ``n_removed`` (long, bytes).
+
+    A null text stays null, an empty table empty, and every row stays; other columns, whatever their names, are kept, but
+    for one named ``n_removed``, which the result replaces.
+    """
+    rows, spans, names = repeats(docs, length, text_col=text_col)
+    columns = [c for c in docs.columns if c != "n_removed"]
+    joined = _beside(rows, spans, names, columns, fresh("_spans", docs.columns))
+    at = columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -402,16 +329,19 @@ def without_repeats(docs: DataFrame, length: int = 200, text_col: str = "text")
                 gone.append(int((cuts[:, 1] - cuts[:, 0]).sum()))
             cols = list(b.columns[:-1])
             cols[at] = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(gone, pa.int64())], [*names, "n_removed"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(gone, pa.int64())], [*columns, "n_removed"])
 
-    return joined.mapInArrow(work, docs.select(*[F.col(f"`{c}`") for c in names]).schema.add("n_removed", "long"))
+    return joined.mapInArrow(work, docs.select(*[F.col(f"`{c}`") for c in columns]).schema.add("n_removed", "long"))
 
 
 def op7_suffix_array_dedup(spark, sf_dir: str, length: int = 200) -> DataFrame:
-    """What is removed from every document, and a digest of what stays."""
-    rows, spans = repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length)
-    spans = spans.select(F.col("doc_id").alias("_key"), F.col("mark").alias("_mark"), F.col("spans").alias("_spans"))
-    joined = rows.join(spans, ["_key", "_mark"], "left").select("doc_id", F.col("text").cast("binary").alias("text"), "_spans")
+    """What is removed from every document, and a digest of what stays.
+
+    Null and empty texts have 0 bytes; equal rows each have a row of the result; an empty table gives none.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows, spans, names = repeats(docs, length)
+    joined = _beside(rows, spans, names, docs.columns, "_spans").withColumn("text", F.col("text").cast("binary"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

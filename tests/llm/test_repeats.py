@@ -54,15 +54,15 @@ def corpus():
     return docs
 
 
-@pytest.mark.parametrize("slice_bits, sort_bytes, by_filter", [(20, 1 << 20, None), (20, 300, True), (10, 2000, None), (20, 1 << 20, False), (10, 300, False)])
-def test_removal(spark, monkeypatch, slice_bits, sort_bytes, by_filter):
+@pytest.mark.parametrize("slice_bits, sort_bytes", [(20, 1 << 20), (20, 300), (10, 2000)])
+def test_removal(spark, monkeypatch, slice_bits, sort_bytes):
     if slice_bits < 20:  # texts longer than a slice
         monkeypatch.setattr(suffix_dedup, "_SLICE", (1 << slice_bits) - 1)
     docs = corpus()
     df = spark.createDataFrame([(k, t, "m") for k, t in enumerate(docs)], "doc_id long, text string, mark string").repartition(3)
     length = 100
-    rows, spans = suffix_dedup.repeats(df, length, sort_bytes=sort_bytes, by_filter=by_filter)
-    found = {r["doc_id"]: r["spans"] for r in spans.collect()}
+    _, spans, _ = suffix_dedup.repeats(df, length, sort_bytes=sort_bytes)
+    found = {r["id"]: r["spans"] for r in spans.collect()}
     for k, (t, want) in enumerate(zip(docs, brute(docs, length))):
         b = (t or "").encode()
         cuts = suffix_dedup.removed_runs([s.asDict() for s in found.get(k, [])], length)
