@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strobila.llm import langid, sentencepiece_fst
 from strobila.llm.decontaminate import drop_leaks
 from strobila.llm.similar import similar_groups
-from strobila.llm.store import cut, table
+from strobila.llm.store import cut, remove, table, written
 from strobila.llm.suffix_dedup import without_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,7 +28,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near copies (five-word shingles, similarity 0.8) stays: the one with the smallest
     doc_id. Rows without doc_id go; of rows that share the smallest doc_id all stay."""
     keep = cut(similar_groups(docs).filter("doc_id = component_id").select("doc_id"), "kept")
-    return docs.join(keep, "doc_id", "left_semi").select(*COLUMNS)
+    # A hash join on the ids at every size, so that texts are not sorted and few rows and many have one plan.
+    return docs.join(keep.hint("shuffle_hash"), "doc_id", "left_semi").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, those without doc_id too."""
     return drop_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
@@ -65,7 +66,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; each result is written before the next stage reads it."""
-    docs = table(spark, sf_dir, "documents")
+    docs, path = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), "stage")
+        docs, new = written(stage(spark, docs, sf_dir), "stage")
+        if path:
+            remove(spark, path)
+        path = new
     return STAGES[-1][1](spark, docs, sf_dir)
