@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strobila.llm.held import held
-from strobila.llm.store import table
+from strobila.llm.sampling import fold, labelled_sample
+from strobila.llm.store import fresh, table
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words of a worker's cache; it starts anew beyond.
@@ -26,28 +27,6 @@ _CACHE = 150_000
 _SLICE = 1 << 20
 
 
-def fold(col: str, n: int):
-    return F.pmod(F.crc32(F.col(col).cast("string")), F.lit(n))
-
-
-def sample_labelled(rows: DataFrame, label: str, most_docs: int, most_bytes: int, seed: int) -> list:
-    """About ``most_docs`` (doc_id, text, label) rows, an equal share for each label, chosen by a hash of doc_id.
-
-    Bounds: texts above ``most_bytes`` bytes are not chosen, and no more than ``most_docs`` rows come to the driver.
-    """
-    fit = rows.filter(F.col(label).isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes))
-    counts = {r[0]: r[1] for r in fit.groupBy(label).count().collect()}
-    if not counts:
-        return []
-    share = most_docs / len(counts)
-    lots = 1_000_000
-    rate = F.coalesce(*[F.when(F.col(label) == F.lit(k), F.lit(int(min(1.0, share / n) * lots))) for k, n in counts.items()])
-    lot = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(lots))
-    found = fit.filter(lot < rate).select("doc_id", "text", label, lot.alias("_lot")).limit(2 * most_docs).collect()
-    found.sort(key=lambda r: (r["_lot"], r["doc_id"]))
-    return found[:most_docs]
-
-
 def _grams(word: str, n: int) -> list[str]:
     marked = f"^{word}$" if n > 1 else word
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
@@ -147,16 +126,23 @@ def slices(texts: list, most: int = _SLICE) -> Iterator[tuple[int, int]]:
 
 
 def train(docs: DataFrame, most_docs: int = 3000, most_bytes: int = 1 << 15, seed: int = 4) -> BackoffModel:
-    """A model from a bounded sample of the rows with a text and a lang: ``most_docs`` texts of ``most_bytes`` at most."""
-    return BackoffModel([(r["text"], r["lang"]) for r in sample_labelled(docs, "lang", most_docs, most_bytes, seed)])
+    """A model from a bounded sample of the rows with an id, a text and a lang: ``most_docs`` texts of ``most_bytes`` at
+    most, an equal share for each language. Without any, the model answers ``und``."""
+    rows = docs.select("doc_id", "text", "lang")
+    found = labelled_sample(rows.filter("text is not null"), rows, "lang", most_docs, most_bytes, seed)
+    return BackoffModel([(r["text"], r["lang"]) for r in found])
 
 
 def detect(docs: DataFrame, model: BackoffModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` (string) and ``score`` (double); a null or letterless text is ``und`` at 0.0."""
+    """``docs`` with ``lang_pred`` (string) and ``score`` (double); a null, empty or letterless text is ``und`` at 0.0.
+
+    Texts are read whole, and of equally likely languages the first by name is given. Every row of ``docs`` stays, as do
+    its columns, but for any named ``lang_pred`` or ``score``, which the result replaces.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: it comes from the bounded sample
     key = uuid.uuid4().hex
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias(fresh("_text", keep)))
 
     def work(batches):
         model = held(key, lambda: shared.value)

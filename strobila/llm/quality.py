@@ -1,7 +1,7 @@
 """Quality by compression: how much better one dictionary than the other shortens a text.
 
-Two zstandard dictionaries are built from labelled text, one good and one bad. A text is compressed with each, in blocks,
-so that the dictionary and not the text's own beginning explains every part of it. The difference of the two sizes over
+Two zstandard dictionaries are trained on labelled texts, one on good and one on bad ones, each on all blocks of half of
+the texts of its label. A text is compressed with each, in blocks, so that the dictionary and not the text's own beginning explains every part of it. The difference of the two sizes over
 their sum, and the compressed share of the text, go through a logistic calibration fitted on labelled texts that the
 dictionaries have not seen.
 """
@@ -14,11 +14,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strobila.llm.langid import fold
-from strobila.llm.store import cut, table
+from strobila.llm.sampling import fold, labelled_sample
+from strobila.llm.store import cut, fresh, table
 
 _BLOCK = 1024
+#: Bytes of a dictionary, and of the segments that training picks for it.
 _SIZE = 112 << 10
+_SEGMENT = 256
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
@@ -40,30 +42,34 @@ class CompressionModel:
     """Dictionaries of good and bad text, and the calibration of the size difference."""
 
     def __init__(self, good: list[bytes], bad: list[bytes], level: int = 5):
+        """With texts of one label only, or none, every text scores that label's share, (good + 1) / (all + 2)."""
         self.level = level
+        self.constant = (len(good) + 1) / (len(good) + len(bad) + 2) if not (good and bad) else None
         cut_good, cut_bad = (len(good) + 1) // 2, (len(bad) + 1) // 2
         self.dicts = [self._dictionary(good[:cut_good]), self._dictionary(bad[:cut_bad])]
         self._open()
-        rest_good, rest_bad = good[cut_good:] or good, bad[cut_bad:] or bad
-        raw = self.features([*rest_good, *rest_bad])
-        y = np.r_[np.ones(len(rest_good)), np.zeros(len(rest_bad))]
-        self.mid, self.spread = raw.mean(0), raw.std(0) + 1e-9
-        self.weights = fit_logistic(self._shape(raw), y)
+        if self.constant is None:
+            rest_good, rest_bad = good[cut_good:] or good, bad[cut_bad:] or bad
+            raw = self.features([*rest_good, *rest_bad])
+            y = np.r_[np.ones(len(rest_good)), np.zeros(len(rest_bad))]
+            self.mid, self.spread = raw.mean(0), raw.std(0) + 1e-9
+            self.weights = fit_logistic(self._shape(raw), y)
 
     @staticmethod
     def _dictionary(texts: list[bytes]) -> bytes:
-        """Content of a dictionary: blocks of as many texts as fit, the same amount from each."""
-        if not texts:
-            return b"\0" * 16
-        each = max(256, _SIZE // len(texts))
-        return b"\n".join(t[(len(t) - each) // 2 :][:each] if len(t) > each else t for t in texts)[:_SIZE]
+        """A dictionary trained on all blocks of the texts; of too few for training, the texts themselves."""
+        blocks = [t[at : at + _BLOCK] for t in texts for at in range(0, len(t), _BLOCK)]
+        try:
+            return zstandard.train_dictionary(_SIZE, blocks, k=_SEGMENT, d=8).as_bytes()
+        except zstandard.ZstdError:
+            return b"\n".join(blocks)[-_SIZE:] or b"\0" * 16
 
     def _open(self) -> None:
         self.packers = []
         for content in self.dicts:
-            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d = zstandard.ZstdCompressionDict(content)
             d.precompute_compress(level=self.level)
-            self.packers.append(zstandard.ZstdCompressor(level=self.level, dict_data=d, write_content_size=False, write_checksum=False))
+            self.packers.append(zstandard.ZstdCompressor(level=self.level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "packers"}
@@ -94,49 +100,41 @@ class CompressionModel:
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Probability of good quality for each text."""
-        if not texts:
-            return np.zeros(0)
+        if not texts or self.constant is not None:
+            return np.full(len(texts), self.constant or 0.0)
         x = self._shape(self.features(texts))
         return 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ self.weights, -30, 30)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most_docs: int, most_bytes: int, seed: int) -> tuple[list, dict[int, int]]:
-    """About ``most_docs`` rows (doc_id, text, label), an equal share for each label, and how often each label occurs.
+def with_labels(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label) of the texts that have one: a join of ids, no text is shuffled."""
+    return cut(docs.filter("text is not null").select("doc_id").join(labels.select("doc_id", label).dropna(), "doc_id"), "labels")
 
-    Which rows is decided on ids and lengths alone; only the texts of those chosen are fetched, by a broadcast of at most
-    ``most_docs`` ids, so no text is shuffled. Texts above ``most_bytes`` bytes are not chosen.
-    """
-    ids = docs.filter("doc_id is not null and text is not null").select("doc_id", F.octet_length("text").alias("_bytes"))
-    narrow = cut(ids.join(labels.select("doc_id", label).dropna(), "doc_id"), "labels")
-    counts = {int(r[0]): r[1] for r in narrow.groupBy(label).count().collect()}
-    if not counts:
-        return [], counts
-    lots, share = 1_000_000, most_docs / len(counts)
-    fit = narrow.filter(F.col("_bytes") <= most_bytes)
-    rate = F.coalesce(*[F.when(F.col(label) == k, F.lit(int(min(1.0, share / n) * lots))) for k, n in counts.items()])
-    lot = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(lots))
-    picked = fit.select("doc_id", label, lot.alias("_lot")).filter(F.col("_lot") < rate).orderBy("_lot", "doc_id").limit(most_docs).collect()
-    chosen = docs.sparkSession.createDataFrame([(r["doc_id"], r[label], r["_lot"]) for r in picked], f"doc_id long, {label} int, _lot long")
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text is not null").collect()
-    return sorted(found, key=lambda r: (r["_lot"], r["doc_id"])), counts
+
+def shift(found: list[dict], label: str) -> float:
+    """What takes the log odds of a sample back to those of the labels."""
+    n = {r[label]: r["n"] for r in found}
+    own = [sum(r[label] == k for r in found) for k in (0, 1)]
+    return float(np.log(n[1] / n[0]) - np.log(own[1] / own[0])) if all(own) else 0.0
 
 
 def train(docs: DataFrame, labels: DataFrame, most_docs: int = 8000, most_bytes: int = 1 << 15, seed: int = 2) -> CompressionModel:
     """From docs (doc_id, text) and labels (doc_id, quality): a bounded sample of ``most_docs`` texts of ``most_bytes`` at
     most, both labels alike, so the calibration is shifted back to the labels' own proportion."""
-    found, counts = labelled_sample(docs, labels, "quality", most_docs, most_bytes, seed)
-    parts = {k: [r["text"].encode() for r in found if r["quality"] == k] for k in (1, 0)}
-    model = CompressionModel(parts[1], parts[0])
-    if all(counts.get(k) and parts[k] for k in (0, 1)):
-        model.weights[-1] += np.log(counts[1] / counts[0]) - np.log(len(parts[1]) / len(parts[0]))
+    found = labelled_sample(with_labels(docs, labels, "quality"), docs, "quality", most_docs, most_bytes, seed)
+    model = CompressionModel(*[[r["text"].encode() for r in found if r["quality"] == k] for k in (1, 0)])
+    if model.constant is None:
+        model.weights[-1] += shift(found, "quality")
     return model
 
 
 def score(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (double, 0 to 1) and ``predicted`` (int); a null text scores like an empty one."""
+    """``docs`` with ``score`` (double, 0 to 1) and ``predicted`` (int, 1 from 0.5 on); a null text scores like an empty
+    one. Texts are read whole. Every row of ``docs`` stays, as do its columns, but for any named ``score`` or
+    ``predicted``, which the result replaces."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of 112 KiB
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias(fresh("_text", keep)))
 
     def work(batches):
         model = shared.value
