@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from strobila.functions.scalars import bitrate, duration_ms, frame_rate
 from strobila.operators.runs import TRACK
@@ -89,9 +90,32 @@ def simplify_sets(sets: DataFrame, parts: list[str]) -> DataFrame:
 
 
 def unique_names(df: DataFrame, group: list[str], name: str, order: list[str]) -> DataFrame:
-    """``unique_name``: the name, with ``-n`` from the second row of a name in its group on, n from 2."""
+    """``unique_name``: the name, or where an earlier row of the group has it already, the name with ``-1``, ``-2`` and so
+    on, the first that no earlier row has.
+
+    Only in groups that hold a name of the form of another one's successor does it matter what was given before; these
+    few are walked, all others are numbered by a window.
+    """
+    w = Window.partitionBy(*group)
+    stem = F.regexp_replace(F.col(name), r"-\d+$", "")
+    like = F.coalesce((stem != F.col(name)) & F.array_contains(F.collect_set(name).over(w), stem), F.lit(False))
+    rows = df.withColumn("_like", like).withColumn("_walk", F.max("_like").over(w)).drop("_like")
     k = F.row_number().over(Window.partitionBy(*group, name).orderBy(*order))
-    return df.withColumn("unique_name", F.when(k == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("-"), k.cast("string"))))
+    plain = rows.filter("not _walk").withColumn("unique_name", F.when(k == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("-"), (k - 1).cast("string"))))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, taken, last, out = pdf.sort_values(order), set(), {}, []
+        for n in pdf[name]:
+            own = n
+            while own in taken:
+                last[n] = last.get(n, 0) + 1
+                own = f"{n}-{last[n]}"
+            taken.add(own)
+            out.append(own)
+        return pdf.drop(columns="_walk").assign(unique_name=out)
+
+    walked = rows.filter("_walk").groupBy(*group).applyInPandas(walk, plain.drop("_walk").schema)
+    return plain.drop("_walk").unionByName(walked)
 
 
 def override_durations(segments: DataFrame, entries: DataFrame, keys: list[str] = TRACK) -> DataFrame:
@@ -107,23 +131,34 @@ def override_durations(segments: DataFrame, entries: DataFrame, keys: list[str]
 def threshold_segments(df: DataFrame, duration: int, slack: int = 0, keys: list[str] = TRACK) -> DataFrame:
     """``segment_index`` by cutting at the first sync sample that is ``duration - slack`` past the last cut.
 
-    Where the next cut falls depends on the last one, so a track is walked in order: only keys, times and flags go to the
-    function, streamed group by group. Drift accumulates, unlike on a fixed grid.
+    Where the next cut falls depends on the last one, so the sync samples of a track are walked, from cut to cut by
+    bisection; all samples then count the cuts up to them. Drift accumulates, unlike on a fixed grid.
     """
-    schema = StructType([*df.schema.fields, StructField("segment_index", LongType())])
+    step = max(0, duration - slack)
+    first = F.min("sample_index").over(Window.partitionBy(*keys))
+    marks = df.withColumn("_first", F.col("sample_index") == first).filter("is_sync or _first").select(*keys, "sample_index", "dts")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sample_index", ignore_index=True)
-        out, index, last = [], 0, None
-        for dts, sync in zip(pdf["dts"], pdf["is_sync"]):
-            if last is None:
-                last = dts
-            elif sync and dts - last >= duration - slack:
-                index, last = index + 1, dts
-            out.append(index)
-        return pdf.assign(segment_index=out)
+        dts = pdf["dts"].to_numpy()
+        reached = np.maximum.accumulate(dts)
+        cuts, at = [0], 0
+        while (at := max(at + 1, int(np.searchsorted(reached, dts[at] + step)))) < len(dts):
+            if dts[at] >= dts[cuts[-1]] + step:
+                cuts.append(at)
+            else:  # before the greatest time so far
+                later = np.flatnonzero(dts[at:] >= dts[cuts[-1]] + step)
+                if not len(later):
+                    break
+                at += int(later[0])
+                cuts.append(at)
+        return pdf.loc[cuts, [*keys, "sample_index"]].assign(_cut=1)
 
-    return df.groupBy(*keys).applyInPandas(walk, schema)
+    schema = StructType([*marks.select(*keys, "sample_index").schema.fields, StructField("_cut", LongType())])
+    cuts = marks.groupBy(*keys).applyInPandas(walk, schema)
+    w = Window.partitionBy(*keys).orderBy("sample_index")
+    out = df.join(cuts, [*keys, "sample_index"], "left")
+    return out.withColumn("segment_index", (F.sum(F.coalesce("_cut", F.lit(0))).over(w) - 1).cast("long")).drop("_cut")
 
 
 def grid_segments(df: DataFrame, duration: int, keys: list[str] = TRACK) -> DataFrame:
@@ -137,37 +172,43 @@ def grid_segments(df: DataFrame, duration: int, keys: list[str] = TRACK) -> Data
 
 
 def bandwidth(segments: DataFrame, buffer_seconds: float, keys: list[str] = TRACK) -> DataFrame:
-    """(keys, bandwidth): a rate at which a buffer of ``buffer_seconds`` does not run dry, by one greedy pass.
+    """(keys, bandwidth): bits a second at which a buffer of ``buffer_seconds`` does not run dry, cut to a whole number.
 
-    From every start the bits taken so far are held against the bits delivered plus the buffer filled at the rate that
-    held when the start was reached; the first overrun raises the rate and ends that start. Segments: (keys,
-    segment_index, bits, seconds).
+    Starts are taken in order. From a start on, the bytes taken are held against a buffer filled at the rate that holds
+    so far and what is delivered at that rate; at the first overrun after some time has passed the rate becomes what the
+    bytes beyond the buffer need, and the next start follows. Segments: (keys, segment_index, size, seconds).
     """
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("segment_index")
-        bits, seconds = pdf["bits"].tolist(), pdf["seconds"].tolist()
-        rate = 0.0
-        for start in range(len(bits)):
-            room, taken, passed = rate * buffer_seconds, 0.0, 0.0
-            for b, s in zip(bits[start:], seconds[start:]):
-                taken += b
-                passed += s
-                if taken > room + rate * passed:
-                    rate = taken / (buffer_seconds + passed)
-                    break
-        return pdf.iloc[:1][keys].assign(bandwidth=rate)
-
-    return segments.select(*keys, "segment_index", "bits", "seconds").groupBy(*keys).applyInPandas(walk, StructType([*segments.select(*keys).schema.fields, StructField("bandwidth", DoubleType())]))
+        size, seconds = pdf["size"].to_numpy(float), pdf["seconds"].to_numpy(float)
+        taken, passed = np.r_[0.0, np.cumsum(size)], np.r_[0.0, np.cumsum(seconds)]
+        rate, start = 0.0, 0
+        while start < len(size):
+            # Bytes taken less bytes delivered; a start from which the most of that ahead fits has no overrun.
+            left, room = taken - passed * rate / 8, buffer_seconds * rate / 8
+            ahead = np.maximum.accumulate(left[:0:-1])[::-1]
+            near = np.flatnonzero(ahead[start:] > left[start:-1] + room - 1e-6 * (1 + np.abs(left[start:-1]) + room))
+            if not len(near):
+                break
+            start += int(near[0])
+            own, time = np.cumsum(size[start:]), np.cumsum(seconds[start:])
+            over = np.flatnonzero((own > room + time * rate / 8) & (time != 0))
+            if len(over):
+                rate = 8 * (own[over[0]] - room) / time[over[0]]
+            start += 1
+        return pdf.iloc[:1][keys].assign(bandwidth=int(rate))
+
+    return segments.select(*keys, "segment_index", "size", "seconds").groupBy(*keys).applyInPandas(walk, StructType([*segments.select(*keys).schema.fields, StructField("bandwidth", LongType())]))
 
 
 def drop_similar_rates(df: DataFrame, group: list[str], order: str = "ordinal", rate: str = "bandwidth", within: float = 0.1) -> DataFrame:
-    """Rows of a group in order, without those whose rate is within a share of one already kept."""
+    """Rows of a group in order, without those whose rate differs from one already kept by less than a share of that."""
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, kept, take = pdf.sort_values(order), [], []
         for r in pdf[rate]:
-            alike = any(abs(r - k) <= within * k for k in kept)
+            alike = any(k and abs((k - r) / k) < within for k in kept)
             take.append(not alike)
             if not alike:
                 kept.append(r)

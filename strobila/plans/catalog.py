@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strobila.functions import scalars as fn
-from strobila.operators import merge, runs, seek, segments
+from strobila.operators import merge, runs, seek, segments, sets
 from strobila.operators.adapter import SAMPLES_SQL, TIMESCALE, event_samples, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,11 +23,12 @@ OVER = "OVER (PARTITION BY file, track_id ORDER BY sample_index)"
 
 def query(name: str, sql: str | None = None, samples: bool = True) -> Callable[[Query], Query]:
     """Registers a query with its SQL, which begins with the CTE ``s`` of the adapter's samples if ``samples``."""
+    head = SAMPLES_SQL.replace("WITH", "WITH RECURSIVE", 1)
 
     def put(f: Query) -> Query:
         QUERIES[name] = f
         if sql is not None:
-            ORACLE_SQL[name] = (SAMPLES_SQL if samples else "") + sql
+            ORACLE_SQL[name] = (head if samples else "") + sql
         return f
 
     return put
@@ -305,13 +306,32 @@ def alike_flags(spark, d):
 
 @query("max_per_set", """SELECT p_brand AS set_brand, p_type AS set_type, max(p_size) AS max_size, max(p_retailprice) AS max_price, count(*) AS members FROM part GROUP BY p_brand, p_type""", samples=False)
 def max_per_set(spark, d):
-    return table(spark, d, "part").groupBy(F.col("p_brand").alias("set_brand"), F.col("p_type").alias("set_type")).agg(F.max("p_size").alias("max_size"), F.max("p_retailprice").alias("max_price"), F.count("*").alias("members"))
+    tracks = table(spark, d, "part").select(F.col("p_brand").alias("set_brand"), F.col("p_type").alias("set_type"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
+    return sets.max_per_set(tracks, ["set_brand", "set_type"], ["size", "price"])
 
 
-@query("adaptation_sets", """SELECT p_type AS set_type, p_brand AS set_brand, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS members FROM part GROUP BY p_type, p_brand""", samples=False)
+#: Parts as tracks of presentations by size: three types, languages and families from their fields.
+TRACKS_SQL = """WITH RECURSIVE t AS (SELECT p_size AS presentation, p_partkey AS ordinal, CASE WHEN p_partkey % 5 < 3 THEN 'audio' WHEN p_partkey % 5 = 3 THEN 'video' ELSE 'subtitles' END AS type,
+  chr(CAST(97 + p_partkey % 3 AS INTEGER)) AS language, p_type AS codec, substr(p_brand, 1, 7) AS codec_family, CASE WHEN p_partkey % 7 = 0 THEN p_brand ELSE '' END AS label, CAST(floor(p_retailprice) AS BIGINT) AS bandwidth FROM part),
+lb AS (SELECT presentation, label, dense_rank() OVER (PARTITION BY presentation ORDER BY min(ordinal)) AS n FROM t GROUP BY presentation, label),
+k AS (SELECT t.*, CASE type WHEN 'audio' THEN 'audio/' || language || '/' || codec || '/' || CAST(n AS VARCHAR) WHEN 'video' THEN 'video/' || codec_family ELSE 'subtitles/' || language || '/' || codec_family END AS set_key FROM t JOIN lb USING (presentation, label)),
+r AS (SELECT *, row_number() OVER (PARTITION BY presentation, set_key ORDER BY ordinal) AS i FROM k),
+w AS (SELECT presentation, set_key, ordinal, type, i, true AS keep, [bandwidth] AS kept FROM r WHERE i = 1
+  UNION ALL SELECT r.presentation, r.set_key, r.ordinal, r.type, r.i,
+   CASE r.type WHEN 'video' THEN true WHEN 'audio' THEN len(list_filter(w.kept, lambda x: abs((x - r.bandwidth) / CAST(x AS DOUBLE)) < 0.1)) = 0 ELSE false END,
+   CASE WHEN len(list_filter(w.kept, lambda x: abs((x - r.bandwidth) / CAST(x AS DOUBLE)) < 0.1)) = 0 THEN list_append(w.kept, r.bandwidth) ELSE w.kept END
+  FROM w JOIN r ON r.presentation = w.presentation AND r.set_key = w.set_key AND r.i = w.i + 1)
+SELECT presentation, set_key, ordinal, row_number() OVER (PARTITION BY presentation, set_key ORDER BY ordinal) AS order_index FROM w WHERE keep"""
+
+
+@query("adaptation_sets", TRACKS_SQL, samples=False)
 def adaptation_sets(spark, d):
-    members = F.concat_ws(",", F.transform(F.array_sort(F.collect_list("p_partkey")), lambda k: k.cast("string")))
-    return table(spark, d, "part").groupBy(F.col("p_type").alias("set_type"), F.col("p_brand").alias("set_brand")).agg(members.alias("members"))
+    n = F.col("p_partkey")
+    tracks = table(spark, d, "part").select(
+        F.col("p_size").alias("presentation"), n.alias("ordinal"), F.when(n % 5 < 3, "audio").when(n % 5 == 3, "video").otherwise("subtitles").alias("type"), F.char(97 + n % 3).alias("language"),
+        F.col("p_type").alias("codec"), F.substring("p_brand", 1, 7).alias("codec_family"), F.when(n % 7 == 0, F.col("p_brand")).otherwise("").alias("label"), F.floor("p_retailprice").cast("long").alias("bandwidth"),
+    )
+    return sets.adaptation_sets(tracks, ["presentation"]).select("presentation", F.array_join("set_key", "/").alias("set_key"), "ordinal", "order_index")
 
 
 @query("set_prefix_simplify", """SELECT o_custkey, o_orderstatus, o_orderpriority, CASE WHEN count(*) OVER (PARTITION BY o_custkey, o_orderstatus) = 1 THEN CAST(o_custkey AS VARCHAR) || '/' || o_orderstatus
@@ -321,18 +341,32 @@ def set_prefix_simplify(spark, d):
     return segments.simplify_sets(sets, ["o_custkey", "o_orderstatus", "o_orderpriority"])
 
 
-@query("unique_names", """SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN k = 1 THEN o_orderstatus ELSE o_orderstatus || '-' || CAST(k AS VARCHAR) END AS unique_name FROM (
- SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS k FROM orders)""", samples=False)
+@query("unique_names", """SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN k = 1 THEN o_orderstatus ELSE o_orderstatus || '-' || CAST(k - 1 AS VARCHAR) END AS unique_name FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS k FROM orders)""", samples=False)
 def unique_names(spark, d):
     return segments.unique_names(table(spark, d, "orders"), ["o_custkey"], "o_orderstatus", ["o_orderkey"]).select("o_orderkey", "o_custkey", "o_orderstatus", "unique_name")
 
 
-@query("group_rates", ROLL_SQL + """, a AS (SELECT file, track_id, avg(bitrate) AS mean_rate, max(bitrate) AS peak_rate FROM u GROUP BY file, track_id)
-SELECT file, CAST(max(floor(mean_rate)) AS BIGINT) AS mean_rate, max(peak_rate) AS peak_rate, (SELECT string_agg(DISTINCT kind, ',' ORDER BY kind) FROM s WHERE s.file = a.file) AS codecs FROM a GROUP BY file""")
+@query("group_rates", ROLL_SQL + """, a AS (SELECT file, track_id, floor(avg(bitrate)) AS mean_rate, max(bitrate) AS peak_rate FROM u GROUP BY file, track_id),
+f AS (SELECT file, track_id, min(kind) AS codec FROM s GROUP BY file, track_id),
+la AS (SELECT file, count(DISTINCT track_id % 3) AS n_languages, count(*) AS n_tracks FROM f GROUP BY file),
+gr AS (SELECT a.*, f.codec, CASE WHEN n_languages > 1 THEN 'audio/' || f.codec WHEN n_tracks = 1 THEN 'audio' ELSE 'audio/' || CAST(row_number() OVER (PARTITION BY a.file ORDER BY a.track_id) AS VARCHAR) END AS audio_group
+  FROM a JOIN f USING (file, track_id) JOIN la ON la.file = a.file)
+SELECT file, audio_group, CAST(max(mean_rate) AS BIGINT) AS mean_rate, max(peak_rate) AS peak_rate, string_agg(DISTINCT codec, ',' ORDER BY codec) AS codecs FROM gr GROUP BY file, audio_group""")
 def group_rates(spark, d):
-    rates = _rolled(spark, d).groupBy(*KEYS).agg(F.avg("bitrate").alias("mean_rate"), F.max("bitrate").alias("peak_rate"))
-    codecs = event_samples(spark, d).groupBy("file").agg(F.concat_ws(",", F.array_sort(F.collect_set("kind"))).alias("codecs"))
-    return rates.groupBy("file").agg(F.max(F.floor("mean_rate")).cast("long").alias("mean_rate"), F.max("peak_rate").alias("peak_rate")).join(codecs, "file")
+    rates = _rolled(spark, d).groupBy(*KEYS).agg(F.floor(F.avg("bitrate")).cast("long").alias("mean_rate"), F.max("bitrate").alias("peak_rate"))
+    codecs = event_samples(spark, d).groupBy(*KEYS).agg(F.min("kind").alias("codec"))
+    tracks = rates.join(codecs, KEYS).select("file", F.col("track_id").alias("ordinal"), (F.col("track_id") % 3).cast("string").alias("language"), "codec", F.lit(None).cast("string").alias("audio_group"), "mean_rate", "peak_rate")
+    return sets.group_rates(sets.audio_groups(tracks, ["file"]), ["file", "audio_group"])
+
+
+@query("default_tracks", """SELECT p_size, p_partkey, CASE WHEN asked IS NOT NULL THEN asked ELSE NOT EXISTS (
+  SELECT 1 FROM part q WHERE q.p_size = t.p_size AND q.p_partkey < t.p_partkey AND q.p_partkey % 3 <> 1) END AS is_default
+FROM (SELECT *, CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS asked FROM part) t""", samples=False)
+def default_tracks(spark, d):
+    n = F.col("p_partkey")
+    tracks = table(spark, d, "part").select("p_size", n, n.alias("ordinal"), F.when(n % 3 == 0, True).when(n % 3 == 1, False).alias("asked_default"))
+    return sets.with_defaults(tracks, ["p_size"]).select("p_size", "p_partkey", "is_default")
 
 
 @query("defaults_cascade", """SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, coalesce(CASE WHEN l_quantity > 25 THEN CAST(l_quantity AS BIGINT) END, CASE WHEN o_orderstatus = 'O' THEN CAST(floor(o_totalprice) AS BIGINT) END, CASE WHEN c_acctbal > 0 THEN CAST(floor(c_acctbal) AS BIGINT) END, 0) AS size
@@ -362,7 +396,7 @@ def index_anti_join(spark, d):
 @query("sync_semi_join", "SELECT e.event_id, e.user_id FROM events e WHERE EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'error' AND x.value > 50)", samples=False)
 def sync_semi_join(spark, d):
     ev = table(spark, d, "events")
-    return ev.select("event_id", "user_id").join(ev.filter("event_type = 'error' and value > 50").select("user_id").distinct(), "user_id", "left_semi").select("event_id", "user_id")
+    return sets.tracks_with(ev, ev.filter("event_type = 'error' and value > 50"), ["user_id"]).select("event_id", "user_id")
 
 
 DIFF_SQL = """, a AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY track_id, sample_index) - 1 AS place FROM s WHERE event_id % 2 = 0),
@@ -389,9 +423,8 @@ def compare_tracks(spark, d):
 
 @query("edit_renumber", """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS ordinal FROM lineitem WHERE l_returnflag <> 'R'""", samples=False)
 def edit_renumber(spark, d):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    rows = table(spark, d, "lineitem").filter("l_returnflag <> 'R'")
-    return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", (F.row_number().over(w) - 1).cast("long").alias("ordinal"))
+    left = table(spark, d, "lineitem").filter("l_returnflag <> 'R'")
+    return sets.renumbered(left, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "ordinal")
 
 
 PATH_SQL = """WITH c AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS ci FROM customer),
@@ -420,7 +453,7 @@ def compact_width(spark, d):
 
 @query("distinct_first", f"SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type", samples=False)
 def distinct_first(spark, d):
-    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    return sets.first_of(table(spark, d, "events"), ["user_id", "event_type"], "event_id")
 
 
 @query("hash_digest", "SELECT doc_id, sha256(text) AS digest, strlen(text) AS n_bytes FROM documents", samples=False)
@@ -428,17 +461,23 @@ def hash_digest(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
-@query("key_lookup", "SELECT l_orderkey, l_linenumber, l_partkey, n_name AS key_name, s_acctbal AS key_value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_quantity = 1", samples=False)
+@query("key_lookup", """SELECT o_orderkey AS track_id, o_custkey, coalesce(c.c_name, n.n_name) AS key FROM orders LEFT JOIN customer c ON c.c_custkey = o_custkey AND c.c_acctbal > 0
+LEFT JOIN nation n ON n.n_nationkey = o_orderkey""", samples=False)
 def key_lookup(spark, d):
-    keys = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    rows = table(spark, d, "lineitem").filter("l_quantity = 1").join(keys, F.col("l_suppkey") == F.col("s_suppkey"))
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.col("n_name").alias("key_name"), F.col("s_acctbal").alias("key_value"))
+    tracks = table(spark, d, "orders").select(F.col("o_orderkey").alias("track_id"), "o_custkey", F.hex("o_custkey").alias("kid"))
+    by_kid = table(spark, d, "customer").filter("c_acctbal > 0").select(F.lit(None).cast("long").alias("track_id"), F.lower(F.hex("c_custkey")).alias("kid"), F.col("c_name").alias("key"))
+    by_track = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("track_id"), F.lit(None).cast("string").alias("kid"), F.col("n_name").alias("key"))
+    return sets.lookup_keys(tracks, by_kid.unionByName(by_track)).select("track_id", "o_custkey", "key")
 
 
 @query("union_tracks", "SELECT c_custkey AS id, c_name AS name, 'customer' AS kind FROM customer UNION ALL SELECT s_suppkey, s_name, 'supplier' FROM supplier", samples=False)
 def union_tracks(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("customer").alias("kind"))
-    return c.unionByName(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("supplier").alias("kind")))
+    return sets.union_of(customer=table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), supplier=table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")))
+
+
+@query("composition_times", "SELECT file, track_id, sample_index, dts + cts_delta AS cts FROM s")
+def composition_times(spark, d):
+    return sets.composition_times(event_samples(spark, d)).select(*KEYS, "sample_index", "cts")
 
 
 @query("variant_groups", """SELECT p_partkey AS track, r_name AS "group" FROM part, region WHERE p_size % 6 = 0 OR (p_size % 6 = r_regionkey + 1)""", samples=False)
@@ -476,29 +515,62 @@ def fourcc_codes(spark, d):
 
 @query("track_filter", "SELECT c_custkey, c_nationkey, c_name FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS k FROM customer) WHERE k = 2 AND c_mktsegment = 'BUILDING'", samples=False)
 def track_filter(spark, d):
-    k = F.row_number().over(Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("c_custkey"))
-    return table(spark, d, "customer").withColumn("k", k).filter("k = 2 and c_mktsegment = 'BUILDING'").select("c_custkey", "c_nationkey", "c_name")
+    return sets.nth_of_kind(table(spark, d, "customer"), "BUILDING", 2, ["c_nationkey"], "c_mktsegment", "c_custkey").select("c_custkey", "c_nationkey", "c_name")
+
+
+@query("track_ids", "SELECT file, track_id, count(*) AS samples FROM s WHERE track_id IN (1, 3, 8) GROUP BY file, track_id")
+def track_ids(spark, d):
+    return sets.tracks_of(event_samples(spark, d), [1, 3, 8]).groupBy(*KEYS).agg(F.count("*").alias("samples"))
+
+
+@query("language_names", """SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'fr' WHEN 1 THEN 'de' WHEN 2 THEN 'x-pirate' WHEN 3 THEN 'ja' ELSE 'qqq' END AS language,
+CASE n_nationkey % 5 WHEN 0 THEN 'French' WHEN 1 THEN 'German' WHEN 2 THEN 'x-pirate' WHEN 3 THEN 'Japanese' ELSE 'qqq' END AS language_name FROM nation""", samples=False)
+def language_names(spark, d):
+    code = F.element_at(F.array(*[F.lit(x) for x in ("fre", "deu", "eng", "jpn", "qqq")]), (F.col("n_nationkey") % 5 + 1).cast("int"))
+    return sets.with_language(table(spark, d, "nation").select("n_nationkey", code.alias("language")), remap={"en": "x-pirate"})
 
 
-@query("threshold_segments")
+@query("threshold_segments", f""", c AS (SELECT file, track_id, 0::BIGINT AS k, sample_index, dts FROM s WHERE sample_index = 0
+  UNION ALL SELECT c.file, c.track_id, c.k + 1, min(s.sample_index), arg_min(s.dts, s.sample_index) FROM c JOIN s ON s.track_id = c.track_id AND s.is_sync AND s.sample_index > c.sample_index AND s.dts - c.dts >= {DAY} GROUP BY c.file, c.track_id, c.k)
+SELECT s.file, s.track_id, s.sample_index, s.dts, s.is_sync, max(c.k) AS segment_index FROM s JOIN c ON c.track_id = s.track_id AND c.sample_index <= s.sample_index GROUP BY ALL""")
 def threshold_segments(spark, d):
     rows = event_samples(spark, d).select(*KEYS, "sample_index", "dts", "is_sync")
     return segments.threshold_segments(rows, DAY)
 
 
-@query("bandwidth")
+@query("bandwidth", ROLL_SQL + """, r AS (SELECT file, track_id, row_number() OVER (PARTITION BY file, track_id ORDER BY segment_index) AS k, count(*) OVER (PARTITION BY file, track_id) AS n, CAST(size AS DOUBLE) AS size, CAST(duration AS DOUBLE) / 1000000.0::DOUBLE AS seconds FROM u),
+w AS (SELECT file, track_id, n, 1::BIGINT AS i, 1::BIGINT AS j, 0.0::DOUBLE AS taken, 0.0::DOUBLE AS passed, 0.0::DOUBLE AS rate FROM r WHERE k = 1
+  UNION ALL SELECT x.file, x.track_id, x.n, CASE WHEN x.over OR x.j = x.n THEN x.i + 1 ELSE x.i END, CASE WHEN x.over OR x.j = x.n THEN x.i + 1 ELSE x.j + 1 END,
+    CASE WHEN x.over OR x.j = x.n THEN 0.0::DOUBLE ELSE x.taken END, CASE WHEN x.over OR x.j = x.n THEN 0.0::DOUBLE ELSE x.passed END,
+    CASE WHEN x.over THEN 8.0::DOUBLE * (x.taken - 3600.0::DOUBLE * x.rate / 8.0::DOUBLE) / x.passed ELSE x.rate END
+  FROM (SELECT w.file, w.track_id, w.n, w.i, w.j, w.rate, w.taken + r.size AS taken, w.passed + r.seconds AS passed,
+      (w.taken + r.size > 3600.0::DOUBLE * w.rate / 8.0::DOUBLE + (w.passed + r.seconds) * w.rate / 8.0::DOUBLE AND w.passed + r.seconds <> 0) AS over FROM w JOIN r ON r.track_id = w.track_id AND r.k = w.j) x)
+SELECT file, track_id, CAST(trunc(rate) AS BIGINT) AS bandwidth FROM w WHERE i = n + 1""")
 def bandwidth(spark, d):
-    rows = _rolled(spark, d).select(*KEYS, "segment_index", (F.col("size") * 8).cast("double").alias("bits"), (F.col("duration") / TIMESCALE).alias("seconds"))
+    rows = _rolled(spark, d).select(*KEYS, "segment_index", "size", (F.col("duration") / TIMESCALE).alias("seconds"))
     return segments.bandwidth(rows, 3600.0)
 
 
-@query("similar_rates")
+@query("similar_rates", """, z AS (SELECT file, track_id AS ordinal, CAST(floor(0.5::DOUBLE + CAST(sum(duration) AS DOUBLE) * (1000.0::DOUBLE / 1000000.0::DOUBLE)) AS BIGINT) AS millis, sum(size) AS total FROM s GROUP BY file, track_id),
+r AS (SELECT file, ordinal, CAST(CASE WHEN millis = 0 THEN 0 ELSE floor(total * 8000 / millis) END AS DOUBLE) AS bandwidth, row_number() OVER (PARTITION BY file ORDER BY ordinal) AS k FROM z),
+w AS (SELECT file, k, ordinal, bandwidth, true AS keep, [bandwidth] AS kept FROM r WHERE k = 1
+  UNION ALL SELECT r.file, r.k, r.ordinal, r.bandwidth, len(list_filter(w.kept, lambda x: x <> 0 AND abs((x - r.bandwidth) / x) < 0.1)) = 0,
+    CASE WHEN len(list_filter(w.kept, lambda x: x <> 0 AND abs((x - r.bandwidth) / x) < 0.1)) = 0 THEN list_append(w.kept, r.bandwidth) ELSE w.kept END FROM w JOIN r ON r.file = w.file AND r.k = w.k + 1)
+SELECT file, ordinal, bandwidth FROM w WHERE keep""")
 def similar_rates(spark, d):
     rates = segments.media_scan(event_samples(spark, d), TIMESCALE).select("file", F.col("track_id").alias("ordinal"), F.col("bitrate").cast("double").alias("bandwidth"))
     return segments.drop_similar_rates(rates, ["file"])
 
 
-@query("fragment_plan")
+@query("fragment_plan", f""", a AS (SELECT s.* FROM s JOIN (SELECT file, min(track_id) AS track_id FROM s GROUP BY file) USING (file, track_id)),
+b AS (SELECT file, min(dts) AS lo, max(dts) AS hi FROM a GROUP BY file),
+t AS (SELECT file, unnest(generate_series(0, (hi - lo) // {7 * DAY})) AS seg, lo FROM b),
+c AS (SELECT t.file, a.sample_index, row_number() OVER (PARTITION BY t.file, t.seg ORDER BY abs(a.dts - lo - t.seg * {7 * DAY}), a.sample_index) AS k FROM t JOIN a ON a.file = t.file AND a.is_sync),
+cut AS (SELECT DISTINCT file, sample_index FROM c WHERE k = 1),
+g AS (SELECT a.file, a.sample_index, any_value(a.dts) AS dts, greatest(count(cut.sample_index) - 1, 0) AS seg FROM a LEFT JOIN cut ON cut.file = a.file AND cut.sample_index <= a.sample_index GROUP BY a.file, a.sample_index),
+m AS (SELECT file, seg, min(dts) AS at FROM g GROUP BY file, seg),
+p AS (SELECT s.file, s.track_id, s.sample_index, coalesce(max(m.seg), 0) AS fragment_index FROM s LEFT JOIN m ON m.file = s.file AND m.at <= s.dts GROUP BY s.file, s.track_id, s.sample_index)
+SELECT file, track_id, fragment_index, min(sample_index) AS first_sample, count(*) AS sample_count FROM p GROUP BY file, track_id, fragment_index""")
 def fragment_plan(spark, d):
     s = event_samples(spark, d)
     anchor = s.groupBy("file").agg(F.min("track_id").alias("track_id"))
