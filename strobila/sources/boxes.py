@@ -1,16 +1,20 @@
 """Files of boxes as rows: one row for each box, with its place in the tree, its fields and, if asked, its payload.
 
 Files come through Spark's ``binaryFile`` source, so any store that Spark reads will do; the walk of a file is iterative,
-and ``mdat`` payloads are never copied.
+and ``mdat`` payloads are never copied. A container's payload is what it holds before its children. The entries of
+tables stay in their payloads, which ``media`` decodes as arrays; only a dump asks for them as fields.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from strobila.sources.layouts import (
     _AUDIO,
@@ -29,17 +33,12 @@ ATOMS = (
     "file string, atom_id long, parent_id long, ordinal int, depth int, path string, type string, offset long, header_size int, "
     "size long, version int, flags long, fields map<string,string>, payload binary, error string"
 )
-#: Decoders of further boxes by type: (payload) -> dict of fields. See ``register``.
-_custom: dict[str, object] = {}
-
-
-def register(fourcc: str, decoder) -> None:
-    """Adds a decoder ``payload -> dict`` for boxes of a type that has none, or in place of the one that it has."""
-    _custom[fourcc] = decoder
+#: Boxes whose payloads are tables, which stay with their rows even where other payloads are left out.
+TABLES = frozenset("stts ctts stsc stco co64 stss stsz stz2 trun sidx tfra sbgp elst".split())
 
 
 class Box:
-    __slots__ = ("type", "offset", "header", "size", "version", "flags", "fields", "payload", "parent", "id", "ordinal", "depth", "path", "error", "children")
+    __slots__ = ("type", "offset", "header", "size", "version", "flags", "fields", "payload", "parent", "id", "ordinal", "depth", "path", "error", "entries")
 
     def __init__(self, **kw):
         for k in self.__slots__:
@@ -65,12 +64,15 @@ def header(data: bytes, at: int, end: int) -> tuple[str, int, int] | None:
     return kind, head, size
 
 
-def walk(data: bytes, moov_only: bool = False, max_depth: int | None = None, payloads: bool = True) -> Iterator[Box]:
-    """All boxes of a file in file order. A box that does not fit in what holds it ends the walk there."""
+def walk(data: bytes, moov_only: bool = False, max_depth: int | None = None, payloads: bool = True, entries: bool = False, decoders: dict | None = None) -> Iterator[Box]:
+    """All boxes of a file in file order. A box that does not fit in what holds it ends the walk there.
+
+    ``decoders``: functions ``payload -> dict`` by type, for boxes that have no layout or in place of it.
+    """
     counter = 0
     stack: list[tuple[int, int, Box | None, dict, bool]] = [(0, len(data), None, {}, False)]
     while stack:
-        at, end, parent, seen, entries = stack.pop()
+        at, end, parent, seen, described = stack.pop()
         found = header(data, at, end)
         if found is None:
             continue
@@ -85,8 +87,10 @@ def walk(data: bytes, moov_only: bool = False, max_depth: int | None = None, pay
         box = Box(type=kind, offset=at, header=head, size=size, parent=None if parent is None else parent.id, id=counter, ordinal=ordinal, depth=depth, path=name if parent is None else f"{parent.path}/{name}", fields={})
         counter += 1
         body = data[at + head : at + size] if kind != "mdat" else b""
-        inner = _fill(box, body, entries, data[at + head - 16 : at + head].hex() if kind == "uuid" else "")
-        if payloads and inner is None and kind != "mdat":
+        inner = _fill(box, body, described, data[at + head - 16 : at + head].hex() if kind == "uuid" else "", entries, decoders or {})
+        if inner is not None:
+            box.payload = body[:inner]
+        elif (payloads or kind in TABLES) and kind != "mdat":
             box.payload = body
         yield box
         if at + size < end and not (moov_only and parent is None and kind == "moov"):
@@ -95,7 +99,7 @@ def walk(data: bytes, moov_only: bool = False, max_depth: int | None = None, pay
             stack.append((at + head + inner, at + size, box, {}, kind == "stsd"))
 
 
-def _fill(box: Box, body: bytes, entry: bool, uuid: str) -> int | None:
+def _fill(box: Box, body: bytes, entry: bool, uuid: str, entries: bool, decoders: dict) -> int | None:
     """Sets a box's fields; returns where its children begin, None for a leaf."""
     kind = box.type
     try:
@@ -116,8 +120,8 @@ def _fill(box: Box, body: bytes, entry: bool, uuid: str) -> int | None:
                 return at
             box.fields, at = decode("skip6 data_reference_index:u16", body)
             return at if kind in OTHER_ENTRIES else None
-        if kind in _custom:
-            box.fields = dict(_custom[kind](body))
+        if kind in decoders:
+            box.fields = dict(decoders[kind](body))
             return None
         if kind in CONTAINERS and kind != "ipro":
             return 0
@@ -135,6 +139,7 @@ def _fill(box: Box, body: bytes, entry: bool, uuid: str) -> int | None:
             box.fields["uuid"] = uuid
             return None
         if kind in ("stsz", "stz2", "tfra", "avcC", "hvcC", "dvcC", "dvvC", "av1C", "dac3", "dec3"):
+            box.entries = entries
             box.fields = _SPECIAL[kind](box, body)
             return None
         if kind in LAYOUTS:
@@ -143,8 +148,8 @@ def _fill(box: Box, body: bytes, entry: bool, uuid: str) -> int | None:
                 if len(body) < 4:
                     raise Truncated("no version and flags")
                 box.version, box.flags = body[0], int.from_bytes(body[1:4], "big")
-            box.fields, _ = decode(layout, body[4 * full :], box.version or 0, box.flags or 0)
-            if kind == "sidx":
+            box.fields, _ = decode(layout, body[4 * full :], box.version or 0, box.flags or 0, entries or kind not in TABLES)
+            if kind == "sidx" and entries:
                 _split_references(box.fields)
     except (Truncated, IndexError, ValueError) as e:
         box.error = str(e)
@@ -160,12 +165,10 @@ def _split_references(fields: dict) -> None:
 def _sizes(box: Box, body: bytes) -> dict:
     box.version, box.flags = body[0], int.from_bytes(body[1:4], "big")
     fixed, count = (int.from_bytes(body[k : k + 4], "big") for k in (4, 8))
-    out = {"sample_size": fixed, "sample_count": count}
-    if not fixed:
-        if 12 + 4 * count > len(body):
-            raise Truncated("sizes end early")
-        out |= {f"size[{k}]": int.from_bytes(body[12 + 4 * k : 16 + 4 * k], "big") for k in range(count)}
-    return out
+    if not fixed and 12 + 4 * count > len(body):
+        raise Truncated("sizes end early")
+    each = range(0 if fixed or not box.entries else count)
+    return {"sample_size": fixed, "sample_count": count} | {f"size[{k}]": int.from_bytes(body[12 + 4 * k : 16 + 4 * k], "big") for k in each}
 
 
 def unpack_sizes(body: bytes, width: int, count: int) -> list[int]:
@@ -190,7 +193,10 @@ def pack_sizes(sizes: list[int], width: int) -> bytes:
 def _packed_sizes(box: Box, body: bytes) -> dict:
     box.version, box.flags = body[0], int.from_bytes(body[1:4], "big")
     width, count = body[7], int.from_bytes(body[8:12], "big")
-    return {"field_size": width, "sample_count": count} | {f"size[{k}]": s for k, s in enumerate(unpack_sizes(body[12:], width, count))}
+    if (len(body) - 12) * 8 < width * count:
+        raise Truncated("sizes end early")
+    each = unpack_sizes(body[12:], width, count) if box.entries else []
+    return {"field_size": width, "sample_count": count} | {f"size[{k}]": s for k, s in enumerate(each)}
 
 
 def _random_access(box: Box, body: bytes) -> dict:
@@ -198,7 +204,7 @@ def _random_access(box: Box, body: bytes) -> dict:
     track, lengths, count = (int.from_bytes(body[k : k + 4], "big") for k in (4, 8, 12))
     traf, trun, sample = ((lengths >> s & 3) + 1 for s in (4, 2, 0))
     layout = f"**[time:V moof_offset:V traf_number:u{8 * traf} trun_number:u{8 * trun} sample_number:u{8 * sample}]"
-    fields, _ = decode(layout, body[16:], box.version)
+    fields, _ = decode(layout, body[16:] if box.entries else b"", box.version)
     return {"track_id": track, "length_size_of_traf_num": traf, "length_size_of_trun_num": trun, "length_size_of_sample_num": sample, "entry_count": count} | fields
 
 
@@ -276,14 +282,15 @@ def rows_of(file: str, data: bytes, **options) -> Iterator[tuple]:
 _NAMES = [c.split()[0] for c in ATOMS.split(", ")]
 
 
-def atoms(files: DataFrame, moov_only: bool = False, max_depth: int | None = None, payloads: bool = True, strict: bool = False) -> DataFrame:
+def atoms(files: DataFrame, moov_only: bool = False, max_depth: int | None = None, payloads: bool = True, strict: bool = False, entries: bool = False, decoders: dict | None = None) -> DataFrame:
     """Boxes of ``files`` (path, content). ``strict``: a box that its layout does not fit raises an error; otherwise it
-    keeps its row, with ``error``."""
+    keeps its row, with ``error``. ``entries``: the entries of tables as fields too, for dumps. ``decoders``: functions
+    ``payload -> dict`` by type for further boxes, which go to the tasks with the walk."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
-                rows = list(rows_of(path, bytes(content), moov_only=moov_only, max_depth=max_depth, payloads=payloads))
+                rows = list(rows_of(path, bytes(content), moov_only=moov_only, max_depth=max_depth, payloads=payloads, entries=entries, decoders=decoders))
                 if strict and (bad := next((r for r in rows if r[-1]), None)):
                     raise ValueError(f"{path}, {bad[5]}: {bad[-1]}")
                 out = pd.DataFrame(rows, columns=_NAMES)
@@ -301,26 +308,32 @@ def read_atoms(spark: SparkSession, path: str, **options) -> DataFrame:
 # Queries on the tree
 
 
-def compile_path(path: str) -> str | None:
-    """``moov/trak[1]/mdia`` as the stored form with an ordinal in each step; None if malformed. A step is four
-    characters, or 32 hex digits of a uuid, which stand for any uuid box."""
-    import re
-
+def parse_path(path: str) -> list[tuple[str, int]] | None:
+    """``moov/trak[1]/mdia`` as (name, ordinal) steps; None if malformed. A step is four characters, or 32 hex digits of a
+    uuid, counted among the boxes of that uuid."""
     out = []
     for step in path.split("/"):
         m = re.fullmatch(r"(.{4}|[0-9A-Fa-f]{32})(?:\[(\d+)\])?", step)
         if not m:
             return None
-        out.append(f"{'uuid' if len(m[1]) == 32 else m[1]}[{int(m[2] or 0)}]")
-    return "/".join(out)
+        out.append((m[1].lower() if len(m[1]) == 32 else m[1], int(m[2] or 0)))
+    return out
 
 
 def find(df: DataFrame, path: str) -> DataFrame:
     """Boxes at a path, of every file; none for a malformed path."""
-    want = compile_path(path)
-    last = path.rsplit("/", 1)[-1].split("[")[0]
-    out = df.filter(F.lit(False)) if want is None else df.filter(F.col("path") == want)
-    return out.filter(F.lower(F.col("fields")["uuid"]) == last.lower()) if len(last) == 32 else out
+    steps = parse_path(path)
+    if steps is None:
+        return df.filter(F.lit(False))
+    if all(len(name) == 4 for name, _ in steps):
+        return df.filter(F.col("path") == "/".join(f"{name}[{n}]" for name, n in steps))
+    out = None
+    for name, n in steps:
+        own = df.filter(F.col("parent_id").isNull()) if out is None else children(df, out)
+        own = own.filter(F.col("type") == name if len(name) == 4 else (F.col("type") == "uuid") & (F.lower(F.col("fields")["uuid"]) == name))
+        k = F.row_number().over(Window.partitionBy("file").orderBy("ordinal"))
+        out = own.withColumn("_k", k).filter(F.col("_k") == n + 1).drop("_k")
+    return out
 
 
 def children(df: DataFrame, parent: DataFrame, kind: str | None = None) -> DataFrame:
@@ -329,38 +342,171 @@ def children(df: DataFrame, parent: DataFrame, kind: str | None = None) -> DataF
     return out if kind is None else out.filter(F.col("type") == kind)
 
 
+class _Node:
+    """A box of a tree that is edited or written."""
+
+    def __init__(self, row: dict):
+        self.row, self.children = row, []
+
+    @property
+    def name(self) -> str:
+        return dict(self.row["fields"] or {}).get("uuid", "").lower() if self.row["type"] == "uuid" else self.row["type"]
+
+    def child(self, name: str, n: int) -> "_Node | None":
+        own = [c for c in self.children if name in (c.name, c.row["type"])]
+        return own[n] if n < len(own) else None
+
+    def head(self) -> int:
+        """Bytes of its header, eight more from 4 GiB on."""
+        extra = 16 if self.row["type"] == "uuid" else 0
+        return (16 if self.row["header_size"] - extra == 16 or self.body() + 8 + extra >= 1 << 32 else 8) + extra
+
+    def body(self) -> int:
+        if self.row["payload"] is None:
+            return self.row["size"] - self.row["header_size"]
+        return len(self.row["payload"]) + sum(c.head() + c.body() for c in self.children)
+
+    def settle(self) -> None:
+        """Counts of children, where a box states them."""
+        if self.row["type"] in ("stsd", "dref") and self.row["payload"] is not None:
+            self.row["payload"] = bytes(self.row["payload"])[:4] + len(self.children).to_bytes(4, "big")
+            self.row["fields"] = {**dict(self.row["fields"] or {}), "entry_count": str(len(self.children))}
+        for c in self.children:
+            c.settle()
+
+    def written(self, source: bytes | None) -> bytes:
+        head, body, kind = self.head(), self.body(), self.row["type"].encode("latin-1")
+        plain = head - (16 if kind == b"uuid" else 0)
+        out = [(head + body).to_bytes(4, "big") + kind if plain == 8 else b"\0\0\0\1" + kind + (head + body).to_bytes(8, "big")]
+        if kind == b"uuid":
+            out.append(bytes.fromhex(self.name))
+        if self.row["payload"] is None:
+            if source is None:
+                raise ValueError(f"the bytes of {self.row['path']} are neither in its row nor in a file")
+            at = self.row["offset"] + self.row["header_size"]
+            out.append(source[at : at + body])
+        else:
+            out.append(bytes(self.row["payload"]))
+        return b"".join(out + [c.written(source) for c in self.children])
+
+
+def _tree(rows: list[dict]) -> _Node:
+    top = _Node({"type": "", "payload": b"", "fields": {}, "atom_id": None, "depth": -1, "path": "", "header_size": 0, "size": 0})
+    nodes = {r["atom_id"]: _Node(r) for r in rows}
+    for r in sorted(rows, key=lambda r: r["ordinal"]):
+        nodes.get(r["parent_id"], top).children.append(nodes[r["atom_id"]])
+    return top
+
+
+def _parsed(content: bytes) -> list[_Node]:
+    return _tree([dict(zip(_NAMES, r)) for r in rows_of("", content)]).children
+
+
+def _at(top: _Node, path: str, create: bool = False) -> tuple[_Node | None, _Node | None]:
+    """(parent, box) at a path. ``create``: missing plain containers are put last in what should hold them."""
+    parent, here = None, top
+    for name, n in parse_path(path) or []:
+        parent, here = here, here.child(name, n)
+        if here is None:
+            if not create or name not in CONTAINERS or n:
+                return parent, None
+            here = _Node({"type": name, "payload": b"", "fields": {}, "header_size": 8, "size": 8, "offset": None, "version": None, "flags": None, "error": None})
+            parent.children.append(here)
+    return parent, here
+
+
+def edit(df: DataFrame, steps: list[tuple]) -> DataFrame:
+    """The trees of all files after ``("remove", path)``, ``("insert", parent path or "", bytes of boxes[, position])`` and
+    ``("replace", path, bytes of boxes)``, in order; a path that is not there, or malformed, changes nothing, but an
+    insertion makes the containers that it misses.
+
+    Ordinals, paths, depths, sizes and entry counts are those of the new tree; ``offset`` stays the place in the file that
+    was read, null for new boxes. A file's tree is edited in one task; media data is not part of it.
+    """
+    for s in steps:
+        if s[0] not in ("remove", "insert", "replace"):
+            raise ValueError(f"no such edit: {s[0]}")
+    arrow = to_arrow_schema(df.schema)
+
+    def work(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        top = _tree(rows)
+        for kind, path, *rest in steps:
+            if path and parse_path(path) is None:
+                continue
+            parent, here = _at(top, path, kind == "insert") if path else (None, top)
+            if here is None:
+                continue
+            if kind == "remove":
+                parent.children.remove(here)
+            elif kind == "replace":
+                k = parent.children.index(here)
+                parent.children[k : k + 1] = _parsed(rest[0])
+            else:
+                k = rest[1] if len(rest) > 1 and rest[1] is not None else len(here.children)
+                here.children[k:k] = _parsed(rest[0])
+        top.settle()
+        file, fresh = rows[0]["file"], max((r["atom_id"] for r in rows), default=-1) + 1
+        known, out = {id(r) for r in rows}, []
+
+        def below(node: _Node, own_id: int | None) -> list[tuple]:
+            """Its children with their places, and their places among those of their type, the last one first."""
+            seen: dict[str, int] = {}
+            found = []
+            for k, c in enumerate(node.children):
+                n = seen[c.row["type"]] = seen.get(c.row["type"], -1) + 1
+                found.append((c, own_id, node, k, n))
+            return found[::-1]
+
+        stack = below(top, None)
+        while stack:
+            node, parent_id, above, k, n = stack.pop()
+            if id(node.row) not in known:
+                node.row |= {"atom_id": fresh, "offset": None}
+                fresh += 1
+            step = f"{node.row['type']}[{n}]"
+            head, body = node.head(), node.body()
+            node.row |= {"file": file, "parent_id": parent_id, "ordinal": k, "depth": above.row["depth"] + 1, "path": step if above is top else f"{above.row['path']}/{step}"}
+            if node.row["payload"] is not None:
+                node.row |= {"header_size": head, "size": head + body}
+            out.append(node.row)
+            stack += below(node, node.row["atom_id"])
+        for r in out:
+            r["fields"] = list(dict(r["fields"] or {}).items())
+        return pa.Table.from_pylist(out, arrow)
+
+    return df.groupBy("file").applyInArrow(work, df.schema)
+
+
 def remove(df: DataFrame, path: str) -> DataFrame:
-    """The tree without the box at a path and all below it; its later siblings move up."""
-    from pyspark.sql import Window
-
-    want = compile_path(path)
-    if want is None:
-        return df
-    rest = df.filter((F.col("path") != want) & ~F.col("path").startswith(want + "/"))
-    w = Window.partitionBy("file", "parent_id").orderBy("ordinal", "offset")
-    return rest.withColumn("ordinal", (F.row_number().over(w) - 1).cast("int"))
-
-
-def insert(df: DataFrame, parent_path: str, new: DataFrame, position: int | None = None) -> DataFrame:
-    """``new`` boxes (file and the columns of ``df``) put below a path, before ``position`` or last."""
-    from pyspark.sql import Window
-
-    want = compile_path(parent_path)
-    parent = df.filter(F.col("path") == want).select("file", F.col("atom_id").alias("_parent"), F.col("depth").alias("_depth"))
-    top = df.groupBy("file").agg(F.max("atom_id").alias("_top"))
-    number = F.row_number().over(Window.partitionBy("file").orderBy("type", "path"))
-    put = new.join(parent, "file").join(top, "file").withColumns({"parent_id": F.col("_parent"), "depth": F.col("_depth") + 1, "atom_id": F.col("_top") + number, "_place": F.lit((position if position is not None else 1 << 30) - 0.5)})
-    own = df.withColumn("_place", F.col("ordinal").cast("double"))
-    both = own.unionByName(put.select(*df.columns, F.col("_place").cast("double").alias("_place")))
-    w = Window.partitionBy("file", "parent_id").orderBy("_place", "atom_id")
-    return both.withColumn("ordinal", (F.row_number().over(w) - 1).cast("int")).drop("_place")
-
-
-def replace(df: DataFrame, path: str, payload: bytes) -> DataFrame:
-    """The payload of the box at a path, its place kept."""
-    want = compile_path(path)
-    here = F.col("path") == F.lit(want)
-    return df.withColumns({"payload": F.when(here, F.lit(payload)).otherwise(F.col("payload")), "size": F.when(here, F.col("header_size") + len(payload)).otherwise(F.col("size"))})
+    """The trees without the box at a path and all below it; see ``edit``."""
+    return edit(df, [("remove", path)])
+
+
+def insert(df: DataFrame, parent_path: str, content: bytes, position: int | None = None) -> DataFrame:
+    """The boxes in ``content`` put below a path, before ``position`` or last; see ``edit``."""
+    return edit(df, [("insert", parent_path, content, position)])
+
+
+def replace(df: DataFrame, path: str, content: bytes) -> DataFrame:
+    """The boxes in ``content`` in place of the one at a path; see ``edit``."""
+    return edit(df, [("replace", path, content)])
+
+
+def write_tree(df: DataFrame, files: DataFrame) -> DataFrame:
+    """(file, content): every file's boxes as bytes. What has no payload in its row, such as media data, is taken from
+    ``files`` (path, content) at its offset. A file is written in one task; chunk offsets are written as they are."""
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = left.to_pylist()
+        if not rows:
+            return pa.table({"file": pa.array([], pa.string()), "content": pa.array([], pa.binary())})
+        source = right.column("content")[0].as_py() if right.num_rows else None
+        content = b"".join(c.written(source) for c in _tree(rows).children)
+        return pa.table({"file": pa.array([rows[0]["file"]]), "content": pa.array([content], pa.binary())})
+
+    own = files.select(F.col("path").alias("file"), "content")
+    return df.groupBy("file").cogroup(own.groupBy("file")).applyInArrow(work, "file string, content binary")
 
 
 def dump_json(df: DataFrame) -> DataFrame:

@@ -122,8 +122,27 @@ def parse_layout(text: str) -> list[tuple]:
 _parsed: dict[str, list[tuple]] = {}
 
 
-def decode(layout: str, data: bytes, version: int = 0, flags: int = 0) -> tuple[dict[str, object], int]:
-    """Field values of a payload, and how many of its bytes the layout takes; an impossible count is refused."""
+def entry_size(items: list[tuple], version: int, flags: int) -> int:
+    """Bytes of one entry of a repeated list of fields of fixed size."""
+    size = 0
+    for cond, _, kind in items:
+        if cond and cond[0] == "v" and version < int(cond[1:]) or cond and cond[:2] == "0x" and not flags & int(cond, 16):
+            continue
+        if kind in ("V", "S"):
+            size += 8 if version else 4
+        elif kind in _FIXED:
+            size += _FIXED[kind]
+        else:
+            size += int(kind[1:]) // 8 if kind[0] in "ui" else int(kind.lstrip("hskip"))
+    return size
+
+
+_FIXED = {"F16": 4, "F8": 2, "4cc": 4, "lang": 2}
+
+
+def decode(layout: str, data: bytes, version: int = 0, flags: int = 0, entries: bool = True) -> tuple[dict[str, object], int]:
+    """Field values of a payload, and how many of its bytes the layout takes; an impossible count is refused. Without
+    ``entries`` lists of a counted number of entries are checked for length and passed over."""
     items = _parsed.get(layout)
     if items is None:
         items = _parsed[layout] = parse_layout(layout)
@@ -179,7 +198,9 @@ def decode(layout: str, data: bytes, version: int = 0, flags: int = 0) -> tuple[
         for cond, name, kind in items:
             if not met(cond):
                 continue
-            if isinstance(kind, list):
+            if isinstance(kind, list) and not entries and name != "*":
+                take(entry_size(kind, version, flags) * int(out.get(name + suffix, 0)))
+            elif isinstance(kind, list):
                 k, start = 0, at
                 while (at < len(data)) if name == "*" else k < int(out.get(name + suffix, 0)):
                     before = at

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from strobila.functions.scalars import uint
 from strobila.operators import runs
-from strobila.operators.fragments import fragment_samples
+from strobila.operators.fragments import TRUN_CTS, TRUN_DATA_OFFSET, TRUN_DURATION, TRUN_FIRST_FLAGS, TRUN_FLAGS, TRUN_SIZE, fragment_samples
 
 TRAK = r"^(moov\[0\]/trak\[\d+\])"
 _KEYS = ["file", "track_id"]
@@ -43,33 +46,77 @@ def sample_descriptions(atoms: DataFrame) -> DataFrame:
     return inside.join(track_ids(atoms), ["file", "_trak"]).select(*_KEYS, (F.col("ordinal") + 1).cast("long").alias("description_index"), F.col("type").alias("coding"), "fields")
 
 
+#: Rows that leave a table's payload at a time.
+_ROWS = 1 << 18
+
+
+def _unpacked(boxes: DataFrame, keep: list[str], schema: str, unpack: Callable[[int, int, bytes], list[np.ndarray]]) -> DataFrame:
+    """A row for each entry of each box: ``keep`` columns, entry_index and what ``unpack`` (version, flags, payload) gives,
+    decoded from the payload as arrays."""
+    fields = boxes.select(*keep).schema
+    names = [c.split()[0] for c in schema.split(", ")]
+    out = fields.add("entry_index", "long")
+    for c in schema.split(", "):
+        out = out.add(*c.split())
+    kinds = to_arrow_schema(out)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                *own, version, flags, payload = (b.column(k)[i].as_py() for k in range(b.num_columns))
+                if payload is None:
+                    raise ValueError(f"a table without its payload: {own}")
+                try:
+                    columns = unpack(version or 0, flags or 0, payload)
+                except ValueError as e:
+                    raise ValueError(f"{e}: {own}") from e
+                n = len(columns[0]) if columns else 0
+                for at in range(0, n, _ROWS):
+                    m = min(_ROWS, n - at)
+                    head = [pa.repeat(pa.scalar(v, kinds.field(k).type), m) for k, v in enumerate(own)]
+                    body = [pa.array(c[at : at + m]) if isinstance(c, np.ndarray) else c.slice(at, m) for c in columns]
+                    yield pa.RecordBatch.from_arrays([*head, pa.array(np.arange(at, at + m)), *body], [*keep, "entry_index", *names])
+
+    return boxes.select(*keep, "version", "flags", "payload").mapInArrow(work, out)
+
+
+def _cells(payload: bytes, at: int, count: int, layout: list[tuple[str, str]]) -> list[np.ndarray]:
+    """Columns of ``count`` entries from ``at`` on; a count beyond what the payload holds raises an error."""
+    kind = np.dtype([(n, k) for n, k in layout])
+    if at + count * kind.itemsize > len(payload):
+        raise ValueError("a table has more entries than bytes")
+    rows = np.frombuffer(payload, kind, count, at) if count else np.zeros(0, kind)
+    return [rows[n].astype(np.int64) for n, _ in layout]
+
+
 def table(atoms: DataFrame, kind: str, names: list[str], width: int = 4, signed: tuple[str, ...] = ()) -> DataFrame:
     """(file, track_id, entry_index, names): the entries of a table box whose rows are ``names`` of ``width`` bytes each.
 
-    A count beyond what the payload holds raises an error.
+    A count beyond what the payload holds, or a row without its payload, raises an error.
     """
-    step = width * len(names)
-    count = uint(F.col("payload"), 5, 4)
-    fits = count * step <= F.length("payload") - 8
-    checked = F.when(fits, count).otherwise(F.raise_error(F.concat(F.lit(f"{kind} has more entries than bytes in "), F.col("file"))).cast("long"))
-    boxes = _trak(atoms).filter(F.col("type") == kind).join(track_ids(atoms), ["file", "_trak"]).filter(count > 0)
-    rows = boxes.select(*_KEYS, "payload", F.explode(F.sequence(F.lit(0).cast("long"), checked - 1)).alias("entry_index"))
+    layout = [(n, f">{'i' if n in signed else 'u'}{width}") for n in names]
+    boxes = _trak(atoms).filter(F.col("type") == kind).join(track_ids(atoms), ["file", "_trak"])
+    return _unpacked(boxes, _KEYS, ", ".join(f"{n} long" for n in names), lambda v, f, p: _cells(p, 8, int.from_bytes(p[4:8], "big"), layout))
 
-    def cell(k: int, name: str) -> Column:
-        x = uint(F.col("payload"), (F.col("entry_index") * step + 9 + k * width).cast("int"), width)
-        return F.when(x >= 1 << 31, x - (1 << 32)).otherwise(x) if name in signed else x
 
-    return rows.select(*_KEYS, "entry_index", *[cell(k, n).alias(n) for k, n in enumerate(names)])
+def _sizes(payload: bytes, packed: bool) -> list[np.ndarray]:
+    fixed, count = int.from_bytes(payload[4:8], "big"), int.from_bytes(payload[8:12], "big")
+    if not packed:
+        return [np.full(count, fixed, np.int64)] if fixed else _cells(payload, 12, count, [("size", ">u4")])
+    if fixed & 255 == 4:
+        pairs = _cells(payload, 12, (count + 1) // 2, [("size", "u1")])[0]
+        return [np.stack([pairs >> 4, pairs & 15], 1).reshape(-1)[:count]]
+    return _cells(payload, 12, count, [("size", f">u{(fixed & 255) // 8}")])
 
 
 def sample_sizes(atoms: DataFrame) -> DataFrame:
     """(file, track_id, sample_index, size) from full or packed size tables; a fixed size applies to all."""
-    ids = track_ids(atoms)
-    boxes = _trak(atoms).filter("type in ('stsz', 'stz2')").join(ids, ["file", "_trak"])
-    count, fixed = _number("sample_count"), F.coalesce(_number("sample_size"), F.lit(0))
-    rows = boxes.filter(count > 0).select(*_KEYS, "fields", fixed.alias("_fixed"), F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("sample_index"))
-    own = F.col("fields")[F.concat(F.lit("size["), F.col("sample_index").cast("string"), F.lit("]"))].cast("long")
-    return rows.select(*_KEYS, "sample_index", F.when(F.col("_fixed") > 0, F.col("_fixed")).otherwise(own).alias("size"))
+    boxes = _trak(atoms).join(track_ids(atoms), ["file", "_trak"])
+    out = None
+    for kind in ("stsz", "stz2"):
+        own = _unpacked(boxes.filter(F.col("type") == kind), _KEYS, "size long", lambda v, f, p, packed=kind == "stz2": _sizes(p, packed))
+        out = own if out is None else out.unionByName(own)
+    return out.withColumnRenamed("entry_index", "sample_index")
 
 
 def static_samples(atoms: DataFrame) -> DataFrame:
@@ -78,6 +125,7 @@ def static_samples(atoms: DataFrame) -> DataFrame:
     ids = track_ids(atoms).select(*_KEYS)
     times = runs.decode_times(table(atoms, "stts", ["sample_count", "value"]))
     deltas = runs.decode_runs(table(atoms, "ctts", ["sample_count", "value"], signed=("value",))).withColumnRenamed("value", "cts_delta")
+    delayed = _trak(atoms).filter("type = 'ctts'").join(track_ids(atoms), ["file", "_trak"]).select(*_KEYS).distinct().withColumn("_delayed", F.lit(True))
     offsets = table(atoms, "stco", ["offset"]).unionByName(table(atoms, "co64", ["offset"], width=8))
     chunks = offsets.select(*_KEYS, (F.col("entry_index") + 1).alias("chunk_index"), "offset")
     placed = runs.expand_chunk_map(table(atoms, "stsc", ["first_chunk", "samples_per_chunk", "description_index"]), chunks)
@@ -91,15 +139,35 @@ def static_samples(atoms: DataFrame) -> DataFrame:
         .join(in_chunk, [*_KEYS, "sample_index"], "left")
         .join(sync, [*_KEYS, "sample_index"], "left")
         .join(marked, _KEYS, "left")
+        .join(delayed, _KEYS, "left")
         .join(ids, _KEYS, "left_semi")
     )
     out = out.withColumn("is_sync", F.col("_marked").isNull() | F.coalesce("_sync", F.lit(False)))
     laid = runs.sum_before(out, "size", "_in_chunk", [*_KEYS, "chunk_index"])
-    return laid.select(*_KEYS, "sample_index", (F.col("offset") + F.col("_in_chunk")).alias("offset"), "size", "duration", "dts", F.coalesce("cts_delta", F.lit(0)).cast("long").alias("cts_delta"), "description_index", "is_sync", "chunk_index")
+    ends_early = F.raise_error(F.concat(F.lit("the composition table ends before the samples in "), F.col("file"))).cast("long")
+    delta = F.when(F.col("cts_delta").isNotNull(), F.col("cts_delta")).when(F.col("_delayed"), ends_early).otherwise(F.lit(0).cast("long"))
+    return laid.select(*_KEYS, "sample_index", (F.col("offset") + F.col("_in_chunk")).alias("offset"), "size", "duration", "dts", delta.alias("cts_delta"), "description_index", "is_sync", "chunk_index")
 
 
 _TRAF = "file string, moof_offset long, traf_index int, track_id long, base_data_offset long, description_index long, default_duration long, default_size long, default_flags long, base_dts long"
-_ENTRY = "file string, moof_offset long, traf_index int, trun_index int, entry_index int, duration long, size long, flags long, cts long, data_offset long, first_flags long"
+
+
+def _run(version: int, flags: int, payload: bytes) -> list:
+    """Columns of a track run; those that it does not have are null."""
+    count, at = int.from_bytes(payload[4:8], "big"), 8
+    head = []
+    for bit, kind in ((TRUN_DATA_OFFSET, ">i4"), (TRUN_FIRST_FLAGS, ">u4")):
+        if flags & bit:
+            if at + 4 > len(payload):
+                raise ValueError("a track run ends early")
+            head.append(pa.repeat(pa.scalar(int(np.frombuffer(payload, kind, 1, at)[0]), pa.int64()), count))
+            at += 4
+        else:
+            head.append(pa.nulls(count, pa.int64()))
+    bits = {"duration": TRUN_DURATION, "size": TRUN_SIZE, "flags": TRUN_FLAGS, "cts": TRUN_CTS}
+    layout = [(n, ">i4" if n == "cts" else ">u4") for n, bit in bits.items() if flags & bit]
+    found = dict(zip([n for n, _ in layout], _cells(payload, at, count, layout))) if layout else {}
+    return [pa.array(found[n]) if n in found else pa.nulls(count, pa.int64()) for n in bits] + head
 
 
 def fragments(atoms: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -115,18 +183,8 @@ def fragments(atoms: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     base = own.filter("type = 'tfdt'").select(*key, _number("base_media_decode_time").alias("base_dts"))
     traf = head.join(base, key, "left")
 
-    def explode(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                f = dict(r.fields)
-                num = lambda name: int(f[name]) if name in f else None
-                for k in range(int(f.get("sample_count", 0))):
-                    rows.append((r.file, r.moof_offset, r.traf_index, r.trun, k, num(f"d[{k}]"), num(f"s[{k}]"), num(f"f[{k}]"), num(f"c[{k}]"), num("data_offset"), num("first_sample_flags")))
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in _ENTRY.split(", ")])
-            yield out.astype({c: "Int64" for c in out.columns if c not in ("file",)})
-
-    entries = own.filter("type = 'trun'").select(*key, F.col("_trun").cast("int").alias("trun"), "fields").mapInPandas(explode, _ENTRY)
+    runs_ = own.filter("type = 'trun'").select(*key, F.col("_trun").cast("int").alias("trun_index"), "version", "flags", "payload")
+    entries = _unpacked(runs_, [*key, "trun_index"], "duration long, size long, flags long, cts long, data_offset long, first_flags long", _run).withColumn("entry_index", F.col("entry_index").cast("int"))
     trex = atoms.filter("type = 'trex'").select("file", _number("track_id").alias("track_id"), _number("default_sample_description_index").alias("default_description_index"), _number("default_sample_duration").alias("default_duration"), _number("default_sample_size").alias("default_size"), _number("default_sample_flags").alias("default_flags"))
     return traf, entries, trex
 
@@ -138,22 +196,56 @@ def moving_samples(atoms: DataFrame) -> DataFrame:
 
 
 def sample_data(samples: DataFrame, files: DataFrame) -> DataFrame:
-    """``samples`` with ``data``: the bytes at their place in the file."""
-    rows = files.select(F.col("path").alias("file"), "content")
-    return samples.join(rows, "file").withColumn("data", F.expr("substring(content, cast(offset + 1 as int), cast(size as int))")).drop("content")
+    """``samples`` with ``data``: the bytes at their place in the file.
+
+    A file's samples are gathered beside its content, which is read once for each file and not once for each sample.
+    """
+    columns = samples.columns
+    gathered = samples.groupBy("file").agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    joined = gathered.join(files.select(F.col("path").alias("file"), "content"), "file").select("rows", "content")
+    schema = samples.schema.add("data", "binary")
+    kinds = to_arrow_schema(schema)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                rows, content = b.column(0)[i].values, b.column(1)[i].as_buffer()
+                for at in range(0, len(rows), _ROWS):
+                    part = rows.slice(at, _ROWS)
+                    cols = dict(zip(columns, part.flatten()))
+                    data = [None if o is None or n is None else content.slice(o, n).to_pybytes() if n and o < content.size else b"" for o, n in zip(cols["offset"].to_pylist(), cols["size"].to_pylist())]
+                    yield pa.RecordBatch.from_arrays([*[cols[c].cast(kinds.field(c).type) for c in columns], pa.array(data, pa.binary())], [*columns, "data"])
+
+    return joined.mapInArrow(work, schema)
+
+
+def _index(version: int, flags: int, payload: bytes) -> list[np.ndarray]:
+    """Where the references of a segment index point, from the end of its box on, and how far each reaches."""
+    wide = 8 if version else 4
+    first = int.from_bytes(payload[12 + wide : 12 + 2 * wide], "big")
+    at = 12 + 2 * wide
+    count = int.from_bytes(payload[at + 2 : at + 4], "big")
+    size = _cells(payload, at + 4, count, [("reference", ">u4"), ("duration", ">u4"), ("sap", ">u4")])[0] & 0x7FFFFFFF
+    return [first + np.cumsum(size) - size]
+
+
+def _access(version: int, flags: int, payload: bytes) -> list[np.ndarray]:
+    """Fragment offsets of a random access box."""
+    lengths, count = int.from_bytes(payload[8:12], "big"), int.from_bytes(payload[12:16], "big")
+    wide = ">u8" if version else ">u4"
+    rest = [(f"n{s}", f"V{(lengths >> s & 3) + 1}") for s in (4, 2, 0)]
+    kind = np.dtype([("time", wide), ("offset", wide), *rest])
+    if 16 + count * kind.itemsize > len(payload):
+        raise ValueError("a table has more entries than bytes")
+    return [np.frombuffer(payload, kind, count, 16)["offset"].astype(np.int64)] if count else [np.zeros(0, np.int64)]
 
 
 def index_entries(atoms: DataFrame) -> DataFrame:
     """(file, kind, target): where segment and random access index entries point."""
-    moofs = F.col("fields")
-    tfra = atoms.filter("type = 'tfra'").select("file", F.lit("tfra").alias("kind"), F.explode(F.map_entries(moofs)).alias("e")).filter("e.key like 'moof_offset[%'").select("file", "kind", F.col("e.value").cast("long").alias("target"))
-    sidx = atoms.filter("type = 'sidx'").select("file", "offset", "size", "fields")
-    n = F.col("fields")["reference_count"].cast("int")
-    size = lambda k: F.col("fields")[F.concat(F.lit("referenced_size["), k.cast("string"), F.lit("]"))].cast("long")
-    first = F.col("offset") + F.col("size") + F.col("fields")["first_offset"].cast("long")
-    at = sidx.filter(n > 0).select("file", "fields", first.alias("_first"), F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
-    before = F.aggregate(F.sequence(F.lit(0), F.col("k")), F.lit(0).cast("long"), lambda acc, j: acc + F.when(j < F.col("k"), size(j)).otherwise(F.lit(0).cast("long")))
-    return tfra.unionByName(at.select("file", F.lit("sidx").alias("kind"), (F.col("_first") + before).alias("target")))
+    tfra = _unpacked(atoms.filter("type = 'tfra'"), ["file"], "target long", _access).select("file", F.lit("tfra").alias("kind"), "target")
+    ends = atoms.filter("type = 'sidx'").withColumn("_end", F.col("offset") + F.col("size"))
+    sidx = _unpacked(ends, ["file", "_end"], "target long", _index).select("file", F.lit("sidx").alias("kind"), (F.col("_end") + F.col("target")).alias("target"))
+    return tfra.unionByName(sidx)
 
 
 def bad_index_entries(atoms: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strobila.sources.media import _trak, table, track_ids
+from strobila.sources.media import _cells, _trak, _unpacked, table, track_ids
 
 _INFO = "file string, moof_offset long, traf_index int, place long, iv binary, parts array<struct<clear:int,encrypted:long>>"
 
@@ -107,11 +107,12 @@ def sample_groups(atoms: DataFrame) -> DataFrame:
     """
     from strobila.operators.runs import decode_runs
 
+    def unpack(version: int, flags: int, payload: bytes) -> list:
+        at = 12 if version else 8
+        return _cells(payload, at + 4, int.from_bytes(payload[at : at + 4], "big"), [("sample_count", ">u4"), ("value", ">u4")])
+
     boxes = _trak(atoms).filter("type = 'sbgp'").join(track_ids(atoms), ["file", "_trak"])
-    count = F.col("fields")["entry_count"].cast("long")
-    at = lambda name: F.col("fields")[F.concat(F.lit(f"{name}["), F.col("entry_index").cast("string"), F.lit("]"))].cast("long")
-    rows = boxes.filter(count > 0).select("file", "track_id", "fields", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("entry_index"))
-    runs = rows.select("file", "track_id", "entry_index", at("sample_count").alias("sample_count"), at("group_description_index").alias("value"))
+    runs = _unpacked(boxes, ["file", "track_id"], "sample_count long, value long", unpack)
     return decode_runs(runs).withColumnRenamed("value", "group_description_index")
 
 

@@ -124,18 +124,68 @@ def test_packed_sizes(width):
         boxes.pack_sizes([1 << width], width)
 
 
-def test_edits(static):
-    _, atoms = static
-    left = boxes.remove(atoms, "moov/trak[0]")
-    assert left.filter("path like 'moov[0]/trak[0]%'").count() == 0
-    assert [r["ordinal"] for r in left.filter("depth = 1").orderBy("offset").collect()] == [0, 1]
-    changed = boxes.replace(atoms, "ftyp", b"mp42")
-    assert boxes.find(changed, "ftyp").first()["size"] == 12
+def test_edits(spark, static):
+    files, atoms = static
+    left = boxes.remove(atoms, "moov/trak[0]").cache()
+    assert left.filter("path like 'moov[0]/trak[1]%'").count() == 0
+    assert boxes.find(left, "moov/trak[0]/tkhd").first()["fields"]["id"] == "2"  # the second track has moved up
+    trak = boxes.find(atoms, "moov/trak[0]").first()["size"]
+    assert boxes.find(left, "moov").first()["size"] == boxes.find(atoms, "moov").first()["size"] - trak
+    changed = boxes.replace(atoms, "ftyp", mp4.box("ftyp", b"mp42", mp4.u32(0)))
+    assert boxes.find(changed, "ftyp").first()["size"] == 16
+    put = boxes.insert(atoms, "moov/udta", mp4.box("free", b"xy"), 0)
+    assert boxes.find(put, "moov/udta/free").first()["size"] == 10 and boxes.find(put, "moov/udta").first()["size"] == 18
+    assert boxes.edit(atoms, [("remove", "moov/nope"), ("replace", "bad path", b"")]).count() == atoms.count()
     lines = boxes.dump_text(atoms).filter("atom_id = 0").first()["line"]
     assert lines.startswith("[ftyp] size=8+16 ")
     assert '"name":"ftyp"' in boxes.dump_json(atoms).filter("atom_id = 0").first()["line"]
 
 
+def test_trees_are_written_and_read_again(spark, static):
+    files, atoms = static
+    assert bytes(boxes.write_tree(atoms, files).first()["content"]) == bytes(files.first()["content"])
+    steps = [("remove", "moov/trak[0]"), ("insert", "", mp4.box("free", b"1234"), 1), ("insert", "moov/trak/mdia/minf/stbl/stsd", mp4.AVC_ENTRY)]
+    new = boxes.edit(atoms, steps)
+    written = boxes.write_tree(new, files).withColumnRenamed("file", "path")
+    again = boxes.atoms(written)
+    cols = ["path", "ordinal", "depth", "type", "header_size", "size", "fields"]
+    shown = lambda df: sorted(str(r) for r in df.select(*cols).collect())
+    assert shown(again) == shown(new)
+    assert boxes.find(again, "moov/trak/mdia/minf/stbl/stsd").first()["fields"]["entry_count"] == "2"
+
+
+def test_uuid_paths(spark):
+    one, two = bytes(range(16)), bytes(range(16, 32))
+    data = mp4.box("moov", mp4.box("uuid", one, b"a"), mp4.box("uuid", two, b"b"), mp4.box("uuid", one, b"c"))
+    atoms = boxes.atoms(load(spark, u=data)).cache()
+    payload = lambda path: [bytes(r["payload"]) for r in boxes.find(atoms, path).collect()]
+    assert payload(f"moov/{two.hex()}") == [b"b"] and payload(f"moov/{one.hex()}[1]") == [b"c"] and payload(f"moov/{one.hex().upper()}") == [b"a"]
+    assert payload("moov/uuid[1]") == [b"b"] and payload(f"moov/{two.hex()}[1]") == []
+    left = boxes.remove(atoms, f"moov/{one.hex()}[1]")
+    assert left.count() == 3 and boxes.find(left, f"moov/{two.hex()}").count() == 1
+
+
+def test_many_samples(spark):
+    """Tables are decoded as arrays: a million samples take seconds."""
+    n = 1_000_000
+    entry = mp4.AVC_ENTRY
+    sizes = mp4.full("stsz", 0, 0, mp4.u32(0, n), b"\0\0\0\7" * n)
+    stbl = mp4.box("stbl", mp4.full("stsd", 0, 0, mp4.u32(1), entry), mp4.full("stts", 0, 0, mp4.u32(1, n, 10)), mp4.full("stsc", 0, 0, mp4.u32(1, 1, 1000, 1)), sizes, mp4.full("stco", 0, 0, mp4.u32(n // 1000), b"".join(mp4.u32(k * 7000) for k in range(n // 1000))))
+    tkhd = mp4.full("tkhd", 0, 7, mp4.u32(0, 0, 1, 0, 0), bytes(8), bytes(8), bytes(36), mp4.u32(0, 0))
+    atoms = boxes.atoms(load(spark, m=mp4.box("moov", mp4.box("trak", tkhd, mp4.box("mdia", mp4.box("minf", stbl))))))
+    row = media.static_samples(atoms).selectExpr("count(*) n", "max(offset) at", "max(dts) dts", "sum(size) size").first()
+    assert tuple(row) == (n, 7 * (n - 1), 10 * (n - 1), 7 * n)
+
+
+def test_tables_that_end_early(spark):
+    tkhd = mp4.full("tkhd", 0, 7, mp4.u32(0, 0, 1, 0, 0), bytes(8), bytes(8), bytes(36), mp4.u32(0, 0))
+    tables = [mp4.full("stts", 0, 0, mp4.u32(1, 3, 10)), mp4.full("ctts", 0, 0, mp4.u32(1, 2, 5)), mp4.full("stsc", 0, 0, mp4.u32(1, 1, 3, 1)), mp4.full("stsz", 0, 0, mp4.u32(4, 3)), mp4.full("stco", 0, 0, mp4.u32(1, 100))]
+    whole = lambda t: boxes.atoms(load(spark, m=mp4.box("moov", mp4.box("trak", tkhd, mp4.box("mdia", mp4.box("minf", mp4.box("stbl", *t)))))), payloads=False)
+    assert [r["dts"] for r in media.static_samples(whole(tables[:1] + tables[2:])).orderBy("sample_index").collect()] == [0, 10, 20]
+    with pytest.raises(Exception, match="composition table ends"):
+        media.static_samples(whole(tables)).collect()
+
+
 def test_layout_notation():
     assert layouts.decode("a:u8 ?0x1 b:u16 n:u8 n*[x:u8 y:i8] rest:hex", b"\1\0\2\2\1\xff\3\4\5", flags=1)[0] == {"a": 1, "b": 2, "n": 2, "x[0]": 1, "y[0]": -1, "x[1]": 3, "y[1]": 4, "rest": "05"}
     with pytest.raises(layouts.Truncated):

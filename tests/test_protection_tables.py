@@ -47,5 +47,5 @@ def test_hooks_and_names(spark):
     assert [x["name"] for x in json.loads(tools.json_manifest(t).first()["text"])["tracks"]] == ["a", "b"]
     s = spark.createDataFrame([("p", "en", 6, False), ("p", "en", 6, True)], "presentation string, set_name string, channels int, objects boolean")
     assert sorted(r["set_name"] for r in tools.regroup_by_channels(s).collect()) == ["en/6ch", "en/objects"]
-    boxes.register("abcd", lambda body: {"n": len(body)})
-    assert [b.fields for b in boxes.walk(mp4.box("abcd", b"123"))] == [{"n": 3}]
+    files = spark.createDataFrame([("x", bytearray(mp4.box("abcd", b"123")))], "path string, content binary")
+    assert boxes.atoms(files, decoders={"abcd": lambda body: {"n": len(body)}}).first()["fields"] == {"n": "3"}
