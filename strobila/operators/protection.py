@@ -32,7 +32,19 @@ def merge_map(clear: list[int], secret: list[int]) -> list[tuple[int, int]]:
     return pairs
 
 
-def map_units(sample: bytes, length_size: int, whole_blocks: bool = True) -> list[tuple[int, int]]:
+#: Codings whose NAL unit types are the AVC ones, and those whose types are the HEVC ones.
+AVC_CODINGS = frozenset("avc1 avc2 avc3 avc4 dvav dva1".split())
+HEVC_CODINGS = frozenset("hev1 hvc1 dvhe dvh1".split())
+
+
+def is_slice(first: int, coding: str) -> bool:
+    """Whether a NAL unit with this first byte holds slice data; of other codings every unit counts as such."""
+    if coding in AVC_CODINGS:
+        return 1 <= first & 31 <= 5
+    return coding not in HEVC_CODINGS or first >> 1 & 63 < 32
+
+
+def map_units(sample: bytes, length_size: int, whole_blocks: bool = True, coding: str = "avc1") -> list[tuple[int, int]]:
     """The sub-sample map of a sample of length-prefixed NAL units: only slice data above the clear limit is encrypted,
     in whole blocks counted from the end of the unit."""
     clear, secret, at = [], [], 0
@@ -41,8 +53,7 @@ def map_units(sample: bytes, length_size: int, whole_blocks: bool = True) -> lis
         size = length_size + n
         if at + size > len(sample):
             raise ValueError("a unit ends beyond its sample")
-        kind = sample[at + length_size] & 31
-        if size < CLEAR_UNIT or not 1 <= kind <= 5:
+        if size < CLEAR_UNIT or not is_slice(sample[at + length_size], coding):
             body = 0
         else:
             body = (size - 96) // 16 * 16 if whole_blocks else size - 96

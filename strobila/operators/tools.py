@@ -10,6 +10,10 @@ from strobila.operators.runs import TRACK, assign_chunks
 from strobila.sources import writers
 
 
+#: The matrix that leaves a picture as it is.
+_UNITY = writers.words(0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
+
+
 def clip(samples: DataFrame, start: int, duration: int) -> DataFrame:
     """Samples that play within ``duration`` ticks from ``start``, counted and timed anew; the one that covers the start
     is the first."""
@@ -33,16 +37,21 @@ def mux(samples: DataFrame, descriptions: DataFrame, timescales: DataFrame, per_
 
         def moov(base: int) -> bytes:
             placed = pdf.assign(offset=base + pdf["size"].cumsum() - pdf["size"])
-            traks = []
+            traks, longest = [], 0
             for track_id, t in placed.groupby("track_id", sort=True):
-                total = int(t["duration"].sum())
-                head = t.iloc[0]
-                tkhd = writers.full_box("tkhd", 0, 7, writers.words(0, 0, int(track_id), 0, total), bytes(8), bytes(8), bytes(36), writers.words(0, 0))
-                mdhd = writers.full_box("mdhd", 0, 0, writers.words(0, 0, int(head["timescale"]), total), b"\x55\xc4\0\0")
+                total, head = int(t["duration"].sum()), t.iloc[0]
+                scale = int(head["timescale"])
+                millis = total * 1000 // scale if scale else 0
+                longest = max(longest, millis)
+                sound = head["handler"] == "soun"
+                tkhd = writers.full_box("tkhd", 0, 7, writers.words(0, 0, int(track_id), 0, millis), bytes(12), b"\1\0" if sound else bytes(2), bytes(2), _UNITY, writers.words(0, 0))
+                mdhd = writers.full_box("mdhd", 0, 0, writers.words(0, 0, scale, total), b"\x55\xc4\0\0")
                 hdlr = writers.full_box("hdlr", 0, 0, bytes(4), head["handler"].encode(), bytes(12), b"\0")
-                minf = writers.box("minf", writers.full_box("vmhd", 0, 1, bytes(8)), writers.sample_tables(t, bytes(head["entry"])))
+                media = writers.full_box("smhd", 0, 0, bytes(4)) if sound else writers.full_box("vmhd", 0, 1, bytes(8)) if head["handler"] == "vide" else writers.full_box("nmhd", 0, 0)
+                dinf = writers.box("dinf", writers.full_box("dref", 0, 0, writers.words(1), writers.full_box("url ", 0, 1)))
+                minf = writers.box("minf", media, dinf, writers.sample_tables(t, bytes(head["entry"])))
                 traks.append(writers.box("trak", tkhd, writers.box("mdia", mdhd, hdlr, minf)))
-            mvhd = writers.full_box("mvhd", 0, 0, writers.words(0, 0, 1000, 0), writers.words(0x10000), b"\1\0", bytes(10), bytes(36), bytes(24), writers.words(len(traks) + 1))
+            mvhd = writers.full_box("mvhd", 0, 0, writers.words(0, 0, 1000, longest), writers.words(0x10000), b"\1\0", bytes(10), _UNITY, bytes(24), writers.words(int(placed["track_id"].max()) + 1))
             return writers.box("moov", mvhd, *traks)
 
         ftyp = writers.box("ftyp", b"isom", writers.words(0), b"isom")

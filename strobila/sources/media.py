@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -181,7 +181,11 @@ def fragments(atoms: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         _number("default_sample_duration").alias("default_duration"), _number("default_sample_size").alias("default_size"), _number("default_sample_flags").alias("default_flags"),
     )
     base = own.filter("type = 'tfdt'").select(*key, _number("base_media_decode_time").alias("base_dts"))
-    traf = head.join(base, key, "left")
+    # Where the media data begins that follows a fragment.
+    top = atoms.filter("depth = 0 and type in ('moof', 'mdat')").select("file", "offset", F.when(F.col("type") == "mdat", F.col("offset") + F.col("header_size")).alias("_data"))
+    after = top.withColumn("payload_offset", F.first("_data", ignorenulls=True).over(Window.partitionBy("file").orderBy("offset").rowsBetween(1, Window.unboundedFollowing)))
+    after = after.filter("_data is null").select("file", F.col("offset").alias("moof_offset"), "payload_offset")
+    traf = head.join(base, key, "left").join(after, ["file", "moof_offset"], "left")
 
     runs_ = own.filter("type = 'trun'").select(*key, F.col("_trun").cast("int").alias("trun_index"), "version", "flags", "payload")
     entries = _unpacked(runs_, [*key, "trun_index"], "duration long, size long, flags long, cts long, data_offset long, first_flags long", _run).withColumn("entry_index", F.col("entry_index").cast("int"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 #: Packet size, packet ids that this writer uses, stream types, and ticks of the clock in a second.
 PACKET, PMT_PID, PIDS = 188, 0x100, {"audio": 0x101, "video": 0x102}
@@ -71,7 +75,9 @@ class Muxer:
         both = dts != pts
         stamps = self._stamp(3 if both else 2, pts) + (self._stamp(1, dts) if both else b"")
         size = 3 + len(stamps) + len(data)
-        pes = b"\0\0\1" + bytes([_STREAM_IDS[kind]]) + (0 if kind == "video" and size > 0xFFFF else size & 0xFFFF).to_bytes(2, "big") + bytes([0x84, 0xC0 if both else 0x80, len(stamps)]) + stamps + data
+        if kind != "video" and size > 0xFFFF:
+            raise ValueError(f"an element of {size} bytes does not fit; only video may leave its length open")
+        pes = b"\0\0\1" + bytes([_STREAM_IDS[kind]]) + (0 if size > 0xFFFF else size).to_bytes(2, "big") + bytes([0x84, 0xC0 if both else 0x80, len(stamps)]) + stamps + data
         clock = kind == "video" or "video" not in self.streams
         out, at, first = [], 0, True
         while at < len(pes):
@@ -98,12 +104,36 @@ def packets(data: bytes) -> list[dict]:
 
 def write_segments(samples: DataFrame, streams: dict[str, str]) -> DataFrame:
     """(file, segment_index, content): samples (file, segment_index, kind, dts, pts, is_sync, data, times in clock ticks)
-    in order of time, video first on ties."""
+    in order of time, video first on ties.
+
+    Segments are written in parallel, each with counters from 0, and counted; a running sum of the packets of the segments
+    before it then gives every segment the counters with which it continues them.
+    """
+    pids = [0, PMT_PID, *sorted(PIDS.values())]
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(_k=(pdf["kind"] != "video").astype(int)).sort_values(["dts", "_k"])
         mux = Muxer(streams)
-        parts = [mux.tables()] + [mux.sample(r.kind, bytes(r.data), int(r.dts), int(r.pts), bool(r.is_sync)) for r in pdf.itertuples()]
-        return pd.DataFrame({"file": [pdf["file"].iloc[0]], "segment_index": [pdf["segment_index"].iloc[0]], "content": [b"".join(parts)]})
-
-    return samples.groupBy("file", "segment_index").applyInPandas(build, "file string, segment_index long, content binary")
+        content = b"".join([mux.tables()] + [mux.sample(r.kind, bytes(r.data), int(r.dts), int(r.pts), bool(r.is_sync)) for r in pdf.itertuples()])
+        found = np.bincount(_pids(np.frombuffer(content, np.uint8).reshape(-1, PACKET)), minlength=1 << 13)
+        return pd.DataFrame({"file": [pdf["file"].iloc[0]], "segment_index": [pdf["segment_index"].iloc[0]], "content": [content], "packets": [[int(found[p]) for p in pids]]})
+
+    def go_on(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for content, before in zip(pdf["content"], pdf["before"]):
+                rows = np.frombuffer(content, np.uint8).reshape(-1, PACKET).copy()
+                add = np.zeros(1 << 13, np.int64)
+                add[pids] = before
+                rows[:, 3] = rows[:, 3] & 0xF0 | (rows[:, 3] + add[_pids(rows)]) & 15
+                out.append(rows.tobytes())
+            yield pdf[["file", "segment_index"]].assign(content=out)
+
+    parts = samples.groupBy("file", "segment_index").applyInPandas(build, "file string, segment_index long, content binary, packets array<long>")
+    w = Window.partitionBy("file").orderBy("segment_index").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.array(*[F.coalesce(F.sum(F.col("packets")[k]).over(w), F.lit(0)) for k in range(len(pids))])
+    return parts.withColumn("before", before).drop("packets").mapInPandas(go_on, "file string, segment_index long, content binary")
+
+
+def _pids(rows: np.ndarray) -> np.ndarray:
+    return (rows[:, 1].astype(np.int64) & 31) << 8 | rows[:, 2]

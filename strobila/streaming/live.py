@@ -18,14 +18,22 @@ def samples_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def threshold_segments(samples: DataFrame, duration: int, slack: int = 0) -> DataFrame:
+def threshold_segments(samples: DataFrame, duration: int, slack: int = 0, idle_ms: int | None = None) -> DataFrame:
     """Segments of every track as they close: at the first sync sample that is ``duration - slack`` past the last cut.
 
     The state of a track is its open segment's sums. Samples of a track arrive in decoding order across batches and are
-    put in order within one. An open segment stays open until a later sync sample closes it.
+    put in order within one. An open segment stays open until a later sync sample closes it, or, with ``idle_ms``, until
+    no sample of its track has come for so many milliseconds: it is then the track's last one.
     """
+    names = [c.split()[0] for c in SEGMENTS.split(", ")]
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            index, started, first, count, size, ended = state.get
+            state.remove()
+            if count:
+                yield pd.DataFrame([(*key, index, first, count, size, ended - started)], columns=names)
+            return
         index, started, first, count, size, ended = state.get if state.exists else (0, -1, 0, 0, 0, 0)
         rows = pd.concat(list(pdfs)).sort_values("sample_index")
         out = []
@@ -37,10 +45,12 @@ def threshold_segments(samples: DataFrame, duration: int, slack: int = 0) -> Dat
                 index, started, first, count, size = index + 1, r.dts, r.sample_index, 0, 0
             count, size, ended = count + 1, size + r.size, r.dts + r.duration
         state.update(tuple(int(x) for x in (index, started, first, count, size, ended)))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in SEGMENTS.split(", ")])
+            yield pd.DataFrame(out, columns=names)
 
-    out = samples.groupBy("file", "track_id").applyInPandasWithState(step, SEGMENTS, _STATE, "append", GroupStateTimeout.NoTimeout)
+    out = samples.groupBy("file", "track_id").applyInPandasWithState(step, SEGMENTS, _STATE, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
     # A projection that computes: a partitioned sink cannot sort the stateful operator's own rows.
     return out.withColumn("segment_index", F.coalesce("segment_index", F.lit(0).cast("long")))
 

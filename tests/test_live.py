@@ -67,9 +67,55 @@ def test_threshold(spark, duration, slack):
         assert [r["segment_index"] for r in out.filter(F.col("track_id") == t).orderBy("sample_index").collect()] == want
 
 
-def test_bandwidth_and_similar(spark):
-    s = spark.createDataFrame([("f", 1, k, b, 1.0) for k, b in enumerate([10.0, 50.0, 5.0])], "file string, track_id long, segment_index long, bits double, seconds double")
-    rate = segments.bandwidth(s, 1.0).first()["bandwidth"]
-    assert rate > 0 and rate * 2 >= 10.0
-    r = spark.createDataFrame([("g", k, b) for k, b in enumerate([100.0, 105.0, 120.0, 125.0, 300.0])], "grp string, ordinal int, bandwidth double")
-    assert sorted(x["bandwidth"] for x in segments.drop_similar_rates(r, ["grp"]).collect()) == [100.0, 120.0, 300.0]
+def slow_bandwidth(size, seconds, buffer):
+    rate = 0.0
+    for start in range(len(size)):
+        room = buffer * rate / 8
+        for end in range(start + 1, len(size) + 1):
+            need, time = sum(size[start:end]), sum(seconds[start:end])
+            if time and need > room + time * rate / 8:
+                rate = 8 * (need - room) / time
+                break
+    return int(rate)
+
+
+def test_bandwidth(spark):
+    import random
+
+    rng = random.Random(1)
+    tracks = [([1000, 500, 2000, 1500], [1.0, 0.0, 2.0, 1.0]), ([5], [0.0]), ([0, 0], [1.0, 1.0])]
+    tracks += [([rng.randrange(0, 5000) for _ in range(n)], [float(rng.randrange(0, 4)) for _ in range(n)]) for n in (1, 2, 10, 40, 40)]
+    rows = [("f", t, k, b, s) for t, (size, seconds) in enumerate(tracks) for k, (b, s) in enumerate(zip(size, seconds))]
+    df = spark.createDataFrame(rows, "file string, track_id long, segment_index long, size long, seconds double")
+    for buffer in (0.0, 1.0, 20.0):
+        got = {r["track_id"]: r["bandwidth"] for r in segments.bandwidth(df, buffer).collect()}
+        assert got == {t: slow_bandwidth(*x, buffer) for t, x in enumerate(tracks)}
+
+
+def test_similar_rates_and_names(spark):
+    r = spark.createDataFrame([("g", k, b) for k, b in enumerate([100.0, 105.0, 110.0, 125.0, 300.0])], "grp string, ordinal int, bandwidth double")
+    assert sorted(x["bandwidth"] for x in segments.drop_similar_rates(r, ["grp"]).collect()) == [100.0, 110.0, 125.0, 300.0]  # a tenth exactly is another rate
+    names = [("p", "en"), ("p", "en-1"), ("p", "en"), ("p", "en"), ("p", "fr"), ("q", "en"), ("q", "en"), ("q", "en"), ("q", None)]
+    df = spark.createDataFrame([(g, n, k) for k, (g, n) in enumerate(names)], "grp string, name string, k int")
+    got = [x["unique_name"] for x in segments.unique_names(df, ["grp"], "name", ["k"]).orderBy("k").collect()]
+    assert got == ["en", "en-1", "en-2", "en-3", "fr", "en", "en-1", "en-2", None]
+
+
+def test_idle_tracks_end(spark, tmp_path):
+    """Without a later sync sample the last segment is emitted once its track falls silent."""
+    import time
+
+    spark.createDataFrame(rows(), SCHEMA).write.parquet(str(tmp_path / "in"))
+    stream = live.samples_stream(spark, str(tmp_path / "in"), SCHEMA)
+    q = live.threshold_segments(stream, 30, idle_ms=1500).writeStream.format("memory").queryName("idle").outputMode("append").trigger(processingTime="1 second").start()
+    try:
+        until = time.time() + 60
+        while time.time() < until:
+            found = spark.sql("select track_id, sum(sample_count) n from idle group by track_id").collect()
+            if {r["track_id"]: r["n"] for r in found} == {t: sum(r[1] == t for r in rows()) for t in (1, 2)}:
+                break
+            time.sleep(1)
+        else:
+            raise AssertionError(found)
+    finally:
+        q.stop()

@@ -86,7 +86,8 @@ def test_fragments(spark):
     assert [(r["dts"], r["duration"], r["size"], r["is_sync"], r["cts_delta"]) for r in rows] == [
         (9000, 500, 10, True, 0), (9500, 500, 20, False, 0), (10000, 500, 30, False, 0), (10500, 250, 77, False, 5), (10750, 250, 77, False, 7)]
     assert [r["offset"] for r in rows[:3]] == [moofs[0] + 100, moofs[0] + 110, moofs[0] + 130]
-    assert [r["offset"] for r in rows[3:]] == [moofs[1], moofs[1] + 77]
+    data = [r["offset"] + 8 for r in atoms.filter("type = 'mdat'").orderBy("offset").collect()]
+    assert [r["offset"] for r in rows[3:]] == [data[1], data[1] + 77]  # a run without an offset begins with the media data
 
 
 def test_fragments_written_and_read_again(spark, static):

@@ -1,8 +1,11 @@
 import os
 
+import pytest
+from pyspark.sql import functions as F
+
 from strobila.functions import codecs
-from strobila.operators import protection
-from strobila.sources import hints
+from strobila.operators import manifests, protection, sets
+from strobila.sources import hints, transport
 
 KEY = bytes(range(16))
 
@@ -58,3 +61,52 @@ def test_parameter_sets():
     assert (got["profile"], got["level"], got["width"], got["height"], got["luma_depth"], got["order_bits"]) == (1, 93, 1920, 1080, 8, 8)
     assert codecs.slice_type(bytes([0x65]) + bits(ue(0), ue(7))) == "I" and codecs.slice_type(b"\x06\x05") is None
     assert codecs.frame_rate_ratio(29.97) == (2997, 100) and codecs.codec_name("avc1", {"profile": 100, "profile_compatibility": 0, "level": 31}) == "avc1.64001F"
+
+
+def test_counters_go_on_over_segments(spark):
+    rows = [("f", k // 3, "video" if k % 3 else "audio", 1000 * k, 1000 * k, k % 3 == 1, bytes(400 + k)) for k in range(12)]
+    df = spark.createDataFrame(rows, "file string, segment_index long, kind string, dts long, pts long, is_sync boolean, data binary")
+    out = transport.write_segments(df, {"video": "avc1", "audio": "mp4a"}).orderBy("segment_index").collect()
+    last = {}
+    for p in transport.packets(b"".join(bytes(r["content"]) for r in out)):
+        assert p["counter"] == (last.get(p["pid"], -1) + 1) % 16
+        last[p["pid"]] = p["counter"]
+    assert len(out) == 4 and len(last) == 4
+    with pytest.raises(ValueError):
+        transport.Muxer({"audio": "mp4a"}).sample("audio", bytes(70000), 0, 0, True)
+
+
+def test_manifests_lose_no_track(spark):
+    audio = spark.createDataFrame([("p", "audio", "en", "en", True, "a.m3u8"), ("p", "audio", "x", None, False, "b.m3u8")], "presentation string, audio_group string, name string, language string, is_default boolean, url string")
+    variants = spark.createDataFrame([("p", "v1", 100, None, "avc1", 640, 360, "audio"), ("p", "v2", 200, 150, None, None, None, None)], "presentation string, name string, bandwidth long, average long, codecs string, width int, height int, audio_group string")
+    text = manifests.master_playlist(variants, audio).first()["text"]
+    assert text.count("#EXT-X-MEDIA:") == 2 and text.count("#EXT-X-STREAM-INF:") == 2
+    assert '#EXT-X-MEDIA:TYPE=AUDIO,GROUP-ID="audio",NAME="x",AUTOSELECT=YES,DEFAULT=NO,URI="b.m3u8"' in text
+    assert "#EXT-X-STREAM-INF:AVERAGE-BANDWIDTH=150,BANDWIDTH=200\nv2.m3u8" in text
+    tracks = spark.createDataFrame([("p", "v", "video/mp4", "v1", None, 100, 20.0, 1000, "0123"), ("p", "a", "audio/mp4", "a1", "mp4a", 10, 25.0, 1000, None)], "presentation string, set_name string, mime string, track string, codecs string, bandwidth long, seconds double, timescale long, default_kid string")
+    lines = spark.createDataFrame([("p", "a1", 0, 25000, None)], "presentation string, track string, entry_index int, d long, r int")
+    text = manifests.dash_manifest(tracks, lines).first()["text"]
+    assert text.count("<Representation") == 2 and 'mediaPresentationDuration="PT20' in text and text.count("<ContentProtection") == 1 and text.count("<SegmentTimeline>") == 1
+    segments = spark.createDataFrame([("f", 0, 4.0)], "file string, segment_index long, seconds double")
+    found = [r["line"] for r in manifests.media_playlist(segments, ["file"], F.lit("s.ts"), key_uri="k", iv="00", map_uri="init.mp4").orderBy("position").collect()]
+    assert '#EXT-X-MAP:URI="init.mp4"' in found and '#EXT-X-KEY:METHOD=AES-128,URI="k",IV=0x00' in found and found[0] == "#EXTM3U" and found[-1] == "#EXT-X-ENDLIST"
+
+
+def test_sets(spark):
+    rows = [("p", 0, "audio", "en", "a", "a", "", 100), ("p", 1, "audio", "en", "a", "a", "", 105), ("p", 2, "audio", "en", "a", "a", "x", 105), ("p", 3, "video", None, "v", "v", "", 1), ("p", 4, "video", None, "w", "v", "", 2), ("p", 5, "subtitles", "en", "s", "s", "", 0), ("p", 6, "subtitles", "en", "s", "s", "", 0), ("p", 7, "hint", "en", "s", "s", "", 0)]
+    df = spark.createDataFrame(rows, "presentation string, ordinal int, type string, language string, codec string, codec_family string, label string, bandwidth long")
+    got = [(r["ordinal"], "/".join(r["set_key"]), r["order_index"]) for r in sets.adaptation_sets(df, ["presentation"]).orderBy("ordinal").collect()]
+    assert got == [(0, "audio/en/a/1", 1), (2, "audio/en/a/2", 1), (3, "video/v", 1), (4, "video/v", 2), (5, "subtitles/en/s", 1)]
+    groups = spark.createDataFrame([("p", 0, "en", "a", None), ("p", 1, "fr", "b", None), ("p", 2, "fr", "b", "own"), ("q", 0, "en", "a", None), ("q", 1, "en", "b", None), ("r", 0, "en", "a", None)], "presentation string, ordinal int, language string, codec string, audio_group string")
+    assert [r["audio_group"] for r in sets.audio_groups(groups, ["presentation"]).orderBy("presentation", "ordinal").collect()] == ["audio/a", "audio/b", "own", "audio/1", "audio/2", "audio"]
+    asked = spark.createDataFrame([("p", 0, False), ("p", 1, None), ("p", 2, None), ("p", 3, True), ("q", 0, True), ("q", 1, None)], "g string, ordinal int, asked_default boolean")
+    assert [r["is_default"] for r in sets.with_defaults(asked, ["g"]).orderBy("g", "ordinal").collect()] == [False, True, False, True, True, False]
+
+
+def test_unit_maps_by_coding():
+    unit = lambda first, n: (n + 1).to_bytes(4, "big") + bytes([first]) + bytes(n)
+    slice_ = unit(0x02, 300)  # type 1 of HEVC, type 2 of AVC
+    other = unit(0x42, 300)  # type 33 of HEVC: a parameter set; type 2 of AVC
+    assert sum(s for _, s in protection.map_units(slice_ + other, 4, coding="hvc1")) == sum(s for _, s in protection.map_units(slice_, 4, coding="hvc1")) > 0
+    assert sum(s for _, s in protection.map_units(other, 4, coding="avc1")) > 0
+    assert sum(s for _, s in protection.map_units(unit(0x06, 300), 4, coding="avc1")) == 0 < sum(s for _, s in protection.map_units(unit(0x06, 300), 4, coding="av01"))
