@@ -2,7 +2,7 @@
 
 Every step groups by a node and rewires its neighbours to the smallest one, so a step moves as many rows as there are
 edges, a hub's edges are combined before the shuffle, and the number of rounds grows with the logarithm of the graph.
-Each round's edges are written to the shared folder, which ends their lineage. The driver sees two sums a round.
+Each step's rows are written to the shared folder, which ends their lineage. The driver sees two sums a round.
 """
 
 from __future__ import annotations
@@ -17,18 +17,6 @@ def _smallest(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u").agg(F.min("v").alias("_m"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = _smallest(both).select("u", F.least("u", "_m").alias("m"))
-    return both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    low = _smallest(edges).withColumnRenamed("_m", "m")
-    moved = edges.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(low.select("u", F.col("m").alias("v")))
-
-
 def _down(edges: DataFrame) -> DataFrame:
     return edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct()
 
@@ -46,8 +34,15 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if at == before or not at[0]:
             break
         before = at
-        new, new_path = written(_down(_small_star(_down(_large_star(now)))), "edges")
-        remove(spark, path)
+        # Minima are written before they are joined: then each side of a join comes straight from a shuffle, and Spark
+        # splits the edges of a hub over tasks.
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low, low_path = written(_smallest(both).select("u", F.least("u", "_m").alias("m")), "low")
+        large, large_path = written(_down(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))), "edges")
+        least, least_path = written(_smallest(large).withColumnRenamed("_m", "m"), "low")
+        moved = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new, new_path = written(_down(moved.unionByName(least.select("u", F.col("m").alias("v")))), "edges")
+        remove(spark, path, low_path, large_path, least_path)
         now, path = new, new_path
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")

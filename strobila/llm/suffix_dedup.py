@@ -243,23 +243,26 @@ def repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col
     # Hash joins build on the narrow side; a hint, so that the plan is the same for few rows and for many.
     places, places_path = written(texts.mapInArrow(lambda it: _places(it, length), _PLACE), "places")
     counts = places.groupBy("m").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi"))
-    counts = counts.filter("n > 1").select("m", (F.col("lo") < F.col("hi")).alias("mixed"))
+    # What is summed by a key is written before it is joined by the key, so that the join of a hot key can be split.
+    counts, counts_path = written(counts.filter("n > 1").select("m", (F.col("lo") < F.col("hi")).alias("mixed")), "counts")
     again, again_path = written(places.join(counts.hint("shuffle_hash"), "m"), "again")
-    remove(spark, places_path)
+    remove(spark, places_path, counts_path)
     mixed = again.filter("mixed")
     one = F.min(F.struct("id", "mark", "at", "windows", "gram")).alias("one")
     different, different_path = written(mixed.groupBy("m", "content").agg(F.count("*").alias("times"), one).select("m", "content", "times", "one.*"), "different")
 
     wanted = different.groupBy("id", "mark").agg(F.collect_list(F.struct("m", "content", "times", "at", "windows", "gram")).alias("places"))
+    wanted, wanted_path = written(wanted, "wanted")
     fetched = texts.join(wanted.hint("shuffle_hash"), ["id", "mark"]).select("id", "mark", "text", "places")
     pieces, pieces_path = written(fetched.mapInArrow(lambda it: _cut_out(it, length), _PIECE), "pieces")
     sides = pieces.select("m", "content", F.explode(F.array("left", "right")).alias("side")).filter("side <> 0")
     met = sides.groupBy("side").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).filter("lo < hi").select("side")
+    met, met_path = written(met, "sides")
     live = sides.join(met.hint("shuffle_hash"), "side").distinct()
     dealt = pieces.drop("left", "right").join(live.hint("shuffle_hash"), ["m", "content"]).select("side", "m", "content", "times", "windows", "piece")
     dealt = dealt.repartition("side").sortWithinPartitions("side", "m", "content")
     found, found_path = written(dealt.mapInArrow(lambda it: _sorted_shard(it, length, sort_bytes), _KEPT), "repeated")
-    remove(spark, pieces_path)
+    remove(spark, pieces_path, wanted_path, met_path)
 
     many = different.filter("times > 1").select("m", "content", F.lit(0).cast("long").alias("first"), F.col("windows").cast("long").alias("last"))
     in_mixed = mixed.join(found.unionByName(many).hint("shuffle_hash"), ["m", "content"]).select("id", "mark", F.struct((F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last")).alias("last")).alias("span"))
