@@ -26,8 +26,12 @@ from strobila.llm.components import connected_components
 from strobila.llm.simhash import _settle
 from strobila.llm.store import cut, table
 
-_TILE = 512
+#: Distances, and candidates, that are held at once.
+_TILE = 1 << 22
 _PAIRS = 1 << 16
+#: Least and greatest number of vectors at home, and of probes, that meet in a task; between the two it is a third of all
+#: vectors, so that few vectors are dealt evenly and many make no more rows each.
+_LEAST, _MOST = 4096, 65536
 #: Coordinates by which a cell is divided at a time.
 _AXES = 2
 
@@ -210,6 +214,7 @@ class _Cell:
         self.wide = np.c_[-2 * part, (part**2).sum(1), np.ones(len(part), np.float32)].astype(np.float32)
         self.sums = np.zeros(len(part), np.int64)
         self.label = np.arange(len(part))
+        self.tile = max(16, _TILE // max(1, len(part)))
         self.ready = True
 
     def _part(self, y: np.ndarray) -> np.ndarray:
@@ -261,8 +266,8 @@ class _Cell:
         """Links of homes with homes."""
         if not self.ready:
             self._prepare()
-        for at in range(0, len(self.cid), _TILE):
-            i, j = self._pairs(self.x[at : at + _TILE], self.y[at : at + _TILE], at)
+        for at in range(0, len(self.cid), self.tile):
+            i, j = self._pairs(self.x[at : at + self.tile], self.y[at : at + self.tile], at)
             if len(i):
                 j = j + at
                 self.sums += np.bincount(i, self.n[j], len(self.sums)).astype(np.int64) + np.bincount(j, self.n[i], len(self.sums)).astype(np.int64)
@@ -273,8 +278,8 @@ class _Cell:
         if not self.ready:
             self._prepare()
         y = self.s.rotated(x.astype(np.float64))
-        for at in range(0, len(cid), _TILE):
-            own = slice(at, at + _TILE)
+        for at in range(0, len(cid), self.tile):
+            own = slice(at, at + self.tile)
             i, j = self._pairs(x[own], y[own])
             if len(i):
                 self.sums += np.bincount(i, n[own][j], len(self.sums)).astype(np.int64)
@@ -342,13 +347,14 @@ def _grid(bare: DataFrame, cosine: float, most: int, kind: str) -> tuple[np.ndar
         crowded = again
 
 
-def near_vectors(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", most: int = 16384) -> DataFrame:
+def near_vectors(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", most: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``df``, whose other columns are not read.
 
     Null, empty or zero vectors, and those with a null or non-finite component, link with nothing; nor do vectors of
     different dimensions. Vectors of floats are compared as they are, others as doubles. Rows without id link with
     nothing; such a row is its own component, null, and is kept. Rows that repeat an id each link by their own vector;
-    ``component_id`` is the least id reached. ``most``: vectors at home, and probes, that meet in a task.
+    ``component_id`` is the least id reached. ``most``: vectors at home, and probes, that meet in a task, by default a
+    third of the vectors between 4,096 and 65,536; the result is the same.
     """
     vec = F.col("v")
     single = df.schema[vector_col].dataType.elementType.typeName() == "float"
@@ -359,6 +365,9 @@ def near_vectors(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", ve
     classes = rows.filter("fine").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()), "vectors")
 
+    if most is None:
+        most = min(_MOST, max(_LEAST, classes.count() // 3))
+
     def packed(batches):
         for b in batches:
             lists = b.column(2)

@@ -22,7 +22,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strobila.llm.held import held
@@ -44,13 +44,20 @@ class WordTokens:
     """Ids of whole texts by a tokenizer file, its words looked up in a cache.
 
     This holds for tokenizers that fold white space, lower the case, cut a text by ``PATTERN`` and tokenise every part by
-    itself. A text of Latin-1 characters is cut here, and each distinct part goes through the tokenizer once. Any other
-    text, and one with the string of a special token, goes through it whole.
+    itself, which the file must say in so many words. A text of Latin-1 characters is cut here, and each distinct part
+    goes through the tokenizer once. Any other text, one with the string of a special token, and every text where the
+    file says anything else goes through the tokenizer whole.
     """
 
     #: The tokenizer's pattern, for lower-case Latin-1 text.
     PATTERN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t\n\x0b\x0c\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
     _OTHER = re.compile("[^\x00-\x1b\x20-\xff]")
+    #: What a file of such a tokenizer says of its normaliser and its cutting.
+    NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    CUTTING = [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -60,6 +67,12 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_str(spec)
         about = json.loads(spec)
         suffix = about["model"].get("end_of_word_suffix") or ""
+        parts = lambda x, kinds: (x or {}).get(kinds, [x])
+        self.by_words = (
+            parts(about.get("normalizer"), "normalizers") == self.NORMALIZERS
+            and parts(about.get("pre_tokenizer"), "pretokenizers") == self.CUTTING
+            and not (about.get("truncation") or about.get("padding") or about["model"].get("dropout"))
+        )
         self.special = [t["content"] for t in about.get("added_tokens") or []]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -100,7 +113,7 @@ class WordTokens:
         if len(self.words) > _CACHE:
             self._reset()
         plain = [t.decode("utf-8", "replace") for t in texts]
-        whole = [k for k, t in enumerate(plain) if self._OTHER.search(t) or any(x in t for x in self.special)]
+        whole = [k for k, t in enumerate(plain) if not self.by_words or self._OTHER.search(t) or any(x in t for x in self.special)]
         apart = dict(zip(whole, self._encode([plain[k] for k in whole])))
         cut = self.PATTERN.findall
         parts = [[] if k in apart else cut(t.lower()) for k, t in enumerate(plain)]
@@ -306,49 +319,73 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, bl
     return place
 
 
+def _frequencies(spark: SparkSession, place: dict[str, str]) -> np.ndarray:
+    """One number for each id of the vocabulary."""
+    rows = spark.read.parquet(place["table"]).collect()
+    freq = np.zeros(max((r["token"] for r in rows), default=-1) + 1, np.uint64)
+    for r in rows:
+        freq[r["token"]] = r["freq"]
+    return freq
+
+
 def read_tokens(spark: SparkSession, place: dict[str, str], with_ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids]) decoded from the blocks; a damaged block raises an error."""
     blocks = spark.read.parquet(place["blocks"])
-    freq_rows = spark.read.parquet(place["table"]).collect()
-    freq = np.zeros(max((r["token"] for r in freq_rows), default=-1) + 1, np.uint64)
-    for r in freq_rows:
-        freq[r["token"]] = r["freq"]
-    shared = spark.sparkContext.broadcast(freq)
-    # Where each block begins among all ids: sums by file on the driver (one number a file), by block in the file.
+    shared = spark.sparkContext.broadcast(_frequencies(spark, place))
+    # Where each block begins among all ids: sums by file on the driver (one number a file), by block in the file. The
+    # payloads are not joined: a block is decoded where it is read, and its texts' rows get its beginning afterwards.
     sums = blocks.groupBy("file").agg(F.sum("n_tokens").alias("n")).orderBy("file").collect()
     starts, at = [], 0
     for r in sums:
         starts.append((int(r["file"]), at))
         at += r["n"]
-    from pyspark.sql import Window
-
     own = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     places = blocks.select("file", "block", "n_tokens").withColumn("_in_file", F.coalesce(own, F.lit(0))).drop("n_tokens")
     file_start = spark.createDataFrame(starts, "file int, _file_start long")
-    located = blocks.join(F.broadcast(places.join(F.broadcast(file_start), "file").select("file", "block", (F.col("_in_file") + F.col("_file_start")).alias("start"))), ["file", "block"])
+    places = places.join(file_start, "file").select("file", "block", (F.col("_in_file") + F.col("_file_start")).alias("block_start"))
 
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
+    schema = "file int, block int, doc_id long, begin long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
     names = [c.split()[0] for c in schema.split(", ")]
 
     def work(batches):
         coder = Coder(shared.value)
         for b in batches:
-            for row in b.to_pylist():
+            for i in range(b.num_rows):
+                row = {n: b.column(k)[i].as_py() for k, n in enumerate(b.schema.names)}
+                where = f"block {row['block']} of file {row['file']}"
                 if zlib.crc32(row["payload"]) != row["payload_crc32"]:
-                    raise ValueError(f"block {row['block']} of file {row['file']} is damaged")
+                    raise ValueError(f"{where} is damaged")
                 ids = coder.decode(row["payload"], row["n_tokens"])
                 raw = ids.astype("<u4").tobytes()
                 if zlib.crc32(raw) != row["ids_crc32"]:
-                    raise ValueError(f"block {row['block']} of file {row['file']} decodes to other ids")
+                    raise ValueError(f"{where} decodes to other ids")
                 ends = np.cumsum(row["lengths"])
-                begins = ends - row["lengths"]
+                begins, n = ends - row["lengths"], len(ends)
                 view = memoryview(raw)
-                cols = [pa.array(row["doc_ids"], pa.int64()), pa.array(begins + row["start"]), pa.array(row["lengths"], pa.int64()), pa.array([zlib.crc32(view[4 * a : 4 * e]) for a, e in zip(begins, ends)], pa.int64())]
+                cols = [pa.array(np.full(n, row["file"], np.int32)), pa.array(np.full(n, row["block"], np.int32)), pa.array(row["doc_ids"], pa.int64()), pa.array(begins), pa.array(row["lengths"], pa.int64()), pa.array([zlib.crc32(view[4 * a : 4 * e]) for a, e in zip(begins, ends)], pa.int64())]
                 if with_ids:
                     cols.append(pa.array([ids[a:e].astype(np.int64) for a, e in zip(begins, ends)], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return located.select("file", "block", "doc_ids", "lengths", "n_tokens", "payload", "payload_crc32", "ids_crc32", "start").mapInArrow(work, schema)
+    decoded = blocks.select("file", "block", "doc_ids", "lengths", "n_tokens", "payload", "payload_crc32", "ids_crc32").mapInArrow(work, schema)
+    out = decoded.join(places, ["file", "block"])
+    return out.select("doc_id", (F.col("block_start") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
+
+
+def read_block(spark: SparkSession, place: dict[str, str], file: int, block: int) -> DataFrame:
+    """(part, first, ids): one block decoded from all its checkpoints at once, a task for each part between two of them."""
+    blocks = spark.read.parquet(place["blocks"]).filter((F.col("file") == file) & (F.col("block") == block))
+    shared = spark.sparkContext.broadcast(_frequencies(spark, place))
+    parts = blocks.select("n_tokens", "payload", "checkpoints", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_tokens") - 1) / (LANES * _CHECKPOINT)).cast("int"))).alias("part"))
+
+    def work(batches):
+        coder = Coder(shared.value)
+        for b in batches:
+            for n, payload, points, part in zip(*(c.to_pylist() for c in b.columns)):
+                ids = coder.decode(payload, min(n, (part + 1) * LANES * _CHECKPOINT), points, part)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([part * LANES * _CHECKPOINT]), pa.array([ids.astype(np.int64)], pa.list_(pa.int64()))], ["part", "first", "ids"])
+
+    return parts.repartition("part").mapInArrow(work, "part int, first long, ids array<long>")
 
 
 def default_tokenizer() -> str:

@@ -33,6 +33,8 @@ from strobila.llm.store import fresh, table
 
 _WORD = re.compile(r"\w+")
 _CACHE = 200_000
+#: Steps that a fit takes at least, however few its texts.
+_LEAST_STEPS = 500
 #: Letters of a word's beginning, which is a term too.
 _STEM = 5
 
@@ -84,7 +86,7 @@ class FactorizationMachine:
         self.bias, self.w, self.v = float(np.log(share / (1 - share))), np.zeros(n), rng.normal(0, 0.05, (n, self.rank))
         gb, gw, gv = 1e-2, np.full(n, 1e-2), np.full(n, 1e-2)
         full = np.array([k for k, i in enumerate(x) if len(i)], np.int64)
-        for _ in range(rounds):
+        for _ in range(max(rounds, _LEAST_STEPS * batch // max(1, len(full)))):
             turn = rng.permutation(full)
             for at in range(0, len(turn), batch):
                 own = turn[at : at + batch]

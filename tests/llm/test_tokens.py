@@ -65,10 +65,34 @@ def test_word_tokens_equal_the_library():
 
     path = token_file.default_tokenizer()
     own, whole = token_file.WordTokens(path), Tokenizer.from_file(path)
+    assert own.by_words
     for got, t in zip(own.ids([t.encode() for t in texts()]), texts()):
         assert got.tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
+def test_another_tokenizer_takes_texts_whole(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.loads(open(token_file.default_tokenizer(), encoding="utf-8").read())
+    spec["normalizer"] = None  # upper case counts now
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    own, whole = token_file.WordTokens(str(tmp_path / "t.json")), Tokenizer.from_file(str(tmp_path / "t.json"))
+    assert not own.by_words
+    for got, t in zip(own.ids([t.encode() for t in texts()]), texts()):
+        assert got.tolist() == whole.encode(t, add_special_tokens=False).ids, t
+
+
+def test_a_block_from_all_its_checkpoints(spark, tmp_path):
+    df = spark.createDataFrame([(k, " ".join(f"w{k * j % 977}" for j in range(3000))) for k in range(60)], "doc_id long, text string")
+    place = token_file.write_tokens(df, f"file://{tmp_path}/t", token_file.default_tokenizer(), block_tokens=1 << 30)
+    parts = token_file.read_block(spark, place, 0, 0).orderBy("part").collect()
+    assert len(parts) > 2 and [r["first"] for r in parts] == [k * token_file.LANES * token_file._CHECKPOINT for k in range(len(parts))]
+    whole = [i for r in token_file.read_tokens(spark, place, with_ids=True).orderBy("start").collect() for i in r["ids"]]
+    assert [i for r in parts for i in r["ids"]] == whole
+
+
 @pytest.mark.parametrize("n", [0, 1, 1023, 1024, 5000, 400_000])
 def test_coder(n):
     rng = np.random.default_rng(n)
