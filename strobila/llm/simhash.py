@@ -23,6 +23,8 @@ from strobila.llm.store import cut, table
 #: Groups up to this size are compared pair by pair at once; larger ones are divided first.
 _DIRECT = 1024
 _CHUNK = 1 << 16
+#: Distinct fingerprints of a pair of blocks that go to one task.
+_HOT = 1 << 16
 
 
 def shingles(text: bytes | None, width: int) -> np.ndarray:
@@ -165,13 +167,33 @@ def _links(batches: Iterator[pa.RecordBatch], distance: int, masks: list[int]) -
         yield work(tuple(map(np.concatenate, zip(*held))))
 
 
-def close_links(distinct: DataFrame, distance: int = 3) -> DataFrame:
-    """(fp, rep) with distinct fps to links (u, v) of the reps that span the groups of close fingerprints."""
+def _signed(mask: int):
+    return F.lit(mask - (1 << 64) if mask >> 63 else mask)
+
+
+def close_links(distinct: DataFrame, distance: int = 3, most: int = _HOT) -> DataFrame:
+    """(fp, rep) with distinct fps to links (u, v) of the reps that span the groups of close fingerprints.
+
+    A pair of blocks with more than ``most`` fingerprints is dealt again by parts of the bits that it leaves, one more
+    than may differ, in one of which any close pair agrees too.
+    """
     masks = block_masks(distance)
-    keys = F.array(*[F.struct(F.lit(k).alias("kind"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for k, m in enumerate(masks)])
-    dealt = distinct.filter("rep is not null").select("fp", "rep", F.explode(keys).alias("k")).select("k.kind", "k.key", "fp", "rep")
+    finer = []
+    for m in masks:
+        free = [k for k in range(64) if not m >> k & 1]
+        finer.append([m | sum(1 << k for k in free[len(free) * i // (distance + 1) : len(free) * (i + 1) // (distance + 1)]) for i in range(distance + 1)])
+    every = masks + [f for own in finer for f in own]
+    by = lambda kinds: F.array(*[F.struct(F.lit(k).alias("kind"), F.col("fp").bitwiseAND(_signed(every[k])).alias("key")) for k in kinds])
+    fps = distinct.filter("rep is not null").select("fp", "rep")
+    dealt = fps.select("fp", "rep", F.explode(by(range(len(masks)))).alias("k")).select("k.kind", "k.key", "fp", "rep")
+    # At most the rows over ``most``; written, so that the rows beside them come straight from their scan.
+    hot = cut(dealt.groupBy("kind", "key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("kind", "key", F.lit(True).alias("hot")), "hot")
+    joined = dealt.join(hot, ["kind", "key"], "left")
+    again = F.coalesce(*[F.when(F.col("kind") == k, by(range(len(masks) + k * (distance + 1), len(masks) + (k + 1) * (distance + 1)))) for k in range(len(masks))])
+    parts = joined.filter("hot").select("fp", "rep", F.explode(again).alias("k")).select("k.kind", "k.key", "fp", "rep")
+    dealt = joined.filter("hot is null").select("kind", "key", "fp", "rep").unionByName(parts)
     dealt = dealt.repartition("kind", "key").sortWithinPartitions("kind", "key")
-    return dealt.mapInArrow(lambda it: _links(it, distance, masks), "u long, v long")
+    return dealt.mapInArrow(lambda it: _links(it, distance, every), "u long, v long")
 
 
 def near_groups(prints: DataFrame, distance: int = 3) -> DataFrame:

@@ -67,6 +67,21 @@ def test_groups(spark):
     assert len(got) == 302
 
 
+def test_hot_pairs_of_blocks_are_dealt_again(spark):
+    rng = random.Random(5)
+    base, fps = rng.getrandbits(64), set()
+    while len(fps) < 150:  # all near one fingerprint
+        f = base
+        for k in rng.sample(range(64), rng.randrange(0, 7)):
+            f ^= 1 << k
+        fps.add(f)
+    fps |= {rng.getrandbits(64) for _ in range(50)}
+    rows = list(enumerate(sorted(fps)))
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, d) for d, f in rows], "fp long, rep long")
+    got = {r["node"]: r["component"] for r in components.connected_components(simhash.close_links(df, 3, most=5)).collect()}
+    assert {d: got.get(d, d) for d, _ in rows} == brute_groups(rows, 3)
+
+
 def test_empty(spark):
     assert simhash.near_groups(spark.createDataFrame([], "doc_id long, fp long")).count() == 0
 
