@@ -200,13 +200,65 @@ def audio_config(data: bytes) -> dict:
     return out
 
 
-def codec_name(coding: str, fields: dict) -> str:
-    """The name that manifests give a sample entry's coding."""
-    if coding.startswith("avc") and "profile" in fields:
-        return f"{coding}.{int(fields['profile']):02X}{int(fields.get('profile_compatibility', 0)):02X}{int(fields['level']):02X}"
-    if coding == "mp4a":
-        return f"mp4a.40.{fields.get('object_type', 2)}"
-    return coding
+def descriptors(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """(tag, body) of the descriptors of an elementary stream box, those inside others after them."""
+    at = 0
+    while at < len(data):
+        tag, at, size = data[at], at + 1, 0
+        while at < len(data):
+            b = data[at]
+            size, at = size << 7 | b & 127, at + 1
+            if not b & 128:
+                break
+        body = data[at : at + size]
+        yield tag, body
+        if tag == 3 and len(body) >= 3:
+            flags = body[2]
+            skip = 3 + (2 if flags & 0x80 else 0)
+            if flags & 0x40:
+                skip += 1 + (body[skip] if skip < len(body) else 0)
+            yield from descriptors(body[skip + (2 if flags & 0x20 else 0) :])
+        elif tag == 4:
+            yield from descriptors(body[13:])
+        at += size
+
+
+#: Dolby Vision's own name for each coding of its base layer.
+_DOLBY_VISION = {"avc1": "dva1", "avc3": "dvav", "hev1": "dvhe", "hvc1": "dvh1"}
+
+
+def codec_name(coding: str, boxes: dict[str, dict]) -> str:
+    """The name that manifests give a sample entry's coding, from the fields of the boxes inside it, by their types."""
+    name = coding
+    if f := boxes.get("avcC"):
+        name = f"{coding}.{int(f['profile']):02X}{int(f['profile_compatibility']):02X}{int(f['level']):02X}"
+    elif f := boxes.get("hvcC"):
+        space = int(f["profile_space"])
+        flags = int(f"{int(f['profile_compatibility'], 16):032b}"[::-1], 2)
+        limits = f["constraint"]
+        while limits and limits.endswith("00"):
+            limits = limits[:-2]
+        name = f"{coding}.{chr(64 + space) if space else ''}{f['profile']}.{flags:X}.{'H' if int(f['tier']) else 'L'}{f['level']}.{int(limits or '0', 16):x}"
+    elif f := boxes.get("av1C"):
+        depth = 8 if not int(f["high_bitdepth"]) else 12 if int(f["twelve_bit"]) else 10
+        x, y = int(f["chroma_subsampling_x"]), int(f["chroma_subsampling_y"])
+        place = int(f["chroma_sample_position"]) if x and y else 0
+        name = f"{coding}.{f['seq_profile']}.{int(f['seq_level_idx_0']):02d}{'H' if int(f['seq_tier_0']) else 'M'}.{depth:02d}.{int(f['monochrome'])}.{x}{y}{place}.01.01.01.0"
+    elif f := boxes.get("vpcC"):
+        bits = int(f["depth_and_flags"])
+        rest = (f["profile"], f["level"], bits >> 4, bits >> 1 & 7, f["colour_primaries"], f["transfer_characteristics"], f["matrix_coefficients"], bits & 1)
+        name = ".".join([coding, *(f"{int(x):02d}" for x in rest)])
+    elif coding == "mp4a" and (f := boxes.get("esds")):
+        found = dict(descriptors(bytes.fromhex(f["descriptors"])))
+        kind = found[4][0] if found.get(4) else 0x40
+        name = f"mp4a.{kind:02X}"
+        if kind == 0x40 and found.get(5):
+            own = audio_config(found[5])
+            name += f".{29 if own['ps'] else 5 if own['sbr'] else own['object_type']}"
+    if f := boxes.get("dvcC") or boxes.get("dvvC"):
+        own = f"{_DOLBY_VISION.get(coding, coding)}.{int(f['dv_profile']):02d}.{int(f['dv_level']):02d}"
+        name = own if coding in _DOLBY_VISION.values() else f"{name},{own}"
+    return name
 
 
 _FRAME = "path string, frame_index long, offset long, size long, sample_rate long, channels long, samples long"

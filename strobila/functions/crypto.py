@@ -1,11 +1,12 @@
 """AES-128 block and stream ciphers, vectorised over blocks, with the modes that media protection uses.
 
 The tables follow from arithmetic in GF(2**8), so none is written out. Blocks are rows of a numpy array and every round is
-one step over all of them; only chaining in CBC encryption goes block by block.
+one step over all of them; only chaining in CBC encryption goes block by block, by tables of whole states.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
 
@@ -88,6 +89,35 @@ def decrypt_blocks(keys: np.ndarray, blocks: np.ndarray) -> np.ndarray:
     return s ^ keys[0]
 
 
+@functools.cache
+def _by_byte() -> tuple[list[list[int]], list[list[int]]]:
+    """What a byte at each place of a state adds to the state after a round, and after the last one, as whole states."""
+    rounds, last = [], []
+    for place in range(16):
+        s = np.zeros((256, 16), np.uint8)
+        s[:, place] = SBOX
+        s = s[:, _SHIFT]
+        for out, rows in ((rounds, _mix(s, 2, 3, 1, 1)), (last, s)):
+            out.append([int.from_bytes(r.tobytes(), "big") for r in rows])
+    return rounds, last
+
+
+def _chained(keys: np.ndarray, iv: bytes, data: bytes) -> bytes:
+    """CBC encryption, where each block needs the one before: a state is one number, and a round sixteen look-ups."""
+    rounds, last = _by_byte()
+    own = [int.from_bytes(k.tobytes(), "big") for k in keys]
+    x, out = int.from_bytes(iv, "big"), []
+    for at in range(0, len(data) - 15, 16):
+        x ^= int.from_bytes(data[at : at + 16], "big") ^ own[0]
+        for k in range(1, 11):
+            y = own[k]
+            for table, b in zip(rounds if k < 10 else last, x.to_bytes(16, "big")):
+                y ^= table[b]
+            x = y
+        out.append(x.to_bytes(16, "big"))
+    return b"".join(out)
+
+
 def _rows(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(-1, 16)
 
@@ -131,11 +161,7 @@ def cbc(key: bytes, iv: bytes, data: bytes, decrypt: bool = False, pad: bool = F
     if pad:
         n = 16 - len(data) % 16
         data += bytes([n]) * n
-    last, out = _rows(iv), []
-    for block in _rows(data):
-        last = encrypt_blocks(keys, block[None] ^ last)
-        out.append(last.tobytes())
-    return b"".join(out)
+    return _chained(keys, iv, data)
 
 
 def pattern(key: bytes, iv: bytes, data: bytes, crypt: int, skip: int, mode: str, decrypt: bool = False) -> bytes:

@@ -427,19 +427,6 @@ def edit_renumber(spark, d):
     return sets.renumbered(left, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "ordinal")
 
 
-PATH_SQL = """WITH c AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS ci FROM customer),
-o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS oi FROM orders)
-SELECT n_name || '/customer[' || CAST(ci AS VARCHAR) || ']/order[' || CAST(oi AS VARCHAR) || ']' AS path, o_orderkey FROM nation JOIN c ON n_nationkey = c_nationkey JOIN o ON c_custkey = o_custkey WHERE oi = 1"""
-
-
-@query("path_query", PATH_SQL, samples=False)
-def path_query(spark, d):
-    c = table(spark, d, "customer").withColumn("ci", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1)
-    o = table(spark, d, "orders").withColumn("oi", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")) - 1)
-    rows = table(spark, d, "nation").join(c, F.col("n_nationkey") == F.col("c_nationkey")).join(o, F.col("c_custkey") == F.col("o_custkey"))
-    return rows.filter("oi = 1").select(F.format_string("%s/customer[%d]/order[%d]", "n_name", "ci", "oi").alias("path"), "o_orderkey")
-
-
 @query("meta_json_fields", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events", samples=False)
 def meta_json_fields(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
@@ -650,3 +637,150 @@ def windowed_rates(spark, d):
 
     rows = event_samples(spark, d).withColumn("ts", F.timestamp_micros("dts"))
     return rates(rows).select(*KEYS, F.unix_micros("start").alias("start"), "samples", "size")
+
+
+#: Orders as boxes below their customers' boxes below their nations', one file for each nation.
+BOXES_SQL = """WITH c AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS ci FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)),
+o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS oi FROM orders),
+b AS (SELECT c.c_nationkey, ci, oi, o_orderkey, CAST(o_orderkey AS VARCHAR) AS body FROM c JOIN o ON c.c_custkey = o.o_custkey)
+"""
+
+
+def _box_files(spark, d):
+    """(path, content): a file of nested boxes for each nation."""
+    from strobila.sources import writers
+
+    def boxed(kind: str, body):
+        return F.concat(F.unhex(F.lpad(F.hex(F.length(body) + 8), 8, "0")), F.lit(kind.encode()), body)
+
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", boxed("free", F.col("o_orderkey").cast("string").cast("binary")).alias("content"))
+    traks = writers.assemble(orders, ["c_custkey"], "o_orderkey").select("c_custkey", boxed("trak", F.col("content")).alias("content"))
+    own = traks.join(table(spark, d, "customer"), "c_custkey").select("c_nationkey", "c_custkey", "content")
+    return writers.assemble(own, ["c_nationkey"], "c_custkey").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("path"), boxed("moov", F.col("content")).alias("content"))
+
+
+def _payload(rows):
+    return rows.select("file", F.col("payload").cast("string").alias("body"), "ordinal", "size")
+
+
+@query("box_tree", BOXES_SQL + """SELECT 'n' || CAST(c_nationkey AS VARCHAR) AS file, 'moov[0]/trak[' || CAST(ci AS VARCHAR) || ']/free[' || CAST(oi AS VARCHAR) || ']' AS path, oi AS ordinal, strlen(body) + 8 AS size, body FROM b""", samples=False)
+def box_tree(spark, d):
+    """Boxes walked: places, paths and payloads."""
+    from strobila.sources import boxes
+
+    rows = boxes.atoms(_box_files(spark, d)).filter("type = 'free'")
+    return rows.select("file", "path", F.col("ordinal").cast("long").alias("ordinal"), "size", F.col("payload").cast("string").alias("body"))
+
+
+@query("path_query", BOXES_SQL + "SELECT 'n' || CAST(c_nationkey AS VARCHAR) AS file, body FROM b WHERE ci = 1 AND oi = 2", samples=False)
+def path_query(spark, d):
+    from strobila.sources import boxes
+
+    return _payload(boxes.find(boxes.atoms(_box_files(spark, d)), "moov/trak[1]/free[2]")).select("file", "body")
+
+
+@query("tree_edit", BOXES_SQL + """, e AS (SELECT c_nationkey, ci - 1 AS ci, CASE WHEN ci = 2 THEN oi + 1 ELSE oi END AS oi, body FROM b WHERE ci > 0
+  UNION ALL SELECT c_nationkey, 1, 0, 'new' FROM b WHERE ci = 2 AND oi = 0)
+SELECT 'n' || CAST(c_nationkey AS VARCHAR) AS file, 'moov[0]/trak[' || CAST(ci AS VARCHAR) || ']/free[' || CAST(oi AS VARCHAR) || ']' AS path, strlen(body) + 8 AS size, body FROM e""", samples=False)
+def tree_edit(spark, d):
+    """A subtree removed and a box put in, written as bytes and walked again."""
+    from strobila.sources import boxes, writers
+
+    files = _box_files(spark, d)
+    trees = boxes.atoms(files)
+    new = boxes.edit(trees, [("remove", "moov/trak[0]"), ("insert", "moov/trak[1]", writers.box("free", b"new"), 0)])
+    again = boxes.atoms(boxes.write_tree(new, files).withColumnRenamed("file", "path")).filter("type = 'free'")
+    return again.select("file", "path", "size", F.col("payload").cast("string").alias("body"))
+
+
+DATA_SQL = SAMPLES_SQL.replace("WITH", "WITH RECURSIVE", 1) + """, m AS (SELECT s.file, s.track_id, s.sample_index, coalesce(lead(s.dts // 1000) OVER w - s.dts // 1000, 0) AS duration, s.dts // 1000 - first_value(s.dts // 1000) OVER w AS dts, s.cts_delta, s.is_sync, e.event_type || e.props AS body
+  FROM s JOIN events e USING (event_id) WINDOW w AS (PARTITION BY s.track_id ORDER BY s.sample_index))
+"""
+
+
+def _with_data(spark, d):
+    """Samples at a thousand ticks a second whose data are their events' own fields."""
+    w = Window.partitionBy(*KEYS).orderBy("sample_index")
+    s = event_samples(spark, d).withColumn("dts", F.floor(F.col("dts") / 1000).cast("long"))
+    s = s.withColumn("duration", F.coalesce(F.lead("dts").over(w) - F.col("dts"), F.lit(0)).cast("long"))
+    data = table(spark, d, "events").select("event_id", F.concat("event_type", "props").cast("binary").alias("data"))
+    return s.drop("size").join(data, "event_id").withColumn("size", F.length("data").cast("long"))
+
+
+@query("static_roundtrip", DATA_SQL + "SELECT file, track_id, sample_index, dts, duration, cts_delta, is_sync, sha256(body) AS digest FROM m", samples=False)
+def static_roundtrip(spark, d):
+    """Files of sample tables and media data written, and their samples resolved and read again."""
+    from strobila.operators import tools
+    from strobila.sources import boxes, media, writers
+
+    rows = _with_data(spark, d).withColumn("description_index", F.lit(1).cast("long"))
+    tracks = rows.select(*KEYS).distinct()
+    entry = writers.box("mp4s", bytes(6), b"\0\1")
+    files = tools.mux(rows, tracks.withColumns({"handler": F.lit("vide"), "entry": F.lit(entry)}), tracks.withColumn("timescale", F.lit(1000).cast("long"))).withColumnRenamed("file", "path")
+    found = media.sample_data(media.static_samples(boxes.atoms(files)), files)
+    return found.select(*KEYS, "sample_index", "dts", "duration", "cts_delta", "is_sync", F.sha2("data", 256).alias("digest"))
+
+
+@query("fragment_data", DATA_SQL + "SELECT file || '/' || CAST(track_id AS VARCHAR) AS file, sample_index, duration, sha256(body) AS digest FROM m", samples=False)
+def fragment_data(spark, d):
+    """Fragments written with their data, and the data read again from where the runs say."""
+    from strobila.sources import boxes, media, writers
+
+    rows = _with_data(spark, d).withColumn("segment_index", F.floor(F.col("dts") / 604_800_000).cast("long"))
+    files = writers.assemble(writers.write_fragments(rows, 1000), KEYS, "segment_index").select(F.concat_ws("/", "file", F.col("track_id").cast("string")).alias("path"), "content")
+    found = media.sample_data(media.moving_samples(boxes.atoms(files, payloads=False)), files)
+    return found.select("file", "sample_index", "duration", F.sha2("data", 256).alias("digest"))
+
+
+def _ciphered(scheme):
+    def run(spark, d):
+        """Texts as samples with a clear lead through a scheme and back, and how many bytes it left as they were."""
+        from strobila.operators import protection
+
+        key = bytes(range(16))
+        data = F.col("text").cast("binary")
+        clear = F.least(F.length(data), F.lit(5))
+        parts = F.array(F.struct(clear.cast("int").alias("clear"), (F.length(data) - clear).cast("long").alias("encrypted")))
+        rows = table(spark, d, "documents").filter("text is not null").select("doc_id", data.alias("data"), F.substring(data, 1, 5).alias("lead"), F.unhex(F.lpad(F.hex("doc_id"), 32, "0")).alias("iv"), parts.alias("parts"))
+        secret = protection.cipher_samples(rows, scheme, key)
+        secret = secret.withColumn("kept", F.substring("data", 1, 5) == F.col("lead"))
+        out = protection.cipher_samples(secret, scheme, key, decrypt=True)
+        return out.select("doc_id", "kept", F.sha2("data", 256).alias("digest"))
+
+    return run
+
+
+for _scheme in ("cenc", "cens", "cbc1", "cbcs"):
+    query(f"{_scheme}_parts", "SELECT doc_id, true AS kept, sha256(text) AS digest FROM documents WHERE text IS NOT NULL", samples=False)(_ciphered(_scheme))
+
+
+@query("adts_frames", DATA_SQL + "SELECT file || '/' || CAST(track_id AS VARCHAR) AS path, sample_index AS frame_index, strlen(body) + 7 AS size FROM m", samples=False)
+def adts_frames(spark, d):
+    """Samples exported as a stream of framed audio, and the frames found in it."""
+    from strobila.functions import codecs
+    from strobila.operators import tools
+    from strobila.sources import writers
+
+    framed = tools.export_aac(_with_data(spark, d), 2, 4, 2)
+    files = writers.assemble(framed, KEYS, "sample_index", "data").select(F.concat_ws("/", "file", F.col("track_id").cast("string")).alias("path"), "content")
+    return codecs.audio_frames(files).select("path", "frame_index", "size")
+
+
+@query("unit_listing", DATA_SQL + "SELECT file, track_id, sample_index, (ascii(substr(body, 1, 1)) & 31) AS unit_type, strlen(body) AS size FROM m", samples=False)
+def unit_listing(spark, d):
+    """Samples of one length-prefixed unit each, and the units listed."""
+    from strobila.operators import tools
+
+    rows = _with_data(spark, d)
+    rows = rows.withColumn("data", F.concat(F.unhex(F.lpad(F.hex(F.length("data")), 8, "0")), "data"))
+    return tools.list_units(rows, 4).select(*KEYS, "sample_index", "unit_type", "size")
+
+
+@query("fragment_seek", ROLL_SQL + """, e AS (SELECT file, track_id, segment_index * 1000 AS time, segment_index * 100 + track_id % 7 AS moof_offset FROM u),
+p AS (SELECT DISTINCT file, unnest([0, 1500, 30250, 999999999]) AS time FROM s),
+f AS (SELECT p.file, p.time, e.track_id, arg_max(e.moof_offset, e.time) AS spot FROM p JOIN e ON e.file = p.file AND e.time <= p.time GROUP BY p.file, p.time, e.track_id)
+SELECT file, CAST(time AS BIGINT) AS probe_id, min(spot) AS moof_offset FROM f GROUP BY file, time""")
+def fragment_seek(spark, d):
+    entries = _rolled(spark, d).select(*KEYS, (F.col("segment_index") * 1000).alias("time"), (F.col("segment_index") * 100 + F.col("track_id") % 7).alias("moof_offset"))
+    probes = event_samples(spark, d).select("file").distinct().select("file", F.explode(F.array(*[F.lit(t).cast("long") for t in (0, 1500, 30250, 999999999)])).alias("time"))
+    return seek.seek_fragment(entries, probes.withColumn("probe_id", F.col("time"))).select("file", "probe_id", "moof_offset")

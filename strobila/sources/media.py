@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from strobila.functions.codecs import codec_name
 from strobila.operators import runs
 from strobila.operators.fragments import TRUN_CTS, TRUN_DATA_OFFSET, TRUN_DURATION, TRUN_FIRST_FLAGS, TRUN_FLAGS, TRUN_SIZE, fragment_samples
 
@@ -46,6 +47,24 @@ def sample_descriptions(atoms: DataFrame) -> DataFrame:
     return inside.join(track_ids(atoms), ["file", "_trak"]).select(*_KEYS, (F.col("ordinal") + 1).cast("long").alias("description_index"), F.col("type").alias("coding"), "fields")
 
 
+def codec_names(atoms: DataFrame) -> DataFrame:
+    """(file, track_id, description_index, coding, codec): the name of every sample entry's coding; of an encrypted entry
+    that of the coding that it was."""
+    entries = _trak(atoms).filter(F.col("path").rlike(r"/stsd\[0\]/[^/]+$")).select("file", "_trak", "ordinal", F.col("type").alias("coding"), F.col("path").alias("entry"))
+    inner = _trak(atoms).withColumn("entry", F.regexp_extract("path", r"^(.*/stsd\[0\]/[^/]+)/", 1)).filter("entry <> ''")
+    inner = inner.groupBy("file", "entry").agg(F.collect_list(F.struct("type", "fields")).alias("boxes"))
+
+    @F.udf("string")
+    def name(coding: str, boxes: list | None) -> str:
+        own = {}
+        for b in boxes or []:
+            own.setdefault(b["type"], b["fields"])
+        return codec_name(own["frma"]["original_format"] if "frma" in own else coding, own)
+
+    rows = entries.join(inner, ["file", "entry"], "left").join(track_ids(atoms), ["file", "_trak"])
+    return rows.select(*_KEYS, (F.col("ordinal") + 1).cast("long").alias("description_index"), "coding", name("coding", "boxes").alias("codec"))
+
+
 #: Rows that leave a table's payload at a time.
 _ROWS = 1 << 18
 

@@ -1,5 +1,6 @@
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,7 +61,7 @@ def test_parameter_sets():
     got = codecs.hevc_sequence(codecs.escape(hevc))
     assert (got["profile"], got["level"], got["width"], got["height"], got["luma_depth"], got["order_bits"]) == (1, 93, 1920, 1080, 8, 8)
     assert codecs.slice_type(bytes([0x65]) + bits(ue(0), ue(7))) == "I" and codecs.slice_type(b"\x06\x05") is None
-    assert codecs.frame_rate_ratio(29.97) == (2997, 100) and codecs.codec_name("avc1", {"profile": 100, "profile_compatibility": 0, "level": 31}) == "avc1.64001F"
+    assert codecs.frame_rate_ratio(29.97) == (2997, 100) and codecs.codec_name("avc1", {"avcC": {"profile": 100, "profile_compatibility": 0, "level": 31}}) == "avc1.64001F"
 
 
 def test_counters_go_on_over_segments(spark):
@@ -110,3 +111,33 @@ def test_unit_maps_by_coding():
     assert sum(s for _, s in protection.map_units(slice_ + other, 4, coding="hvc1")) == sum(s for _, s in protection.map_units(slice_, 4, coding="hvc1")) > 0
     assert sum(s for _, s in protection.map_units(other, 4, coding="avc1")) > 0
     assert sum(s for _, s in protection.map_units(unit(0x06, 300), 4, coding="avc1")) == 0 < sum(s for _, s in protection.map_units(unit(0x06, 300), 4, coding="av01"))
+
+
+def test_codec_names(spark):
+    from strobila.sources import boxes, media
+    from tests import mp4
+
+    hevc = {"profile_space": 0, "tier": 0, "profile": 2, "profile_compatibility": "20000000", "constraint": "900000000000", "level": 93}
+    name = codecs.codec_name
+    assert name("hvc1", {"hvcC": hevc}) == "hvc1.2.4.L93.90" and name("hev1", {"hvcC": hevc | {"profile_space": 1, "tier": 1, "constraint": "000000000000"}}) == "hev1.A2.4.H93.0"
+    vision = {"dv_profile": 5, "dv_level": 6}
+    assert name("dvh1", {"hvcC": hevc, "dvcC": vision}) == "dvh1.05.06" and name("hvc1", {"hvcC": hevc, "dvvC": vision}) == "hvc1.2.4.L93.90,dvh1.05.06"
+    av1 = {"seq_profile": 0, "seq_level_idx_0": 4, "seq_tier_0": 0, "high_bitdepth": 1, "twelve_bit": 0, "monochrome": 0, "chroma_subsampling_x": 1, "chroma_subsampling_y": 1, "chroma_sample_position": 0}
+    assert name("av01", {"av1C": av1}) == "av01.0.04M.10.0.110.01.01.01.0"
+    assert name("vp09", {"vpcC": {"profile": 2, "level": 10, "depth_and_flags": 0xA2, "colour_primaries": 1, "transfer_characteristics": 1, "matrix_coefficients": 1}}) == "vp09.02.10.10.01.01.01.01.00"
+    config = b"\x40\x15" + bytes(11) + b"\x05\x02\x12\x10"
+    stream = bytes(3) + b"\x04" + bytes([len(config)]) + config + b"\x06\x01\x02"
+    assert name("ec-3", {}) == "ec-3" and name("mp4a", {"esds": {"descriptors": (b"\x03\x80" + bytes([len(stream)]) + stream).hex()}}) == "mp4a.40.2"
+    files = spark.createDataFrame([("a", bytearray(mp4.static_av()))], "path string, content binary")
+    assert [r["codec"] for r in media.codec_names(boxes.atoms(files)).orderBy("track_id").collect()] == ["avc1.64001F", "mp4a"]
+
+
+def test_chained_blocks_equal_the_vector_way():
+    from strobila.functions import crypto
+
+    key, iv, data = os.urandom(16), os.urandom(16), os.urandom(16 * 50)
+    last, want = np.frombuffer(iv, np.uint8)[None], b""
+    for block in np.frombuffer(data, np.uint8).reshape(-1, 1, 16):
+        last = crypto.encrypt_blocks(crypto.expand_key(key), block ^ last)
+        want += last.tobytes()
+    assert crypto.cbc(key, iv, data) == want and crypto.cbc(key, iv, want, decrypt=True) == data
