@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,6 +126,17 @@ def slices(texts: list, most: int = _SLICE) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
+def parts(b: pa.RecordBatch, most: int = _SLICE) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``most`` bytes of its last column, one row at least, so that few texts are Python's at a
+    time."""
+    size = np.asarray(pc.binary_length(b.column(b.num_columns - 1)).fill_null(0)).astype(np.int64)
+    turn = np.cumsum(size) // most
+    cuts = np.flatnonzero(np.diff(turn)) + 1
+    for s, e in zip(np.r_[0, cuts], np.r_[cuts, b.num_rows]):
+        if e > s:
+            yield b.slice(int(s), int(e - s))
+
+
 def train(docs: DataFrame, most_docs: int = 3000, most_bytes: int = 1 << 15, seed: int = 4) -> BackoffModel:
     """A model from a bounded sample of the rows with an id, a text and a lang: ``most_docs`` texts of ``most_bytes`` at
     most, an equal share for each language. Without any, the model answers ``und``."""
@@ -147,10 +159,8 @@ def detect(docs: DataFrame, model: BackoffModel, text_col: str = "text") -> Data
     def work(batches):
         model = held(key, lambda: shared.value)
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
-            for s, e in slices(texts):
-                lang, score = model.predict(texts[s:e])
-                part = b.slice(s, e - s)
+            for part in parts(b):
+                lang, score = model.predict(part.column(part.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("lang_pred", "string").add("score", "double")

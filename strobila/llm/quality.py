@@ -14,6 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strobila.llm.langid import parts
 from strobila.llm.sampling import fold, labelled_sample
 from strobila.llm.store import cut, fresh, table
 
@@ -139,9 +140,9 @@ def score(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
     def work(batches):
         model = shared.value
         for b in batches:
-            texts = [t.as_py() or b"" for t in b.column(b.num_columns - 1).cast(pa.binary())]
-            s = model.score(texts)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
+            for part in parts(b):
+                s = model.score([t.as_py() or b"" for t in part.column(part.num_columns - 1).cast(pa.binary())])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
 
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("score", "double").add("predicted", "integer")
     return rows.mapInArrow(work, schema)

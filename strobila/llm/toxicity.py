@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strobila.llm.held import held
-from strobila.llm.langid import slices
+from strobila.llm.langid import parts
 from strobila.llm.quality import fit_logistic, shift, with_labels
 from strobila.llm.sampling import fold, labelled_sample
 from strobila.llm.store import fresh, table
 
 _WORD = re.compile(r"\w+")
-_CACHE = 200_000
+_CACHE = 100_000
 #: Steps that a fit takes at least, however few its texts.
 _LEAST_STEPS = 500
 #: Letters of a word's beginning, which is a term too.
@@ -155,10 +155,10 @@ def train(docs: DataFrame, labels: DataFrame, most_docs: int = 8000, most_bytes:
     """
     found = labelled_sample(with_labels(docs, labels, "toxic"), docs, "toxic", most_docs, most_bytes, seed)
     own = [zlib.crc32(str(r["doc_id"]).encode()) // 5 % 5 == 0 for r in found]
-    part = lambda own_is: zip(*[(r["text"], int(r["toxic"])) for r, k in zip(found, own) if k == own_is])
-    texts, y = map(list, part(False) if not all(own) else ((), ()))
+    pick = lambda own_is: zip(*[(r["text"], int(r["toxic"])) for r, k in zip(found, own) if k == own_is])
+    texts, y = map(list, pick(False) if not all(own) else ((), ()))
     model = FactorizationMachine().fit(texts, y)
-    texts, y = map(list, part(True) if any(own) else ((), ()))
+    texts, y = map(list, pick(True) if any(own) else ((), ()))
     model.calibrate(texts, y)
     model.scale[1] += shift(found, "toxic")
     return model
@@ -176,10 +176,9 @@ def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text")
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held(key, lambda: shared.value)
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
-            for s, e in slices(texts):
-                p = model.score(texts[s:e])
-                yield pa.RecordBatch.from_arrays([*b.slice(s, e - s).columns[:-1], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
+            for part in parts(b):
+                p = model.score(part.column(part.num_columns - 1).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
 
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("score", "double").add("predicted", "integer")
     return rows.mapInArrow(work, schema)
