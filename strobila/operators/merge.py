@@ -83,13 +83,11 @@ def cascade(*levels: Column | int) -> Column:
 def matches(groups: DataFrame, tracks: DataFrame) -> DataFrame:
     """Every video track with every audio group that its pattern list admits: ``*`` all, a name, or ``-`` none.
 
-    ``tracks``: (track, match ARRAY<STRING>); ``groups``: (group), a few per presentation, checked to be under 10,000.
+    ``tracks``: (track, match ARRAY<STRING>); ``groups``: (group). A track that admits all is repeated for each of a few
+    lots of the groups and joined with the lot, so that neither side meets in one task, however many there are of either.
     """
-    n = groups.count()
+    lots = 16
     named = tracks.withColumn("group", F.explode("match")).join(groups, "group", "inner").select("track", "group")
-    stars = tracks.filter(F.array_contains("match", "*")).select("track")
-    if n < 10_000:
-        every = stars.crossJoin(F.broadcast(groups.select("group")))
-    else:
-        every = stars.withColumn("_k", F.lit(1)).join(groups.withColumn("_k", F.lit(1)), "_k").select("track", "group")
+    stars = tracks.filter(F.array_contains("match", "*")).select("track", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))).alias("_lot"))
+    every = stars.join(groups.select("group", F.pmod(F.hash("group"), F.lit(lots)).alias("_lot")), "_lot").select("track", "group")
     return named.unionByName(every).distinct()

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strobila.functions.codecs import escape, unescape
 from strobila.functions.crypto import cbc, ctr, pattern
 
 #: Cipher mode, and whether blocks are encrypted by a pattern.
@@ -206,3 +207,73 @@ def segment_aes(df: DataFrame, key: bytes, iv: bytes | None = None) -> DataFrame
         return pd.Series([cbc(key, iv if iv is not None else int(k).to_bytes(16, "big"), bytes(c), pad=True) for c, k in zip(content, index)])
 
     return df.withColumn("content", run("content", "segment_index"))
+
+
+#: Fixed values of sample encryption in playlists: clear bytes before the first block of a unit and of an audio frame, the
+#: least size of a unit that is encrypted, and the blocks from one that is to the next.
+_UNIT_LEAD, _FRAME_LEAD, _UNIT_LEAST, _UNIT_STEP = 32, 16, 48, 10
+
+
+def sample_aes_unit(unit: bytes, key: bytes, iv: bytes, decrypt: bool = False) -> bytes:
+    """An AVC unit through playlist sample encryption: of slices of types 1 and 5 every tenth block after a clear lead,
+    a last part of up to a block stays clear; start codes are kept from appearing in what is encrypted."""
+    plain = unescape(unit) if decrypt else unit
+    if len(plain) <= _UNIT_LEAST or not plain or plain[0] & 31 not in (1, 5):
+        return unit
+    whole = -(-(len(plain) - _UNIT_LEAD) // 16) - 1  # a last whole block stays clear too
+    places = [_UNIT_LEAD + 16 * k for k in range(0, whole, _UNIT_STEP)]
+    body = cbc(key, iv, b"".join(plain[a : a + 16] for a in places), decrypt)
+    out = bytearray(plain)
+    for k, a in enumerate(places):
+        out[a : a + 16] = body[16 * k : 16 * k + 16]
+    return bytes(out) if decrypt else escape(bytes(out))
+
+
+def sample_aes(data: bytes, kind: str, key: bytes, iv: bytes, length_size: int = 4, decrypt: bool = False) -> bytes:
+    """A sample through playlist sample encryption: units of video, or whole blocks after a clear lead of an audio frame."""
+    if kind != "video":
+        end = _FRAME_LEAD + max(0, len(data) - _FRAME_LEAD) // 16 * 16
+        return data[:_FRAME_LEAD] + cbc(key, iv, data[_FRAME_LEAD:end], decrypt) + data[end:]
+    out, at = [], 0
+    while at + length_size < len(data):
+        n = int.from_bytes(data[at : at + length_size], "big")
+        if at + length_size + n > len(data):
+            break
+        unit = sample_aes_unit(data[at + length_size : at + length_size + n], key, iv, decrypt)
+        out.append(len(unit).to_bytes(length_size, "big") + unit)
+        at += length_size + n
+    return b"".join(out)
+
+
+def sample_aes_samples(df: DataFrame, key: bytes, iv: bytes, length_size: int = 4, decrypt: bool = False) -> DataFrame:
+    """``data`` of samples (kind ``video`` or other, data) through playlist sample encryption."""
+
+    @F.pandas_udf("binary")
+    def run(kind: pd.Series, data: pd.Series) -> pd.Series:
+        return pd.Series([sample_aes(bytes(d), k, key, iv, length_size, decrypt) for k, d in zip(kind, data)])
+
+    return df.withColumn("data", run("kind", "data"))
+
+
+def cipher_tracks(df: DataFrame, decrypt: bool = False) -> DataFrame:
+    """``data`` of samples (data, iv, parts, scheme, key, crypt, skip) each through its own track's scheme, key and
+    pattern; a sample without scheme or key stays as it is."""
+
+    @F.pandas_udf("binary")
+    def run(data: pd.Series, iv: pd.Series, parts: pd.Series, scheme: pd.Series, key: pd.Series, crypt: pd.Series, skip: pd.Series) -> pd.Series:
+        out = []
+        for d, i, p, s, k, c, n in zip(data, iv, parts, scheme, key, crypt, skip):
+            if s not in SCHEMES or k is None:
+                out.append(d)
+                continue
+            pairs = None if p is None else [(int(x["clear"]), int(x["encrypted"])) for x in p]
+            out.append(cipher_sample(bytes(d), s, bytes(k), bytes(i), pairs, int(c or 0), int(n or 0), decrypt))
+        return pd.Series(out)
+
+    return df.withColumn("data", run("data", "iv", "parts", "scheme", "key", F.coalesce("crypt", F.lit(1)), F.coalesce("skip", F.lit(9))))
+
+
+def random_bytes(n: int = 16) -> Column:
+    """``n`` random bytes for each row, such as a key or a vector: new at every evaluation, so write them before use."""
+    parts = [F.unhex(F.replace(F.uuid(), F.lit("-"), F.lit(""))) for _ in range(-(-n // 8))]
+    return F.substring(F.unhex(F.sha2(F.concat(*parts), 512)), 1, n) if n <= 64 else F.concat(random_bytes(64), random_bytes(n - 64))

@@ -25,23 +25,30 @@ def encode_runs(df: DataFrame, value: str, keys: list[str] = TRACK, order: str =
     return rows.groupBy(*keys, "entry_index").agg(F.count("*").alias("sample_count"), F.min(value).alias("value"))
 
 
-def decode_runs(runs: DataFrame, keys: list[str] = TRACK, most: int = 1 << 24) -> DataFrame:
-    """(keys, sample_index, value) from runs. A count above ``most`` in one entry is refused: it is not trusted."""
+#: Rows that one step of an expansion makes of a row, so that no array holds a long run.
+_STEP = 1 << 16
+
+
+def expanded(rows: DataFrame, count: str, name: str = "_k") -> DataFrame:
+    """A row for each of ``count`` of a row, numbered from 0: first the steps of a long run, dealt over tasks, then the
+    rows of a step."""
+    steps = rows.filter(F.col(count) > 0).withColumn("_step", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / _STEP).cast("long"))))
+    first = F.col("_step") * _STEP
+    return steps.withColumn(name, F.explode(F.sequence(first, F.least(first + _STEP, F.col(count)) - 1))).drop("_step")
+
+
+def decode_runs(runs: DataFrame, keys: list[str] = TRACK) -> DataFrame:
+    """(keys, sample_index, value) from runs of any length."""
     w = Window.partitionBy(*keys).orderBy("entry_index").rowsBetween(Window.unboundedPreceding, -1)
-    checked = F.when(F.col("sample_count") > most, F.raise_error(F.lit("a run's count is out of bounds"))).otherwise(F.col("sample_count"))
-    return (
-        runs.withColumn("_first", F.coalesce(F.sum("sample_count").over(w), F.lit(0)).cast("long"))
-        .filter("sample_count > 0")
-        .select(*keys, "value", F.explode(F.sequence(F.col("_first"), F.col("_first") + checked - 1)).alias("sample_index"))
-        .select(*keys, "sample_index", "value")
-    )
+    started = runs.withColumn("_first", F.coalesce(F.sum("sample_count").over(w), F.lit(0)).cast("long"))
+    return expanded(started, "sample_count").select(*keys, (F.col("_first") + F.col("_k")).alias("sample_index"), "value")
 
 
 def decode_times(runs: DataFrame, keys: list[str] = TRACK) -> DataFrame:
     """(keys, sample_index, duration, dts) from runs of durations."""
     w = Window.partitionBy(*keys).orderBy("entry_index").rowsBetween(Window.unboundedPreceding, -1)
     started = runs.withColumns({"_first": F.coalesce(F.sum("sample_count").over(w), F.lit(0)).cast("long"), "_dts": F.coalesce(F.sum(F.col("sample_count") * F.col("value")).over(w), F.lit(0)).cast("long")})
-    out = started.filter("sample_count > 0").select(*keys, "_first", "_dts", "value", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sample_count") - 1)).alias("_k"))
+    out = expanded(started, "sample_count")
     return out.select(*keys, (F.col("_first") + F.col("_k")).alias("sample_index"), F.col("value").alias("duration"), (F.col("_dts") + F.col("_k") * F.col("value")).alias("dts"))
 
 

@@ -62,6 +62,41 @@ def mux(samples: DataFrame, descriptions: DataFrame, timescales: DataFrame, per_
     return rows.groupBy("file").applyInPandas(build, "file string, content binary")
 
 
+def aac_to_samples(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(samples, descriptions, timescales) for ``mux`` of ADTS streams (path, content): frames without their headers, and
+    an audio entry with the stream's configuration."""
+    from strobila.functions.codecs import AAC_RATES, adts_frames
+
+    schema = "file string, track_id long, sample_index long, duration long, cts_delta long, size long, is_sync boolean, description_index long, data binary, profile int, sample_rate long, channels int"
+
+    def work(batches):
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                content = bytes(content)
+                rows = [
+                    (path, 1, k, f["samples"], 0, f["size"] - f["header_size"], True, 1, content[f["offset"] + f["header_size"] : f["offset"] + f["size"]], f["profile"], f["sample_rate"], f["channels"])
+                    for k, f in enumerate(adts_frames(content))
+                ]
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    frames = files.select("path", "content").mapInPandas(work, schema)
+    first = frames.groupBy(*TRACK).agg(F.min_by(F.struct("profile", "sample_rate", "channels"), "sample_index").alias("f")).select(*TRACK, "f.*")
+
+    @F.pandas_udf("binary")
+    def entry(profile: pd.Series, rate: pd.Series, channels: pd.Series) -> pd.Series:
+        out = []
+        for p, r, c in zip(profile, rate, channels):
+            config = (int(p) << 11 | AAC_RATES.index(int(r)) << 7 | int(c) << 3).to_bytes(2, "big")
+            decoder = b"\x40\x15" + bytes(11) + b"\x05\x02" + config
+            stream = b"\0\1\0\x04" + bytes([len(decoder)]) + decoder + b"\x06\x01\x02"
+            esds = writers.full_box("esds", 0, 0, b"\x03", bytes([len(stream)]), stream)
+            out.append(writers.box("mp4a", bytes(6), b"\0\1", bytes(8), int(c).to_bytes(2, "big"), b"\0\x10", bytes(4), (int(r) << 16).to_bytes(4, "big"), esds))
+        return pd.Series(out)
+
+    descriptions = first.select(*TRACK, F.lit("soun").alias("handler"), entry("profile", "sample_rate", "channels").alias("entry"))
+    return frames.drop("profile", "sample_rate", "channels"), descriptions, first.select(*TRACK, F.col("sample_rate").alias("timescale"))
+
+
 def export_aac(samples: DataFrame, profile: int, frequency_index: int, channels: int) -> DataFrame:
     """(file, track_id, sample_index, data): every frame with its own header; joined in order they make a stream."""
 

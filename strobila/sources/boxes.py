@@ -305,6 +305,25 @@ def read_atoms(spark: SparkSession, path: str, **options) -> DataFrame:
     return atoms(spark.read.format("binaryFile").load(path), **options)
 
 
+def files_of(df: DataFrame) -> DataFrame:
+    """(file, length, major_brand, minor_version, brands, moov_before_mdat): one row for each file of a tree; the last is
+    null where either box is missing."""
+    top = df.filter("depth = 0")
+    head = F.col("type").isin("ftyp", "styp")
+    brand = lambda name: F.min_by(F.when(head, F.col("fields")[name]), F.when(head, F.col("offset")))
+    values = F.min_by(F.when(head, F.map_values(F.map_filter("fields", lambda k, v: k.startswith("compatible_brand")))), F.when(head, F.col("offset")))
+    first = lambda kind: F.min(F.when(F.col("type") == kind, F.col("offset")))
+    return top.groupBy("file").agg(
+        F.max(F.col("offset") + F.col("size")).alias("length"), brand("major_brand").alias("major_brand"), brand("minor_version").cast("long").alias("minor_version"),
+        F.coalesce(values, F.array().cast("array<string>")).alias("brands"), (first("moov") < first("mdat")).alias("moov_before_mdat"),
+    )
+
+
+def project(df: DataFrame, kind: str, fields: list[str]) -> DataFrame:
+    """(file, path, fields): the named fields of all boxes of a type, as texts."""
+    return df.filter(F.col("type") == kind).select("file", "path", *[F.col("fields")[f].alias(f) for f in fields])
+
+
 # Queries on the tree
 
 

@@ -69,3 +69,85 @@ def test_mux_clip_and_export(spark):
     unit = spark.createDataFrame([("a", 1, 0, True, bytearray(b"\0\0\0\2\x65\1\0\0\0\1\x06"))], "file string, track_id long, sample_index long, is_sync boolean, data binary")
     assert bytes(tools.export_units(unit, 4, [b"\x67"]).first()["data"]) == b"\0\0\0\1\x67\0\0\0\1\x65\1\0\0\0\1\x06"
     assert [(r["unit_type"], r["size"]) for r in tools.list_units(unit, 4).collect()] == [(5, 2), (6, 1)]
+
+
+def test_playlist_sample_encryption(spark):
+    import os
+
+    from strobila.operators import protection
+
+    key, iv = os.urandom(16), os.urandom(16)
+    for n in (0, 10, 16, 31, 32, 100):
+        frame = os.urandom(n)
+        secret = protection.sample_aes(frame, "audio", key, iv)
+        assert len(secret) == n and secret[:16] == frame[:16] and protection.sample_aes(secret, "audio", key, iv, decrypt=True) == frame
+    for n in (20, 48, 49, 64, 65, 200, 352, 353, 1000):
+        unit = bytes([0x65]) + bytes(os.urandom(n - 1)).replace(b"\0", b"\1")
+        secret = protection.sample_aes_unit(unit, key, iv)
+        assert protection.sample_aes_unit(secret, key, iv, decrypt=True) == unit and secret[:32] == unit[:32]
+        assert (secret != unit) == (n > 48) and b"\0\0\1" not in secret
+    other = b"\x67" + os.urandom(300)
+    assert protection.sample_aes_unit(other, key, iv) == other
+    sample = b"".join(len(u).to_bytes(4, "big") + u for u in (unit, other))
+    df = spark.createDataFrame([("video", bytearray(sample)), ("audio", bytearray(frame))], "kind string, data binary")
+    back = protection.sample_aes_samples(protection.sample_aes_samples(df, key, iv), key, iv, decrypt=True)
+    assert sorted(bytes(r["data"]) for r in back.collect()) == sorted([sample, frame])
+
+
+def test_each_track_its_scheme(spark):
+    from pyspark.sql import functions as F
+
+    from strobila.operators import protection
+
+    rows = [(k, s, bytearray(bytes([k]) * 16) if s else None, bytearray(bytes(range(100))), bytearray(16)) for k, s in enumerate(["cenc", "cbcs", "cens", "cbc1", None])]
+    df = spark.createDataFrame(rows, "track_id long, scheme string, key binary, data binary, iv binary").withColumn("parts", F.lit(None).cast("array<struct<clear:int,encrypted:long>>")).withColumns({"crypt": F.lit(1), "skip": F.lit(9)})
+    secret = protection.cipher_tracks(df).cache()
+    assert len({bytes(r["data"]) for r in secret.collect()}) == 5
+    assert {bytes(r["data"]) for r in protection.cipher_tracks(secret, decrypt=True).collect()} == {bytes(range(100))}
+    found = spark.range(50).select(protection.random_bytes(16).alias("a"), protection.random_bytes(100).alias("b")).collect()
+    assert len({bytes(r["a"]) for r in found}) == 50 and {(len(r["a"]), len(r["b"])) for r in found} == {(16, 100)}
+
+
+def test_long_runs_and_many_groups(spark):
+    from strobila.operators import merge, runs
+
+    df = spark.createDataFrame([("f", 1, 0, 20_000_000, 5), ("f", 1, 1, 0, 6), ("f", 1, 2, 3, 7)], "file string, track_id long, entry_index int, sample_count long, value long")
+    row = runs.decode_runs(df).selectExpr("count(*) n", "max(sample_index) last", "sum(value) s").first()
+    assert tuple(row) == (20_000_003, 20_000_002, 100_000_021)
+    groups = spark.range(50).selectExpr("concat('g', id) `group`")
+    tracks = spark.createDataFrame([(1, ["*"]), (2, ["g3", "g7", "nope"]), (3, ["-"]), (4, ["*", "g1"])], "track long, match array<string>")
+    found = merge.matches(groups, tracks).groupBy("track").count().collect()
+    assert {r["track"]: r["count"] for r in found} == {1: 50, 2: 2, 4: 50}
+
+
+def test_files_and_fields(spark):
+    files = spark.createDataFrame([("a", bytearray(mp4.static_av())), ("b", bytearray(mp4.box("mdat", b"12")))], "path string, content binary")
+    atoms = boxes.atoms(files)
+    got = {r["file"]: r for r in boxes.files_of(atoms).collect()}
+    assert got["a"]["length"] == len(mp4.static_av()) and got["a"]["moov_before_mdat"] is True and got["a"]["brands"] and got["b"]["major_brand"] is None and got["b"]["moov_before_mdat"] is None
+    assert [r["id"] for r in boxes.project(atoms, "tkhd", ["id"]).orderBy("id").collect()] == ["1", "2"]
+
+
+def test_commands(spark, tmp_path, capsys):
+    from strobila.__main__ import main
+    from strobila.sources import writers
+
+    (tmp_path / "in.mp4").write_bytes(mp4.static_av())
+    run = lambda *args: (main(list(args), spark), capsys.readouterr().out)[1]
+    path = str(tmp_path / "in.mp4")
+    assert "[moov] size=8+" in run("dump", path) and '"name":"moov"' in run("dump", path, "--json")
+    shown = run("info", path)
+    assert "avc1.64001F" in shown and "vide" in shown
+    assert len(run("samples", path).splitlines()) == 1 + 54 + 78
+    assert '"id":"2"' in run("find", path, "moov/trak[1]/tkhd").replace('\\', "")
+    (tmp_path / "free").write_bytes(mp4.box("free", b"x"))
+    run("edit", path, "--remove", "moov/trak[0]", "--insert", f"moov/udta:{tmp_path}/free", "--out", str(tmp_path / "out"))
+    again = boxes.atoms(spark.createDataFrame([("o", bytearray((tmp_path / "out" / "in.mp4").read_bytes()))], "path string, content binary"))
+    assert boxes.find(again, "moov/udta/free").count() == 1 and boxes.find(again, "moov/trak[1]").count() == 0
+    assert len(run("fragment", path, "--seconds", "1", "--out", str(tmp_path / "parts")).splitlines()) >= 4
+    frames = b"".join(writers.adts_header(2, 4, 2, n) + bytes(n) for n in (50, 60, 70))
+    (tmp_path / "a.aac").write_bytes(frames)
+    run("aac2mp4", str(tmp_path / "a.aac"), "--out", str(tmp_path / "audio"))
+    found = boxes.atoms(spark.createDataFrame([("o", bytearray((tmp_path / "audio" / "a.mp4").read_bytes()))], "path string, content binary"))
+    assert [r["size"] for r in media.static_samples(found).orderBy("sample_index").collect()] == [50, 60, 70]
+    assert media.codec_names(found).first()["codec"] == "mp4a.40.2"
