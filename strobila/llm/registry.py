@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from strobila.llm import embedding_dedup, suffix_dedup
 from strobila.llm.decontaminate import op9_decontamination
 from strobila.llm.embedding_dedup import op6_embedding_neardup
 from strobila.llm.langid import op4_language_id
@@ -25,5 +26,6 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_token_file": op10_token_file,
 }
-#: No SQL states these: hashes, models, tokenizers and byte-level repeats. The functions below them have tests, the queries not.
-ORACLE_SQL: dict[str, str] = {}
+#: No SQL states the others: hashes that SQL does not have, trained models, tokenizers, random draws. All of them are
+#: tested against plain Python.
+ORACLE_SQL: dict[str, str] = {"op6_embedding_neardup": embedding_dedup.SQL, "op7_suffix_array_dedup": suffix_dedup.SQL}

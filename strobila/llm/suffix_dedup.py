@@ -357,3 +357,16 @@ def op7_suffix_array_dedup(spark, sf_dir: str, length: int = 200) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.string()])]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return joined.mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+#: The same result stated over all windows; two windows are held equal where their MD5 is.
+SQL = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(encode(text), ''::BLOB) AS body FROM documents),
+w AS (SELECT r, i, md5_number(array_slice(body, i, i + 199)::BLOB) AS h FROM (SELECT r, body, unnest(range(1, octet_length(body) - 198)) AS i FROM d WHERE octet_length(body) >= 200)),
+m AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM w) WHERE n > 1),
+g AS (SELECT r, i, CASE WHEN i > lag(i + 199) OVER (PARTITION BY r ORDER BY i) + 1 OR lag(i) OVER (PARTITION BY r ORDER BY i) IS NULL THEN 1 ELSE 0 END AS turn FROM m),
+s AS (SELECT r, k, min(i) AS first, max(i) + 199 AS last FROM (SELECT r, i, sum(turn) OVER (PARTITION BY r ORDER BY i) AS k FROM g) GROUP BY r, k),
+e AS (SELECT r, count(*) AS n_spans, sum(last - first + 1) AS n_removed FROM s GROUP BY r),
+p AS (SELECT d.r, s.first AS spot, CASE WHEN s.first IS NULL THEN hex(body) ELSE hex(array_slice(body, coalesce(lag(s.last) OVER (PARTITION BY d.r ORDER BY s.first), 0) + 1, s.first - 1)::BLOB) END AS x FROM d LEFT JOIN s ON s.r = d.r
+  UNION ALL SELECT d.r, 1000000000000, hex(array_slice(body, t.last + 1, octet_length(body))::BLOB) FROM d JOIN (SELECT r, max(last) AS last FROM s GROUP BY r) t ON t.r = d.r),
+k AS (SELECT r, sha256(unhex(string_agg(x, '' ORDER BY spot NULLS FIRST))) AS kept FROM p GROUP BY r)
+SELECT d.doc_id, octet_length(d.body) AS n_bytes, CAST(coalesce(e.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(e.n_spans, 0) AS BIGINT) AS n_spans, k.kept AS kept_sha256 FROM d JOIN k ON k.r = d.r LEFT JOIN e ON e.r = d.r"""

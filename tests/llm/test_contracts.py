@@ -309,3 +309,16 @@ def test_one_label_only(spark, tables, tmp_path):
     folder = make(tmp_path, rows[:12], [], vectors[:1], items)
     for name in ("op2_quality_classifier", "op8_toxicity"):
         assert {r["score"] for r in run(spark, name, folder)[0]} == {0.5}
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_same_rows_as_sql(spark, tables, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tables[0]}/{t}.parquet'")
+    want = con.execute(registry.ORACLE_SQL[name])
+    names = [d[0] for d in want.description]
+    got, types = run(spark, name, tables[0])
+    assert sorted(names) == sorted(types)
+    assert Counter(tuple(r[n] for n in names) for r in got) == Counter(want.fetchall())
