@@ -29,26 +29,28 @@ def encode_runs(df: DataFrame, value: str, keys: list[str] = TRACK, order: str =
 _STEP = 1 << 16
 
 
-def expanded(rows: DataFrame, count: str, name: str = "_k") -> DataFrame:
-    """A row for each of ``count`` of a row, numbered from 0: first the steps of a long run, dealt over tasks, then the
-    rows of a step."""
+def expanded(rows: DataFrame, count: str, name: str = "_k", most: int | None = None) -> DataFrame:
+    """A row for each of ``count`` of a row, numbered from 0: first the steps of a long run, then the rows of a step. With
+    ``most``, for files that are not trusted, a greater count raises an error."""
+    if most is not None:
+        rows = rows.withColumn(count, F.when(F.col(count) > most, F.raise_error(F.lit("a run's count is out of bounds")).cast("long")).otherwise(F.col(count)))
     steps = rows.filter(F.col(count) > 0).withColumn("_step", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / _STEP).cast("long"))))
     first = F.col("_step") * _STEP
     return steps.withColumn(name, F.explode(F.sequence(first, F.least(first + _STEP, F.col(count)) - 1))).drop("_step")
 
 
-def decode_runs(runs: DataFrame, keys: list[str] = TRACK) -> DataFrame:
-    """(keys, sample_index, value) from runs of any length."""
+def decode_runs(runs: DataFrame, keys: list[str] = TRACK, most: int | None = None) -> DataFrame:
+    """(keys, sample_index, value) from runs of any length, or of ``most`` at most."""
     w = Window.partitionBy(*keys).orderBy("entry_index").rowsBetween(Window.unboundedPreceding, -1)
     started = runs.withColumn("_first", F.coalesce(F.sum("sample_count").over(w), F.lit(0)).cast("long"))
-    return expanded(started, "sample_count").select(*keys, (F.col("_first") + F.col("_k")).alias("sample_index"), "value")
+    return expanded(started, "sample_count", most=most).select(*keys, (F.col("_first") + F.col("_k")).alias("sample_index"), "value")
 
 
-def decode_times(runs: DataFrame, keys: list[str] = TRACK) -> DataFrame:
-    """(keys, sample_index, duration, dts) from runs of durations."""
+def decode_times(runs: DataFrame, keys: list[str] = TRACK, most: int | None = None) -> DataFrame:
+    """(keys, sample_index, duration, dts) from runs of durations of any length, or of ``most`` at most."""
     w = Window.partitionBy(*keys).orderBy("entry_index").rowsBetween(Window.unboundedPreceding, -1)
     started = runs.withColumns({"_first": F.coalesce(F.sum("sample_count").over(w), F.lit(0)).cast("long"), "_dts": F.coalesce(F.sum(F.col("sample_count") * F.col("value")).over(w), F.lit(0)).cast("long")})
-    out = expanded(started, "sample_count")
+    out = expanded(started, "sample_count", most=most)
     return out.select(*keys, (F.col("_first") + F.col("_k")).alias("sample_index"), F.col("value").alias("duration"), (F.col("_dts") + F.col("_k") * F.col("value")).alias("dts"))
 
 
