@@ -18,12 +18,13 @@ def labelled_sample(narrow: DataFrame, docs: DataFrame, label: str, most_docs: i
     place in the order is its hash, from 0 to 1, times the count of its label: the first ``most_docs`` of it are an equal
     share of each label at any number of rows, and all rows of a label that has fewer. Of a text of more than
     ``most_bytes`` bytes a part is taken that begins at a hashed place, so long texts are learned from too. Rows without
-    id, text or label are left out, and rows that repeat an id count once.
+    id, text or label are left out, and rows that repeat an id count once. Of more than ``most_docs`` labels the most
+    frequent ones are sampled, so that no more counts are broadcast.
     """
     narrow = narrow.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", label)
-    counts = narrow.groupBy(label).agg(F.count("*").alias("n"))
+    counts = narrow.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(most_docs)
     lot = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) / F.lit(float(1 << 53))
-    ranked = narrow.join(counts, label).select("doc_id", label, "n", (lot * F.col("n")).alias("lot")).distinct()
+    ranked = narrow.join(F.broadcast(counts), label).select("doc_id", label, "n", (lot * F.col("n")).alias("lot")).distinct()
     picked = ranked.orderBy("lot", "doc_id", label).limit(most_docs).collect()
     chosen = docs.sparkSession.createDataFrame([(r["doc_id"], r[label]) for r in picked], narrow.schema)
     text, chars = F.col("text"), most_bytes // 4
