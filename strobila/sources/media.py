@@ -226,7 +226,7 @@ def sample_data(samples: DataFrame, files: DataFrame) -> DataFrame:
     columns = samples.columns
     gathered = samples.groupBy("file").agg(F.collect_list(F.struct(*columns)).alias("rows"))
     joined = gathered.join(files.select(F.col("path").alias("file"), "content"), "file").select("rows", "content")
-    schema = samples.schema.add("data", "binary")
+    schema = samples.select("*").schema.add("data", "binary")  # of a frame of its own: add() changes a schema in place
     kinds = to_arrow_schema(schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
