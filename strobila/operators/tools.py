@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strobila.operators.groups import Bytes, by_group
 from strobila.operators.runs import TRACK, assign_chunks
 from strobila.sources import writers
 
 
+#: Bytes of tracks that leave a task at a time, and of the largest file that a row holds.
+_HELD, _LARGEST = 1 << 22, (1 << 31) - 1
 #: The matrix that leaves a picture as it is.
 _UNITY = writers.words(0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
@@ -27,39 +35,66 @@ def mux(samples: DataFrame, descriptions: DataFrame, timescales: DataFrame, per_
     """(file, content): files of all tracks of a file name, sample tables first. Samples: TRACK, sample_index, duration,
     cts_delta, size, is_sync, description_index, data; descriptions: TRACK, handler, entry; timescales: TRACK, timescale.
 
-    One task writes one file, so a file must fit in a task; longer ones are better written as fragments.
+    A track's tables and data are made by themselves; one task joins those of a file, which must fit in a task; longer ones
+    are better written as fragments.
     """
     rows = assign_chunks(samples, per_chunk).join(descriptions, TRACK).join(timescales, TRACK)
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["track_id", "sample_index"]).reset_index(drop=True)
-        pdf["size"] = [len(bytes(d)) for d in pdf["data"]]
-
-        def moov(base: int) -> bytes:
-            placed = pdf.assign(offset=base + pdf["size"].cumsum() - pdf["size"])
-            traks, longest = [], 0
-            for track_id, t in placed.groupby("track_id", sort=True):
-                total, head = int(t["duration"].sum()), t.iloc[0]
-                scale = int(head["timescale"])
-                millis = total * 1000 // scale if scale else 0
-                longest = max(longest, millis)
-                sound = head["handler"] == "soun"
-                tkhd = writers.full_box("tkhd", 0, 7, writers.words(0, 0, int(track_id), 0, millis), bytes(12), b"\1\0" if sound else bytes(2), bytes(2), _UNITY, writers.words(0, 0))
-                mdhd = writers.full_box("mdhd", 0, 0, writers.words(0, 0, scale, total), b"\x55\xc4\0\0")
-                hdlr = writers.full_box("hdlr", 0, 0, bytes(4), head["handler"].encode(), bytes(12), b"\0")
-                media = writers.full_box("smhd", 0, 0, bytes(4)) if sound else writers.full_box("vmhd", 0, 1, bytes(8)) if head["handler"] == "vide" else writers.full_box("nmhd", 0, 0)
-                dinf = writers.box("dinf", writers.full_box("dref", 0, 0, writers.words(1), writers.full_box("url ", 0, 1)))
-                minf = writers.box("minf", media, dinf, writers.sample_tables(t, bytes(head["entry"])))
-                traks.append(writers.box("trak", tkhd, writers.box("mdia", mdhd, hdlr, minf)))
-            mvhd = writers.full_box("mvhd", 0, 0, writers.words(0, 0, 1000, longest), writers.words(0x10000), b"\1\0", bytes(10), _UNITY, bytes(24), writers.words(int(placed["track_id"].max()) + 1))
-            return writers.box("moov", mvhd, *traks)
-
-        ftyp = writers.box("ftyp", b"isom", writers.words(0), b"isom")
-        base = len(ftyp) + len(moov(0)) + 8
-        content = ftyp + moov(base) + writers.box("mdat", *[bytes(d) for d in pdf["data"]])
-        return pd.DataFrame({"file": [pdf["file"].iloc[0]], "content": [content]})
-
-    return rows.groupBy("file").applyInPandas(build, "file string, content binary")
+    rows = rows.select(*TRACK, "sample_index", "duration", "cts_delta", "is_sync", "description_index", "chunk_index", "data", "handler", "entry", F.col("timescale").cast("long").alias("timescale"))
+    names = ["file", "track_id", "trak", "first", "chunks", "millis", "data"]
+
+    def tracks(rows: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        duration, delta, sync, described, chunk = (rows.column(c).to_numpy() for c in ("duration", "cts_delta", "is_sync", "description_index", "chunk_index"))
+        data, made, held = Bytes(rows.column("data")), [], 0
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            head = {c: rows.column(c)[a].as_py() for c in ("file", "track_id", "handler", "entry", "timescale")}
+            own, total, scale, sound = slice(a, b), int(duration[a:b].sum()), head["timescale"], head["handler"] == "soun"
+            millis = total * 1000 // scale if scale else 0
+            size = data.sizes(a, b)
+            tkhd = writers.full_box("tkhd", 0, 7, writers.words(0, 0, head["track_id"], 0, millis), bytes(12), b"\1\0" if sound else bytes(2), bytes(2), _UNITY, writers.words(0, 0))
+            mdhd = writers.full_box("mdhd", 0, 0, writers.words(0, 0, scale, total), b"\x55\xc4\0\0")
+            hdlr = writers.full_box("hdlr", 0, 0, bytes(4), head["handler"].encode(), bytes(12), b"\0")
+            media = writers.full_box("smhd", 0, 0, bytes(4)) if sound else writers.full_box("vmhd", 0, 1, bytes(8)) if head["handler"] == "vide" else writers.full_box("nmhd", 0, 0)
+            dinf = writers.box("dinf", writers.full_box("dref", 0, 0, writers.words(1), writers.full_box("url ", 0, 1)))
+            # Offsets from the beginning of the track's data, until the file's layout is known.
+            boxes = writers.tables(duration[own], delta[own], size, sync[own], chunk[own], described[own], np.cumsum(size) - size, head["entry"])
+            trak = writers.box("trak", tkhd, writers.box("mdia", mdhd, hdlr, writers.box("minf", media, dinf, writers.box("stbl", *boxes))))
+            last = boxes[-1] if boxes[-1][4:8] == b"stss" else b""
+            chunks = int.from_bytes(boxes[-2 if last else -1][12:16], "big")
+            made.append((head["file"], head["track_id"], trak, len(trak) - len(last) - 4 * chunks, chunks, millis, data.joined(a, b)))
+            held += len(trak) + int(size.sum())
+            if held >= _HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made)], names)
+                made, held = [], 0
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made)], names)
+
+    def join(rows: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            traks, data, ids = rows.column("trak").slice(a, b - a), rows.column("data").slice(a, b - a), rows.column("track_id").slice(a, b - a).to_pylist()
+            first, chunks, millis = (rows.column(c).slice(a, b - a).to_pylist() for c in ("first", "chunks", "millis"))
+            ftyp = writers.box("ftyp", b"isom", writers.words(0), b"isom")
+            mvhd = writers.full_box("mvhd", 0, 0, writers.words(0, 0, 1000, max(0, *millis)), writers.words(0x10000), b"\1\0", bytes(10), _UNITY, bytes(24), writers.words(max(ids) + 1))
+            sizes = [pc.binary_length(c).to_numpy().astype(np.int64) for c in (traks, data)]
+            moov = 8 + len(mvhd) + int(sizes[0].sum())
+            base, total = len(ftyp) + moov + 8, int(sizes[1].sum())
+            if base + total > _LARGEST:
+                raise ValueError(f"{rows.column('file')[a].as_py()} does not fit in a row; fragments would")
+            content, at = bytearray(base + total), len(ftyp) + 8 + len(mvhd)
+            content[:at] = ftyp + writers.words(moov) + b"moov" + mvhd
+            content[base - 8 : base] = writers.words(total + 8) + b"mdat"
+            place = base
+            for i in range(b - a):
+                trak, own = traks[i].as_py(), data[i].as_buffer()
+                content[at : at + len(trak)] = trak
+                offsets = np.frombuffer(trak, ">u4", chunks[i], first[i]).astype(np.int64) + place
+                content[at + first[i] : at + first[i] + 4 * chunks[i]] = offsets.astype(">u4").tobytes()
+                content[place : place + own.size] = memoryview(own)
+                at, place = at + len(trak), place + own.size
+            one = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, len(content)], np.int32)), pa.py_buffer(content)])
+            yield pa.RecordBatch.from_arrays([pa.array([rows.column("file")[a].as_py()], pa.string()), one], ["file", "content"])
+
+    made = by_group(rows, TRACK, ["sample_index"], tracks, "file string, track_id long, trak binary, first long, chunks long, millis long, data binary")
+    return by_group(made, ["file"], ["track_id"], join, "file string, content binary")
 
 
 def aac_to_samples(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,9 +39,10 @@ TABLES = frozenset("stts ctts stsc stco co64 stss stsz stz2 trun sidx tfra sbgp
 class Box:
     __slots__ = ("type", "offset", "header", "size", "version", "flags", "fields", "payload", "parent", "id", "ordinal", "depth", "path", "error", "entries")
 
-    def __init__(self, **kw):
-        for k in self.__slots__:
-            setattr(self, k, kw.get(k))
+    def __init__(self, type, offset, header, size, parent, id, ordinal, depth, path):
+        self.type, self.offset, self.header, self.size, self.parent, self.id = type, offset, header, size, parent, id
+        self.ordinal, self.depth, self.path, self.fields = ordinal, depth, path, {}
+        self.version = self.flags = self.payload = self.error = self.entries = None
 
 
 def header(data: bytes, at: int, end: int) -> tuple[str, int, int] | None:
@@ -84,9 +84,10 @@ def walk(data: bytes, moov_only: bool = False, max_depth: int | None = None, pay
         ordinal = seen["#"] = seen.get("#", -1) + 1
         depth = 0 if parent is None else parent.depth + 1
         name = f"{kind}[{n}]"
-        box = Box(type=kind, offset=at, header=head, size=size, parent=None if parent is None else parent.id, id=counter, ordinal=ordinal, depth=depth, path=name if parent is None else f"{parent.path}/{name}", fields={})
+        box = Box(type=kind, offset=at, header=head, size=size, parent=None if parent is None else parent.id, id=counter, ordinal=ordinal, depth=depth, path=name if parent is None else f"{parent.path}/{name}")
         counter += 1
-        body = data[at + head : at + size] if kind != "mdat" else b""
+        plain = kind in CONTAINERS and kind != "ipro" and not described and not (decoders and kind in decoders)  # of such, no byte is its own
+        body = data[at + head : at + size] if kind != "mdat" and not plain else b""
         inner = _fill(box, body, described, data[at + head - 16 : at + head].hex() if kind == "uuid" else "", entries, decoders or {})
         if inner is not None:
             box.payload = body[:inner]
@@ -280,6 +281,15 @@ def rows_of(file: str, data: bytes, **options) -> Iterator[tuple]:
 
 
 _NAMES = [c.split()[0] for c in ATOMS.split(", ")]
+_KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "map<string,string>": pa.map_(pa.string(), pa.string())}
+_SCHEMA = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in ATOMS.split(", ")])
+#: Boxes, and bytes of their payloads, that leave a file's walk at a time, however many it has.
+_ROWS, _HELD = 1 << 12, 1 << 22
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = [[list(x.items()) for x in c] if f.name == "fields" else c for c, f in zip(zip(*rows), _SCHEMA)]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
 
 
 def atoms(files: DataFrame, moov_only: bool = False, max_depth: int | None = None, payloads: bool = True, strict: bool = False, entries: bool = False, decoders: dict | None = None) -> DataFrame:
@@ -287,18 +297,23 @@ def atoms(files: DataFrame, moov_only: bool = False, max_depth: int | None = Non
     keeps its row, with ``error``. ``entries``: the entries of tables as fields too, for dumps. ``decoders``: functions
     ``payload -> dict`` by type for further boxes, which go to the tasks with the walk."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                rows = list(rows_of(path, bytes(content), moov_only=moov_only, max_depth=max_depth, payloads=payloads, entries=entries, decoders=decoders))
-                if strict and (bad := next((r for r in rows if r[-1]), None)):
-                    raise ValueError(f"{path}, {bad[5]}: {bad[-1]}")
-                out = pd.DataFrame(rows, columns=_NAMES)
-                for c in ("parent_id", "version", "flags"):
-                    out[c] = out[c].astype("Int64")
-                yield out
-
-    return files.select("path", "content").mapInPandas(work, ATOMS)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for b in batches:
+            for i in range(b.num_rows):
+                path, content = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                for r in rows_of(path, content, moov_only=moov_only, max_depth=max_depth, payloads=payloads, entries=entries, decoders=decoders):
+                    if strict and r[-1]:
+                        raise ValueError(f"{path}, {r[5]}: {r[-1]}")
+                    rows.append(r)
+                    held += len(r[-2] or b"")
+                    if len(rows) == _ROWS or held >= _HELD:
+                        yield _batch(rows)
+                        rows, held = [], 0
+        if rows:
+            yield _batch(rows)
+
+    return files.select("path", "content").mapInArrow(work, ATOMS)
 
 
 def read_atoms(spark: SparkSession, path: str, **options) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from strobila.functions.codecs import codec_name
-from strobila.operators import runs
-from strobila.operators.fragments import TRUN_CTS, TRUN_DATA_OFFSET, TRUN_DURATION, TRUN_FIRST_FLAGS, TRUN_FLAGS, TRUN_SIZE, fragment_samples
+from strobila.operators.fragments import NOT_SYNC, TRUN_CTS, TRUN_DATA_OFFSET, TRUN_DURATION, TRUN_FIRST_FLAGS, TRUN_FLAGS, TRUN_SIZE
+from strobila.operators.groups import by_group
 
 TRAK = r"^(moov\[0\]/trak\[\d+\])"
 _KEYS = ["file", "track_id"]
@@ -138,34 +138,113 @@ def sample_sizes(atoms: DataFrame) -> DataFrame:
     return out.withColumnRenamed("entry_index", "sample_index")
 
 
+#: The boxes of a track that say where its samples are.
+_PLACES = ("tkhd", "stts", "ctts", "stsc", "stco", "co64", "stss", "stsz", "stz2")
+_STATIC = "file string, track_id long, sample_index long, offset long, size long, duration long, dts long, cts_delta long, description_index long, is_sync boolean, chunk_index long"
+_STATIC_NAMES = [c.split()[0] for c in _STATIC.split(", ")]
+
+
+def _runs_at(counts: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For places ``k`` in runs of ``counts``: the run, the place in the run, and whether there is such a run."""
+    ends = np.cumsum(counts)
+    run = np.searchsorted(ends, k, "right")
+    there = run < len(counts)
+    run = np.where(there, run, 0)
+    return run, k - (ends - counts)[run] if len(counts) else k, there
+
+
+def _track_samples(file: str, boxes: dict[str, bytes]) -> Iterator[tuple[int, list[tuple[np.ndarray, np.ndarray | None]]]]:
+    """(rows, columns with where they are null) of a track's samples, from the payloads of its tables, ``_ROWS`` at a time."""
+
+    def cells(kind: str, *names: str, width: int = 4) -> list[np.ndarray]:
+        if kind not in boxes:
+            return [np.zeros(0, np.int64) for _ in names]
+        p = boxes[kind]
+        layout = [(n, f">{'i' if (kind, n) == ('ctts', 'value') else 'u'}{width}") for n in names]
+        return _cells(p, 8, int.from_bytes(p[4:8], "big"), layout)
+
+    kind = "stsz" if "stsz" in boxes else "stz2"
+    if kind not in boxes:
+        return
+    fixed, n = int.from_bytes(boxes[kind][4:8], "big"), int.from_bytes(boxes[kind][8:12], "big")
+    sizes = None if kind == "stsz" and fixed else _sizes(boxes[kind], kind == "stz2")[0]
+    times, durations = cells("stts", "count", "value")
+    starts = np.cumsum(times * durations) - times * durations
+    delays, deltas = cells("ctts", "count", "value")
+    offsets = np.concatenate([cells("stco", "offset")[0], cells("co64", "offset", width=8)[0]])
+    first, per, described = cells("stsc", "first", "per", "description")
+    order = np.argsort(first, kind="stable")
+    entry = np.searchsorted(first[order], np.arange(1, len(offsets) + 1), "right") - 1
+    per, described = (np.where(entry >= 0, x[order][entry], 0) if len(x) else np.zeros(len(offsets), np.int64) for x in (per, described))
+    chunk_starts = np.cumsum(per) - per
+    sync = np.sort(cells("stss", "sample")[0])
+    passed = in_chunk = 0  # bytes before the range, and before the chunk that it begins in
+    for at in range(0, n, _ROWS):
+        k = np.arange(at, min(at + _ROWS, n))
+        size = np.full(len(k), fixed, np.int64) if sizes is None else sizes[at : at + len(k)]
+        before = passed + np.cumsum(size) - size
+        run, inside, timed = _runs_at(times, k)
+        duration, dts = (durations[run], starts[run] + inside * durations[run]) if len(times) else (k, k)
+        run, _, delayed = _runs_at(delays, k)
+        if "ctts" in boxes and not delayed.all():
+            raise ValueError(f"the composition table ends before the samples in {file}")
+        delta = deltas[run] if len(deltas) else np.zeros(len(k), np.int64)
+        chunk, _, placed = _runs_at(per, k)
+        if len(offsets):
+            begin = chunk_starts[chunk]
+            since = np.where(begin >= at, before[np.clip(begin - at, 0, len(k) - 1)], in_chunk)
+            offset, description, in_chunk = offsets[chunk] + before - since, described[chunk], int(since[-1])
+        else:
+            offset = description = k
+        spot = np.searchsorted(sync, k + 1)
+        is_sync = sync[np.minimum(spot, len(sync) - 1)] == k + 1 if len(sync) else np.ones(len(k), bool)
+        passed += int(size.sum())
+        yield len(k), [(k, None), (offset, ~placed), (size, None), (duration, ~timed), (dts, ~timed), (delta, None), (description, ~placed), (is_sync, None), (chunk + 1, ~placed)]
+
+
 def static_samples(atoms: DataFrame) -> DataFrame:
     """Samples (file, track_id, sample_index, offset, size, duration, dts, cts_delta, description_index, is_sync,
-    chunk_index) of static sample tables: run tables expanded and joined by sample number."""
-    ids = track_ids(atoms).select(*_KEYS)
-    times = runs.decode_times(table(atoms, "stts", ["sample_count", "value"]))
-    deltas = runs.decode_runs(table(atoms, "ctts", ["sample_count", "value"], signed=("value",))).withColumnRenamed("value", "cts_delta")
-    delayed = _trak(atoms).filter("type = 'ctts'").join(track_ids(atoms), ["file", "_trak"]).select(*_KEYS).distinct().withColumn("_delayed", F.lit(True))
-    offsets = table(atoms, "stco", ["offset"]).unionByName(table(atoms, "co64", ["offset"], width=8))
-    chunks = offsets.select(*_KEYS, (F.col("entry_index") + 1).alias("chunk_index"), "offset")
-    placed = runs.expand_chunk_map(table(atoms, "stsc", ["first_chunk", "samples_per_chunk", "description_index"]), chunks)
-    in_chunk = placed.filter("samples_per_chunk > 0").select(*_KEYS, "chunk_index", "offset", "description_index", F.explode(F.sequence(F.col("first_sample"), F.col("first_sample") + F.col("samples_per_chunk") - 1)).alias("sample_index"))
-    sync = table(atoms, "stss", ["sample"]).select(*_KEYS, (F.col("sample") - 1).alias("sample_index"), F.lit(True).alias("_sync"))
-    marked = sync.select(*_KEYS).distinct().withColumn("_marked", F.lit(True))
-    out = (
-        sample_sizes(atoms)
-        .join(times, [*_KEYS, "sample_index"], "left")
-        .join(deltas, [*_KEYS, "sample_index"], "left")
-        .join(in_chunk, [*_KEYS, "sample_index"], "left")
-        .join(sync, [*_KEYS, "sample_index"], "left")
-        .join(marked, _KEYS, "left")
-        .join(delayed, _KEYS, "left")
-        .join(ids, _KEYS, "left_semi")
-    )
-    out = out.withColumn("is_sync", F.col("_marked").isNull() | F.coalesce("_sync", F.lit(False)))
-    laid = runs.sum_before(out, "size", "_in_chunk", [*_KEYS, "chunk_index"])
-    ends_early = F.raise_error(F.concat(F.lit("the composition table ends before the samples in "), F.col("file"))).cast("long")
-    delta = F.when(F.col("cts_delta").isNotNull(), F.col("cts_delta")).when(F.col("_delayed"), ends_early).otherwise(F.lit(0).cast("long"))
-    return laid.select(*_KEYS, "sample_index", (F.col("offset") + F.col("_in_chunk")).alias("offset"), "size", "duration", "dts", delta.alias("cts_delta"), "description_index", "is_sync", "chunk_index")
+    chunk_index) of static sample tables: the tables of a track meet in one task, which passes on a part of its samples at
+    a time, so the boxes are read once and long tracks are not held."""
+    kept = _trak(atoms).filter(F.col("type").isin(*_PLACES)).select("file", "_trak", "path", "type", "payload", F.when(F.col("type") == "tkhd", _number("id")).alias("id"))
+
+    def work(rows: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        files, kinds, ids = (rows.column(c).to_pylist() for c in ("file", "type", "id"))
+        payloads, made, held = rows.column("payload"), [], 0
+
+        def batch() -> pa.RecordBatch:
+            counts = [n for _, _, n, _ in made]
+            out = [pa.array(np.repeat(np.array([f for f, _, _, _ in made], object), counts), pa.string()), pa.array(np.repeat(np.array([t for _, t, _, _ in made], np.int64), counts))]
+            for c in zip(*(columns for _, _, _, columns in made)):
+                null = None if all(m is None for _, m in c) else np.concatenate([np.zeros(len(v), bool) if m is None else m for v, m in c])
+                out.append(pa.array(np.concatenate([v for v, _ in c]), mask=null))
+            return pa.RecordBatch.from_arrays(out, _STATIC_NAMES)
+
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            track, boxes = None, {}
+            for i in range(a, b):
+                if kinds[i] == "tkhd":
+                    track = ids[i] if track is None else track
+                    continue
+                payload = payloads[i].as_py()
+                if payload is None:
+                    raise ValueError(f"a table without its payload: {files[i]}, {kinds[i]}")
+                boxes.setdefault(kinds[i], payload)
+            if track is None:
+                continue
+            try:
+                for n, columns in _track_samples(files[a], boxes):
+                    made.append((files[a], track, n, columns))
+                    held += n
+                    if held >= _ROWS:
+                        yield batch()
+                        made, held = [], 0
+            except ValueError as e:
+                raise ValueError(f"{e}: {files[a]}, track {track}") from e
+        if made:
+            yield batch()
+
+    return by_group(kept, ["file", "_trak"], ["path"], work, _STATIC)
 
 
 _TRAF = "file string, moof_offset long, traf_index int, track_id long, base_data_offset long, description_index long, default_duration long, default_size long, default_flags long, base_dts long"
@@ -212,34 +291,144 @@ def fragments(atoms: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return traf, entries, trex
 
 
+_MOVING = "file string, track_id long, sample_index long, moof_offset long, offset long, size long, duration long, dts long, cts_delta long, description_index long, is_sync boolean"
+_DEFAULTS = {"tfhd": ("track_id", "base_data_offset", "sample_description_index", "default_sample_duration", "default_sample_size", "default_sample_flags"), "trex": ("track_id", "default_sample_description_index", "default_sample_duration", "default_sample_size", "default_sample_flags"), "tfdt": ("base_media_decode_time",)}
+
+
+def _run_columns(flags: int, payload: bytes) -> tuple[int, dict[str, np.ndarray], int | None, int | None]:
+    """(count, columns that the run has, data offset, flags of its first sample)."""
+    count, at, head = int.from_bytes(payload[4:8], "big"), 8, []
+    for bit, signed in ((TRUN_DATA_OFFSET, True), (TRUN_FIRST_FLAGS, False)):
+        if flags & bit and at + 4 > len(payload):
+            raise ValueError("a track run ends early")
+        head.append(int.from_bytes(payload[at : at + 4], "big", signed=signed) if flags & bit else None)
+        at += 4 if flags & bit else 0
+    layout = [(n, ">i4" if n == "cts" else ">u4") for n, bit in (("duration", TRUN_DURATION), ("size", TRUN_SIZE), ("flags", TRUN_FLAGS), ("cts", TRUN_CTS)) if flags & bit]
+    return count, dict(zip([n for n, _ in layout], _cells(payload, at, count, layout))) if layout else {}, *head
+
+
 def moving_samples(atoms: DataFrame) -> DataFrame:
-    """Samples of fragments; see ``fragment_samples``."""
-    traf, entries, trex = fragments(atoms)
-    return fragment_samples(entries, traf, trex)
+    """Samples of fragments by the rules of ``fragment_samples``, in one pass over a file's boxes in file order."""
+    inside = F.col("path").rlike(r"^moof\[\d+\]/.*traf\[\d+\]") & F.col("type").isin("tfhd", "tfdt", "trun")
+    kept = atoms.filter("offset is not null").filter(inside | (F.col("type") == "trex") | (F.col("depth") == 0) & F.col("type").isin("moof", "mdat"))
+    fields = F.array(*[_number(f) for f in dict.fromkeys(f for v in _DEFAULTS.values() for f in v)])
+    at = {f: k for k, f in enumerate(dict.fromkeys(f for v in _DEFAULTS.values() for f in v))}
+    rows_ = kept.select("file", "offset", "type", F.regexp_extract("path", r"/traf\[(\d+)\]", 1).alias("traf"), "header_size", "flags", F.when(F.col("type") == "trun", F.col("payload")).alias("payload"), fields.alias("fields"))
+
+    def samples(file: str, rows: list[dict], payloads) -> Iterator[tuple]:
+        """(track, fragment's place, description, columns) of every run of a file."""
+        trex, trafs, moof = {}, [], None
+        for i, r in enumerate(rows):
+            kind, f = r["type"], r["fields"]
+            if kind == "trex":
+                trex.setdefault(f[at["track_id"]], f)
+            elif kind == "mdat":
+                for t in reversed(trafs):
+                    if t["data"] is not None:
+                        break
+                    t["data"] = r["offset"] + r["header_size"]
+            elif kind == "moof":
+                moof = r["offset"]
+            elif moof is not None:
+                if not trafs or trafs[-1]["moof"] != moof or trafs[-1]["traf"] != r["traf"]:
+                    trafs.append({"moof": moof, "traf": r["traf"], "data": None, "head": None, "base": None, "runs": []})
+                if kind == "trun":
+                    trafs[-1]["runs"].append(i)
+                elif kind == "tfhd":
+                    trafs[-1]["head"] = f
+                else:
+                    trafs[-1]["base"] = f[at["base_media_decode_time"]]
+        clocks: dict = {}
+        for t in trafs:
+            if t["head"] is None:
+                continue
+            track, base = t["head"][at["track_id"]], t["base"]
+            own = lambda field, other=None: next((x[at[g]] for x, g in ((t["head"], field), (trex.get(track), other or field)) if x is not None and x[at[g]] is not None), 0)  # noqa: E731, B023
+            description = own("sample_description_index", "default_sample_description_index")
+            place, (index, time) = None, clocks.get(track, (0, 0))
+            for i in t["runs"]:
+                payload = payloads[i].as_py()
+                if payload is None:
+                    raise ValueError(f"a table without its payload: {file}")
+                n, found, start, first_flags = _run_columns(rows[i]["flags"] or 0, payload)
+                if not n:
+                    continue
+                if base is not None:
+                    time, base = base, None
+                begin = (t["moof"] if t["head"][at["base_data_offset"]] is None else t["head"][at["base_data_offset"]]) + (start or 0)
+                if begin != t["moof"]:
+                    place = begin
+                elif place is None:
+                    place = t["moof"] if t["data"] is None else t["data"]
+                for k in range(0, n, _ROWS):
+                    m = min(_ROWS, n - k)
+                    size, duration, flags = (found[c][k : k + m] if c in found else np.full(m, own(f"default_sample_{c}"), np.int64) for c in ("size", "duration", "flags"))
+                    if k == 0 and first_flags is not None:
+                        flags = flags.copy()
+                        flags[0] = first_flags
+                    delta = found["cts"][k : k + m] if "cts" in found else np.zeros(m, np.int64)
+                    ends, reach = np.cumsum(duration), np.cumsum(size)
+                    yield track, t["moof"], description, [np.arange(index, index + m), place + reach - size, size, duration, time + ends - duration, delta, flags & NOT_SYNC == 0]
+                    index, place, time = index + m, place + int(reach[-1]), time + int(ends[-1])
+            clocks[track] = (index, time)
+
+    def work(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        made, held = [], 0
+
+        def batch() -> pa.RecordBatch:
+            counts = [len(c[0]) for *_, c in made]
+            constant = [pa.array([m[k] for m in made], pa.string() if not k else pa.int64()).take(pa.array(np.repeat(np.arange(len(made)), counts))) for k in range(4)]
+            index, offset, size, duration, dts, delta, sync = (pa.array(np.concatenate(c)) for c in zip(*(m[4] for m in made)))
+            return pa.RecordBatch.from_arrays([constant[0], constant[1], index, constant[2], offset, size, duration, dts, delta, constant[3], sync], [c.split()[0] for c in _MOVING.split(", ")])
+
+        payloads, rows = table.column("payload"), table.drop_columns(["payload"])
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            own = rows.slice(a, b - a).to_pylist()
+            file = own[0]["file"]
+            for track, moof, description, columns in samples(file, own, payloads.slice(a, b - a)):
+                made.append((file, track, moof, description, columns))
+                held += len(columns[0])
+                if held >= _ROWS:
+                    yield batch()
+                    made, held = [], 0
+        if made:
+            yield batch()
+
+    return by_group(rows_, ["file"], ["offset"], work, _MOVING)
 
 
 def sample_data(samples: DataFrame, files: DataFrame) -> DataFrame:
     """``samples`` with ``data``: the bytes at their place in the file.
 
-    A file's samples are gathered beside its content, which is read once for each file and not once for each sample.
+    A file's samples follow its content, which is read once for each file and not once for each sample; a task holds one
+    file's content and a part of its samples.
     """
     columns = samples.columns
-    gathered = samples.groupBy("file").agg(F.collect_list(F.struct(*columns)).alias("rows"))
-    joined = gathered.join(files.select(F.col("path").alias("file"), "content"), "file").select("rows", "content")
     schema = samples.select("*").schema.add("data", "binary")  # of a frame of its own: add() changes a schema in place
     kinds = to_arrow_schema(schema)
+    row = samples.select(F.struct(*columns).alias("row")).schema["row"].dataType
+    contents = files.select(F.col("path").alias("_file"), F.lit(0).alias("_turn"), "content", F.lit(None).cast(row).alias("_row"))
+    wanted = samples.select(F.col("file").alias("_file"), F.lit(1).alias("_turn"), F.lit(None).cast("binary").alias("content"), F.struct(*columns).alias("_row"))
+    both = contents.unionByName(wanted).filter("_file is not null").repartition("_file").sortWithinPartitions("_file", "_turn")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, content = None, None
         for b in batches:
-            for i in range(b.num_rows):
-                rows, content = b.column(0)[i].values, b.column(1)[i].as_buffer()
-                for at in range(0, len(rows), _ROWS):
-                    part = rows.slice(at, _ROWS)
-                    cols = dict(zip(columns, part.flatten()))
-                    data = [None if o is None or n is None else content.slice(o, n).to_pybytes() if n and o < content.size else b"" for o, n in zip(cols["offset"].to_pylist(), cols["size"].to_pylist())]
-                    yield pa.RecordBatch.from_arrays([*[cols[c].cast(kinds.field(c).type) for c in columns], pa.array(data, pa.binary())], [*columns, "data"])
-
-    return joined.mapInArrow(work, schema)
+            paths, turns, bodies, flat = b.column(0), b.column(1).to_pylist(), b.column(2), dict(zip(columns, b.column(3).flatten()))
+            offsets, sizes = flat["offset"].to_pylist(), flat["size"].to_pylist()
+            paths = paths.to_pylist()
+            keep, data = [], []
+            for i, turn in enumerate(turns):
+                if turn == 0:
+                    file, content = paths[i], bodies[i].as_buffer()
+                elif paths[i] == file:
+                    o, n = offsets[i], sizes[i]
+                    keep.append(i)
+                    data.append(None if content is None or o is None or n is None else content.slice(o, n).to_pybytes() if n and o < content.size else b"")
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[flat[c].take(at).cast(kinds.field(c).type) for c in columns], pa.array(data, pa.binary())], [*columns, "data"])
+
+    return both.mapInArrow(work, schema)
 
 
 def _index(version: int, flags: int, payload: bytes) -> list[np.ndarray]:

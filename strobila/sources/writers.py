@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strobila.operators.groups import Bytes, by_group
+
+#: Bytes of fragments that leave a task at a time.
+_HELD = 1 << 22
 _U32 = struct.Struct(">I")
 
 
@@ -28,62 +35,75 @@ def words(*values: int) -> bytes:
     return b"".join(_U32.pack(v & 0xFFFFFFFF) for v in values)
 
 
-def run_lengths(values: list[int]) -> list[tuple[int, int]]:
-    """(count, value) of the runs of equal values."""
-    out: list[list[int]] = []
-    for v in values:
-        if out and out[-1][1] == v:
-            out[-1][0] += 1
-        else:
-            out.append([1, v])
-    return [(n, v) for n, v in out]
+def _packed(*columns: np.ndarray, kind: str = ">u4") -> bytes:
+    """Rows of numbers as words."""
+    return (np.column_stack(columns) & (0xFFFFFFFF if kind == ">u4" else -1)).astype(kind).tobytes()
+
+
+def run_lengths(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and values of the runs of equal values."""
+    starts = np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1]) if len(values) else np.zeros(0, np.int64)
+    return np.diff(np.append(starts, len(values))), values[starts]
 
 
 def sample_tables(samples: pd.DataFrame, description: bytes) -> bytes:
-    """The sample table box of one track's samples in order, with offsets by chunk.
+    """The sample table box of one track's samples in order, with offsets by chunk."""
+    s = samples.sort_values("sample_index")
+    return box("stbl", *tables(*(s[c].to_numpy() for c in ("duration", "cts_delta", "size", "is_sync", "chunk_index", "description_index", "offset")), description))
+
+
+def tables(duration: np.ndarray, delta: np.ndarray, size: np.ndarray, is_sync: np.ndarray, chunk: np.ndarray, described: np.ndarray, offset: np.ndarray, description: bytes) -> list[bytes]:
+    """The boxes of a sample table, that of the chunk offsets and then that of the sync samples last.
 
     The composition table is left out only if every delta is 0, the sync table only if all samples or none are sync.
     """
-    s = samples.sort_values("sample_index")
-    times, deltas = run_lengths(s["duration"].tolist()), run_lengths(s["cts_delta"].tolist())
-    chunks = s.groupby("chunk_index", sort=True).agg(offset=("offset", "min"), count=("offset", "size"), description=("description_index", "min")).reset_index()
-    sizes = s["size"].tolist()
-    parts = [full_box("stsd", 0, 0, words(1), description), full_box("stts", 0, 0, words(len(times)), *[words(*e) for e in times])]
-    if any(v for _, v in deltas):
-        parts.append(full_box("ctts", 1 if min(v for _, v in deltas) < 0 else 0, 0, words(len(deltas)), *[words(*e) for e in deltas]))
-    parts.append(full_box("stsc", 0, 0, words(len(chunks)), *[words(k + 1, int(c), int(d)) for k, (c, d) in enumerate(zip(chunks["count"], chunks["description"]))]))
-    same = len(set(sizes)) == 1
-    parts.append(full_box("stsz", 0, 0, words(sizes[0] if same else 0, len(sizes)), b"" if same else words(*sizes)))
-    offsets = chunks["offset"].tolist()
-    if offsets and offsets[-1] > 0xFFFFFFFF:
-        parts.append(full_box("co64", 0, 0, words(len(offsets)), b"".join(o.to_bytes(8, "big") for o in offsets)))
+    order = np.argsort(chunk, kind="stable")
+    counts, _ = run_lengths(chunk[order])
+    starts = np.cumsum(counts) - counts
+    parts = [full_box("stsd", 0, 0, words(1), description)]
+    runs, values = run_lengths(duration)
+    parts.append(full_box("stts", 0, 0, words(len(runs)), _packed(runs, values)))
+    if delta.any():
+        runs, values = run_lengths(delta)
+        parts.append(full_box("ctts", 1 if values.min() < 0 else 0, 0, words(len(runs)), _packed(runs, values)))
+    parts.append(full_box("stsc", 0, 0, words(len(counts)), _packed(np.arange(1, len(counts) + 1), counts, np.minimum.reduceat(described[order], starts))))
+    same = bool((size == size[0]).all())
+    parts.append(full_box("stsz", 0, 0, words(int(size[0]) if same else 0, len(size)), b"" if same else _packed(size)))
+    offsets = np.minimum.reduceat(offset[order], starts)
+    if offsets[-1] > 0xFFFFFFFF:
+        parts.append(full_box("co64", 0, 0, words(len(offsets)), _packed(offsets, kind=">u8")))
     else:
-        parts.append(full_box("stco", 0, 0, words(len(offsets), *offsets)))
-    sync = [k + 1 for k, x in enumerate(s["is_sync"]) if x]
-    if sync and len(sync) < len(s):
-        parts.append(full_box("stss", 0, 0, words(len(sync), *sync)))
-    return box("stbl", *parts)
+        parts.append(full_box("stco", 0, 0, words(len(offsets)), _packed(offsets)))
+    sync = np.flatnonzero(is_sync) + 1
+    if 0 < len(sync) < len(size):
+        parts.append(full_box("stss", 0, 0, words(len(sync)), _packed(sync)))
+    return parts
 
 
 def fragment(sequence: int, track_id: int, base_dts: int, samples: pd.DataFrame, data: list[bytes]) -> bytes:
     """A movie fragment and its media data. What is the same for all samples goes into the fragment's header."""
     s = samples.sort_values("sample_index")
-    durations, sizes, deltas, sync = s["duration"].tolist(), s["size"].tolist(), s["cts_delta"].tolist(), s["is_sync"].tolist()
-    marks = [0x02000000 if x else 0x01010000 for x in sync]
-    one_duration, one_size, one_mark = (len(set(x)) == 1 for x in (durations, sizes, marks))
-    first_only = not one_mark and len(set(marks[1:])) == 1
+    return packed_fragment(sequence, track_id, base_dts, *(s[c].to_numpy() for c in ("duration", "size", "cts_delta", "is_sync")), b"".join(data))
+
+
+def packed_fragment(sequence: int, track_id: int, base_dts: int, durations: np.ndarray, sizes: np.ndarray, deltas: np.ndarray, sync: np.ndarray, data: bytes) -> bytes:
+    marks = np.where(sync, 0x02000000, 0x01010000)
+    one_duration, one_size, one_mark = (bool((x == x[0]).all()) for x in (durations, sizes, marks))
+    first_only = not one_mark and bool((marks[1:] == marks[-1]).all())
+    delayed = bool(deltas.any())
     flags = 0x020000 | (0x8 if one_duration else 0) | (0x10 if one_size else 0) | (0x20 if one_mark or first_only else 0)
-    header = [words(track_id)] + [words(x) for x, on in ((durations[0], one_duration), (sizes[0], one_size), (marks[-1], one_mark or first_only)) if on]
-    run_flags = 0x1 | (0 if one_duration else 0x100) | (0 if one_size else 0x200) | (0 if one_mark or first_only else 0x400) | (0x800 if any(deltas) else 0) | (0x4 if first_only else 0)
-    columns = [c for c, on in ((durations, not one_duration), (sizes, not one_size), (marks, bool(run_flags & 0x400)), (deltas, any(deltas))) if on]
-    entries = b"".join(words(*row) for row in zip(*columns)) if columns else b""
+    header = [words(track_id)] + [words(int(x)) for x, on in ((durations[0], one_duration), (sizes[0], one_size), (marks[-1], one_mark or first_only)) if on]
+    run_flags = 0x1 | (0 if one_duration else 0x100) | (0 if one_size else 0x200) | (0 if one_mark or first_only else 0x400) | (0x800 if delayed else 0) | (0x4 if first_only else 0)
+    columns = [c for c, on in ((durations, not one_duration), (sizes, not one_size), (marks, bool(run_flags & 0x400)), (deltas, delayed)) if on]
+    entries = _packed(*columns) if columns else b""
+    version = 1 if delayed and deltas.min() < 0 else 0
 
     def moof(offset: int) -> bytes:
-        trun = full_box("trun", 1 if min(deltas, default=0) < 0 else 0, run_flags, words(len(s), offset), words(marks[0]) if first_only else b"", entries)
+        trun = full_box("trun", version, run_flags, words(len(sizes), offset), words(int(marks[0])) if first_only else b"", entries)
         traf = box("traf", full_box("tfhd", 0, flags, *header), full_box("tfdt", 1, 0, base_dts.to_bytes(8, "big")), trun)
         return box("moof", full_box("mfhd", 0, 0, words(sequence)), traf)
 
-    return moof(len(moof(0)) + 8) + box("mdat", *data)
+    return moof(len(moof(0)) + 8) + box("mdat", data)
 
 
 def segment_index(track_id: int, timescale: int, earliest: int, references: list[tuple[int, int, bool]]) -> bytes:
@@ -104,14 +124,26 @@ def write_fragments(samples: DataFrame, timescale: int) -> DataFrame:
     ``samples``: with segment_index and data; one group is one segment, so files of any length are written in parallel.
     """
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample_index")
-        first = pdf.iloc[0]
-        content = fragment(int(first["segment_index"]) + 1, int(first["track_id"]), int(first["dts"]), pdf, [bytes(d) for d in pdf["data"]])
-        return pd.DataFrame({"file": [first["file"]], "track_id": [first["track_id"]], "segment_index": [first["segment_index"]], "sequence": [first["segment_index"] + 1], "content": [content], "duration": [pdf["duration"].sum()], "earliest": [first["dts"]]})
+    names = ["file", "track_id", "segment_index", "sequence", "content", "duration", "earliest"]
+
+    def work(rows: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        files, data = rows.column("file").to_pylist(), Bytes(rows.column("data"))
+        track, segment, dts, duration, size, delta, sync = (rows.column(c).to_numpy() for c in ("track_id", "segment_index", "dts", "duration", "size", "cts_delta", "is_sync"))
+        made, held = [], 0
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            own, number = slice(a, b), int(segment[a])
+            content = packed_fragment(number + 1, int(track[a]), int(dts[a]), duration[own], size[own], delta[own], sync[own], data.joined(a, b))
+            made.append((files[a], int(track[a]), number, number + 1, content, int(duration[own].sum()), int(dts[a])))
+            held += len(content)
+            if held >= _HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made)], names)
+                made, held = [], 0
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made)], names)
 
     schema = "file string, track_id long, segment_index long, sequence long, content binary, duration long, earliest long"
-    return samples.groupBy("file", "track_id", "segment_index").applyInPandas(build, schema)
+    rows = samples.select("file", "track_id", "segment_index", "sample_index", "dts", "duration", "size", "cts_delta", "is_sync", "data")
+    return by_group(rows, ["file", "track_id", "segment_index"], ["sample_index"], work, schema)
 
 
 def packed_size_table(sizes: DataFrame) -> DataFrame:
