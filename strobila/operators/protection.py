@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from strobila.functions.codecs import escape, unescape
-from strobila.functions.crypto import cbc, ctr, pattern
+from strobila.functions.crypto import cbc, cbc_many, ctr, ctr_many
 
 #: Cipher mode, and whether blocks are encrypted by a pattern.
 SCHEMES = {"cenc": ("ctr", False), "cbc1": ("cbc", False), "cens": ("ctr", True), "cbcs": ("cbc", True)}
+#: Bytes of samples that go through a cipher at a time.
+_HELD = 1 << 22
 #: NAL units below this many bytes, with their length field, stay clear.
 CLEAR_UNIT = 112
 
@@ -64,45 +72,62 @@ def map_units(sample: bytes, length_size: int, whole_blocks: bool = True, coding
     return merge_map(clear, secret)
 
 
-def cipher_sample(data: bytes, scheme: str, key: bytes, iv: bytes, parts: list[tuple[int, int]] | None, crypt: int = 1, skip: int = 9, decrypt: bool = False) -> bytes:
-    """A sample through its scheme. Without a map the whole of it is one part; a part block stays clear in CBC."""
+def _streams(data: bytes, scheme: str, parts: list[tuple[int, int]] | None, crypt: int, skip: int) -> tuple[list[list[tuple[int, int]]], list[bytes]]:
+    """What a sample puts through the cipher: streams that begin with the sample's vector, as stretches (place, bytes) of
+    the sample and as bytes."""
     mode, by_pattern = SCHEMES[scheme]
-    pairs = parts if parts else [(0, len(data))]
     secret, at = [], 0
-    for c, s in pairs:
+    for c, n in parts if parts else [(0, len(data))]:
         at += c
-        secret.append((at, s))
-        at += s
-    out = bytearray(data)
-    if by_pattern and scheme == "cbcs":
-        for a, n in secret:  # the vector starts anew in every part
-            out[a : a + n] = pattern(key, iv, data[a : a + n], crypt, skip, mode, decrypt)
-        return bytes(out)
-    joined = b"".join(data[a : a + n] for a, n in secret)
+        secret.append((at, min(n, max(0, len(data) - at))))
+        at += n
     if by_pattern:
-        done, passed = [], 0
-        for a, n in secret:
-            part = data[a : a + n]
-            whole = n // 16
-            on = [k for k in range(whole) if not skip or k % (crypt + skip) < crypt]
-            body = b"".join(part[16 * k : 16 * k + 16] for k in on)
-            body = ctr(key, iv, body, passed)
-            passed += len(body)
-            new = bytearray(part)
-            for j, k in enumerate(on):
-                new[16 * k : 16 * k + 16] = body[16 * j : 16 * j + 16]
-            done.append(bytes(new))
-        joined = b"".join(done)
+        period = crypt + skip
+        every = lambda a, n: [(a, n // 16 * 16)] if not skip or not period else [(a + 16 * k, 16 * min(crypt, n // 16 - k)) for k in range(0, n // 16, period)] if crypt else []
+        spots = [every(a, n) for a, n in secret]
+        if scheme != "cbcs":  # the vector starts anew in every part of cbcs only
+            spots = [[x for s in spots for x in s]]
     elif mode == "ctr":
-        joined = ctr(key, iv, joined)
+        spots = [secret]
     else:
-        whole = len(joined) // 16 * 16
-        joined = cbc(key, iv, joined[:whole], decrypt) + joined[whole:]
-    at = 0
-    for a, n in secret:
-        out[a : a + n] = joined[at : at + n]
-        at += n
-    return bytes(out)
+        whole, own = sum(n for _, n in secret) // 16 * 16, []
+        for a, n in secret:
+            own.append((a, min(n, whole)))
+            whole -= own[-1][1]
+        spots = [own]
+    return spots, [b"".join(data[a : a + n] for a, n in s) for s in spots]
+
+
+def cipher_many(samples: list[bytes | None], scheme: str, key: bytes, ivs: list[bytes], maps: list, crypt: int = 1, skip: int = 9, decrypt: bool = False) -> list[bytes | None]:
+    """Samples through a scheme, each by itself, all blocks of them together. Null stays null."""
+    spots, streams, vectors = [], [], []
+    for data, iv, parts in zip(samples, ivs, maps):
+        if data is None:
+            spots.append(None)
+            continue
+        s, own = _streams(data, scheme, parts, crypt, skip)
+        spots.append(s)
+        streams += own
+        vectors += [iv] * len(own)
+    done = iter(ctr_many(key, vectors, streams) if SCHEMES[scheme][0] == "ctr" else cbc_many(key, vectors, streams, decrypt))
+    result = []
+    for data, s in zip(samples, spots):
+        if data is None:
+            result.append(None)
+            continue
+        out = bytearray(data)
+        for stretches, new in zip(s, done):
+            at = 0
+            for a, n in stretches:
+                out[a : a + n] = new[at : at + n]
+                at += n
+        result.append(bytes(out))
+    return result
+
+
+def cipher_sample(data: bytes, scheme: str, key: bytes, iv: bytes, parts: list[tuple[int, int]] | None, crypt: int = 1, skip: int = 9, decrypt: bool = False) -> bytes:
+    """A sample through its scheme. Without a map the whole of it is one part; a part block stays clear in CBC."""
+    return cipher_many([data], scheme, key, [iv], [parts], crypt, skip, decrypt)[0]
 
 
 def sample_vectors(df: DataFrame, iv: bytes, keys: list[str] = ("file", "track_id")) -> DataFrame:
@@ -123,14 +148,26 @@ def sample_vectors(df: DataFrame, iv: bytes, keys: list[str] = ("file", "track_i
 
 
 def cipher_samples(df: DataFrame, scheme: str, key: bytes, decrypt: bool = False, crypt: int = 1, skip: int = 9) -> DataFrame:
-    """``data`` of samples (data, iv, parts ARRAY<STRUCT<clear, encrypted>>) through a scheme; each sample by itself."""
-
-    @F.pandas_udf("binary")
-    def run(data: pd.Series, iv: pd.Series, parts: pd.Series) -> pd.Series:
-        pairs = [None if p is None else [(int(x["clear"]), int(x["encrypted"])) for x in p] for p in parts]
-        return pd.Series([cipher_sample(bytes(d), scheme, key, bytes(i), p, crypt, skip, decrypt) for d, i, p in zip(data, iv, pairs)])
-
-    return df.withColumn("data", run("data", "iv", "parts"))
+    """``data`` of samples (data, iv, parts ARRAY<STRUCT<clear, encrypted>>) through a scheme; each sample by itself. Samples
+    go through the cipher and leave the task a few megabytes at a time."""
+    schema, names = df.select("*").schema, df.columns
+    kinds = to_arrow_schema(schema)
+    at = [names.index(c) for c in ("data", "iv", "parts")]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(at[0])), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            a = 0
+            while a < b.num_rows:
+                n = max(1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + _HELD, "right")) - a)
+                own = b.slice(a, n)
+                data, iv, parts = (own.column(k).to_pylist() for k in at)
+                pairs = [None if p is None else [(x["clear"], x["encrypted"]) for x in p] for p in parts]
+                new = pa.array(cipher_many(data, scheme, key, iv, pairs, crypt, skip, decrypt), pa.binary())
+                yield pa.RecordBatch.from_arrays([new if k == at[0] else own.column(k).cast(kinds.field(k).type) for k in range(len(names))], names)
+                a += n
+
+    return df.mapInArrow(work, schema)
 
 
 def chain_samples(df: DataFrame, key: bytes, iv: bytes, decrypt: bool = False, keys: list[str] = ("file", "track_id")) -> DataFrame:

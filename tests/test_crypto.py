@@ -99,3 +99,34 @@ def test_elementary_streams(spark):
     assert codecs.audio_config(bytes([0x12, 0x10])) == {"object_type": 2, "sample_rate": 44100, "channels": 2, "sbr": False, "ps": False}
     df = spark.createDataFrame([("a", bytearray(frames))], "path string, content binary")
     assert codecs.audio_frames(df).count() == 3
+
+
+def test_many_chains_at_once():
+    """Streams side by side are those one by one, whatever their lengths, in a time that long single chains would not have."""
+    import time
+
+    sizes = [16 * k for k in (0, 1, 2, 63, 64, 65, 200)] * 4 + [16 * 3000]
+    streams, ivs = [os.urandom(n) for n in sizes], [os.urandom(16) for _ in sizes]
+    made = crypto.cbc_many(KEY, ivs, streams)
+    assert made == [crypto.cbc(KEY, iv, d) for iv, d in zip(ivs, streams)]
+    assert crypto.cbc_many(KEY, ivs, made, decrypt=True) == streams
+    assert crypto.ctr_many(KEY, [b"\xff" * 16, *ivs[1:]], streams) == [crypto.ctr(KEY, iv, d) for iv, d in zip([b"\xff" * 16, *ivs[1:]], streams)]
+    many, began = [bytes(1600)] * 600, time.thread_time()
+    crypto.cbc_many(KEY, [bytes(16)] * 600, many)
+    together, began = time.thread_time() - began, time.thread_time()
+    for d in many[:60]:
+        crypto.cbc(KEY, bytes(16), d)
+    assert together < 5 * (time.thread_time() - began)  # all of them in less than the time of half of them
+
+
+@pytest.mark.parametrize("scheme", list(protection.SCHEMES))
+def test_samples_leave_a_part_at_a_time(spark, scheme, monkeypatch):
+    """A batch of samples above what is held leaves in parts, null stays null, and a scheme runs once for each step."""
+    monkeypatch.setattr(protection, "_HELD", 5000)
+    rows = [(k, bytearray(os.urandom(37 * k)) if k != 3 else None, bytearray(16), None) for k in range(60)]
+    df = spark.createDataFrame(rows, "k long, data binary, iv binary, parts array<struct<clear:int, encrypted:long>>")
+    secret = protection.cipher_samples(df, scheme, KEY).selectExpr("*", "length(data) n")
+    back = protection.cipher_samples(secret, scheme, KEY, decrypt=True)
+    assert back._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+    got = {r["k"]: (r["data"], r["n"]) for r in back.collect()}
+    assert got == {k: (d, None if d is None else len(d)) for k, d, *_ in rows}
