@@ -10,7 +10,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -285,6 +287,8 @@ _KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary"
 _SCHEMA = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in ATOMS.split(", ")])
 #: Boxes, and bytes of their payloads, that leave a file's walk at a time, however many it has.
 _ROWS, _HELD = 1 << 12, 1 << 22
+#: Boxes that leave an edited tree at a time.
+_SLICE = 1 << 16
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -376,77 +380,88 @@ def children(df: DataFrame, parent: DataFrame, kind: str | None = None) -> DataF
     return out if kind is None else out.filter(F.col("type") == kind)
 
 
-class _Node:
-    """A box of a tree that is edited or written."""
-
-    def __init__(self, row: dict):
-        self.row, self.children = row, []
-
-    @property
-    def name(self) -> str:
-        return dict(self.row["fields"] or {}).get("uuid", "").lower() if self.row["type"] == "uuid" else self.row["type"]
-
-    def child(self, name: str, n: int) -> "_Node | None":
-        own = [c for c in self.children if name in (c.name, c.row["type"])]
-        return own[n] if n < len(own) else None
-
-    def head(self) -> int:
-        """Bytes of its header, eight more from 4 GiB on."""
-        extra = 16 if self.row["type"] == "uuid" else 0
-        return (16 if self.row["header_size"] - extra == 16 or self.body() + 8 + extra >= 1 << 32 else 8) + extra
-
-    def body(self) -> int:
-        if self.row["payload"] is None:
-            return self.row["size"] - self.row["header_size"]
-        return len(self.row["payload"]) + sum(c.head() + c.body() for c in self.children)
-
-    def settle(self) -> None:
-        """Counts of children, where a box states them."""
-        if self.row["type"] in ("stsd", "dref") and self.row["payload"] is not None:
-            self.row["payload"] = bytes(self.row["payload"])[:4] + len(self.children).to_bytes(4, "big")
-            self.row["fields"] = {**dict(self.row["fields"] or {}), "entry_count": str(len(self.children))}
-        for c in self.children:
-            c.settle()
-
-    def written(self, source: bytes | None) -> bytes:
-        head, body, kind = self.head(), self.body(), self.row["type"].encode("latin-1")
-        plain = head - (16 if kind == b"uuid" else 0)
-        out = [(head + body).to_bytes(4, "big") + kind if plain == 8 else b"\0\0\0\1" + kind + (head + body).to_bytes(8, "big")]
-        if kind == b"uuid":
-            out.append(bytes.fromhex(self.name))
-        if self.row["payload"] is None:
-            if source is None:
-                raise ValueError(f"the bytes of {self.row['path']} are neither in its row nor in a file")
-            at = self.row["offset"] + self.row["header_size"]
-            out.append(source[at : at + body])
+def _levels(parent: np.ndarray, place: np.ndarray) -> Iterator[np.ndarray]:
+    """The nodes of a tree (``parent``: -1 for those at the top) by depth, each depth in the order of the tree."""
+    order = np.lexsort((place, parent))
+    above = parent[order]
+    at = order[np.searchsorted(above, -1, "left") : np.searchsorted(above, -1, "right")]
+    while len(at):
+        yield at
+        first, last = np.searchsorted(above, at, "left"), np.searchsorted(above, at, "right")
+        counts = last - first
+        at = order[np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))]
+
+
+def _parents(atom_id: np.ndarray, parent_id: pa.Array) -> np.ndarray:
+    """Where every row's parent is, -1 where there is none."""
+    known = ~parent_id.is_null().to_numpy(zero_copy_only=False)
+    wanted, order = parent_id.fill_null(0).to_numpy(zero_copy_only=False), np.argsort(atom_id)
+    spot = order[np.minimum(np.searchsorted(atom_id, wanted, sorter=order), len(order) - 1)]
+    return np.where(known & (atom_id[spot] == wanted), spot, -1)
+
+
+def _measured(levels: list[np.ndarray], parent: np.ndarray, own: np.ndarray, header_size: np.ndarray, size: np.ndarray, is_uuid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of every header, eight more from 4 GiB on, and of what follows it; ``own``: bytes before its children, -1 for a
+    box whose payload is not in its row."""
+    extra, inside, head = np.where(is_uuid, 16, 0), np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+    body = np.zeros(len(own), np.int64)
+    for at in reversed(levels):
+        body[at] = np.where(own[at] < 0, size[at] - header_size[at], own[at] + inside[at])
+        head[at] = np.where((header_size[at] - extra[at] == 16) | (body[at] + 8 + extra[at] >= 1 << 32), 16, 8) + extra[at]
+        held = parent[at] >= 0
+        np.add.at(inside, parent[at][held], (head + body)[at][held])
+    return head, body
+
+
+class _Editor:
+    """A tree whose boxes are numbers; only children of boxes that are edited are lists."""
+
+    def __init__(self, kinds: list[str], codes: np.ndarray, uuids: dict[int, str], parent: np.ndarray, place: np.ndarray):
+        self.kinds, self.codes, self.uuids, self.n = kinds, codes, uuids, len(codes)
+        self.order = np.lexsort((place, parent))
+        self.above = parent[self.order]
+        self.lists: dict[int, list[int]] = {}
+        self.new: list[dict] = []
+
+    def children(self, i: int) -> list[int]:
+        if i not in self.lists:
+            ends = [np.searchsorted(self.above, i, side) for side in ("left", "right")] if i < self.n else (0, 0)
+            self.lists[i] = self.order[ends[0] : ends[1]].tolist()
+        return self.lists[i]
+
+    def child(self, i: int, name: str, n: int) -> int | None:
+        if len(name) == 32:
+            own = [c for c in self.children(i) if self.uuids.get(c) == name]
         else:
-            out.append(bytes(self.row["payload"]))
-        return b"".join(out + [c.written(source) for c in self.children])
-
-
-def _tree(rows: list[dict]) -> _Node:
-    top = _Node({"type": "", "payload": b"", "fields": {}, "atom_id": None, "depth": -1, "path": "", "header_size": 0, "size": 0})
-    nodes = {r["atom_id"]: _Node(r) for r in rows}
-    for r in sorted(rows, key=lambda r: r["ordinal"]):
-        nodes.get(r["parent_id"], top).children.append(nodes[r["atom_id"]])
-    return top
-
-
-def _parsed(content: bytes) -> list[_Node]:
-    return _tree([dict(zip(_NAMES, r)) for r in rows_of("", content)]).children
-
+            own = [c for c in self.children(i) if (self.kinds[self.codes[c]] if c < self.n else self.new[c - self.n]["type"]) == name]
+        return own[n] if n < len(own) else None
 
-def _at(top: _Node, path: str, create: bool = False) -> tuple[_Node | None, _Node | None]:
-    """(parent, box) at a path. ``create``: missing plain containers are put last in what should hold them."""
-    parent, here = None, top
-    for name, n in parse_path(path) or []:
-        parent, here = here, here.child(name, n)
-        if here is None:
-            if not create or name not in CONTAINERS or n:
-                return parent, None
-            here = _Node({"type": name, "payload": b"", "fields": {}, "header_size": 8, "size": 8, "offset": None, "version": None, "flags": None, "error": None})
-            parent.children.append(here)
-    return parent, here
+    def add(self, row: dict) -> int:
+        self.new.append(row)
+        at = self.n + len(self.new) - 1
+        if row["type"] == "uuid":
+            self.uuids[at] = row["fields"].get("uuid", "").lower()
+        return at
+
+    def parsed(self, content: bytes) -> list[int]:
+        top, ids = [], {}
+        for r in rows_of("", content):
+            row = dict(zip(_NAMES, r))
+            at = ids[row["atom_id"]] = self.add(row)
+            (top if row["parent_id"] is None else self.children(ids[row["parent_id"]])).append(at)
+        return top
+
+    def at(self, path: str, create: bool) -> tuple[int | None, int | None]:
+        """(parent, box) at a path. ``create``: missing plain containers are put last in what should hold them."""
+        parent, here = None, -1
+        for name, n in parse_path(path):
+            parent, here = here, self.child(here, name, n)
+            if here is None:
+                if not create or name not in CONTAINERS or n:
+                    return parent, None
+                here = self.add({"type": name, "payload": b"", "fields": {}, "header_size": 8, "size": 8, "version": None, "flags": None, "error": None})
+                self.children(parent).append(here)
+        return parent, here
 
 
 def edit(df: DataFrame, steps: list[tuple]) -> DataFrame:
@@ -455,61 +470,94 @@ def edit(df: DataFrame, steps: list[tuple]) -> DataFrame:
     insertion makes the containers that it misses.
 
     Ordinals, paths, depths, sizes and entry counts are those of the new tree; ``offset`` stays the place in the file that
-    was read, null for new boxes. A file's tree is edited in one task; media data is not part of it.
+    was read, null for new boxes. A file's tree is edited in one task, as arrays; media data is not part of it.
     """
     for s in steps:
         if s[0] not in ("remove", "insert", "replace"):
             raise ValueError(f"no such edit: {s[0]}")
     arrow = to_arrow_schema(df.schema)
+    plain = df.drop("path", "depth")
+    kept = to_arrow_schema(plain.schema)
 
-    def work(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        top = _tree(rows)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).cast(kept)
+        n, file = table.num_rows, table.column("file")[0].as_py()
+        kinds = table.column("type").combine_chunks().dictionary_encode()
+        codes, names = kinds.indices.to_numpy(), kinds.dictionary.to_pylist()
+        uuids = {int(i): dict(table.column("fields")[int(i)].as_py() or []).get("uuid", "").lower() for i in np.flatnonzero(codes == names.index("uuid"))} if "uuid" in names else {}
+        ids = table.column("atom_id").to_numpy()
+        parent, place = _parents(ids, table.column("parent_id").combine_chunks()), table.column("ordinal").to_numpy().astype(np.int64)
+        tree = _Editor(names, codes, uuids, parent, place)
         for kind, path, *rest in steps:
             if path and parse_path(path) is None:
                 continue
-            parent, here = _at(top, path, kind == "insert") if path else (None, top)
+            above, here = tree.at(path, kind == "insert") if path else (None, -1)
             if here is None:
                 continue
-            if kind == "remove":
-                parent.children.remove(here)
-            elif kind == "replace":
-                k = parent.children.index(here)
-                parent.children[k : k + 1] = _parsed(rest[0])
+            if kind == "insert":
+                own = tree.children(here)
+                k = rest[1] if len(rest) > 1 and rest[1] is not None else len(own)
+                own[k:k] = tree.parsed(rest[0])
             else:
-                k = rest[1] if len(rest) > 1 and rest[1] is not None else len(here.children)
-                here.children[k:k] = _parsed(rest[0])
-        top.settle()
-        file, fresh = rows[0]["file"], max((r["atom_id"] for r in rows), default=-1) + 1
-        known, out = {id(r) for r in rows}, []
-
-        def below(node: _Node, own_id: int | None) -> list[tuple]:
-            """Its children with their places, and their places among those of their type, the last one first."""
-            seen: dict[str, int] = {}
-            found = []
-            for k, c in enumerate(node.children):
-                n = seen[c.row["type"]] = seen.get(c.row["type"], -1) + 1
-                found.append((c, own_id, node, k, n))
-            return found[::-1]
-
-        stack = below(top, None)
-        while stack:
-            node, parent_id, above, k, n = stack.pop()
-            if id(node.row) not in known:
-                node.row |= {"atom_id": fresh, "offset": None}
-                fresh += 1
-            step = f"{node.row['type']}[{n}]"
-            head, body = node.head(), node.body()
-            node.row |= {"file": file, "parent_id": parent_id, "ordinal": k, "depth": above.row["depth"] + 1, "path": step if above is top else f"{above.row['path']}/{step}"}
-            if node.row["payload"] is not None:
-                node.row |= {"header_size": head, "size": head + body}
-            out.append(node.row)
-            stack += below(node, node.row["atom_id"])
-        for r in out:
-            r["fields"] = list(dict(r["fields"] or {}).items())
-        return pa.Table.from_pylist(out, arrow)
-
-    return df.groupBy("file").applyInArrow(work, df.schema)
+                own = tree.children(above)
+                k = own.index(here)
+                own[k : k + 1] = tree.parsed(rest[0]) if kind == "replace" else []
+        fresh = int(ids.max()) + 1
+        ids = np.concatenate([ids, fresh + np.arange(len(tree.new))])
+        parent, place = (np.concatenate([x, np.full(len(tree.new), -2)]) for x in (parent, place))
+        for i in tree.lists:
+            parent[:n][tree.order[np.searchsorted(tree.above, i, "left") : np.searchsorted(tree.above, i, "right")] if i < n else []] = -2
+        for i, own in tree.lists.items():
+            parent[own], place[own] = i, np.arange(len(own))
+        levels = list(_levels(parent, place))
+        # Boxes that state how many children they have get rows of their own, as the new ones do.
+        count = np.zeros(len(ids), np.int64)
+        for at in levels:
+            np.add.at(count, parent[at][parent[at] >= 0], 1)
+        rows = [{"atom_id": int(ids[n + k]), **r, "offset": None} | {"atom_id": int(ids[n + k])} for k, r in enumerate(tree.new)]
+        source = np.arange(len(ids))
+        stating = [i for k in ("stsd", "dref") if k in names for i in np.flatnonzero(codes == names.index(k)).tolist()] + [n + k for k, r in enumerate(rows) if r["type"] in ("stsd", "dref")]
+        for i in stating:
+            r = rows[i - n] if i >= n else table.slice(i, 1).to_pylist()[0]
+            if r["payload"] is None:
+                continue
+            r |= {"payload": bytes(r["payload"])[:4] + int(count[i]).to_bytes(4, "big"), "fields": {**dict(r["fields"] or {}), "entry_count": str(int(count[i]))}}
+            if i < n:
+                source[i] = n + len(rows)
+                rows.append(r)
+        rows = [{f.name: list(dict(r["fields"] or {}).items()) if f.name == "fields" else file if f.name == "file" else None if f.name in ("parent_id", "ordinal") else r.get(f.name) for f in kept} for r in rows]
+        table = pa.concat_tables([table, pa.Table.from_pylist(rows, kept)]).combine_chunks()
+        kinds = table.column("type").combine_chunks().dictionary_encode()
+        codes, names = kinds.indices.to_numpy()[source], kinds.dictionary
+        own = pc.fill_null(pc.binary_length(table.column("payload")), -1).to_numpy().astype(np.int64)[source]
+        old_head, size = (table.column(c).to_numpy().astype(np.int64)[source] for c in ("header_size", "size"))
+        head, body = _measured(levels, parent, own, old_head, size, pc.equal(names, "uuid").to_numpy(zero_copy_only=False)[codes])
+        old_head, size = np.where(own < 0, old_head, head), np.where(own < 0, size, head + body)
+        above_at = np.zeros(len(ids), np.int64)  # where a box is in its depth
+        paths = None
+        for depth, at in enumerate(levels):
+            up, k = parent[at], np.arange(len(at))
+            starts = np.flatnonzero(np.concatenate([[True], up[1:] != up[:-1]]))
+            ordinal = k - np.repeat(starts, np.diff(np.append(starts, len(at))))
+            group = np.lexsort((k, codes[at], np.cumsum(np.isin(k, starts))))
+            new = np.concatenate([[True], (up[group][1:] != up[group][:-1]) | (codes[at][group][1:] != codes[at][group][:-1])])
+            firsts = np.flatnonzero(new)
+            nth = np.empty(len(at), np.int64)
+            nth[group] = k - np.repeat(firsts, np.diff(np.append(firsts, len(at))))
+            step = pc.binary_join_element_wise(names.take(pa.array(codes[at])), "[", pa.array(nth).cast(pa.string()), "]", "")
+            paths = step if paths is None else pc.binary_join_element_wise(paths.take(pa.array(above_at[up])), step, "/")
+            above_at[at] = k
+            for a in range(0, len(at), _SLICE):
+                part = at[a : a + _SLICE]
+                made = {
+                    "atom_id": pa.array(ids[part]), "parent_id": pa.array(ids[up[a : a + _SLICE]], mask=up[a : a + _SLICE] < 0), "ordinal": pa.array(ordinal[a : a + _SLICE].astype(np.int32)), "depth": pa.array(np.full(len(part), depth, np.int32)),
+                    "path": paths.slice(a, _SLICE), "header_size": pa.array(old_head[part].astype(np.int32)), "size": pa.array(size[part]),
+                }
+                taken = table.take(pa.array(source[part])).combine_chunks()
+                columns = [made[f.name] if f.name in made else taken.column(f.name).chunk(0) for f in arrow]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], [f.name for f in arrow])
+
+    return plain.groupBy("file").applyInArrow(work, df.schema)
 
 
 def remove(df: DataFrame, path: str) -> DataFrame:
@@ -532,14 +580,52 @@ def write_tree(df: DataFrame, files: DataFrame) -> DataFrame:
     ``files`` (path, content) at its offset. A file is written in one task; chunk offsets are written as they are."""
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = left.to_pylist()
-        if not rows:
+        if not left.num_rows:
             return pa.table({"file": pa.array([], pa.string()), "content": pa.array([], pa.binary())})
-        source = right.column("content")[0].as_py() if right.num_rows else None
-        content = b"".join(c.written(source) for c in _tree(rows).children)
-        return pa.table({"file": pa.array([rows[0]["file"]]), "content": pa.array([content], pa.binary())})
+        source = right.column("content")[0].as_buffer() if right.num_rows else None
+        ids, place, head, size = (left.column(c).to_numpy().astype(np.int64) for c in ("atom_id", "ordinal", "header_size", "size"))
+        parent = _parents(ids, left.column("parent_id").combine_chunks())
+        kinds, payload = left.column("type").combine_chunks().dictionary_encode(), left.column("payload").combine_chunks().cast(pa.binary())
+        codes, names = kinds.indices.to_numpy(), [k.encode("latin-1") for k in kinds.dictionary.to_pylist()]
+        own = pc.fill_null(pc.binary_length(payload), -1).to_numpy().astype(np.int64)
+        is_uuid = np.array([k == b"uuid" for k in names])[codes]
+        levels, offsets = list(_levels(parent, place)), left.column("offset")
+        old_head = head
+        head, body = _measured(levels, parent, own, head, size, is_uuid)
+        start, whole = np.zeros(len(ids), np.int64), head + body
+        for at in levels:
+            up, before = parent[at], np.cumsum(whole[at]) - whole[at]
+            first = np.flatnonzero(np.concatenate([[True], up[1:] != up[:-1]]))
+            base = np.where(up >= 0, start[up] + head[up] + own[up], 0)
+            start[at] = base + before - np.repeat(before[first], np.diff(np.append(first, len(at))))
+        content = bytearray(int(whole[levels[0]].sum()))
+        out, kept = np.frombuffer(content, np.uint8), np.concatenate(levels)
+        short = kept[(head - np.where(is_uuid, 16, 0))[kept] == 8]
+        letters = np.array([list(k) for k in names], np.uint8)
+        for k in range(4):
+            out[start[short] + k] = whole[short] >> (24 - 8 * k) & 255
+            out[start[short] + 4 + k] = letters[codes[short], k]
+        for i in kept[(head != 8)[kept]].tolist():
+            at, plain = int(start[i]), int(head[i]) - (16 if is_uuid[i] else 0)
+            if plain == 16:
+                content[at : at + 16] = b"\0\0\0\1" + names[codes[i]] + int(whole[i]).to_bytes(8, "big")
+            if is_uuid[i]:
+                content[at + plain : at + plain + 16] = bytes.fromhex(dict(left.column("fields")[i].as_py() or []).get("uuid", ""))
+        some = kept[own[kept] > 0]
+        data = memoryview(payload.buffers()[2]) if len(some) else b""
+        spots = np.frombuffer(payload.buffers()[1], np.int32)[payload.offset :]
+        for at, a, n in zip((start + head)[some].tolist(), spots[some].tolist(), own[some].tolist()):
+            content[at : at + n] = data[a : a + n]
+        for i in kept[own[kept] < 0].tolist():
+            if source is None:
+                raise ValueError(f"the bytes of a {names[codes[i]].decode('latin-1')} box are neither in its row nor in a file")
+            at, a = int(start[i] + head[i]), offsets[i].as_py() + int(old_head[i])
+            content[at : at + int(body[i])] = memoryview(source)[a : a + int(body[i])]
+        one = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, len(content)], np.int32)), pa.py_buffer(content)])
+        return pa.table({"file": left.column("file").slice(0, 1).combine_chunks().cast(pa.string()), "content": one})
 
     own = files.select(F.col("path").alias("file"), "content")
+    df = df.select("file", "atom_id", "parent_id", "ordinal", "type", "offset", "header_size", "size", "payload", F.when(F.col("type") == "uuid", F.col("fields")).alias("fields"))
     return df.groupBy("file").cogroup(own.groupBy("file")).applyInArrow(work, "file string, content binary")
 
 

@@ -1,11 +1,13 @@
 """Steps that work on many groups or large files a part at a time."""
 
+import tracemalloc
+
 import numpy as np
-import pytest
+from pyspark.sql import functions as F
 
 from strobila.operators import tools
 from strobila.operators.groups import by_group
-from strobila.sources import boxes, media, writers
+from strobila.sources import boxes, media
 from tests import mp4
 
 
@@ -40,10 +42,33 @@ def test_static_samples_read_the_boxes_once(spark):
 def test_tracks_are_made_by_themselves(spark):
     """A file's tracks are written by many tasks, and only joined by one."""
     rows = [("f", t, k, k + 1, 0, k % 3 == 0, 1, bytearray(b"%d:%d" % (t, k))) for t in range(1, 40) for k in range(t % 7 + 1)]
-    samples = spark.createDataFrame(rows, "file string, track_id long, sample_index long, duration long, cts_delta long, is_sync boolean, description_index long, data binary").withColumn("size", __import__("pyspark").sql.functions.length("data").cast("long"))
+    samples = spark.createDataFrame(rows, "file string, track_id long, sample_index long, duration long, cts_delta long, is_sync boolean, description_index long, data binary").withColumn("size", F.length("data").cast("long"))
     about = samples.select("file", "track_id").distinct()
     files = tools.mux(samples, about.selectExpr("*", "'vide' handler", f"X'{mp4.AVC_ENTRY.hex()}' entry"), about.selectExpr("*", "1000L timescale"), 2)
     assert steps(files) == 2
     files = files.withColumnRenamed("file", "path")
     got = media.sample_data(media.static_samples(boxes.atoms(files)), files).collect()
     assert sorted((r["track_id"], r["sample_index"], r["duration"], r["is_sync"], bytes(r["data"])) for r in got) == sorted((r[1], r[2], r[3], r[5], bytes(r[7])) for r in rows)
+
+
+def test_a_walk_holds_one_box():
+    """Containers are not copied while they are walked."""
+    data = mp4.box("moov", mp4.box("trak", mp4.box("mdia", mp4.box("free", bytes(1000)) * 8000)))
+    tracemalloc.start()
+    n = sum(1 for _ in boxes.rows_of("f", data))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 8003 and peak < len(data) // 4
+
+
+def test_a_wide_tree_is_edited_as_arrays(spark):
+    """Numbers, paths and sizes of a tree with many boxes after edits are those of its bytes."""
+    traks = [mp4.box("trak", *[mp4.box("free", b"%d" % (k * j)) for j in range(k % 5)]) for k in range(3000)]
+    files = spark.createDataFrame([("f", bytearray(mp4.box("moov", *traks)))], "path string, content binary")
+    new = boxes.edit(boxes.atoms(files), [("remove", "moov/trak[2]"), ("insert", "moov/trak[2]", mp4.box("free", b"new"), 0), ("replace", "moov/trak[7]", mp4.box("skip", b"x") * 2)])
+    left = traks[:2] + [mp4.box("trak", mp4.box("free", b"new"), traks[3][8:])] + traks[4:8] + [mp4.box("skip", b"x") * 2] + traks[9:]
+    want = mp4.box("moov", *left)
+    assert bytes(boxes.write_tree(new, files).first()["content"]) == want
+    again = boxes.atoms(spark.createDataFrame([("f", bytearray(want))], "path string, content binary"))
+    cols = ["path", "ordinal", "depth", "type", "header_size", "size", "payload"]
+    assert sorted(str(r) for r in new.select(*cols).collect()) == sorted(str(r) for r in again.select(*cols).collect())
