@@ -65,17 +65,21 @@ def assign_chunks(df: DataFrame, per_chunk: int, keys: list[str] = TRACK) -> Dat
 
     A change starts a new count, so a sample's chunk follows from its place in its run of one description.
     """
-    w = _ordered(keys, "sample_index")
-    rows = run_ids(df, F.col("description_index"), keys, name="_run")
-    rows = rows.withColumn("_in_run", F.row_number().over(Window.partitionBy(*keys, "_run").orderBy("sample_index")) - 1)
-    return rows.withColumn("chunk_index", F.sum(F.when(F.col("_in_run") % per_chunk == 0, 1).otherwise(0)).over(w).cast("long")).drop("_run", "_in_run")
+    w = _ordered(keys, "sample_index")  # of all windows, so that a track is sorted once
+    value = F.col("description_index")
+    turn = F.lag(F.lit(1)).over(w).isNull() | ~value.eqNullSafe(F.lag(value).over(w))
+    rows = df.withColumns({"_turn": turn, "_k": F.row_number().over(w)})
+    rows = rows.withColumn("_in_run", F.col("_k") - F.last(F.when(F.col("_turn"), F.col("_k")), ignorenulls=True).over(w))
+    return rows.withColumn("chunk_index", F.sum(F.when(F.col("_in_run") % per_chunk == 0, 1).otherwise(0)).over(w).cast("long")).drop("_turn", "_k", "_in_run")
 
 
 def chunk_layout(df: DataFrame, keys: list[str] = TRACK) -> DataFrame:
     """From samples with chunk_index: ``chunk_offset`` and ``offset`` when chunks follow one another in a track."""
-    w = _ordered(keys, "sample_index").rowsBetween(Window.unboundedPreceding, -1)
-    chunk = Window.partitionBy(*keys, "chunk_index")
-    return df.withColumn("offset", F.coalesce(F.sum("size").over(w), F.lit(0)).cast("long")).withColumn("chunk_offset", F.min("offset").over(chunk))
+    w = _ordered(keys, "sample_index")
+    chunk = F.col("chunk_index")
+    first = F.lag(F.lit(1)).over(w).isNull() | ~chunk.eqNullSafe(F.lag(chunk).over(w))
+    rows = df.withColumns({"offset": F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"), "_first": first})
+    return rows.withColumn("chunk_offset", F.last(F.when(F.col("_first"), F.col("offset")), ignorenulls=True).over(w)).drop("_first")
 
 
 def encode_chunk_map(df: DataFrame, keys: list[str] = TRACK, merge: bool = False) -> DataFrame:

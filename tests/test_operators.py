@@ -113,3 +113,8 @@ def test_scalars(spark):
         scalars.uint(F.lit(bytearray(b"\x00\x01\x02\x03\xff")), 2, 4).alias("k"), scalars.target_duration_rounded(F.lit(4.5)).alias("l"), scalars.target_duration_ceiling(F.lit(4.2)).alias("m"), scalars.truthy(F.lit("Yes")).alias("n"),
     ).first()
     assert tuple(one) == (333, 667, 0, 2**60 + 1, "rtp ", 0x72747020, "eng", "und", "PT1H2M5.500S", "PT5.250S", 0x010203FF, 5, 5, True)
+
+
+def test_chunks_sort_a_track_once(df):
+    plan = runs.chunk_layout(runs.assign_chunks(df.selectExpr("*", "1L size") if "size" not in df.columns else df, 4))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") <= 1
