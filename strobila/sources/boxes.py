@@ -8,6 +8,7 @@ tables stay in their payloads, which ``media`` decodes as arrays; only a dump as
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,14 +48,18 @@ class Box:
         self.version = self.flags = self.payload = self.error = self.entries = None
 
 
-def header(data: bytes, at: int, end: int) -> tuple[str, int, int] | None:
+_HEAD = struct.Struct(">I4s")
+
+
+def header(data: bytes | memoryview, at: int, end: int) -> tuple[str, int, int] | None:
     """(type, header size, total size) of the box at ``at``; None where there is no whole box.
 
     Size 1: a 64-bit size follows; size 0: the box ends with what holds it; less than a header: not a box.
     """
     if at + 8 > end:
         return None
-    size, kind, head = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8].decode("latin-1"), 8
+    size, kind = _HEAD.unpack_from(data, at)
+    kind, head = kind.decode("latin-1"), 8
     if size == 1:
         if at + 16 > end:
             return None
@@ -66,12 +71,12 @@ def header(data: bytes, at: int, end: int) -> tuple[str, int, int] | None:
     return kind, head, size
 
 
-def walk(data: bytes, moov_only: bool = False, max_depth: int | None = None, payloads: bool = True, entries: bool = False, decoders: dict | None = None) -> Iterator[Box]:
+def walk(data: bytes | memoryview, moov_only: bool = False, max_depth: int | None = None, payloads: bool = True, entries: bool = False, decoders: dict | None = None) -> Iterator[Box]:
     """All boxes of a file in file order. A box that does not fit in what holds it ends the walk there.
 
     ``decoders``: functions ``payload -> dict`` by type, for boxes that have no layout or in place of it.
     """
-    counter = 0
+    counter, decoders = 0, decoders or {}
     stack: list[tuple[int, int, Box | None, dict, bool]] = [(0, len(data), None, {}, False)]
     while stack:
         at, end, parent, seen, described = stack.pop()
@@ -86,11 +91,12 @@ def walk(data: bytes, moov_only: bool = False, max_depth: int | None = None, pay
         ordinal = seen["#"] = seen.get("#", -1) + 1
         depth = 0 if parent is None else parent.depth + 1
         name = f"{kind}[{n}]"
-        box = Box(type=kind, offset=at, header=head, size=size, parent=None if parent is None else parent.id, id=counter, ordinal=ordinal, depth=depth, path=name if parent is None else f"{parent.path}/{name}")
+        box = Box(kind, at, head, size, None if parent is None else parent.id, counter, ordinal, depth, name if parent is None else f"{parent.path}/{name}")
         counter += 1
-        plain = kind in CONTAINERS and kind != "ipro" and not described and not (decoders and kind in decoders)  # of such, no byte is its own
-        body = data[at + head : at + size] if kind != "mdat" and not plain else b""
-        inner = _fill(box, body, described, data[at + head - 16 : at + head].hex() if kind == "uuid" else "", entries, decoders or {})
+        plain = kind in CONTAINERS and kind != "ipro" and not described and kind not in decoders  # of such, no byte is its own
+        filled = not plain and (described or kind in _FILLED or kind in decoders)
+        body = bytes(data[at + head : at + size]) if (filled or payloads or kind in TABLES) and not plain and kind != "mdat" else b""
+        inner = 0 if plain else _fill(box, body, described, data[at + head - 16 : at + head].hex() if kind == "uuid" else "", entries, decoders) if filled else None
         if inner is not None:
             box.payload = body[:inner]
         elif (payloads or kind in TABLES) and kind != "mdat":
@@ -275,9 +281,11 @@ def _eac3_config(box: Box, body: bytes) -> dict:
 
 
 _SPECIAL = {"stsz": _sizes, "stz2": _packed_sizes, "tfra": _random_access, "avcC": _avc_config, "hvcC": _hevc_config, "dvcC": _dolby_vision, "dvvC": _dolby_vision, "av1C": _av1_config, "dac3": _ac3_config, "dec3": _eac3_config}
+#: Boxes of which more is known than their type and size.
+_FILLED = frozenset([*CONTAINERS, *PREFIXED, *LAYOUTS, *_SPECIAL, "uuid"])
 
 
-def rows_of(file: str, data: bytes, **options) -> Iterator[tuple]:
+def rows_of(file: str, data: bytes | memoryview, **options) -> Iterator[tuple]:
     for b in walk(data, **options):
         yield (file, b.id, b.parent, b.ordinal, b.depth, b.path, b.type, b.offset, b.header, b.size, b.version, b.flags, {k: str(v) for k, v in b.fields.items()}, b.payload, b.error)
 
@@ -305,7 +313,7 @@ def atoms(files: DataFrame, moov_only: bool = False, max_depth: int | None = Non
         rows, held = [], 0
         for b in batches:
             for i in range(b.num_rows):
-                path, content = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                path, content = b.column(0)[i].as_py(), memoryview(b.column(1)[i].as_buffer())  # not copied
                 for r in rows_of(path, content, moov_only=moov_only, max_depth=max_depth, payloads=payloads, entries=entries, decoders=decoders):
                     if strict and r[-1]:
                         raise ValueError(f"{path}, {r[5]}: {r[-1]}")

@@ -61,6 +61,17 @@ def test_a_walk_holds_one_box():
     assert n == 8003 and peak < len(data) // 4
 
 
+def test_a_walk_reads_a_file_where_it_is():
+    """A file is walked in the buffer that brought it, and boxes of which nothing is known leave no bytes unless asked."""
+    data = mp4.static_av() + mp4.box("moov", mp4.box("trak", mp4.box("free", bytes(1000)) * 4000))
+    assert list(boxes.rows_of("f", memoryview(data))) == list(boxes.rows_of("f", data))
+    tracemalloc.start()
+    n = sum(1 for _ in boxes.rows_of("f", memoryview(data), payloads=False))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 4000 and peak < 200_000
+
+
 def test_a_wide_tree_is_edited_as_arrays(spark):
     """Numbers, paths and sizes of a tree with many boxes after edits are those of its bytes."""
     traks = [mp4.box("trak", *[mp4.box("free", b"%d" % (k * j)) for j in range(k % 5)]) for k in range(3000)]
