@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 Work = Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]]
 
 
-def _changes(keys: list[pa.Array]) -> np.ndarray:
+def changes(keys: list[pa.Array]) -> np.ndarray:
     """The rows whose key is not that of the row before, without the first row."""
     n = len(keys[0])
     out = np.zeros(max(0, n - 1), bool)
@@ -29,19 +30,20 @@ class Bytes:
     def __init__(self, column: pa.ChunkedArray):
         if column.null_count:
             raise ValueError("a sample without data")
-        self.chunks = [c.cast(pa.binary()) for c in column.chunks if len(c)]
-        self.starts = np.cumsum([0, *map(len, self.chunks)])
+        chunks = [c.cast(pa.binary()) for c in column.chunks if len(c)]
+        self.starts = np.cumsum([0, *map(len, chunks)]).tolist()
+        self.ends = [np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1] for c in chunks]
+        self.bytes = [memoryview(c.buffers()[2] or b"") for c in chunks]
 
-    def _stretches(self, a: int, b: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
-        for k in range(int(np.searchsorted(self.starts, a, "right")) - 1, len(self.chunks)):
+    def _stretches(self, a: int, b: int) -> Iterator[tuple[memoryview, np.ndarray]]:
+        for k in range(bisect_right(self.starts, a) - 1, len(self.ends)):
             lo, hi = max(a, self.starts[k]) - self.starts[k], min(b, self.starts[k + 1]) - self.starts[k]
             if hi <= lo:
                 break
-            c = self.chunks[k]
-            yield c, np.frombuffer(c.buffers()[1], np.int32)[c.offset + lo : c.offset + hi + 1]
+            yield self.bytes[k], self.ends[k][lo : hi + 1]
 
     def joined(self, a: int, b: int) -> bytes:
-        return b"".join(bytes(memoryview(c.buffers()[2])[e[0] : e[-1]]) if e[-1] > e[0] else b"" for c, e in self._stretches(a, b))
+        return b"".join([c[e[0] : e[-1]] for c, e in self._stretches(a, b)])
 
     def sizes(self, a: int, b: int) -> np.ndarray:
         return np.concatenate([np.diff(e) for _, e in self._stretches(a, b)]).astype(np.int64)
@@ -58,14 +60,14 @@ def by_group(df: DataFrame, keys: list[str], order: list[str], work: Work, schem
 
         def done() -> Iterator[pa.RecordBatch]:
             rows = pa.Table.from_batches(held)
-            starts = _changes([rows.column(k).combine_chunks() for k in keys])
+            starts = changes([rows.column(k).combine_chunks() for k in keys])
             yield from work(rows, np.concatenate([[0], starts, [rows.num_rows]]))
 
         for b in batches:
             if not b.num_rows:
                 continue
             own = [b.column(names.index(k)) for k in keys]
-            starts = _changes(own)
+            starts = changes(own)
             cut = int(starts[-1]) if len(starts) else 0 if last is not None and last != [k[0].as_py() for k in own] else -1
             if cut >= 0:
                 if cut:

@@ -6,13 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from strobila.functions.codecs import codec_name
 from strobila.operators.fragments import NOT_SYNC, TRUN_CTS, TRUN_DATA_OFFSET, TRUN_DURATION, TRUN_FIRST_FLAGS, TRUN_FLAGS, TRUN_SIZE
-from strobila.operators.groups import by_group
+from strobila.operators.groups import by_group, changes
 
 TRAK = r"^(moov\[0\]/trak\[\d+\])"
 _KEYS = ["file", "track_id"]
@@ -295,16 +296,23 @@ _MOVING = "file string, track_id long, sample_index long, moof_offset long, offs
 _DEFAULTS = {"tfhd": ("track_id", "base_data_offset", "sample_description_index", "default_sample_duration", "default_sample_size", "default_sample_flags"), "trex": ("track_id", "default_sample_description_index", "default_sample_duration", "default_sample_size", "default_sample_flags"), "tfdt": ("base_media_decode_time",)}
 
 
-def _run_columns(flags: int, payload: bytes) -> tuple[int, dict[str, np.ndarray], int | None, int | None]:
-    """(count, columns that the run has, data offset, flags of its first sample)."""
+_CELLS = [(TRUN_DURATION, "duration", ">u4"), (TRUN_SIZE, "size", ">u4"), (TRUN_FLAGS, "flags", ">u4"), (TRUN_CTS, "cts", ">i4")]
+#: The entries of a run by the columns that it has.
+_LAYOUTS = {bits: np.dtype([(n, k) for bit, n, k in _CELLS if bits & bit]) for bits in range(0, 0x1000, 0x100)}
+
+
+def _run_head(flags: int, payload: memoryview) -> tuple[int, int | None, int | None, int, int]:
+    """(count, data offset, flags of its first sample, its columns, where its entries begin) of a run."""
     count, at, head = int.from_bytes(payload[4:8], "big"), 8, []
     for bit, signed in ((TRUN_DATA_OFFSET, True), (TRUN_FIRST_FLAGS, False)):
         if flags & bit and at + 4 > len(payload):
             raise ValueError("a track run ends early")
         head.append(int.from_bytes(payload[at : at + 4], "big", signed=signed) if flags & bit else None)
         at += 4 if flags & bit else 0
-    layout = [(n, ">i4" if n == "cts" else ">u4") for n, bit in (("duration", TRUN_DURATION), ("size", TRUN_SIZE), ("flags", TRUN_FLAGS), ("cts", TRUN_CTS)) if flags & bit]
-    return count, dict(zip([n for n, _ in layout], _cells(payload, at, count, layout))) if layout else {}, *head
+    bits = flags & 0xF00
+    if bits and at + count * _LAYOUTS[bits].itemsize > len(payload):
+        raise ValueError("a table has more entries than bytes")
+    return count, *head, bits, at
 
 
 def moving_samples(atoms: DataFrame) -> DataFrame:
@@ -313,81 +321,97 @@ def moving_samples(atoms: DataFrame) -> DataFrame:
     kept = atoms.filter("offset is not null").filter(inside | (F.col("type") == "trex") | (F.col("depth") == 0) & F.col("type").isin("moof", "mdat"))
     fields = F.array(*[_number(f) for f in dict.fromkeys(f for v in _DEFAULTS.values() for f in v)])
     at = {f: k for k, f in enumerate(dict.fromkeys(f for v in _DEFAULTS.values() for f in v))}
-    rows_ = kept.select("file", "offset", "type", F.regexp_extract("path", r"/traf\[(\d+)\]", 1).alias("traf"), "header_size", "flags", F.when(F.col("type") == "trun", F.col("payload")).alias("payload"), fields.alias("fields"))
+    rows_ = kept.select("file", "offset", "type", F.regexp_extract("path", r"/traf\[(\d+)\]", 1).alias("traf"), "header_size", "flags", F.when(F.col("type") == "trun", F.col("payload")).alias("payload"), F.when(F.col("type").isin(*_DEFAULTS), fields).alias("fields"))
 
-    def samples(file: str, rows: list[dict], payloads) -> Iterator[tuple]:
-        """(track, fragment's place, description, columns) of every run of a file."""
+    def runs(file: str, rows: Iterator[tuple], payloads: pa.ChunkedArray) -> Iterator[tuple]:
+        """The runs of a file, at most ``_ROWS`` samples at a time: (track, fragment's place, description, place of its data
+        and time if they do not follow what is before, count, columns, entries, flags of the first sample, defaults)."""
         trex, trafs, moof = {}, [], None
-        for i, r in enumerate(rows):
-            kind, f = r["type"], r["fields"]
+        for i, offset, kind, traf, header_size, flags, f in rows:
             if kind == "trex":
                 trex.setdefault(f[at["track_id"]], f)
             elif kind == "mdat":
                 for t in reversed(trafs):
                     if t["data"] is not None:
                         break
-                    t["data"] = r["offset"] + r["header_size"]
+                    t["data"] = offset + header_size
             elif kind == "moof":
-                moof = r["offset"]
+                moof = offset
             elif moof is not None:
-                if not trafs or trafs[-1]["moof"] != moof or trafs[-1]["traf"] != r["traf"]:
-                    trafs.append({"moof": moof, "traf": r["traf"], "data": None, "head": None, "base": None, "runs": []})
+                if not trafs or trafs[-1]["moof"] != moof or trafs[-1]["traf"] != traf:
+                    trafs.append({"moof": moof, "traf": traf, "data": None, "head": None, "base": None, "runs": []})
                 if kind == "trun":
-                    trafs[-1]["runs"].append(i)
+                    trafs[-1]["runs"].append((i, flags or 0))
                 elif kind == "tfhd":
                     trafs[-1]["head"] = f
                 else:
                     trafs[-1]["base"] = f[at["base_media_decode_time"]]
-        clocks: dict = {}
         for t in trafs:
-            if t["head"] is None:
+            head = t["head"]
+            if head is None:
                 continue
-            track, base = t["head"][at["track_id"]], t["base"]
-            own = lambda field, other=None: next((x[at[g]] for x, g in ((t["head"], field), (trex.get(track), other or field)) if x is not None and x[at[g]] is not None), 0)  # noqa: E731, B023
-            description = own("sample_description_index", "default_sample_description_index")
-            place, (index, time) = None, clocks.get(track, (0, 0))
-            for i in t["runs"]:
-                payload = payloads[i].as_py()
+            track, base, begun, data_base = head[at["track_id"]], t["base"], False, head[at["base_data_offset"]]
+            other = trex.get(track)
+            description, *defaults = (
+                head[at[a]] if head[at[a]] is not None else other[at[b]] if other is not None and other[at[b]] is not None else 0
+                for a, b in (("sample_description_index", "default_sample_description_index"), *((f"default_sample_{c}",) * 2 for c in ("size", "duration", "flags")))
+            )
+            for i, flags in t["runs"]:
+                payload = payloads[i].as_buffer()
                 if payload is None:
                     raise ValueError(f"a table without its payload: {file}")
-                n, found, start, first_flags = _run_columns(rows[i]["flags"] or 0, payload)
-                if not n:
-                    continue
-                if base is not None:
-                    time, base = base, None
-                begin = (t["moof"] if t["head"][at["base_data_offset"]] is None else t["head"][at["base_data_offset"]]) + (start or 0)
-                if begin != t["moof"]:
-                    place = begin
-                elif place is None:
-                    place = t["moof"] if t["data"] is None else t["data"]
+                payload = memoryview(payload)
+                n, start, first_flags, bits, entries = _run_head(flags, payload)
+                place = (t["moof"] if data_base is None else data_base) + (start or 0)
+                if place == t["moof"]:
+                    place = None if begun else t["moof"] if t["data"] is None else t["data"]
+                width = _LAYOUTS[bits].itemsize
                 for k in range(0, n, _ROWS):
                     m = min(_ROWS, n - k)
-                    size, duration, flags = (found[c][k : k + m] if c in found else np.full(m, own(f"default_sample_{c}"), np.int64) for c in ("size", "duration", "flags"))
-                    if k == 0 and first_flags is not None:
-                        flags = flags.copy()
-                        flags[0] = first_flags
-                    delta = found["cts"][k : k + m] if "cts" in found else np.zeros(m, np.int64)
-                    ends, reach = np.cumsum(duration), np.cumsum(size)
-                    yield track, t["moof"], description, [np.arange(index, index + m), place + reach - size, size, duration, time + ends - duration, delta, flags & NOT_SYNC == 0]
-                    index, place, time = index + m, place + int(reach[-1]), time + int(ends[-1])
-            clocks[track] = (index, time)
+                    yield track, t["moof"], description, place, base, m, bits, payload[entries + k * width : entries + (k + m) * width], first_flags, *defaults
+                    begun, place, base, first_flags = True, None, None, None
 
     def work(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-        made, held = [], 0
+        made, held, last, place, clocks = [], 0, None, 0, {}
 
         def batch() -> pa.RecordBatch:
-            counts = [len(c[0]) for *_, c in made]
-            constant = [pa.array([m[k] for m in made], pa.string() if not k else pa.int64()).take(pa.array(np.repeat(np.arange(len(made)), counts))) for k in range(4)]
-            index, offset, size, duration, dts, delta, sync = (pa.array(np.concatenate(c)) for c in zip(*(m[4] for m in made)))
+            nonlocal last, place, clocks
+            n = np.array([m[6] for m in made])
+            starts, run = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+            size, duration, flags = (np.array([m[k] for m in made], np.int64)[run] for k in (10, 11, 12))
+            columns = {"size": size, "duration": duration, "flags": flags, "cts": np.zeros(len(run), np.int64)}
+            bits = np.array([m[7] for m in made])
+            for b in np.unique(bits[bits > 0]).tolist():
+                own = np.flatnonzero(bits == b)
+                entries = np.frombuffer(b"".join([made[i][8] for i in own.tolist()]), _LAYOUTS[b])
+                spots = np.repeat(starts[own] - np.cumsum(n[own]) + n[own], n[own]) + np.arange(len(entries))
+                for name in entries.dtype.names:
+                    columns[name][spots] = entries[name]
+            for i, m in enumerate(made):
+                if m[9] is not None:
+                    flags[starts[i]] = m[9]
+            begin = []
+            for m, length, lasts in zip(made, np.add.reduceat(size, starts).tolist(), np.add.reduceat(duration, starts).tolist()):
+                if m[0] is not last:
+                    last, clocks = m[0], {}
+                index, time = clocks.get(m[1], (0, 0))
+                place, time = place if m[4] is None else m[4], time if m[5] is None else m[5]
+                begin.append((index, place, time))
+                clocks[m[1]], place = (index + m[6], time + lasts), place + length
+            index, offset, dts = np.array(begin, np.int64).T
+            reach, ends = np.cumsum(size) - size, np.cumsum(duration) - duration
+            constant = [pa.array([m[k][0] if not k else m[k] for m in made], pa.string() if not k else pa.int64()).take(pa.array(run)) for k in range(4)]
+            varying = [(index - starts)[run] + np.arange(len(run)), (offset - reach[starts])[run] + reach, size, duration, (dts - ends[starts])[run] + ends, columns["cts"], flags & NOT_SYNC == 0]
+            index, offset, size, duration, dts, delta, sync = map(pa.array, varying)
             return pa.RecordBatch.from_arrays([constant[0], constant[1], index, constant[2], offset, size, duration, dts, delta, constant[3], sync], [c.split()[0] for c in _MOVING.split(", ")])
 
-        payloads, rows = table.column("payload"), table.drop_columns(["payload"])
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            own = rows.slice(a, b - a).to_pylist()
-            file = own[0]["file"]
-            for track, moof, description, columns in samples(file, own, payloads.slice(a, b - a)):
-                made.append((file, track, moof, description, columns))
-                held += len(columns[0])
+        payloads, rows = table.column("payload"), [table.column(c).to_pylist() for c in ("offset", "type", "traf", "header_size", "flags", "fields")]
+        files = table.column("file").take(pa.array(bounds[:-1])).to_pylist()
+        for file, a, b in zip(files, bounds[:-1].tolist(), bounds[1:].tolist()):
+            group = [file]  # known by itself, so that files are told apart by identity
+            for r in runs(file, zip(range(a, b), *(c[a:b] for c in rows)), payloads):
+                made.append((group, *r))
+                held += r[5]
                 if held >= _ROWS:
                     yield batch()
                     made, held = [], 0
@@ -397,6 +421,10 @@ def moving_samples(atoms: DataFrame) -> DataFrame:
     return by_group(rows_, ["file"], ["offset"], work, _MOVING)
 
 
+#: Bytes of samples that leave a task at a time.
+_TAKEN = 1 << 26
+
+
 def sample_data(samples: DataFrame, files: DataFrame) -> DataFrame:
     """``samples`` with ``data``: the bytes at their place in the file.
 
@@ -414,19 +442,52 @@ def sample_data(samples: DataFrame, files: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, content = None, None
         for b in batches:
-            paths, turns, bodies, flat = b.column(0), b.column(1).to_pylist(), b.column(2), dict(zip(columns, b.column(3).flatten()))
-            offsets, sizes = flat["offset"].to_pylist(), flat["size"].to_pylist()
-            paths = paths.to_pylist()
-            keep, data = [], []
-            for i, turn in enumerate(turns):
-                if turn == 0:
-                    file, content = paths[i], bodies[i].as_buffer()
-                elif paths[i] == file:
-                    o, n = offsets[i], sizes[i]
-                    keep.append(i)
-                    data.append(None if content is None or o is None or n is None else content.slice(o, n).to_pybytes() if n and o < content.size else b"")
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[flat[c].take(at).cast(kinds.field(c).type) for c in columns], pa.array(data, pa.binary())], [*columns, "data"])
+            if not b.num_rows:
+                continue
+            turns, bodies, flat = b.column(1).to_numpy(), b.column(2), dict(zip(columns, b.column(3).flatten()))
+            offsets, sizes = (flat[c].fill_null(0).to_numpy() for c in ("offset", "size"))
+            absent = pc.or_(flat["offset"].is_null(), flat["size"].is_null()).to_numpy(zero_copy_only=False)
+            bounds = np.concatenate([[0], changes([b.column(0)]), [b.num_rows]])
+            heads = b.column(0).take(pa.array(bounds[:-1])).to_pylist()
+            before = np.concatenate([[0], np.cumsum(turns == 0)])
+            rows, parts, held = [], [], 0
+
+            def batch() -> pa.RecordBatch:
+                at = pa.array(np.concatenate([k for k, _, _ in rows]))  # noqa: B023
+                missing = np.concatenate([m for _, _, m in rows])  # noqa: B023
+                ends = np.concatenate([[0], np.cumsum(np.concatenate([n for _, n, _ in rows]))]).astype(np.int32)  # noqa: B023
+                valid = None if not missing.any() else pa.py_buffer(np.packbits(~missing, bitorder="little"))
+                data = pa.Array.from_buffers(pa.binary(), len(at), [valid, pa.py_buffer(ends), pa.py_buffer(b"".join(parts))])  # noqa: B023
+                return pa.RecordBatch.from_arrays([*[flat[c].take(at).cast(kinds.field(c).type) for c in columns], data], [*columns, "data"])  # noqa: B023
+
+            for path, a, e in zip(heads, bounds[:-1].tolist(), bounds[1:].tolist()):
+                first = a + int(before[e] - before[a])
+                if first > a:
+                    file, content = path, bodies[first - 1].as_buffer()
+                    content = None if content is None else memoryview(content)
+                if path != file or first == e:
+                    continue
+                o, n, missing = offsets[first:e], sizes[first:e], absent[first:e] | (content is None)
+                size = 0 if content is None else len(content)
+                n = np.where(missing | (o >= size), 0, n)
+                if ((n < 0) | (n > 0) & ((o < 0) | (o + n > size))).any():
+                    raise IndexError(f"a sample begins before its file or ends beyond it: {path}")
+                reach = np.cumsum(n)
+                k = 0
+                while k < len(n):  # samples that follow each other are taken at once
+                    m = max(k + 1, int(np.searchsorted(reach, (reach[k - 1] if k else 0) + _TAKEN - held, "right")))
+                    cuts = np.concatenate([[k], k + 1 + np.flatnonzero(o[k + 1 : m] != o[k : m - 1] + n[k : m - 1]), [m]])
+                    for s, t in zip(o[cuts[:-1]].tolist(), (o + n)[cuts[1:] - 1].tolist()):
+                        if t > s:
+                            parts.append(content[s:t])
+                    rows.append((np.arange(first + k, first + m), n[k:m], missing[k:m]))
+                    held += int(n[k:m].sum())
+                    k = m
+                    if held >= _TAKEN:
+                        yield batch()
+                        rows, parts, held = [], [], 0
+            if rows:
+                yield batch()
 
     return both.mapInArrow(work, schema)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -87,23 +87,46 @@ def fragment(sequence: int, track_id: int, base_dts: int, samples: pd.DataFrame,
 
 
 def packed_fragment(sequence: int, track_id: int, base_dts: int, durations: np.ndarray, sizes: np.ndarray, deltas: np.ndarray, sync: np.ndarray, data: bytes) -> bytes:
-    marks = np.where(sync, 0x02000000, 0x01010000)
-    one_duration, one_size, one_mark = (bool((x == x[0]).all()) for x in (durations, sizes, marks))
-    first_only = not one_mark and bool((marks[1:] == marks[-1]).all())
-    delayed = bool(deltas.any())
-    flags = 0x020000 | (0x8 if one_duration else 0) | (0x10 if one_size else 0) | (0x20 if one_mark or first_only else 0)
-    header = [words(track_id)] + [words(int(x)) for x, on in ((durations[0], one_duration), (sizes[0], one_size), (marks[-1], one_mark or first_only)) if on]
-    run_flags = 0x1 | (0 if one_duration else 0x100) | (0 if one_size else 0x200) | (0 if one_mark or first_only else 0x400) | (0x800 if delayed else 0) | (0x4 if first_only else 0)
-    columns = [c for c, on in ((durations, not one_duration), (sizes, not one_size), (marks, bool(run_flags & 0x400)), (deltas, delayed)) if on]
-    entries = _packed(*columns) if columns else b""
-    version = 1 if delayed and deltas.min() < 0 else 0
+    return next(packed_fragments([sequence], [track_id], [base_dts], durations, sizes, deltas, sync, np.array([0, len(sizes)]), lambda a, b: data))
+
 
-    def moof(offset: int) -> bytes:
-        trun = full_box("trun", version, run_flags, words(len(sizes), offset), words(int(marks[0])) if first_only else b"", entries)
-        traf = box("traf", full_box("tfhd", 0, flags, *header), full_box("tfdt", 1, 0, base_dts.to_bytes(8, "big")), trun)
-        return box("moof", full_box("mfhd", 0, 0, words(sequence)), traf)
+_heads: dict[tuple[int, bool], struct.Struct] = {}
 
-    return moof(len(moof(0)) + 8) + box("mdat", data)
+
+def packed_fragments(sequence: list[int], track_id: list[int], base_dts: list[int], durations: np.ndarray, sizes: np.ndarray, deltas: np.ndarray, sync: np.ndarray, bounds: np.ndarray, data: Callable[[int, int], bytes]) -> Iterator[bytes]:
+    """Fragments of samples ``bounds[g]`` to ``bounds[g + 1]``, whose data is ``data(bounds[g], bounds[g + 1])``."""
+    first, last, counts = bounds[:-1], bounds[1:] - 1, np.diff(bounds)
+    marks = np.where(sync, 0x02000000, 0x01010000)
+    turns = [np.concatenate([[0], np.cumsum(x[1:] != x[:-1])]) for x in (durations, sizes, marks)]
+    one_duration, one_size, one_mark = (t[last] == t[first] for t in turns)
+    first_only = ~one_mark & (turns[2][last] == turns[2][np.minimum(first + 1, last)])
+    marked = one_mark | first_only
+    delayed = np.logical_or.reduceat(deltas != 0, first)
+    versions = delayed & (np.minimum.reduceat(deltas, first) < 0)
+    flags = 0x020000 | np.where(one_duration, 0x8, 0) | np.where(one_size, 0x10, 0) | np.where(marked, 0x20, 0)
+    run_flags = 0x1 | np.where(one_duration, 0, 0x100) | np.where(one_size, 0, 0x200) | np.where(marked, 0, 0x400) | np.where(delayed, 0x800, 0) | np.where(first_only, 0x4, 0)
+    # The entries of all runs that have the same columns are made together.
+    shape = run_flags & 0xF00
+    blocks, starts, widths = {}, np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+    for code in np.unique(shape).tolist():
+        own, columns = shape == code, [c for c, bit in ((durations, 0x100), (sizes, 0x200), (marks, 0x400), (deltas, 0x800)) if code & bit]
+        rows = np.repeat(own, counts)
+        blocks[code] = memoryview(_packed(*[c[rows] for c in columns]) if columns else b"")
+        widths[own] = 4 * len(columns)
+        starts[own] = (np.cumsum(counts[own]) - counts[own]) * 4 * len(columns)
+    each = (x.tolist() for x in (first, counts, durations[first], sizes[first], marks[last], marks[first], one_duration, one_size, marked, first_only, flags, run_flags, versions, shape, starts, widths))
+    for k, (a, n, duration, size, mark, head_mark, has_duration, has_size, has_mark, lone, flag, run_flag, version, code, start, width) in enumerate(zip(*each)):
+        values = [v & 0xFFFFFFFF for v, on in ((duration, has_duration), (size, has_size), (mark, has_mark)) if on]
+        head = _heads.get((len(values), lone))
+        if head is None:
+            head = _heads[len(values), lone] = struct.Struct(f">I4sI4sIII4sI4sII{len(values)}II4sIQI4sIII{'I' if lone else ''}")
+        entries = blocks[code][start : start + n * width]
+        trun, moof = 20 + 4 * lone + len(entries), head.size + len(entries)
+        made = head.pack(
+            moof, b"moof", 16, b"mfhd", 0, sequence[k] & 0xFFFFFFFF, moof - 24, b"traf", 16 + 4 * len(values), b"tfhd", flag, track_id[k] & 0xFFFFFFFF, *values,
+            20, b"tfdt", 1 << 24, base_dts[k], trun, b"trun", version << 24 | run_flag, n, moof + 8, *([head_mark] if lone else []),
+        )
+        yield b"".join([made, entries, box("mdat", data(a, a + n))])
 
 
 def segment_index(track_id: int, timescale: int, earliest: int, references: list[tuple[int, int, bool]]) -> bytes:
@@ -127,13 +150,13 @@ def write_fragments(samples: DataFrame, timescale: int) -> DataFrame:
     names = ["file", "track_id", "segment_index", "sequence", "content", "duration", "earliest"]
 
     def work(rows: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-        files, data = rows.column("file").to_pylist(), Bytes(rows.column("data"))
+        first, data = bounds[:-1], Bytes(rows.column("data"))
         track, segment, dts, duration, size, delta, sync = (rows.column(c).to_numpy() for c in ("track_id", "segment_index", "dts", "duration", "size", "cts_delta", "is_sync"))
+        files, tracks, segments, begins = rows.column("file").take(pa.array(first)).to_pylist(), *(x[first].tolist() for x in (track, segment, dts))
+        contents = packed_fragments([n + 1 for n in segments], tracks, begins, duration, size, delta, sync, bounds, data.joined)
         made, held = [], 0
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            own, number = slice(a, b), int(segment[a])
-            content = packed_fragment(number + 1, int(track[a]), int(dts[a]), duration[own], size[own], delta[own], sync[own], data.joined(a, b))
-            made.append((files[a], int(track[a]), number, number + 1, content, int(duration[own].sum()), int(dts[a])))
+        for file, track_id, number, total, begin, content in zip(files, tracks, segments, np.add.reduceat(duration, first).tolist(), begins, contents):
+            made.append((file, track_id, number, number + 1, content, total, begin))
             held += len(content)
             if held >= _HELD:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made)], names)

@@ -3,11 +3,12 @@
 import tracemalloc
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from strobila.operators import tools
 from strobila.operators.groups import by_group
-from strobila.sources import boxes, media
+from strobila.sources import boxes, media, writers
 from tests import mp4
 
 
@@ -51,6 +52,44 @@ def test_tracks_are_made_by_themselves(spark):
     assert sorted((r["track_id"], r["sample_index"], r["duration"], r["is_sync"], bytes(r["data"])) for r in got) == sorted((r[1], r[2], r[3], r[5], bytes(r[7])) for r in rows)
 
 
+def test_fragments_are_packed_together():
+    """Fragments made many at a time are those made one by one, and are read again whatever the parts they leave in."""
+    rng = np.random.default_rng(1)
+    counts = rng.integers(1, 6, 300)
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    pick = lambda hi, low=0: np.concatenate([np.full(n, rng.integers(low, hi)) if rng.random() < 0.5 else rng.integers(low, hi, n) for n in counts])
+    duration, size, delta, sync = pick(1000), pick(20), pick(2, -1), pick(2).astype(bool)
+    data = [rng.bytes(int(size[a:b].sum())) for a, b in zip(bounds[:-1], bounds[1:])]
+    numbers, tracks, begins = list(range(300)), [k % 7 for k in range(300)], [k << 33 for k in range(300)]
+    by_start = dict(zip(bounds[:-1].tolist(), data))
+    got = list(writers.packed_fragments(numbers, tracks, begins, duration, size, delta, sync, bounds, lambda a, b: by_start[a]))
+    for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+        assert got[k] == writers.packed_fragment(numbers[k], tracks[k], begins[k], duration[a:b], size[a:b], delta[a:b], sync[a:b], data[k])
+        rows = {r[6]: r for r in boxes.rows_of("f", got[k])}
+        assert rows["trun"][12]["sample_count"] == str(b - a) and rows["tfdt"][12]["base_media_decode_time"] == str(begins[k])
+        assert int(rows["trun"][12]["data_offset"]) == rows["mdat"][7] + 8 and rows["mdat"][9] == len(data[k]) + 8
+
+
+def test_segment_sizes_write_fragments_once(spark):
+    from strobila.plans import catalog
+
+    plan = catalog.QUERIES["segment_sizes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2  # the events, and their kinds
+
+
+def test_sample_data_of_any_place(spark):
+    """Samples that overlap, lie beyond the file, or have no place; one that ends beyond it is an error."""
+    content = bytes(range(200))
+    places = [(0, 10), (10, 10), (20, 0), (5, 10), (15, 3), (None, 3), (4, None), (200, 5), (190, 10), (900, 0)]
+    files = spark.createDataFrame([("f", bytearray(content)), ("g", None)], "path string, content binary")
+    samples = spark.createDataFrame([(f, o, n, k) for f in "fgh" for k, (o, n) in enumerate(places)], "file string, offset long, size long, k long")
+    got = {(r["file"], r["k"]): r["data"] for r in media.sample_data(samples, files).collect()}
+    want = {(f, k): None if f == "g" or o is None or n is None else content[o : o + n] for f in "fg" for k, (o, n) in enumerate(places)}
+    assert {k: v if v is None else bytes(v) for k, v in got.items()} == want
+    with pytest.raises(Exception, match="ends beyond"):
+        media.sample_data(samples.selectExpr("file", "195L offset", "10L size"), files).collect()
+
+
 def test_a_walk_holds_one_box():
     """Containers are not copied while they are walked."""
     data = mp4.box("moov", mp4.box("trak", mp4.box("mdia", mp4.box("free", bytes(1000)) * 8000)))
