@@ -590,16 +590,14 @@ def fragment_roundtrip(spark, d):
 @query("segment_sizes", MILLIS_SQL + "SELECT file, track_id, week AS segment_index, count(*) AS sample_count, CAST(sum(size) AS BIGINT) AS media_bytes, CAST(sum(duration) AS BIGINT) AS duration FROM m GROUP BY file, track_id, week", samples=False)
 def segment_sizes(spark, d):
     """Fragments written, and their sizes and durations read from their boxes."""
-    from strobila.sources import boxes, writers
+    from strobila.sources import boxes, media, writers
 
     out = writers.write_fragments(_millis(spark, d), 1000)
     files = out.select(F.concat_ws("/", "file", F.col("track_id").cast("string"), F.col("segment_index").cast("string")).alias("path"), "content")
-    a = boxes.atoms(files, payloads=False)
-    count = F.max(F.when(F.col("type") == "trun", F.col("fields")["sample_count"].cast("long")))
-    g = a.groupBy("file").agg(count.alias("sample_count"), F.max(F.when(F.col("type") == "mdat", F.col("size") - F.col("header_size"))).alias("media_bytes"))
+    found = media.moving_samples(boxes.atoms(files, payloads=False))
+    g = found.groupBy("file", "track_id").agg(F.count("*").alias("sample_count"), F.sum("size").alias("media_bytes"), F.sum("duration").alias("duration"))
     key = F.split("file", "/")
-    g = g.select(key[0].alias("file"), key[1].cast("long").alias("track_id"), key[2].cast("long").alias("segment_index"), "sample_count", "media_bytes")
-    return g.join(out.select(*KEYS, "segment_index", "duration"), [*KEYS, "segment_index"])
+    return g.select(key[0].alias("file"), "track_id", key[2].cast("long").alias("segment_index"), "sample_count", "media_bytes", "duration")
 
 
 @query("cenc_roundtrip", "SELECT doc_id, sha256(text) AS digest FROM documents", samples=False)
