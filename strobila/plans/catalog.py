@@ -674,7 +674,7 @@ def box_tree(spark, d):
 def path_query(spark, d):
     from strobila.sources import boxes
 
-    return _payload(boxes.find(boxes.atoms(_box_files(spark, d)), "moov/trak[1]/free[2]")).select("file", "body")
+    return _payload(boxes.find_in(_box_files(spark, d), "moov/trak[1]/free[2]")).select("file", "body")
 
 
 @query("tree_edit", BOXES_SQL + """, e AS (SELECT c_nationkey, ci - 1 AS ci, CASE WHEN ci = 2 THEN oi + 1 ELSE oi END AS oi, body FROM b WHERE ci > 0

@@ -71,16 +71,88 @@ def header(data: bytes | memoryview, at: int, end: int) -> tuple[str, int, int]
     return kind, head, size
 
 
-def walk(data: bytes | memoryview, moov_only: bool = False, max_depth: int | None = None, payloads: bool = True, entries: bool = False, decoders: dict | None = None) -> Iterator[Box]:
+#: Bytes of a file that reach a walk at a time.
+_PIECE = 1 << 22
+
+
+def pieces(files: DataFrame) -> DataFrame:
+    """(path, length, content): the contents of ``files`` (path, content) in pieces, those of a file one after the other, so
+    that Python never has to hold a file."""
+    n = F.length("content")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _PIECE).cast("int")), lambda k: F.substring("content", k * _PIECE + 1, F.lit(_PIECE)))
+    return files.select("path", n.cast("long").alias("length"), F.explode_outer(F.when(n > _PIECE, cut).otherwise(F.array("content"))).alias("content"))
+
+
+class Pieces:
+    """A file that comes in pieces, of which only those are held that a walk, which never turns back, still needs."""
+
+    def __init__(self, length: int, first: memoryview, rest: Iterator[memoryview]):
+        self.length, self.view, self.base, self.rest = length, first, 0, rest
+
+    def __len__(self) -> int:
+        return self.length
+
+    def cover(self, start: int, end: int) -> tuple[memoryview, int]:
+        """(bytes, where they begin) of a stretch that begins at ``start`` or before; what is before it is let go."""
+        reach = self.base + len(self.view)
+        if end > reach:
+            held = [self.view[start - self.base :]] if start < reach else []
+            while end > reach:
+                piece = next(self.rest)
+                reach += len(piece)
+                if reach > start:
+                    held.append(piece)
+            self.view = held[0] if len(held) == 1 else memoryview(b"".join(held))
+            self.base = reach - len(self.view)
+        return self.view, self.base
+
+
+def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, memoryview | Pieces]]:
+    """(path, content) of the files whose ``pieces`` come; a file is to be walked before the next one is asked for."""
+
+    def each() -> Iterator[tuple[str, int, memoryview]]:
+        for b in batches:
+            for i in range(b.num_rows):
+                path, length, content = b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i].as_buffer()
+                if content is None:
+                    raise ValueError(f"a file without content: {path}")
+                yield path, length, memoryview(content)  # not copied
+
+    parts = each()
+    for path, length, first in parts:
+        if len(first) == length:
+            yield path, first
+            continue
+        left = length - len(first)
+
+        def rest() -> Iterator[memoryview]:
+            nonlocal left
+            while left:
+                piece = next(parts)[2]
+                left -= len(piece)  # noqa: B023
+                yield piece
+
+        yield path, Pieces(length, first, own := rest())
+        for _ in own:  # what the walk did not need
+            pass
+
+
+def walk(data: bytes | memoryview | Pieces, moov_only: bool = False, max_depth: int | None = None, payloads: bool = True, entries: bool = False, decoders: dict | None = None, kinds: frozenset[str] | None = None) -> Iterator[Box]:
     """All boxes of a file in file order. A box that does not fit in what holds it ends the walk there.
 
-    ``decoders``: functions ``payload -> dict`` by type, for boxes that have no layout or in place of it.
+    ``kinds``: of others, no fields are read and no boxes given, but what they hold is walked. ``decoders``: functions ``payload -> dict`` by type, for boxes that have no layout or in place of it.
     """
     counter, decoders = 0, decoders or {}
-    stack: list[tuple[int, int, Box | None, dict, bool]] = [(0, len(data), None, {}, False)]
+    whole = len(data)
+    view, base = (data.view, data.base) if isinstance(data, Pieces) else (data, 0)
+    reach = base + len(view)
+    stack: list[tuple[int, int, Box | None, dict, bool]] = [(0, whole, None, {}, False)]
     while stack:
         at, end, parent, seen, described = stack.pop()
-        found = header(data, at, end)
+        if at + 16 > reach and reach < whole:
+            view, base = data.cover(at, min(at + 16, whole))
+            reach = base + len(view)
+        found = header(view, at - base, end - base)
         if found is None:
             continue
         kind, head, size = found
@@ -94,14 +166,22 @@ def walk(data: bytes | memoryview, moov_only: bool = False, max_depth: int | Non
         box = Box(kind, at, head, size, None if parent is None else parent.id, counter, ordinal, depth, name if parent is None else f"{parent.path}/{name}")
         counter += 1
         plain = kind in CONTAINERS and kind != "ipro" and not described and kind not in decoders  # of such, no byte is its own
-        filled = not plain and (described or kind in _FILLED or kind in decoders)
-        body = bytes(data[at + head : at + size]) if (filled or payloads or kind in TABLES) and not plain and kind != "mdat" else b""
-        inner = 0 if plain else _fill(box, body, described, data[at + head - 16 : at + head].hex() if kind == "uuid" else "", entries, decoders) if filled else None
+        wanted = kinds is None or kind in kinds
+        filled = not plain and (described or kind in PREFIXED or kind == "ipro" or wanted and (kind in _FILLED or kind in decoders))
+        carried = wanted and (payloads or kind in TABLES) and kind != "mdat"
+        body = b""
+        if (filled or carried) and not plain and kind != "mdat":
+            if at + size > reach:
+                view, base = data.cover(at, at + size)
+                reach = base + len(view)
+            body = bytes(view[at + head - base : at + size - base])
+        inner = 0 if plain else _fill(box, body, described, view[at + head - 16 - base : at + head - base].hex() if kind == "uuid" else "", entries, decoders) if filled else None
         if inner is not None:
             box.payload = body[:inner]
-        elif (payloads or kind in TABLES) and kind != "mdat":
+        elif carried:
             box.payload = body
-        yield box
+        if wanted:
+            yield box
         if at + size < end and not (moov_only and parent is None and kind == "moov"):
             stack.append((at + size, end, parent, seen, entries))
         if inner is not None and (max_depth is None or depth < max_depth):
@@ -285,9 +365,12 @@ _SPECIAL = {"stsz": _sizes, "stz2": _packed_sizes, "tfra": _random_access, "avcC
 _FILLED = frozenset([*CONTAINERS, *PREFIXED, *LAYOUTS, *_SPECIAL, "uuid"])
 
 
-def rows_of(file: str, data: bytes | memoryview, **options) -> Iterator[tuple]:
+def rows_of(file: str, data: bytes | memoryview | Pieces, strict: bool = False, at: str | None = None, **options) -> Iterator[tuple]:
     for b in walk(data, **options):
-        yield (file, b.id, b.parent, b.ordinal, b.depth, b.path, b.type, b.offset, b.header, b.size, b.version, b.flags, {k: str(v) for k, v in b.fields.items()}, b.payload, b.error)
+        if strict and b.error:
+            raise ValueError(f"{file}, {b.path}: {b.error}")
+        if at is None or b.path == at:
+            yield (file, b.id, b.parent, b.ordinal, b.depth, b.path, b.type, b.offset, b.header, b.size, b.version, b.flags, {k: str(v) for k, v in b.fields.items()}, b.payload, b.error)
 
 
 _NAMES = [c.split()[0] for c in ATOMS.split(", ")]
@@ -304,28 +387,25 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
 
 
-def atoms(files: DataFrame, moov_only: bool = False, max_depth: int | None = None, payloads: bool = True, strict: bool = False, entries: bool = False, decoders: dict | None = None) -> DataFrame:
+def atoms(files: DataFrame, moov_only: bool = False, max_depth: int | None = None, payloads: bool = True, strict: bool = False, entries: bool = False, decoders: dict | None = None, at: str | None = None) -> DataFrame:
     """Boxes of ``files`` (path, content). ``strict``: a box that its layout does not fit raises an error; otherwise it
     keeps its row, with ``error``. ``entries``: the entries of tables as fields too, for dumps. ``decoders``: functions
-    ``payload -> dict`` by type for further boxes, which go to the tasks with the walk."""
+    ``payload -> dict`` by type for further boxes, which go to the tasks with the walk. ``at``: all boxes are walked, but
+    only those whose ``path`` it is become rows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
-        for b in batches:
-            for i in range(b.num_rows):
-                path, content = b.column(0)[i].as_py(), memoryview(b.column(1)[i].as_buffer())  # not copied
-                for r in rows_of(path, content, moov_only=moov_only, max_depth=max_depth, payloads=payloads, entries=entries, decoders=decoders):
-                    if strict and r[-1]:
-                        raise ValueError(f"{path}, {r[5]}: {r[-1]}")
-                    rows.append(r)
-                    held += len(r[-2] or b"")
-                    if len(rows) == _ROWS or held >= _HELD:
-                        yield _batch(rows)
-                        rows, held = [], 0
+        for path, content in contents(batches):
+            for r in rows_of(path, content, strict, at, moov_only=moov_only, max_depth=max_depth, payloads=payloads, entries=entries, decoders=decoders):
+                rows.append(r)
+                held += len(r[-2] or b"")
+                if len(rows) == _ROWS or held >= _HELD:
+                    yield _batch(rows)
+                    rows, held = [], 0
         if rows:
             yield _batch(rows)
 
-    return files.select("path", "content").mapInArrow(work, ATOMS)
+    return pieces(files).mapInArrow(work, ATOMS)
 
 
 def read_atoms(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -366,13 +446,17 @@ def parse_path(path: str) -> list[tuple[str, int]] | None:
     return out
 
 
+def _written(steps: list[tuple[str, int]]) -> str:
+    return "/".join(f"{name}[{n}]" for name, n in steps)
+
+
 def find(df: DataFrame, path: str) -> DataFrame:
     """Boxes at a path, of every file; none for a malformed path."""
     steps = parse_path(path)
     if steps is None:
         return df.filter(F.lit(False))
     if all(len(name) == 4 for name, _ in steps):
-        return df.filter(F.col("path") == "/".join(f"{name}[{n}]" for name, n in steps))
+        return df.filter(F.col("path") == _written(steps))
     out = None
     for name, n in steps:
         own = df.filter(F.col("parent_id").isNull()) if out is None else children(df, out)
@@ -382,6 +466,14 @@ def find(df: DataFrame, path: str) -> DataFrame:
     return out
 
 
+def find_in(files: DataFrame, path: str, **options) -> DataFrame:
+    """``find`` among the ``atoms`` of ``files`` (path, content), of which only those at the path leave their file's walk."""
+    steps = parse_path(path)
+    if steps is None or any(len(name) != 4 for name, _ in steps):
+        return find(atoms(files, **options), path)
+    return atoms(files, at=_written(steps), **options)
+
+
 def children(df: DataFrame, parent: DataFrame, kind: str | None = None) -> DataFrame:
     keys = parent.select("file", F.col("atom_id").alias("parent_id"))
     out = df.join(keys, ["file", "parent_id"], "left_semi")

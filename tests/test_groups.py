@@ -122,3 +122,53 @@ def test_a_wide_tree_is_edited_as_arrays(spark):
     again = boxes.atoms(spark.createDataFrame([("f", bytearray(want))], "path string, content binary"))
     cols = ["path", "ordinal", "depth", "type", "header_size", "size", "payload"]
     assert sorted(str(r) for r in new.select(*cols).collect()) == sorted(str(r) for r in again.select(*cols).collect())
+
+
+def cut(data, *at):
+    ends = [*sorted(at), len(data)]
+    parts = [memoryview(data)[a:b] for a, b in zip([0, *ends], ends)]
+    return boxes.Pieces(len(data), parts[0], iter(parts[1:]))
+
+
+def test_a_walk_of_pieces():
+    """Boxes are the same wherever a file is cut."""
+    uuid = mp4.box("uuid", bytes(range(16)), b"of its own")
+    for data in (mp4.static_av(), mp4.fragmented(), uuid + mp4.box("free", bytes(50)) + uuid, mp4.fragmented()[:-7], mp4.u32(1) + b"free" + mp4.u64(20) + b"abcd" + mp4.u32(0) + b"mdat" + bytes(5)):
+        want = list(boxes.rows_of("f", data))
+        for k in range(1, min(len(data), 300)):
+            assert list(boxes.rows_of("f", cut(data, k))) == want
+        for width in (1, 7, 64):
+            assert list(boxes.rows_of("f", cut(data, *range(width, len(data), width)))) == want
+        assert [r[6] for r in boxes.rows_of("f", cut(data, 40), moov_only=True)] == [r[6] for r in boxes.rows_of("f", data, moov_only=True)]
+
+
+def test_a_walk_holds_a_piece():
+    """Of a file of 64 MB that comes in pieces, no more than a few pieces are held."""
+    part = mp4.box("free", bytes(1000)) * 1000
+    moov = (8 + 64 * len(part)).to_bytes(4, "big") + b"moov"
+    data = boxes.Pieces(8 + 64 * len(part), memoryview(moov), (memoryview(bytes(part)) for _ in range(64)))
+    tracemalloc.start()
+    n = sum(1 for _ in boxes.walk(data))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 64_001 and peak < 8 << 20
+
+
+def test_files_reach_a_walk_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(boxes, "_PIECE", 100)
+    many = [("a", mp4.static_av()), ("b", b""), ("c", mp4.fragmented()), ("d", mp4.box("free", bytes(92))), ("e", mp4.box("free", bytes(93))), ("f", mp4.static_av())]
+    files = spark.createDataFrame([(p, bytearray(c)) for p, c in many], "path string, content binary")
+    assert boxes.pieces(files).groupBy("path").count().filter("path = 'a'").first()["count"] == -(-len(mp4.static_av()) // 100)
+    assert [tuple(r) for r in boxes.atoms(files).orderBy("file", "atom_id").collect()] == [r for p, c in many for r in boxes.rows_of(p, c)]
+    first = boxes.atoms(files, moov_only=True).groupBy("file").count()  # what is left of a file is passed over
+    assert {r["file"]: r["count"] for r in first.collect()} == {p: n for p, c in many if (n := sum(1 for _ in boxes.rows_of(p, c, moov_only=True)))}
+    with pytest.raises(Exception, match="a file without content"):
+        boxes.atoms(spark.createDataFrame([("a", None)], "path string, content binary")).count()
+
+
+def test_boxes_at_a_path_leave_the_walk(spark):
+    files = spark.createDataFrame([("a", bytearray(mp4.static_av())), ("b", bytearray(mp4.fragmented()))], "path string, content binary")
+    atoms = boxes.atoms(files)
+    for path in ("moov/trak[1]/mdia", "moof[1]/traf/tfhd", "moov", "free", "no/path", "00" * 16):
+        assert sorted(map(str, boxes.find_in(files, path).collect())) == sorted(map(str, boxes.find(atoms, path).collect()))
+    assert boxes.find_in(files, "moov")._jdf.queryExecution().optimizedPlan().toString().startswith("MapInArrow")  # nothing is filtered after it
