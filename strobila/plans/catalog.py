@@ -579,11 +579,11 @@ def _millis(spark, d):
 @query("fragment_roundtrip", MILLIS_SQL + "SELECT file, track_id, sample_index, dts, duration, size, cts_delta, is_sync FROM m", samples=False)
 def fragment_roundtrip(spark, d):
     """Fragments written, joined to files of one track, and read again."""
-    from strobila.sources import boxes, media, writers
+    from strobila.sources import media, writers
 
     out = writers.write_fragments(_millis(spark, d), 1000)
     files = writers.assemble(out, KEYS, "segment_index").select(F.concat_ws("/", "file", F.col("track_id").cast("string")).alias("path"), "content")
-    found = media.moving_samples(boxes.atoms(files, payloads=False))
+    found = media.file_samples(files)
     return found.select(F.split("file", "/")[0].alias("file"), "track_id", "sample_index", "dts", "duration", "size", "cts_delta", "is_sync")
 
 
@@ -594,7 +594,7 @@ def segment_sizes(spark, d):
 
     out = writers.write_fragments(_millis(spark, d), 1000)
     files = out.select(F.concat_ws("/", "file", F.col("track_id").cast("string"), F.col("segment_index").cast("string")).alias("path"), "content")
-    found = media.moving_samples(boxes.atoms(files, payloads=False))
+    found = media.file_samples(files)
     g = found.groupBy("file", "track_id").agg(F.count("*").alias("sample_count"), F.sum("size").alias("media_bytes"), F.sum("duration").alias("duration"))
     key = F.split("file", "/")
     return g.select(key[0].alias("file"), "track_id", key[2].cast("long").alias("segment_index"), "sample_count", "media_bytes", "duration")
@@ -722,11 +722,11 @@ def static_roundtrip(spark, d):
 @query("fragment_data", DATA_SQL + "SELECT file || '/' || CAST(track_id AS VARCHAR) AS file, sample_index, duration, sha256(body) AS digest FROM m", samples=False)
 def fragment_data(spark, d):
     """Fragments written with their data, and the data read again from where the runs say."""
-    from strobila.sources import boxes, media, writers
+    from strobila.sources import media, writers
 
     rows = _with_data(spark, d).withColumn("segment_index", F.floor(F.col("dts") / 604_800_000).cast("long"))
     files = writers.assemble(writers.write_fragments(rows, 1000), KEYS, "segment_index").select(F.concat_ws("/", "file", F.col("track_id").cast("string")).alias("path"), "content")
-    found = media.sample_data(media.moving_samples(boxes.atoms(files, payloads=False)), files)
+    found = media.sample_data(media.file_samples(files), files)
     return found.select("file", "sample_index", "duration", F.sha2("data", 256).alias("digest"))
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from strobila.functions.codecs import codec_name
 from strobila.operators.fragments import NOT_SYNC, TRUN_CTS, TRUN_DATA_OFFSET, TRUN_DURATION, TRUN_FIRST_FLAGS, TRUN_FLAGS, TRUN_SIZE
 from strobila.operators.groups import by_group, changes
+from strobila.sources.boxes import Pieces, contents, pieces, walk
 
 TRAK = r"^(moov\[0\]/trak\[\d+\])"
 _KEYS = ["file", "track_id"]
@@ -296,6 +298,7 @@ _MOVING = "file string, track_id long, sample_index long, moof_offset long, offs
 _DEFAULTS = {"tfhd": ("track_id", "base_data_offset", "sample_description_index", "default_sample_duration", "default_sample_size", "default_sample_flags"), "trex": ("track_id", "default_sample_description_index", "default_sample_duration", "default_sample_size", "default_sample_flags"), "tfdt": ("base_media_decode_time",)}
 
 
+_IN_TRAF, _TRAF_OF = r"^moof\[\d+\]/.*traf\[\d+\]", r"/traf\[(\d+)\]"
 _CELLS = [(TRUN_DURATION, "duration", ">u4"), (TRUN_SIZE, "size", ">u4"), (TRUN_FLAGS, "flags", ">u4"), (TRUN_CTS, "cts", ">i4")]
 #: The entries of a run by the columns that it has.
 _LAYOUTS = {bits: np.dtype([(n, k) for bit, n, k in _CELLS if bits & bit]) for bits in range(0, 0x1000, 0x100)}
@@ -315,112 +318,164 @@ def _run_head(flags: int, payload: memoryview) -> tuple[int, int | None, int | N
     return count, *head, bits, at
 
 
+_FIELDS = list(dict.fromkeys(f for v in _DEFAULTS.values() for f in v))
+#: Where a field is in the numbers of a box.
+_AT = {f: k for k, f in enumerate(_FIELDS)}
+
+
+def _runs(file: str, rows: Iterable[tuple], payload_of: Callable[[int], bytes | pa.Buffer | None]) -> Iterator[tuple]:
+    """The runs of a file, at most ``_ROWS`` samples at a time: (track, fragment's place, description, place of its data
+    and time if they do not follow what is before, count, columns, entries, flags of the first sample, defaults).
+
+    ``rows``: (number, offset, type, traf, header size, flags, numbers by ``_AT``) of its boxes in file order.
+    """
+    trex, trafs, moof = {}, [], None
+    for i, offset, kind, traf, header_size, flags, f in rows:
+        if kind == "trex":
+            trex.setdefault(f[_AT["track_id"]], f)
+        elif kind == "mdat":
+            for t in reversed(trafs):
+                if t["data"] is not None:
+                    break
+                t["data"] = offset + header_size
+        elif kind == "moof":
+            moof = offset
+        elif moof is not None:
+            if not trafs or trafs[-1]["moof"] != moof or trafs[-1]["traf"] != traf:
+                trafs.append({"moof": moof, "traf": traf, "data": None, "head": None, "base": None, "runs": []})
+            if kind == "trun":
+                trafs[-1]["runs"].append((i, flags or 0))
+            elif kind == "tfhd":
+                trafs[-1]["head"] = f
+            else:
+                trafs[-1]["base"] = f[_AT["base_media_decode_time"]]
+    for t in trafs:
+        head = t["head"]
+        if head is None:
+            continue
+        track, base, begun, data_base = head[_AT["track_id"]], t["base"], False, head[_AT["base_data_offset"]]
+        other = trex.get(track)
+        description, *defaults = (
+            head[_AT[a]] if head[_AT[a]] is not None else other[_AT[b]] if other is not None and other[_AT[b]] is not None else 0
+            for a, b in (("sample_description_index", "default_sample_description_index"), *((f"default_sample_{c}",) * 2 for c in ("size", "duration", "flags")))
+        )
+        for i, flags in t["runs"]:
+            payload = payload_of(i)
+            if payload is None:
+                raise ValueError(f"a table without its payload: {file}")
+            payload = memoryview(payload)
+            n, start, first_flags, bits, entries = _run_head(flags, payload)
+            place = (t["moof"] if data_base is None else data_base) + (start or 0)
+            if place == t["moof"]:
+                place = None if begun else t["moof"] if t["data"] is None else t["data"]
+            width = _LAYOUTS[bits].itemsize
+            for k in range(0, n, _ROWS):
+                m = min(_ROWS, n - k)
+                yield track, t["moof"], description, place, base, m, bits, payload[entries + k * width : entries + (k + m) * width], first_flags, *defaults
+                begun, place, base, first_flags = True, None, None, None
+
+
+def _resolved(found: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """The samples of runs, each after its file's name as a list of one, which tells files apart by identity."""
+    made, held, last, place, clocks = [], 0, None, 0, {}
+
+    def batch() -> pa.RecordBatch:
+        nonlocal last, place, clocks
+        n = np.array([m[6] for m in made])
+        starts, run = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+        size, duration, flags = (np.array([m[k] for m in made], np.int64)[run] for k in (10, 11, 12))
+        columns = {"size": size, "duration": duration, "flags": flags, "cts": np.zeros(len(run), np.int64)}
+        bits = np.array([m[7] for m in made])
+        for b in np.unique(bits[bits > 0]).tolist():
+            own = np.flatnonzero(bits == b)
+            entries = np.frombuffer(b"".join([made[i][8] for i in own.tolist()]), _LAYOUTS[b])
+            spots = np.repeat(starts[own] - np.cumsum(n[own]) + n[own], n[own]) + np.arange(len(entries))
+            for name in entries.dtype.names:
+                columns[name][spots] = entries[name]
+        for i, m in enumerate(made):
+            if m[9] is not None:
+                flags[starts[i]] = m[9]
+        begin = []
+        for m, length, lasts in zip(made, np.add.reduceat(size, starts).tolist(), np.add.reduceat(duration, starts).tolist()):
+            if m[0] is not last:
+                last, clocks = m[0], {}
+            index, time = clocks.get(m[1], (0, 0))
+            place, time = place if m[4] is None else m[4], time if m[5] is None else m[5]
+            begin.append((index, place, time))
+            clocks[m[1]], place = (index + m[6], time + lasts), place + length
+        index, offset, dts = np.array(begin, np.int64).T
+        reach, ends = np.cumsum(size) - size, np.cumsum(duration) - duration
+        constant = [pa.array([m[k][0] if not k else m[k] for m in made], pa.string() if not k else pa.int64()).take(pa.array(run)) for k in range(4)]
+        varying = [(index - starts)[run] + np.arange(len(run)), (offset - reach[starts])[run] + reach, size, duration, (dts - ends[starts])[run] + ends, columns["cts"], flags & NOT_SYNC == 0]
+        index, offset, size, duration, dts, delta, sync = map(pa.array, varying)
+        return pa.RecordBatch.from_arrays([constant[0], constant[1], index, constant[2], offset, size, duration, dts, delta, constant[3], sync], [c.split()[0] for c in _MOVING.split(", ")])
+
+    for m in found:
+        made.append(m)
+        held += m[6]
+        if held >= _ROWS:
+            yield batch()
+            made, held = [], 0
+    if made:
+        yield batch()
+
+
 def moving_samples(atoms: DataFrame) -> DataFrame:
     """Samples of fragments by the rules of ``fragment_samples``, in one pass over a file's boxes in file order."""
-    inside = F.col("path").rlike(r"^moof\[\d+\]/.*traf\[\d+\]") & F.col("type").isin("tfhd", "tfdt", "trun")
+    inside = F.col("path").rlike(_IN_TRAF) & F.col("type").isin("tfhd", "tfdt", "trun")
     kept = atoms.filter("offset is not null").filter(inside | (F.col("type") == "trex") | (F.col("depth") == 0) & F.col("type").isin("moof", "mdat"))
-    fields = F.array(*[_number(f) for f in dict.fromkeys(f for v in _DEFAULTS.values() for f in v)])
-    at = {f: k for k, f in enumerate(dict.fromkeys(f for v in _DEFAULTS.values() for f in v))}
-    rows_ = kept.select("file", "offset", "type", F.regexp_extract("path", r"/traf\[(\d+)\]", 1).alias("traf"), "header_size", "flags", F.when(F.col("type") == "trun", F.col("payload")).alias("payload"), F.when(F.col("type").isin(*_DEFAULTS), fields).alias("fields"))
-
-    def runs(file: str, rows: Iterator[tuple], payloads: pa.ChunkedArray) -> Iterator[tuple]:
-        """The runs of a file, at most ``_ROWS`` samples at a time: (track, fragment's place, description, place of its data
-        and time if they do not follow what is before, count, columns, entries, flags of the first sample, defaults)."""
-        trex, trafs, moof = {}, [], None
-        for i, offset, kind, traf, header_size, flags, f in rows:
-            if kind == "trex":
-                trex.setdefault(f[at["track_id"]], f)
-            elif kind == "mdat":
-                for t in reversed(trafs):
-                    if t["data"] is not None:
-                        break
-                    t["data"] = offset + header_size
-            elif kind == "moof":
-                moof = offset
-            elif moof is not None:
-                if not trafs or trafs[-1]["moof"] != moof or trafs[-1]["traf"] != traf:
-                    trafs.append({"moof": moof, "traf": traf, "data": None, "head": None, "base": None, "runs": []})
-                if kind == "trun":
-                    trafs[-1]["runs"].append((i, flags or 0))
-                elif kind == "tfhd":
-                    trafs[-1]["head"] = f
-                else:
-                    trafs[-1]["base"] = f[at["base_media_decode_time"]]
-        for t in trafs:
-            head = t["head"]
-            if head is None:
-                continue
-            track, base, begun, data_base = head[at["track_id"]], t["base"], False, head[at["base_data_offset"]]
-            other = trex.get(track)
-            description, *defaults = (
-                head[at[a]] if head[at[a]] is not None else other[at[b]] if other is not None and other[at[b]] is not None else 0
-                for a, b in (("sample_description_index", "default_sample_description_index"), *((f"default_sample_{c}",) * 2 for c in ("size", "duration", "flags")))
-            )
-            for i, flags in t["runs"]:
-                payload = payloads[i].as_buffer()
-                if payload is None:
-                    raise ValueError(f"a table without its payload: {file}")
-                payload = memoryview(payload)
-                n, start, first_flags, bits, entries = _run_head(flags, payload)
-                place = (t["moof"] if data_base is None else data_base) + (start or 0)
-                if place == t["moof"]:
-                    place = None if begun else t["moof"] if t["data"] is None else t["data"]
-                width = _LAYOUTS[bits].itemsize
-                for k in range(0, n, _ROWS):
-                    m = min(_ROWS, n - k)
-                    yield track, t["moof"], description, place, base, m, bits, payload[entries + k * width : entries + (k + m) * width], first_flags, *defaults
-                    begun, place, base, first_flags = True, None, None, None
+    fields = F.array(*[_number(f) for f in _FIELDS])
+    rows_ = kept.select("file", "offset", "type", F.regexp_extract("path", _TRAF_OF, 1).alias("traf"), "header_size", "flags", F.when(F.col("type") == "trun", F.col("payload")).alias("payload"), F.when(F.col("type").isin(*_DEFAULTS), fields).alias("fields"))
 
     def work(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-        made, held, last, place, clocks = [], 0, None, 0, {}
-
-        def batch() -> pa.RecordBatch:
-            nonlocal last, place, clocks
-            n = np.array([m[6] for m in made])
-            starts, run = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
-            size, duration, flags = (np.array([m[k] for m in made], np.int64)[run] for k in (10, 11, 12))
-            columns = {"size": size, "duration": duration, "flags": flags, "cts": np.zeros(len(run), np.int64)}
-            bits = np.array([m[7] for m in made])
-            for b in np.unique(bits[bits > 0]).tolist():
-                own = np.flatnonzero(bits == b)
-                entries = np.frombuffer(b"".join([made[i][8] for i in own.tolist()]), _LAYOUTS[b])
-                spots = np.repeat(starts[own] - np.cumsum(n[own]) + n[own], n[own]) + np.arange(len(entries))
-                for name in entries.dtype.names:
-                    columns[name][spots] = entries[name]
-            for i, m in enumerate(made):
-                if m[9] is not None:
-                    flags[starts[i]] = m[9]
-            begin = []
-            for m, length, lasts in zip(made, np.add.reduceat(size, starts).tolist(), np.add.reduceat(duration, starts).tolist()):
-                if m[0] is not last:
-                    last, clocks = m[0], {}
-                index, time = clocks.get(m[1], (0, 0))
-                place, time = place if m[4] is None else m[4], time if m[5] is None else m[5]
-                begin.append((index, place, time))
-                clocks[m[1]], place = (index + m[6], time + lasts), place + length
-            index, offset, dts = np.array(begin, np.int64).T
-            reach, ends = np.cumsum(size) - size, np.cumsum(duration) - duration
-            constant = [pa.array([m[k][0] if not k else m[k] for m in made], pa.string() if not k else pa.int64()).take(pa.array(run)) for k in range(4)]
-            varying = [(index - starts)[run] + np.arange(len(run)), (offset - reach[starts])[run] + reach, size, duration, (dts - ends[starts])[run] + ends, columns["cts"], flags & NOT_SYNC == 0]
-            index, offset, size, duration, dts, delta, sync = map(pa.array, varying)
-            return pa.RecordBatch.from_arrays([constant[0], constant[1], index, constant[2], offset, size, duration, dts, delta, constant[3], sync], [c.split()[0] for c in _MOVING.split(", ")])
-
         payloads, rows = table.column("payload"), [table.column(c).to_pylist() for c in ("offset", "type", "traf", "header_size", "flags", "fields")]
         files = table.column("file").take(pa.array(bounds[:-1])).to_pylist()
-        for file, a, b in zip(files, bounds[:-1].tolist(), bounds[1:].tolist()):
-            group = [file]  # known by itself, so that files are told apart by identity
-            for r in runs(file, zip(range(a, b), *(c[a:b] for c in rows)), payloads):
-                made.append((group, *r))
-                held += r[5]
-                if held >= _ROWS:
-                    yield batch()
-                    made, held = [], 0
-        if made:
-            yield batch()
+
+        def found() -> Iterator[tuple]:
+            for file, a, b in zip(files, bounds[:-1].tolist(), bounds[1:].tolist()):
+                group = [file]
+                for r in _runs(file, zip(range(a, b), *(c[a:b] for c in rows)), lambda i: payloads[i].as_buffer()):
+                    yield group, *r
+
+        yield from _resolved(found())
 
     return by_group(rows_, ["file"], ["offset"], work, _MOVING)
 
 
+def file_samples(files: DataFrame) -> DataFrame:
+    """``moving_samples`` of the boxes of ``files`` (path, content): a file's runs are resolved where it is walked, so that
+    no rows of boxes are made, dealt by file and sorted."""
+    kinds = frozenset(["trex", "tfhd", "tfdt", "trun", "moof", "mdat"])
+    in_traf, traf_of = re.compile(_IN_TRAF), re.compile(_TRAF_OF)
+
+    def rows(data: bytes | memoryview | Pieces) -> tuple[list[tuple], list[bytes | None]]:
+        out, payloads = [], []
+        for b in walk(data, payloads=False, kinds=kinds):
+            if b.type in ("moof", "mdat"):
+                if b.depth:
+                    continue
+                traf, numbers = "", None
+            else:
+                if b.type != "trex" and not in_traf.search(b.path):
+                    continue
+                m = traf_of.search(b.path)
+                traf, numbers = m[1] if m else "", None if b.type == "trun" else [None if f not in b.fields else int(b.fields[f]) for f in _FIELDS]
+            out.append((len(out), b.offset, b.type, traf, b.header, b.flags, numbers))
+            payloads.append(b.payload if b.type == "trun" else None)
+        return out, payloads
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple]:
+            for file, data in contents(batches):
+                group, (own, payloads) = [file], rows(data)
+                for r in _runs(file, own, payloads.__getitem__):
+                    yield group, *r
+
+        return _resolved(found())
+
+    return pieces(files).mapInArrow(work, _MOVING)
+
+
 #: Bytes of samples that leave a task at a time.
 _TAKEN = 1 << 26
 

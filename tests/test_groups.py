@@ -124,6 +124,17 @@ def test_a_wide_tree_is_edited_as_arrays(spark):
     assert sorted(str(r) for r in new.select(*cols).collect()) == sorted(str(r) for r in again.select(*cols).collect())
 
 
+def test_samples_of_fragments_come_from_one_step(spark):
+    """They are those of the boxes' table, whatever else a file holds, and no table of boxes is dealt by file."""
+    data = mp4.fragmented()
+    late = mp4.box("free", b"x") + data[data.index(b"moof") - 4 :] + data[: data.index(b"moof") - 4]  # defaults after fragments
+    many = [("a", data), ("b", mp4.static_av()), ("c", late), ("d", b""), ("e", data[:-9]), ("f", mp4.box("meta", bytes(4), data))]
+    files = spark.createDataFrame([(p, bytearray(c)) for p, c in many], "path string, content binary")
+    got, want = media.file_samples(files), media.moving_samples(boxes.atoms(files, payloads=False))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 15
+    assert got.columns == want.columns and steps(got) == 1
+
+
 def cut(data, *at):
     ends = [*sorted(at), len(data)]
     parts = [memoryview(data)[a:b] for a, b in zip([0, *ends], ends)]
