@@ -78,6 +78,7 @@ _PIECE = 1 << 22
 def pieces(files: DataFrame) -> DataFrame:
     """(path, length, content): the contents of ``files`` (path, content) in pieces, those of a file one after the other, so
     that Python never has to hold a file."""
+    files = files.select("path", F.col("content").cast("binary").alias("content"))
     n = F.length("content")
     cut = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _PIECE).cast("int")), lambda k: F.substring("content", k * _PIECE + 1, F.lit(_PIECE)))
     return files.select("path", n.cast("long").alias("length"), F.explode_outer(F.when(n > _PIECE, cut).otherwise(F.array("content"))).alias("content"))
